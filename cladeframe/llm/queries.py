@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cladeframe.llm import lm
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,5 +27,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
-QUERIES = {"op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
-ORACLE_SQL: dict[str, str] = {}
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    scored = lm.stupid_backoff(_table(spark, sf_dir, "documents"), stable_scan=True)
+    return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
+QUERIES = {"op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
+ORACLE_SQL: dict[str, str] = {"op9_stupid_backoff": lm.ORACLE_SQL}
