@@ -33,6 +33,7 @@ GROUPS = 64
 LEAF = 512  # points in a leaf of the R-tree
 MEETING = 2048  # rows of one shingle that one task holds; beyond, meetings are parted
 SAMPLE_DOCS = 16_384  # documents whose shingles decide which are frequent
+BROADCAST_IDS = 1_000_000  # ids of texts to verify; beyond, they are joined by shuffle
 FREQUENT = 400  # of one in so many sampled documents
 
 
@@ -64,7 +65,7 @@ def _featurizer(k: int, percent: int, frequent: np.ndarray):
                 keep = rank < np.repeat(np.where(n > 0, n - needed(n, percent) + 1, 0), n)
                 prefix, kept = value[order][keep], np.bincount(owner[keep], minlength=last - first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[first:last], pa.array(n), *(pa.array((e[bounds[1:]] - e[bounds[:-1]]).view(np.int64)) for e in ends), pa.array([r.tobytes() for r in counts.astype(np.uint16)], pa.binary()), text.list_array(prefix.view(np.int64), np.concatenate([[0], np.cumsum(kept)]))],
+                    [batch.column("doc_id")[first:last], pa.array(n), *(pa.array((e[bounds[1:]] - e[bounds[:-1]]).view(np.int64)) for e in ends), pa.array([r.astype(np.uint8 if r.max() < 256 else np.uint32).tobytes() for r in counts], pa.binary()), text.list_array(prefix.view(np.int64), np.concatenate([[0], np.cumsum(kept)]))],
                     names=["doc_id", "n", "sum1", "sum2", "counts", "prefix"],
                 )
 
@@ -114,25 +115,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of their shingle, those whose shingle occurs again. Holds one row back."""
-    last: tuple[int, int] | None = None
-    told = True
-    for batch in batches:
-        tok, doc = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tok", "doc_id"))
-        if not len(tok):
-            continue
-        if last is not None:
-            tok, doc = np.concatenate([[last[0]], tok]), np.concatenate([[last[1]], doc])
-        same = tok[1:] == tok[:-1]
-        keep = np.zeros(len(tok), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if last is not None and told:
-            keep[0] = False
-        told = bool(keep[-1])
-        last = (tok[-1], doc[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(tok[keep]), pa.array(doc[keep])], names=["tok", "doc_id"])
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of their shingle: for every shingle of several documents these, under a key of the set of documents."""
+    for table in _grouped(batches, "tok"):
+        tok, doc = (table.column(c).to_numpy() for c in ("tok", "doc_id"))
+        start, size = _runs(tok)
+        key = np.repeat(text.mix(np.add.reduceat(text.mix(doc.view(np.uint64) + np.uint64(7)), start) + size.astype(np.uint64)), size)
+        keep = np.repeat(size, size) > 1
+        pairs = np.unique(np.stack([key[keep].view(np.int64), doc[keep]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["tok", "doc_id"])
 
 
 def _linkable(bound: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
@@ -193,7 +184,7 @@ def _meet(percent: int, forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "key"):
             key, doc, n, comp = (table.column(c).to_numpy() for c in ("key", "doc_id", "n", "comp"))
-            counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint16).reshape(-1, GROUPS).astype(np.int32)
+            counts = np.array([np.frombuffer(c, np.uint8 if len(c) == GROUPS else np.uint32) for c in table.column("counts").to_pylist()], np.int32)
             n = n.astype(np.int64)
             start, size = _runs(key)
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -234,8 +225,9 @@ def _candidates(meetings: DataFrame, points: DataFrame, percent: int, forest: bo
 
 
 def _verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shared.stored(own.join(ids, "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, shingles array<long>"), "sets")
+    ids = shared.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    small = ids.count() <= BROADCAST_IDS
+    sets = shared.stored(own.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, shingles array<long>"), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     overlap = F.size(F.array_intersect("sa", "sb"))
@@ -253,7 +245,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     classes = shared.stored(points.filter("n > 0").groupBy("sum1", "sum2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = points.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     tokens = reps.select(F.explode("prefix").alias("tok"), "doc_id").repartition(n_parts, "tok").sortWithinPartitions("tok")
-    meetings = shared.stored(tokens.mapInArrow(_shared_tokens, "tok long, doc_id long"), "meetings")
+    # Near copies share many shingles: each set of documents meets once.
+    meetings = shared.stored(tokens.mapInArrow(_meetings, "tok long, doc_id long").distinct(), "meetings")
     light = reps.select("doc_id", "n", "counts")
     first = shared.stored(_candidates(meetings, light.withColumn("comp", F.col("doc_id")), percent, True, n_parts), "pairs")
     links = shared.stored(_verified(first, own, k, percent), "links")
