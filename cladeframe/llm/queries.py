@@ -34,5 +34,17 @@ def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
 
-QUERIES = {"op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladeframe.llm import decontaminate
+
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladeframe.llm import licenses
+
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+QUERIES = {"op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
 ORACLE_SQL: dict[str, str] = {"op9_stupid_backoff": lm.ORACLE_SQL}
