@@ -46,5 +46,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
 
 
-QUERIES = {"op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladeframe.llm import language
+
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify_language(docs, training=docs.filter(~language.held_out()))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
 ORACLE_SQL: dict[str, str] = {"op9_stupid_backoff": lm.ORACLE_SQL}
