@@ -28,7 +28,7 @@ from cladeframe.llm import shared, text
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 #: Words whose ids a worker remembers at most; it starts anew beyond them.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 500_000
 SLICE_BYTES = 4 << 20
 TOKENS_SCHEMA = "doc_id long, n_tokens long, crc long, tokens array<int>"
 _LOADED: dict[str, WordCache] = {}
