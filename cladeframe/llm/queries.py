@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cladeframe.llm import lm
 
@@ -28,8 +29,6 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     scored = lm.stupid_backoff(_table(spark, sf_dir, "documents"), stable_scan=True)
     return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
 
@@ -54,5 +53,17 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladeframe.llm import mixing
+
+    rows = mixing.sized(_table(spark, sf_dir, "documents"), F.array(mixing.source_key(F.col("source"))))
+    patterns = mixing.pattern_sizes(rows)
+    sizes = {s[0]: n for s, n in patterns}
+    target = mixing.capped_shares(sizes, mixing.cycle_weights(list(sizes), (5, 2, 1)), 1.5 * sum(sizes.values()), 2)
+    mixed = mixing.mix(rows, patterns, target, copies=2)
+    sources = spark.createDataFrame([([s], sizes[s], target[s]) for s in sizes], "pattern array<string>, source_size long, target double")
+    return mixed.join(F.broadcast(sources), "pattern").select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op6_source_mixing": op6_source_mixing, "op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
 ORACLE_SQL: dict[str, str] = {"op9_stupid_backoff": lm.ORACLE_SQL}
