@@ -120,10 +120,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _grouped(batches, "tok"):
         tok, doc = (table.column(c).to_numpy() for c in ("tok", "doc_id"))
         start, size = _runs(tok)
+        root = np.repeat(np.minimum.reduceat(doc, start), size)
         key = np.repeat(text.mix(np.add.reduceat(text.mix(doc.view(np.uint64) + np.uint64(7)), start) + size.astype(np.uint64)), size)
         keep = np.repeat(size, size) > 1
-        pairs = np.unique(np.stack([key[keep].view(np.int64), doc[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["tok", "doc_id"])
+        rows = np.unique(np.stack([key[keep].view(np.int64), root[keep], doc[keep]], 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["tok", "root", "doc_id"])
 
 
 def _linkable(bound: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
@@ -161,49 +162,56 @@ def _leaf_pairs(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, percent: in
     return i, j, b
 
 
-def _forest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
-    """Places of the pairs of a maximum spanning forest."""
-    parent = list(range(m))
+class Forest:
+    """Which documents the pairs so far connect."""
 
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
         return x
 
-    keep = []
-    for k in np.argsort(-weight, kind="stable").tolist():
-        a, b = root(int(i[k])), root(int(j[k]))
-        if a != b:
-            parent[a] = b
-            keep.append(k)
-    return np.array(keep, np.int64)
+    def kept(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Places of the pairs that connect something new, the heaviest first."""
+        keep = []
+        for k in np.argsort(-weight, kind="stable").tolist():
+            x, y = self.root(int(a[k])), self.root(int(b[k]))
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                keep.append(k)
+        return np.array(keep, np.int64)
 
 
 def _meet(percent: int, forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest()
         for table in _grouped(batches, "key"):
             key, doc, n, comp = (table.column(c).to_numpy() for c in ("key", "doc_id", "n", "comp"))
             counts = np.array([np.frombuffer(c, np.uint8 if len(c) == GROUPS else np.uint32) for c in table.column("counts").to_pylist()], np.int32)
             n = n.astype(np.int64)
             start, size = _runs(key)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            pair = size == 2  # most meetings: all at once
-            i = start[pair]
+            found = []
+            i = start[size == 2]  # most meetings: all at once
             if len(i):
                 b = np.minimum(counts[i], counts[i + 1]).sum(1)
                 ok = _linkable(b, n[i], n[i + 1], percent) & (comp[i] != comp[i + 1])
-                found.append((doc[i[ok]], doc[i[ok] + 1]))
+                found.append((i[ok], i[ok] + 1, b[ok]))
             for s, z in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 i, j, b = _leaf_pairs(n[s : s + z], counts[s : s + z], comp[s : s + z], percent)
-                if forest and len(i) >= z:
-                    t = _forest(i, j, b / (n[s + i] + n[s + j] - b), z)
-                    i, j = i[t], j[t]
-                found.append((doc[s + i], doc[s + j]))
-            if found:
-                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found.append((s + i, s + j, b))
+            pairs = []
+            for i, j, b in found:
+                if forest and len(i):
+                    keep = trees.kept(doc[i], doc[j], b / (n[i] + n[j] - b))
+                    i, j = i[keep], j[keep]
+                pairs.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], 1))
+            if pairs:
+                told = np.unique(np.concatenate(pairs), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(told[:, 0]), pa.array(told[:, 1])], names=["a", "b"])
 
     return run
 
@@ -220,7 +228,9 @@ def _candidates(meetings: DataFrame, points: DataFrame, percent: int, forest: bo
     salt = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
     rows = rows.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     rows = rows.withColumn("key", F.when(F.col("s") == 1, F.col("tok")).otherwise(F.xxhash64("tok", F.least("salt", "other"), F.greatest("salt", "other"))))
-    dealt = rows.select("key", "doc_id", "n", "comp", "counts").repartition(n_parts, "key").sortWithinPartitions("key")
+    # Meetings of one group of copies mostly have the same smallest document: few tasks see them, and a task's forest spans them.
+    deal = F.xxhash64("root", F.pmod("key", F.lit(4))) if forest else F.col("key")
+    dealt = rows.select("key", "doc_id", "n", "comp", "counts", deal.alias("deal")).repartition(n_parts, "deal").sortWithinPartitions("key")
     return dealt.mapInArrow(_meet(percent, forest), "a long, b long").distinct()
 
 
@@ -246,7 +256,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     reps = points.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     tokens = reps.select(F.explode("prefix").alias("tok"), "doc_id").repartition(n_parts, "tok").sortWithinPartitions("tok")
     # Near copies share many shingles: each set of documents meets once.
-    meetings = shared.stored(tokens.mapInArrow(_meetings, "tok long, doc_id long").distinct(), "meetings")
+    meetings = shared.stored(tokens.mapInArrow(_meetings, "tok long, root long, doc_id long").distinct(), "meetings")
     light = reps.select("doc_id", "n", "counts")
     first = shared.stored(_candidates(meetings, light.withColumn("comp", F.col("doc_id")), percent, True, n_parts), "pairs")
     links = shared.stored(_verified(first, own, k, percent), "links")
