@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from cladeframe.llm import shared, text
 
 U64 = np.uint64
+_ZSTD = pa.Codec("zstd")
 
 
 def _gram_hashes(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
@@ -61,6 +62,27 @@ def _segments(value: np.ndarray, n_parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(value, edge), [len(value)]])
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers as byte planes, compressed: little is left of planes that hardly vary."""
+    planes = np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(U64).reshape(n)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Of ascending numbers the differences: those of even hashes need few bytes."""
+    return _pack(np.diff(x, prepend=U64(0)))
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(raw), dtype=U64)
+
+
 def _requests(order: int, n_parts: int):
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 
@@ -78,19 +100,14 @@ def _requests(order: int, n_parts: int):
         for n in range(order):
             value, count, _ = _distinct(kept[n])
             kept[n] = []
-            width = "<u1" if len(count) == 0 or count.max() < 256 else "<u4"
             at = _segments(value, n_parts)
             for p in range(n_parts):
                 own = slice(at[p], at[p + 1])
-                yield pa.RecordBatch.from_pylist([{"part": p, "block": block, "n": n + 1, "grams": value[own].tobytes(), "counts": width[2].encode() + count[own].astype(width).tobytes()}], schema)
+                yield pa.RecordBatch.from_pylist([{"part": p, "block": block, "n": n + 1, "grams": _pack_sorted(value[own]), "counts": _pack(count[own])}], schema)
 
     return run
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1)
-
-
 def _totals(order: int):
     schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("totals", pa.binary()), ("words", pa.int64())])
 
@@ -101,18 +118,19 @@ def _totals(order: int):
                 asked.setdefault((row["part"], row["n"]), []).append((row["block"], row["grams"], row["counts"]))
         for part, n in list(asked):
             rows = asked.pop((part, n))
-            grams = np.concatenate([np.frombuffer(g, U64) for _, g, _ in rows])
-            counts = np.concatenate([_unpack(c) for *_, c in rows])
+            blocks = [r[0] for r in rows]
+            parts = [_unpack_sorted(r[1]) for r in rows]
+            counts = np.concatenate([_unpack(r[2]) for r in rows]).astype(np.int64)
+            grams = np.concatenate(parts)
+            del rows
             _, inverse = np.unique(grams, return_inverse=True)
             total = np.bincount(inverse, counts).astype(np.int64) if len(inverse) else np.zeros(0, np.int64)
             words = int(counts.sum(dtype=np.int64))
             answer, begin = total[inverse], 0
-            for block, g, _ in rows:
-                own = answer[begin : begin + len(g) // 8]
+            for block, own in zip(blocks, parts, strict=True):
+                told = answer[begin : begin + len(own)]
                 begin += len(own)
-                top = own.max() if len(own) else 0
-                width = 1 if top < 256 else 4 if top < 1 << 32 else 8
-                yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "n": n, "totals": str(width).encode() + own.astype(f"<u{width}").tobytes(), "words": words}], schema)
+                yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "n": n, "totals": _pack(told), "words": words}], schema)
 
     return run
 
