@@ -74,5 +74,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"), F.sha2(secrets.rendered(base), 256).alias("base_sha256"), secrets.rendered(F.col("found")).alias("spans"))
 
 
-QUERIES = {"op4_secret_scan": op4_secret_scan, "op6_source_mixing": op6_source_mixing, "op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladeframe.llm import fingerprint
+
+    return fingerprint.edit_probe(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_fingerprint": op2_fingerprint, "op4_secret_scan": op4_secret_scan, "op6_source_mixing": op6_source_mixing, "op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
 ORACLE_SQL: dict[str, str] = {"op9_stupid_backoff": lm.ORACLE_SQL}
