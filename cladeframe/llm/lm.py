@@ -24,12 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cladeframe.llm import shared, text
+from cladeframe.llm import exchange, shared, text
 
 U64 = np.uint64
-_ZSTD = pa.Codec("zstd")
 
 
 def _gram_hashes(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
@@ -47,45 +45,7 @@ def _gram_hashes(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int,
         yield first, last, words.count, grams
 
 
-def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct hashes without 0, their counts, place of each hash among them or -1)."""
-    whole = np.concatenate(parts) if parts else np.zeros(0, U64)
-    value, inverse, count = np.unique(whole, return_inverse=True, return_counts=True)
-    if len(value) and value[0] == 0:
-        return value[1:], count[1:], inverse - 1
-    return value, count, inverse
-
-
-def _segments(value: np.ndarray, n_parts: int) -> np.ndarray:
-    """Bounds of the hash partitions in sorted hashes; partition p holds an even range."""
-    edge = np.array([(p << 64) // n_parts for p in range(1, n_parts)], U64)
-    return np.concatenate([[0], np.searchsorted(value, edge), [len(value)]])
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Numbers as byte planes, compressed: little is left of planes that hardly vary."""
-    planes = np.ascontiguousarray(x.astype(U64).view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(x).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=8 * n, asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(U64).reshape(n)
-
-
-def _pack_sorted(x: np.ndarray) -> bytes:
-    """Of ascending numbers the differences: those of even hashes need few bytes."""
-    return _pack(np.diff(x, prepend=U64(0)))
-
-
-def _unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(_unpack(raw), dtype=U64)
-
-
 def _requests(order: int, n_parts: int):
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = [[] for _ in range(order)]
         block = None
@@ -98,39 +58,9 @@ def _requests(order: int, n_parts: int):
         if block is None:
             return
         for n in range(order):
-            value, count, _ = _distinct(kept[n])
+            value, count, _ = exchange.distinct(kept[n])
             kept[n] = []
-            at = _segments(value, n_parts)
-            for p in range(n_parts):
-                own = slice(at[p], at[p + 1])
-                yield pa.RecordBatch.from_pylist([{"part": p, "block": block, "n": n + 1, "grams": _pack_sorted(value[own]), "counts": _pack(count[own])}], schema)
-
-    return run
-
-
-def _totals(order: int):
-    schema = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.int32()), ("totals", pa.binary()), ("words", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[tuple[int, int], list[tuple[int, bytes, bytes]]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                asked.setdefault((row["part"], row["n"]), []).append((row["block"], row["grams"], row["counts"]))
-        for part, n in list(asked):
-            rows = asked.pop((part, n))
-            blocks = [r[0] for r in rows]
-            parts = [_unpack_sorted(r[1]) for r in rows]
-            counts = np.concatenate([_unpack(r[2]) for r in rows]).astype(np.int64)
-            grams = np.concatenate(parts)
-            del rows
-            _, inverse = np.unique(grams, return_inverse=True)
-            total = np.bincount(inverse, counts).astype(np.int64) if len(inverse) else np.zeros(0, np.int64)
-            words = int(counts.sum(dtype=np.int64))
-            answer, begin = total[inverse], 0
-            for block, own in zip(blocks, parts, strict=True):
-                told = answer[begin : begin + len(own)]
-                begin += len(own)
-                yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "n": n, "totals": _pack(told), "words": words}], schema)
+            yield from exchange.requests(block, n + 1, value, count, n_parts)
 
     return run
 
@@ -138,29 +68,23 @@ def _totals(order: int):
 def _score(order: int, min_count: int, alpha: float):
     penalty = float(np.log(alpha))
 
-    def finish(ids: list[pa.Array], lengths: list[np.ndarray], kept: list[list[np.ndarray]], answers: dict[tuple[int, int], bytes], all_words: int) -> pa.RecordBatch:
+    def finish(ids: list[pa.Array], lengths: list[np.ndarray], kept: list[list[np.ndarray]], answers: exchange.Answers) -> pa.RecordBatch:
         length = np.concatenate(lengths)
         first = np.concatenate([[0], np.cumsum(length)])
         total = []
         for n in range(order):
-            value, _, inverse = _distinct(kept[n])
-            own = [_unpack(answers[k]) for k in sorted(answers) if k[0] == n + 1]
-            counts = np.concatenate([*own, [0]]).astype(np.float64)
-            if len(counts) != len(value) + 1:
-                raise ValueError(f"{len(counts) - 1} totals for {len(value)} n-grams: the scan's tasks differed between its two readings")
-            total.append(counts[inverse])  # -1, no n-gram, takes the 0 at the end
+            value, _, inverse = exchange.distinct(kept[n])
+            total.append(answers.of(n + 1, value)[inverse].astype(np.float64))  # no n-gram: 0
         n_words = int(first[-1])
         place = np.arange(n_words) - np.repeat(first[:-1], length)
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             logs = [np.log(t) for t in total]
-        score = logs[0] - np.log(max(all_words, 1))
-        for n in range(1, order):
-            seen = total[n] >= min_count
-            longer = np.full(n_words, -np.inf)
-            with np.errstate(invalid="ignore"):
+            score = logs[0] - np.log(max(answers.sum(1), 1))
+            for n in range(1, order):
+                longer = np.full(n_words, -np.inf)
                 longer[1:] = logs[n][1:] - logs[n - 1][:-1]
-            # A history that does not fit in the document costs no penalty.
-            score = np.where(seen, longer, score + np.where(place >= n, penalty, 0.0))
+                # A history that does not fit in the document costs no penalty.
+                score = np.where(total[n] >= min_count, longer, score + np.where(place >= n, penalty, 0.0))
         sums = np.zeros(len(length))
         has = length > 0
         if has.any():
@@ -169,32 +93,16 @@ def _score(order: int, min_count: int, alpha: float):
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(length.astype(np.int64)), pa.array(sums), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, answers, words = None, {}, {}
-        ids, lengths, kept = [], [], [[] for _ in range(order)]
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            edge = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if a == b:
-                    continue
-                if blocks[a] != block and block is not None:
-                    yield finish(ids, lengths, kept, answers, sum(words.values()))
-                    answers, words, ids, lengths, kept = {}, {}, [], [], [[] for _ in range(order)]
-                block = blocks[a]
-                part = batch.slice(a, b - a)
-                kind = part.column("n").to_numpy()
-                for row in part.slice(0, int(np.count_nonzero(kind > 0))).select(["n", "part", "totals", "words"]).to_pylist():
-                    answers[row["n"], row["part"]] = row["totals"]
-                    if row["n"] == 1:
-                        words[row["part"]] = row["words"]
-                documents = part.slice(int(np.count_nonzero(kind > 0)))
-                for first, last, count, grams in _gram_hashes(documents, order):
-                    ids.append(documents.column("doc_id")[first:last])
+        for _, answers, docs in exchange.per_block(batches):
+            ids, lengths, kept = [], [], [[] for _ in range(order)]
+            for batch in docs:
+                for first, last, count, grams in _gram_hashes(batch, order):
+                    ids.append(batch.column("doc_id")[first:last])
                     lengths.append(count)
                     for n, h in enumerate(grams):
                         kept[n].append(h)
-        if block is not None:
-            yield finish(ids, lengths, kept, answers, sum(words.values()))
+            if ids:
+                yield finish(ids, lengths, kept, answers)
 
     return run
 
@@ -205,17 +113,10 @@ def stupid_backoff(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: f
     stable_scan: ``docs`` reads files directly, so both its readings have the same tasks;
     otherwise it is stored first. A task's memory follows spark.sql.files.maxPartitionBytes.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    if not stable_scan:
-        own = shared.stored(own, "documents")
-    n_parts, n_blocks = shared.parallelism(docs), max(1, own.rdd.getNumPartitions())
-    blocked = own.withColumn("block", F.spark_partition_id())
-    asked = blocked.mapInArrow(_requests(order, n_parts), "part int, block int, n int, grams binary, counts binary")
-    totals = asked.repartitionById(n_parts, F.col("part")).mapInArrow(_totals(order), "block int, part int, n int, totals binary, words long")
-    answers = totals.select("block", "n", "part", "totals", "words", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    rows = blocked.select("block", F.lit(0).alias("n"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("totals"), F.lit(0).cast("long").alias("words"), "doc_id", "text")
-    dealt = answers.unionByName(rows).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", F.col("n").desc())
-    return dealt.mapInArrow(_score(order, min_count, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
+    n_parts = shared.parallelism(docs)
+    rows = exchange.blocked(docs, id_col, text_col, stable_scan)
+    answers = exchange.totals(rows.mapInArrow(_requests(order, n_parts), exchange.REQUEST), n_parts)
+    return exchange.together(rows, answers).mapInArrow(_score(order, min_count, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 #: The same scores by plain SQL, for order 3, min_count 2, alpha 0.4.

@@ -80,5 +80,11 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_probe(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_fingerprint": op2_fingerprint, "op4_secret_scan": op4_secret_scan, "op6_source_mixing": op6_source_mixing, "op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladeframe.llm import suffixes
+
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), stable_scan=True).drop("kept")
+
+
+QUERIES = {"op5_suffix_dedup": op5_suffix_dedup, "op2_fingerprint": op2_fingerprint, "op4_secret_scan": op4_secret_scan, "op6_source_mixing": op6_source_mixing, "op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
 ORACLE_SQL: dict[str, str] = {"op9_stupid_backoff": lm.ORACLE_SQL}
