@@ -170,3 +170,21 @@ def identify_language(docs: DataFrame, training: DataFrame | None = None, id_col
     model = Model.fit(*training_rows(docs if training is None else training, id_col, text_col, lang_col, limit))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose text has a language: not ``und``, and a score of ``least``.
+
+    Learns from the labelled rows of ``docs``; rows are filtered where they stand, without a join.
+    """
+    model = Model.fit(*training_rows(docs, id_col, text_col, lang_col))
+    predict = _predictor(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col)], names=["doc_id", "text"])
+            said = pa.Table.from_batches(list(predict(iter([own]))))
+            ok = np.array(said.column("lang_pred").to_pylist(), dtype=object) != UNDETERMINED
+            yield batch.filter(pa.array(ok & (said.column("score").to_numpy() >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

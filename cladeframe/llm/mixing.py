@@ -198,3 +198,18 @@ def _fill(placed: DataFrame) -> list[tuple[int, int, int, bool]]:
 
 def cycle_weights(keys: list[str], cycle: tuple[float, ...]) -> dict[str, float]:
     return {k: cycle[i % len(cycle)] for i, k in enumerate(sorted(keys, key=_order))}
+
+
+def repeated(docs: DataFrame, sources: F.Column, targets, copies: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns, as often as the mix takes them; ``targets`` makes words by source of sizes by source."""
+    rows = sized(docs, sources, id_col, text_col)
+    patterns = pattern_sizes(rows)
+    sizes: dict[str, int] = {}
+    for members, words in patterns:
+        for s in members:
+            sizes[s] = sizes.get(s, 0) + words
+    mixed = mix(rows, patterns, targets(sizes), copies, seed)
+    # Rows of one id go alike, as often as the first of them.
+    often = shared.stored(mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0"), "copies")
+    joined = docs.join(shared.sized_broadcast(often), docs[id_col].cast("long").eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -42,3 +43,18 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
 def parallelism(df: DataFrame) -> int:
     """Partitions for a shuffle that the caller keys itself."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of a table of ids that is broadcast; beyond, it is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized_broadcast(table: DataFrame) -> DataFrame:
+    """``table`` (narrow and stored), marked for broadcast if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one column of ``ids``; null ids stay."""
+    gone = stored(ids.select(F.col(ids.columns[0]).alias("__gone")).distinct(), "gone")
+    return docs.join(sized_broadcast(gone), docs[id_col] == F.col("__gone"), "left_anti")
