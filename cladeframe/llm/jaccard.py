@@ -8,10 +8,10 @@ a shingle of their prefix meet (two linked sets share one of the first
 bounded sample come last, which changes no result), hot meetings are parted into
 leaves of an R-tree, and surviving pairs are verified on the full sets.
 
-Two steps find components exactly: first a forest of likely links in every meeting
-is verified; then all surviving pairs between different components are. So a hot
-group of near copies costs a forest, not all its pairs. Documents with equal sets
-are one class from the start.
+Three rounds find components exactly: twice a forest of likely links between
+components so far is verified, at last all surviving pairs between different
+components are. So a hot group of near copies costs a forest, not all its pairs.
+Documents with equal sets are one class from the start.
 
 Cases: null and empty texts have the empty set and are linked with nothing; a text
 of fewer words than a shingle has one shingle of all its words; other columns are
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from cladeframe.llm import graph, shared, text
 
 GROUPS = 64
+FINE_GROUPS = 256  # of the vectors that are held against each other before whole sets are
 LEAF = 512  # points in a leaf of the R-tree
 MEETING = 2048  # rows of one shingle that one task holds; beyond, meetings are parted
 SAMPLE_DOCS = 16_384  # documents whose shingles decide which are frequent
-BROADCAST_IDS = 1_000_000  # ids of texts to verify; beyond, they are joined by shuffle
 FREQUENT = 400  # of one in so many sampled documents
 
 
@@ -206,7 +206,7 @@ def _meet(percent: int, forest: bool):
             pairs = []
             for i, j, b in found:
                 if forest and len(i):
-                    keep = trees.kept(doc[i], doc[j], b / (n[i] + n[j] - b))
+                    keep = trees.kept(comp[i], comp[j], b / (n[i] + n[j] - b))
                     i, j = i[keep], j[keep]
                 pairs.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], 1))
             if pairs:
@@ -234,14 +234,45 @@ def _candidates(meetings: DataFrame, points: DataFrame, percent: int, forest: bo
     return dealt.mapInArrow(_meet(percent, forest), "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+def _vectors(k: int, groups: int):
+    """Rows (doc_id, n, fine): counts by groups that are unrelated to those of the points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, value, bounds in _sets(batch, k):
+                n = np.diff(bounds)
+                owner = np.repeat(np.arange(last - first), n)
+                group = (text.mix(value ^ np.uint64(0x1234567)) % np.uint64(groups)).astype(np.int64)
+                counts = np.bincount(owner * groups + group, minlength=(last - first) * groups).reshape(-1, groups)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], pa.array(n), pa.array([r.astype(np.uint8 if r.max() < 256 else np.uint32).tobytes() for r in counts], pa.binary())], names=["doc_id", "n", "fine"])
+
+    return run
+
+
+def _fine_filter(percent: int, groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            va, vb = ([np.frombuffer(c, np.uint8 if len(c) == groups else np.uint32) for c in batch.column(x).to_pylist()] for x in ("fa", "fb"))
+            bound = np.array([int(np.minimum(x, y).sum()) for x, y in zip(va, vb, strict=True)], np.int64)
+            ok = _linkable(bound, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _of_ids(own: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = shared.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    small = ids.count() <= BROADCAST_IDS
-    sets = shared.stored(own.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi").mapInArrow(_set_rows(k), "doc_id long, shingles array<long>"), "sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    overlap = F.size(F.array_intersect("sa", "sb"))
-    linked = both.select("a", "b", overlap.alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
+    return own.join(shared.sized_broadcast(ids), "doc_id", "left_semi")
+
+
+def _verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs whose sets link. Finer count vectors, a sixteenth of a set's size, are held against each other first."""
+    fine = shared.stored(_of_ids(own, pairs).mapInArrow(_vectors(k, FINE_GROUPS), "doc_id long, n long, fine binary"), "vectors")
+    both = pairs.join(fine.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb")), "b")
+    left = shared.stored(both.mapInArrow(_fine_filter(percent, FINE_GROUPS), "a long, b long"), "pairs")
+    sets = shared.stored(_of_ids(own, left).mapInArrow(_set_rows(k), "doc_id long, shingles array<long>"), "sets")
+    sided = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    linked = sided.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
     return linked.filter(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("t") - F.col("o"))).select("a", "b")
 
 
@@ -257,15 +288,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     tokens = reps.select(F.explode("prefix").alias("tok"), "doc_id").repartition(n_parts, "tok").sortWithinPartitions("tok")
     # Near copies share many shingles: each set of documents meets once.
     meetings = shared.stored(tokens.mapInArrow(_meetings, "tok long, root long, doc_id long").distinct(), "meetings")
-    light = reps.select("doc_id", "n", "counts")
-    first = shared.stored(_candidates(meetings, light.withColumn("comp", F.col("doc_id")), percent, True, n_parts), "pairs")
-    links = shared.stored(_verified(first, own, k, percent), "links")
-    comp = shared.stored(graph.components(links), "components")
-    named = light.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    second = _candidates(meetings, named, percent, False, n_parts).join(first, ["a", "b"], "left_anti")
-    second = shared.stored(second, "pairs")
-    if not second.isEmpty():
-        comp = shared.stored(graph.components(links.unionByName(_verified(second, own, k, percent))), "components")
+    light = shared.stored(reps.select("doc_id", "n", "counts"), "points")
+    comp = links = tested = None
+    for forest in (True, True, False):
+        named = light.withColumn("comp", F.col("doc_id")) if comp is None else light.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+        pairs = _candidates(meetings, named, percent, forest, n_parts)
+        pairs = shared.stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if comp is not None and pairs.isEmpty():
+            continue
+        found = shared.stored(_verified(pairs, own, k, percent), "links")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        links = found if links is None else links.unionByName(found)
+        comp = shared.stored(graph.components(links), "components")
     of_rep = comp.withColumnRenamed("node", "rep")
     named = classes.join(of_rep, "rep", "left").select("sum1", "sum2", "n", F.coalesce("component", "rep").alias("component"))
     # A class of many copies is a hot key: its rows are salted, its one name is copied to each salt.
