@@ -39,9 +39,19 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ascending distinct hashes without 0, their counts, place of each hash among them or -1)."""
+    """(ascending distinct hashes without 0, their counts, place of each hash among them or -1); empties ``parts``."""
     whole = np.concatenate(parts) if parts else np.zeros(0, U64)
-    value, inverse, count = np.unique(whole, return_inverse=True, return_counts=True)
+    parts.clear()
+    order = np.argsort(whole)
+    whole = whole[order]
+    new = np.ones(len(whole), bool)
+    new[1:] = whole[1:] != whole[:-1]
+    value = whole[new]
+    del whole
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(new))).astype(np.int32)
+    inverse = np.empty(len(new), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - 1
     if len(value) and value[0] == 0:
         return value[1:], count[1:], inverse - 1
     return value, count, inverse

@@ -71,20 +71,25 @@ def _score(order: int, min_count: int, alpha: float):
     def finish(ids: list[pa.Array], lengths: list[np.ndarray], kept: list[list[np.ndarray]], answers: exchange.Answers) -> pa.RecordBatch:
         length = np.concatenate(lengths)
         first = np.concatenate([[0], np.cumsum(length)])
-        total = []
-        for n in range(order):
-            value, _, inverse = exchange.distinct(kept[n])
-            total.append(answers.of(n + 1, value)[inverse].astype(np.float64))  # no n-gram: 0
         n_words = int(first[-1])
-        place = np.arange(n_words) - np.repeat(first[:-1], length)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = [np.log(t) for t in total]
-            score = logs[0] - np.log(max(answers.sum(1), 1))
-            for n in range(1, order):
-                longer = np.full(n_words, -np.inf)
-                longer[1:] = logs[n][1:] - logs[n - 1][:-1]
-                # A history that does not fit in the document costs no penalty.
-                score = np.where(total[n] >= min_count, longer, score + np.where(place >= n, penalty, 0.0))
+        place = (np.arange(n_words) - np.repeat(first[:-1], length)).astype(np.int32)
+        score = shorter = np.zeros(0)
+        for n in range(order):  # one order at a time: what is done with is freed
+            value, _, inverse = exchange.distinct(kept[n])
+            kept[n] = []
+            total = answers.of(n + 1, value)[inverse]  # no n-gram: 0
+            del value, inverse
+            with np.errstate(divide="ignore", invalid="ignore"):
+                log = np.log(total)
+                if n == 0:
+                    score = log - np.log(max(answers.sum(1), 1))
+                else:
+                    # A history that does not fit in the document costs no penalty.
+                    score[place >= n] += penalty
+                    seen = np.flatnonzero(total[1:] >= min_count) + 1
+                    score[seen] = log[seen] - shorter[seen - 1]
+            shorter = log
+            del total
         sums = np.zeros(len(length))
         has = length > 0
         if has.any():
@@ -95,7 +100,9 @@ def _score(order: int, min_count: int, alpha: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, answers, docs in exchange.per_block(batches):
             ids, lengths, kept = [], [], [[] for _ in range(order)]
-            for batch in docs:
+            docs.reverse()
+            while docs:
+                batch = docs.pop()
                 for first, last, count, grams in _gram_hashes(batch, order):
                     ids.append(batch.column("doc_id")[first:last])
                     lengths.append(count)
