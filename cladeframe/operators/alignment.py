@@ -170,9 +170,14 @@ def residues_to_codons(aligned: str, bases: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
-def codon_alignment(aligned: pd.Series, bases: pd.Series) -> pd.Series:
-    return pd.Series([residues_to_codons(a or "", b or "") for a, b in zip(aligned, bases, strict=True)])
+def codon_alignment():
+    """Vectorised function of (aligned residues, bases)."""
+
+    @F.pandas_udf("string")
+    def run(aligned: pd.Series, bases: pd.Series) -> pd.Series:
+        return pd.Series([residues_to_codons(a or "", b or "") for a, b in zip(aligned, bases, strict=True)])
+
+    return run
 
 
 # Residue scores and penalties of the frame-shift program.
@@ -239,9 +244,14 @@ def frameshift(reference: str, bases: str, skips: tuple[int, ...] = (1, 2, 3), m
     return {"score": int(score[m, end]), "aa": "".join(reversed(aa)), "nt": "".join(reversed(nt)), "events": events, "nt_start": start, "nt_end": last}
 
 
-@F.pandas_udf("score long, aa string, nt string, events int, nt_start int, nt_end int")
-def frameshift_refined(reference: pd.Series, bases: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([frameshift(r or "", b or "") for r, b in zip(reference, bases, strict=True)], columns=["score", "aa", "nt", "events", "nt_start", "nt_end"])
+def frameshift_refined():
+    """Vectorised function of (protein, bases)."""
+
+    @F.pandas_udf("score long, aa string, nt string, events int, nt_start int, nt_end int")
+    def run(reference: pd.Series, bases: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([frameshift(r or "", b or "") for r, b in zip(reference, bases, strict=True)], columns=["score", "aa", "nt", "events", "nt_start", "nt_end"])
+
+    return run
 
 
 def chain(rows: pd.DataFrame) -> pd.DataFrame:
