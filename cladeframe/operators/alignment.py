@@ -7,6 +7,7 @@ Joins that pair queries with references happen before, in the plan.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cladeframe import genes
 
@@ -254,29 +254,40 @@ def frameshift_refined():
     return run
 
 
-def chain(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of hits (qstart, qend, nident, bitscore) the disjoint ones with the largest sum of identical residues."""
-    own = rows.assign(__b=-rows["bitscore"]).sort_values(["qend", "qstart", "__b"], kind="stable").drop(columns="__b").reset_index(drop=True)
-    ends, starts, gain = own["qend"].to_numpy(), own["qstart"].to_numpy(), own["nident"].to_numpy()
-    before = np.searchsorted(ends, starts, "left") - 1
-    best, take = np.zeros(len(own) + 1), np.zeros(len(own), bool)
-    for i in range(len(own)):
-        with_it = gain[i] + best[min(before[i], i - 1) + 1]
-        take[i] = with_it > best[i]
-        best[i + 1] = max(with_it, best[i])
-    keep, i = [], len(own) - 1
-    while i >= 0:
-        if take[i]:
-            keep.append(i)
-            i = min(before[i], i - 1)
+def chain(starts: list[int], ends: list[int], gains: list[float], bits: list[float]) -> list[int]:
+    """Places of the disjoint hits with the largest sum of identical residues, in order along the query."""
+    order = sorted(range(len(ends)), key=lambda k: (ends[k], starts[k], -bits[k]))
+    ended = [ends[k] for k in order]
+    best, take, before = [0.0], [], []
+    for i, k in enumerate(order):
+        before.append(min(bisect_left(ended, starts[k]), i))
+        with_it = gains[k] + best[before[i]]
+        take.append(with_it > best[i])
+        best.append(max(with_it, best[i]))
+    keep, i = [], len(order)
+    while i > 0:
+        if take[i - 1]:
+            keep.append(order[i - 1])
+            i = before[i - 1]
         else:
             i -= 1
-    return own.iloc[sorted(keep)]
+    return keep[::-1]
 
 
 def hit_chains(hits: DataFrame, by: list[str]) -> DataFrame:
-    """The chained hits of each group (one query against one subject: search programs return some dozens)."""
-    return hits.groupBy(*by).applyInPandas(chain, hits.schema)
+    """The chained hits of each group (one query against one subject: search programs return some dozens).
+
+    A group is one row with a short array, and the program runs over batches of such rows.
+    """
+
+    @F.pandas_udf("array<int>")
+    def chosen(starts: pd.Series, ends: pd.Series, gains: pd.Series, bits: pd.Series) -> pd.Series:
+        return pd.Series([chain(a.tolist(), b.tolist(), c.tolist(), d.tolist()) for a, b, c, d in zip(starts, ends, gains, bits, strict=True)])
+
+    rest = [c for c in hits.columns if c not in by]
+    grouped = hits.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("h"))
+    picked = grouped.withColumn("k", chosen(F.col("h.qstart"), F.col("h.qend"), F.col("h.nident").cast("array<double>"), F.col("h.bitscore").cast("array<double>")))
+    return picked.select(*by, F.explode(F.transform("k", lambda i: F.get(F.col("h"), i))).alias("x")).select(*by, "x.*").select(*hits.columns)
 
 
 def chain_summary(chains: DataFrame, by: list[str]) -> DataFrame:
@@ -286,21 +297,26 @@ def chain_summary(chains: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("identity", F.col("nident") / F.col("covered")).withColumn("coverage", F.col("covered") / F.col("qlen"))
 
 
+def paint(length: int, starts: list[int], queries: list[str], subjects: list[str]) -> str:
+    out = ["X"] * length
+    for start, q, s in zip(starts, queries, subjects, strict=True):
+        at = start - 1
+        for a, b in zip(q, s, strict=True):
+            if a != "-":
+                out[at] = "X" if b == "-" else b
+                at += 1
+    return "".join(out)
+
+
 def painted(chains: DataFrame, by: list[str]) -> DataFrame:
     """(by..., sequence): the chain's query-aligned residues on a string of X of the query's length."""
-    schema = T.StructType([*(chains.schema[c] for c in by), T.StructField("sequence", T.StringType())])
-
-    def paint(rows: pd.DataFrame) -> pd.DataFrame:
-        out = ["X"] * int(rows["qlen"].iloc[0])
-        for start, q, s in zip(rows["qstart"], rows["qseq"], rows["sseq"], strict=True):
-            at = int(start) - 1
-            for a, b in zip(q, s, strict=True):
-                if a != "-":
-                    out[at] = "X" if b == "-" else b
-                    at += 1
-        return pd.DataFrame([[*(rows[c].iloc[0] for c in by), "".join(out)]], columns=[*by, "sequence"])
-
-    return chains.groupBy(*by).applyInPandas(paint, schema)
+
+    @F.pandas_udf("string")
+    def run(length: pd.Series, starts: pd.Series, queries: pd.Series, subjects: pd.Series) -> pd.Series:
+        return pd.Series([paint(int(n), a.tolist(), q.tolist(), s.tolist()) for n, a, q, s in zip(length, starts, queries, subjects, strict=True)])
+
+    rows = chains.groupBy(*by).agg(F.max("qlen").alias("n"), F.array_sort(F.collect_list(F.struct("qstart", "qseq", "sseq"))).alias("h"))
+    return rows.select(*by, run("n", F.col("h.qstart"), F.col("h.qseq"), F.col("h.sseq")).alias("sequence"))
 
 
 def six_frames(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -243,12 +243,12 @@ def top_gt(spark, d):
 
 @query(
     """, two AS (SELECT query, target, distance, row_number() OVER (PARTITION BY query ORDER BY distance, length DESC, bitscore DESC, target) AS k FROM per_target)
-SELECT query, max(target) FILTER (k = 1) AS best, round(max(distance) FILTER (k = 1), 9) AS best_distance, max(target) FILTER (k = 2) AS second, round(max(distance) FILTER (k = 2), 9) AS second_distance FROM two WHERE k <= 2 GROUP BY query""",
+SELECT query, max(target) FILTER (k = 1) AS best, round(max(distance) FILTER (k = 1), 9) AS best_distance, coalesce(max(target) FILTER (k = 2), 0) AS second, round(max(distance) FILTER (k = 2), 9) AS second_distance FROM two WHERE k <= 2 GROUP BY query""",
     c.HITS_SQL,
 )
 def top_subtype_2(spark, d):
     out = hits.best_two_targets(hits.with_distance(c.hits(spark, d)), "query", "target")
-    return out.withColumns({k: F.round(k, 9) for k in ("best_distance", "second_distance")})
+    return out.withColumns({k: F.round(k, 9) for k in ("best_distance", "second_distance")} | {"second": F.coalesce("second", F.lit(0))})
 
 
 @query("SELECT query, target, ordinal FROM hits WHERE length >= 80 QUALIFY row_number() OVER (PARTITION BY query ORDER BY bitscore DESC, length DESC, mismatch + gaps, ordinal) = 1", c.HITS_SQL)
@@ -266,10 +266,10 @@ def flt_min_overlap(spark, d):
     return c.hits(spark, d).filter(F.col("length") >= genes.MIN_OVERLAP_NT).groupBy("query").agg(F.count("*").alias("n"), F.sum("length").alias("nt"))
 
 
-@query("SELECT query, " + ", ".join(f'round(max(distance) FILTER (target = {t}), 9) AS "GT{t}_Distance", max(length) FILTER (target = {t}) AS "GT{t}_AlignedNT"' for t in range(1, 9)) + " FROM per_target GROUP BY query", c.HITS_SQL)
+@query("SELECT query, " + ", ".join(f'round(max(distance) FILTER (target = {t}), 9) AS "GT{t}_Distance", coalesce(max(length) FILTER (target = {t}), 0) AS "GT{t}_AlignedNT"' for t in range(1, 9)) + " FROM per_target GROUP BY query", c.HITS_SQL)
 def al_blastn_gt(spark, d):
     out = hits.wide_distances(hits.with_distance(c.hits(spark, d)), "query", "target", range(1, 9))
-    return out.withColumns({f"GT{t}_Distance": F.round(f"GT{t}_Distance", 9) for t in range(1, 9)})
+    return out.withColumns({f"GT{t}_Distance": F.round(f"GT{t}_Distance", 9) for t in range(1, 9)} | {f"GT{t}_AlignedNT": F.coalesce(f"GT{t}_AlignedNT", F.lit(0)) for t in range(1, 9)})
 
 
 @query("SELECT query, ordinal, array_to_string(list_filter([24, 26, 28, 29, 30, 31, 32, 38, 58, 62, 92, 93], lambda p: sstart <= p * 3 AND send >= (p - 1) * 3 + 1), ',') AS covered FROM hits", c.HITS_SQL)
