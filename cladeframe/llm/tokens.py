@@ -57,11 +57,10 @@ class WordCache:
         if word.isalpha():
             return [t.id for t in self.model.tokenize(word.decode().lower())]
         said = word.decode()
-        if said.isalpha():
-            said = unicodedata.normalize("NFC", said)
-            said = "".join(c.lower() for c in said) if "\u03a3" in said else said.lower()  # no final sigma
-            mapped = said.encode().decode("latin-1").translate(_BYTE_CHARS)
-            return [t.id for t in self.model.tokenize(mapped)]
+        plain = unicodedata.normalize("NFC", said)
+        plain = "".join(c.lower() for c in plain) if "\u03a3" in plain else plain.lower()  # no final sigma
+        if plain.isalpha():
+            return [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(_BYTE_CHARS))]
         return self.tokenizer.encode(said, add_special_tokens=False).ids
 
     def add(self, words: list[bytes]) -> None:
