@@ -6,12 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def blank_to_empty(c: Column) -> Column:
-    return F.coalesce(F.trim(c.cast("string")), F.lit(""))
+    return F.coalesce(strip(c.cast("string")), F.lit(""))
 
 
 def or_null(c: Column) -> Column:
-    return F.nullif(F.trim(c.cast("string")), F.lit(""))
+    return F.nullif(strip(c.cast("string")), F.lit(""))
 
 
 def accession_of(header: Column) -> Column:
@@ -34,7 +39,7 @@ def sanitize(label: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    return F.trim(c.cast("string")).try_cast("double")
+    return strip(c.cast("string")).try_cast("double")
 
 
 def contains_ci(c: Column, value: Column) -> Column:
@@ -55,17 +60,17 @@ def bounded_token(c: Column, pattern: str) -> Column:
 
 
 def genotype(c: Column) -> Column:
-    return F.regexp_extract(F.trim(c.cast("string")), r"^([1-8])", 1)
+    return F.regexp_extract(strip(c.cast("string")), r"^([1-8])", 1)
 
 
 def subtype(c: Column, gt: Column) -> Column:
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     return F.when(low.rlike("^[a-z][a-z0-9]*$") & (gt != ""), F.concat(gt, low)).otherwise(low)
 
 
 def genotype_subtype(c: Column) -> Column:
     """struct(genotype, subtype) said in free text, null if none: 'genotype 1a', 'subtype b', 'HCV-1a', or a bare '1a'; recombinants say none."""
-    said = F.coalesce(F.trim(c), F.lit(""))
+    said = F.coalesce(strip(c), F.lit(""))
     find = lambda pattern: F.regexp_extract(said, pattern, 1)
     full = r"^[1-8][A-Za-z][A-Za-z0-9]*$"
     by_gt = find(r"(?i)\bgenotype\s*[:=]?\s*([1-8](?:[A-Za-z][A-Za-z0-9]*)?)\b")
@@ -88,7 +93,7 @@ def first_genotype_subtype(columns: list[str]) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), r"\s+", " ")
+    return F.regexp_replace(strip(c), r"\s+", " ")
 
 
 def clone_key(c: Column) -> Column:
@@ -117,11 +122,11 @@ def effective_isolate(isolate: Column, comment: Column) -> Column:
 def structured_comment(record: Column) -> Column:
     """Bodies of the ``##...-START##`` blocks of a record's comment, unindented, joined by a blank line."""
     body = F.regexp_extract_all(record, F.lit(r"(?s)##[^\n#]*-START##\n?(.*?)##[^\n#]*-END##"), F.lit(1))
-    return F.array_join(F.transform(body, lambda b: F.trim(F.regexp_replace(b, r"(?m)^ {12}", ""))), "\n\n")
+    return F.array_join(F.transform(body, lambda b: strip(F.regexp_replace(b, r"(?m)^ {12}", ""))), "\n\n")
 
 
 def without_clone_suffix(c: Column) -> Column:
-    text = F.trim(c)
+    text = strip(c)
     out = text
     for tag in ("cl", "qs", "clone"):  # the last is asked first
         head = F.regexp_extract(text, rf"(?i)^(.+?)[-_ ]{tag}[-_ ]?[a-z0-9]+$", 1)
@@ -139,15 +144,15 @@ def flatten(values: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return strip(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
 def surname(author: Column) -> Column:
-    return F.trim(F.substring_index(author, ",", 1))
+    return strip(F.substring_index(author, ",", 1))
 
 
 def organism_name(acronym: Column, common: Column, organism: Column) -> Column:
-    words = F.split(F.trim(organism), r"\s+")
+    words = F.split(strip(organism), r"\s+")
     return F.coalesce(or_null(acronym), or_null(common), F.array_join(F.slice(words, 1, 2), " "))
 
 
@@ -163,16 +168,16 @@ def sentences(c: Column) -> Column:
 def json_block(c: Column) -> Column:
     """JSON in a fenced block, else from the first bracket to the last."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.when(fenced != "", F.trim(fenced)).otherwise(F.regexp_extract(c, r"(?s)([\[{].*[\]}])", 1))
+    return F.when(fenced != "", strip(fenced)).otherwise(F.regexp_extract(c, r"(?s)([\[{].*[\]}])", 1))
 
 
 def positions(c: Column) -> Column:
     """Numbers of a comma-separated list; blanks are passed over."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: strip(x).try_cast("int")), lambda x: x.isNotNull())
 
 
 def first_filled(values: Column) -> Column:
-    return F.get(F.filter(values, lambda x: F.coalesce(F.trim(x), F.lit("")) != ""), F.lit(0))
+    return F.get(F.filter(values, lambda x: F.coalesce(strip(x), F.lit("")) != ""), F.lit(0))
 
 
 def job_id(stamp: Column, text: Column) -> Column:

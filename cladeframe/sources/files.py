@@ -10,7 +10,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cladeframe.functions import labels, sequences
 
@@ -141,6 +140,3 @@ def read_settings(text: str, section: str, environment: dict[str, str] | None =
     data = tomllib.loads(text)
     out = {k: str(v) for name in ("common", section) for k, v in data.get(name, {}).items()}
     return out | {k: v for k, v in (environment or {}).items() if k in out and v}
-
-
-RECORD = T.StructType.fromDDL("ref_id string, path string, ordinal int, header string, accession string, seq string")
