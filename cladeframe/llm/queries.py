@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import lm
+from cladeframe.llm import jaccard, lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,6 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cladeframe.llm import jaccard
-
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
@@ -86,5 +84,16 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), stable_scan=True).drop("kept")
 
 
-QUERIES = {"op5_suffix_dedup": op5_suffix_dedup, "op2_fingerprint": op2_fingerprint, "op4_secret_scan": op4_secret_scan, "op6_source_mixing": op6_source_mixing, "op3_language_id": op3_language_id, "op7_decontamination": op7_decontamination, "op10_license_scan": op10_license_scan, "op9_stupid_backoff": op9_stupid_backoff, "op8_jaccard_join": op8_jaccard_join, "op1_token_output": op1_token_output}
-ORACLE_SQL: dict[str, str] = {"op9_stupid_backoff": lm.ORACLE_SQL}
+QUERIES = {
+    "op1_token_output": op1_token_output,
+    "op2_fingerprint": op2_fingerprint,
+    "op3_language_id": op3_language_id,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_decontamination": op7_decontamination,
+    "op8_jaccard_join": op8_jaccard_join,
+    "op9_stupid_backoff": op9_stupid_backoff,
+    "op10_license_scan": op10_license_scan,
+}
+ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": jaccard.ORACLE_SQL, "op9_stupid_backoff": lm.ORACLE_SQL}
