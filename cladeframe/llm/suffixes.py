@@ -89,7 +89,8 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int)
     high = start[np.concatenate([new[1:], [True]])]
     place = own[new]
     span = text.mix(text.span_hash(sums, low, high + length, 2) + (place - low).astype(U64) * U64(1 << 20 | 1) + (high - low).astype(U64))
-    return Anchors(low, high, np.maximum(h[place], U64(1)), np.maximum(span, U64(1)), sums)
+    # Anchors have small hashes, being the least of many: mixed anew, they spread evenly over the partitions.
+    return Anchors(low, high, np.maximum(text.mix(h[place] + U64(5)), U64(1)), np.maximum(span, U64(1)), sums)
 
 
 def _slices(docs: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
