@@ -155,7 +155,7 @@ _PRINTED = "CASE WHEN pct >= 10 THEN round_even(pct, 0) WHEN pct >= 1 THEN round
     f""", sub AS (SELECT gt, subtype, pos, aa, 100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY gt, subtype, pos) AS pct FROM residues WHERE aa <> 'X' GROUP BY gt, subtype, pos, aa),
 top AS (SELECT gt, pos, aa, pct FROM profile WHERE aa <> '*' QUALIFY row_number() OVER (PARTITION BY gt, pos ORDER BY {_PRINTED} DESC, pct DESC, aa) = 1)
 SELECT gt, 0 AS kind, '' AS subtype, pos, aa, round(pct, 9) AS pct FROM top UNION ALL
-SELECT gt, 1, subtype, pos, s.aa, round(s.pct, 9) FROM sub s JOIN top t USING (gt, pos) WHERE s.aa <> t.aa AND s.aa IN ('A','C','D','E','F','G','H','I','K','L','M','N','P','Q','R','S','T','V','W','Y') AND s.pct >= 1""",
+SELECT gt, 1, subtype, pos, s.aa, round(s.pct, 9) FROM sub s JOIN top t USING (gt, pos) WHERE s.aa <> t.aa AND s.aa IN ('A','C','D','E','F','G','H','I','K','L','M','N','P','Q','R','S','T','V','W','Y') AND {_PRINTED.replace('pct', 's.pct')} >= 1""",
     c.COHORT_SQL,
 )
 def rp_combined(spark, d):
