@@ -27,11 +27,10 @@ from cladeframe.llm import shared, text
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Words whose ids a worker remembers at most; it starts anew beyond them.
-REMEMBERED_WORDS = 500_000
+#: Words whose ids a task remembers at most; it starts anew beyond them.
+REMEMBERED_WORDS = 300_000
 SLICE_BYTES = 4 << 20
 TOKENS_SCHEMA = "doc_id long, n_tokens long, crc long, tokens array<int>"
-_LOADED: dict[str, WordCache] = {}
 
 
 class WordCache:
@@ -88,12 +87,6 @@ class WordCache:
         return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
 
 
-def _load(path: str) -> WordCache:
-    if path not in _LOADED:
-        _LOADED[path] = WordCache(path)
-    return _LOADED[path]
-
-
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _STOPS = np.isin(np.arange(256), [ord(","), ord(".")])
 #: Byte-level vocabularies write a byte as itself where it prints, else as a letter from 256 on.
@@ -122,7 +115,7 @@ def encode_slice(cache: WordCache, data: np.ndarray, offsets: np.ndarray) -> tup
 
 def encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _load(path)
+        cache = WordCache(path)  # goes with the task: workers live on
         for batch in batches:
             for first, last, data, offsets in text.string_slices(batch.column("text"), SLICE_BYTES):
                 ids, bounds = encode_slice(cache, data, offsets)
