@@ -48,8 +48,7 @@ def sequences_at(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def coverage_range(counts: DataFrame, by: list[str], positions: Sequence[int]) -> DataFrame:
     """(by..., low, high, coverage) of denominators over positions; an uncovered position has 0."""
-    wanted = counts.sparkSession.createDataFrame([(p,) for p in positions], "pos int")
-    every = counts.select(*by).distinct().crossJoin(F.broadcast(wanted))  # positions are a short constant list
+    every = counts.select(*by).distinct().withColumn("pos", F.explode(F.array(*(F.lit(p) for p in positions))))
     denoms = counts.select(*by, "pos", "denom").distinct()
     out = every.join(denoms, [*by, "pos"], "left").groupBy(*by).agg(F.min(F.coalesce("denom", F.lit(0))).alias("low"), F.max(F.coalesce("denom", F.lit(0))).alias("high"))
     return out.withColumn("coverage", F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.concat_ws("-", "low", "high")))
