@@ -131,14 +131,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5,
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     widths = list(range(MIN_WORDS, window + 1))
     schema = "{} long, place int, window long, slots array<long>, n_windows long"
-    theirs = items.mapInArrow(_emitter("item_id", widths, None, True, window), schema.format("item_id"))
+    theirs = items.mapInArrow(text.released(_emitter("item_id", widths, None, True, window)), schema.format("item_id"))
     if theirs.limit(1).isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, first_word long, last_word long")
     distinct = theirs.select("window").distinct().limit(BROADCAST_WINDOWS + 1)
     found = [r["window"] for r in distinct.collect()]  # at most BROADCAST_WINDOWS + 1 numbers
     small = len(found) <= BROADCAST_WINDOWS
     only = np.sort(np.array(found, np.int64).view(U64)) if small else None
-    ours = own.mapInArrow(_emitter("doc_id", widths, only, False, window), schema.format("doc_id")).drop("n_windows")
+    ours = own.mapInArrow(text.released(_emitter("doc_id", widths, only, False, window)), schema.format("doc_id")).drop("n_windows")
     # A window that a document repeats counts once, at its first place.
     ours = ours.groupBy("doc_id", "window").agg(F.min_by(F.struct("place", "slots"), "place").alias("d"))
     theirs = theirs.groupBy("item_id", "window").agg(F.min_by(F.struct("place", "slots"), "place").alias("i"), F.first("n_windows").alias("item_windows"))

@@ -87,7 +87,7 @@ def _frequent(own: DataFrame, k: int) -> np.ndarray:
     parts = max(1, total // SAMPLE_DOCS)
     sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
     least = max(8, min(total, SAMPLE_DOCS) // FREQUENT)
-    counts = sample.mapInArrow(_set_rows(k), "doc_id long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= least)
+    counts = sample.mapInArrow(text.released(_set_rows(k)), "doc_id long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= least)
     return np.sort(np.array([r["s"] for r in counts.select("s").collect()], np.int64).view(np.uint64))
 
 
@@ -231,7 +231,7 @@ def _candidates(meetings: DataFrame, points: DataFrame, percent: int, forest: bo
     # Meetings of one group of copies mostly have the same smallest document: few tasks see them, and a task's forest spans them.
     deal = F.xxhash64("root", F.pmod("key", F.lit(4))) if forest else F.col("key")
     dealt = rows.select("key", "doc_id", "n", "comp", "counts", deal.alias("deal")).repartition(n_parts, "deal").sortWithinPartitions("key")
-    return dealt.mapInArrow(_meet(percent, forest), "a long, b long").distinct()
+    return dealt.mapInArrow(text.released(_meet(percent, forest)), "a long, b long").distinct()
 
 
 def _vectors(k: int, groups: int):
@@ -267,10 +267,10 @@ def _of_ids(own: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose sets link. Finer count vectors, a sixteenth of a set's size, are held against each other first."""
-    fine = shared.stored(_of_ids(own, pairs).mapInArrow(_vectors(k, FINE_GROUPS), "doc_id long, n long, fine binary"), "vectors")
+    fine = shared.stored(_of_ids(own, pairs).mapInArrow(text.released(_vectors(k, FINE_GROUPS)), "doc_id long, n long, fine binary"), "vectors")
     both = pairs.join(fine.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb")), "b")
-    left = shared.stored(both.mapInArrow(_fine_filter(percent, FINE_GROUPS), "a long, b long"), "pairs")
-    sets = shared.stored(_of_ids(own, left).mapInArrow(_set_rows(k), "doc_id long, shingles array<long>"), "sets")
+    left = shared.stored(both.mapInArrow(text.released(_fine_filter(percent, FINE_GROUPS)), "a long, b long"), "pairs")
+    sets = shared.stored(_of_ids(own, left).mapInArrow(text.released(_set_rows(k)), "doc_id long, shingles array<long>"), "sets")
     sided = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     linked = sided.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
     return linked.filter(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("t") - F.col("o"))).select("a", "b")
@@ -281,13 +281,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
     n_parts = shared.parallelism(docs)
     schema = "doc_id long, n long, sum1 long, sum2 long, counts binary, prefix array<long>"
-    points = shared.stored(own.mapInArrow(_featurizer(k, percent, _frequent(own, k)), schema), "points")
+    points = shared.stored(own.mapInArrow(text.released(_featurizer(k, percent, _frequent(own, k))), schema), "points")
     # Equal sets are one class, whose smallest id stands for it.
     classes = shared.stored(points.filter("n > 0").groupBy("sum1", "sum2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = points.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     tokens = reps.select(F.explode("prefix").alias("tok"), "doc_id").repartition(n_parts, "tok").sortWithinPartitions("tok")
     # Near copies share many shingles: each set of documents meets once.
-    meetings = shared.stored(tokens.mapInArrow(_meetings, "tok long, root long, doc_id long").distinct(), "meetings")
+    meetings = shared.stored(tokens.mapInArrow(text.released(_meetings), "tok long, root long, doc_id long").distinct(), "meetings")
     light = shared.stored(reps.select("doc_id", "n", "counts"), "points")
     comp = links = tested = None
     for forest in (True, True, False):

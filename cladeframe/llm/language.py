@@ -169,7 +169,7 @@ def identify_language(docs: DataFrame, training: DataFrame | None = None, id_col
     """doc_id, lang_pred, score; ``training`` holds the labelled rows (``docs`` by default)."""
     model = Model.fit(*training_rows(docs if training is None else training, id_col, text_col, lang_col, limit))
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_predictor(model), "doc_id long, lang_pred string, score double")
+    return own.mapInArrow(text.released(_predictor(model)), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -187,4 +187,4 @@ def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text",
             ok = np.array(said.column("lang_pred").to_pylist(), dtype=object) != UNDETERMINED
             yield batch.filter(pa.array(ok & (said.column("score").to_numpy() >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(text.released(run), docs.schema)

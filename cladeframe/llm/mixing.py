@@ -133,7 +133,7 @@ def min_cost_flow(patterns: list[tuple[tuple[str, ...], int]], quota: dict[str,
 def sized(docs: DataFrame, sources: F.Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, pattern (sorted source keys), size in words; stored."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), sources.alias("pattern"), F.col(text_col).cast("string").alias("text"))
-    return shared.stored(own.mapInArrow(_sizes, "doc_id long, pattern array<string>, size long"), "sizes")
+    return shared.stored(own.mapInArrow(text.released(_sizes), "doc_id long, pattern array<string>, size long"), "sizes")
 
 
 def pattern_sizes(rows: DataFrame) -> list[tuple[tuple[str, ...], int]]:

@@ -154,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n = shared.parallelism(docs)
     at = splitters(own, "doc_id", n)
-    encoded = own.mapInArrow(encoder(tokenizer_path, end_id), TOKENS_SCHEMA)
+    encoded = own.mapInArrow(text.released(encoder(tokenizer_path, end_id)), TOKENS_SCHEMA)
     dealt = encoded.repartitionById(len(at) + 1, bucket_of("doc_id", at))
     out = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "crc").select("doc_id", "n_tokens", "tokens")
     options = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#n_tokens": "false", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES}
@@ -183,7 +183,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
     Only one row a file (their number is that of the writing tasks) meets in one place.
     """
-    rows = read_tokens(spark, path).withColumn("file", F.col("_metadata.file_name")).select("doc_id", "tokens", "file").mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long, file string")
+    rows = read_tokens(spark, path).withColumn("file", F.col("_metadata.file_name")).select("doc_id", "tokens", "file").mapInArrow(text.released(_checksums), "doc_id long, n_tokens long, ids_crc32 long, file string")
     lengths = read_tokens(spark, path, metadata_only=True).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"))
     # Files are named by the writing task, tasks hold ascending ranges of ids.
     before = lengths.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
