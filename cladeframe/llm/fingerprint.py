@@ -9,8 +9,9 @@ is kept (nested: a coarser level keeps one of two neighbours' steps), written as
 hexadecimal digit from 1 to f of the character's hash. The level grows with the text, so fingerprints
 have 128 to 384 digits, and fingerprints of different levels are compared at the coarser.
 
-Near documents are found by bands: sampled digits make bucket keys, and pairs that
-share a bucket are verified by their likeness.
+Near documents are found by bands: sampled digits make bucket keys, and all pairs that
+share a bucket are verified by their likeness. Banding is a chance method: of pairs at
+the wanted likeness about one in a thousand shares no bucket, fewer of nearer ones.
 
 Cases: null and empty texts have the fingerprint ``00`` without digits, alike (1.0)
 only to each other; equal texts have equal fingerprints; very long texts are walked to
@@ -20,6 +21,7 @@ ignored; an empty table gives no rows, a single document is followed by itself.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm import graph, shared, text
+from cladeframe.llm import graph, jaccard, shared, text
 from cladeframe.llm.tokens import bucket_of, splitters
 
 DIGITS = 256  # digits at most for the expected two steps a character
@@ -209,38 +211,109 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.mapInArrow(_printed, "doc_id long, fingerprint string")
 
 
-BANDS, BAND_DIGITS = 40, 4
+BAND_DIGITS = 12  # digits of a key: unrelated texts agree in a fourth of theirs at most, so they rarely share one
+MISSED = 0.001  # chance that texts whose digits agree as often as wanted share no key
+BUCKET = 2048  # rows of one bucket that one task holds; beyond, buckets are parted
 
 
-def band_keys(fingerprint: str) -> list[int]:
-    """Keys of sampled digits, at the fingerprint's level and, as a neighbour may be longer, the next."""
+def _ranges(n: int, least: float) -> list[int]:
+    """Lengths, steps of 5 to 4, that samples of n digits and of as few as ``least`` of them have in common."""
+    out, r = [], 1.0
+    while r < n + 1:
+        out.append(int(r))
+        r *= 1.25
+    below = int(np.searchsorted(out, max(1, int(np.ceil(least * n))), "right")) - 1
+    return sorted(set(out[max(below, 0) :]))
+
+
+@functools.lru_cache(maxsize=1024)
+def _places(r: int, least: float) -> np.ndarray:
+    bands = int(np.ceil(np.log(MISSED) / np.log1p(-(min(least, 0.999) ** BAND_DIGITS))))
+    return np.random.default_rng(r).integers(0, r, (bands, BAND_DIGITS))
+
+
+def band_keys(fingerprint: str, least: float = 0.8) -> np.ndarray:
+    """Keys of sampled digits, at the fingerprint's level and, if a neighbour may be longer, the next."""
     level, digits = int(fingerprint[:2], 16), fingerprint[2:].encode()
     out = []
     for to in (level, level + 1):
         own = np.frombuffer(_coarser(digits, level, to), np.uint8)
-        if len(own) < 8:
-            out.append(int.from_bytes(hashlib.blake2b(b"%d:" % to + own.tobytes(), digest_size=8).digest(), "big", signed=True))
+        if to > level and len(own) < least * (DIGITS // 2 - 32):  # texts of the next level have half of DIGITS or more
             continue
-        # Positions don't depend on the length, which edits change; those beyond the end are left out.
-        at = np.random.default_rng(5).integers(0, 100 if to == level + 1 or len(own) >= 100 else 8, (BANDS, BAND_DIGITS)) if level else np.random.default_rng(6).integers(0, 16, (BANDS, BAND_DIGITS))
-        for k, p in enumerate(at):
-            if p.max() < len(own):
-                out.append(int.from_bytes(hashlib.blake2b(b"%d:%d:" % (to, k) + own[p].tobytes(), digest_size=8).digest(), "big", signed=True))
-    return out
+        for r in _ranges(len(own), least):
+            at = _places(r, least)
+            h = np.full(len(at), to * 1024 + r, np.uint64) << np.uint64(20) | np.arange(len(at), dtype=np.uint64)
+            for k in range(BAND_DIGITS):
+                h = text.mix(h + own[at[:, k]])
+            out.append(h)
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = [band_keys(f) for f in batch.column("fingerprint").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "fingerprint")), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fingerprint", "keys"])
+def _banded(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(f, least) for f in batch.column("fingerprint").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), text.list_array(np.concatenate([np.zeros(0, np.int64), *keys]), ends)], names=["doc_id", "keys"])
 
+    return run
+
+
+class _Digits:
+    """Fingerprints of a bucket as matrices, one a level at which they are compared."""
+
+    def __init__(self, prints: list[str]):
+        self.level = np.array([int(f[:2], 16) for f in prints])
+        self.digits = [f[2:].encode() for f in prints]
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _matrix(self, to: int) -> tuple[np.ndarray, np.ndarray]:
+        if to not in self.at:
+            own = [np.frombuffer(_coarser(d, z, to), np.uint8) if z <= to else np.zeros(0, np.uint8) for d, z in zip(self.digits, self.level.tolist(), strict=True)]
+            size = np.array([len(x) for x in own])
+            table = np.zeros((len(own), max(int(size.max()), 1)), np.uint8)  # no digit is 0
+            for row, x in zip(table, own, strict=True):
+                row[: len(x)] = x
+            self.at[to] = table, size
+        return self.at[to]
+
+    def likeness(self, i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others))
+        top = np.maximum(self.level[i], self.level[others])
+        for to in np.unique(top).tolist():
+            table, size = self._matrix(to)
+            j = others[top == to]
+            same = ((table[j] == table[i]) & (table[i] > 0)).sum(1)
+            out[top == to] = same / np.maximum(np.maximum(size[j], size[i]), 1)
+        return out
+
+
+def _linked(least: float):
+    """Of rows in the order of their key: links that connect something new, after every pair of a bucket that isn't yet connected was verified."""
 
-def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            like = np.array([likeness(a, b) for a, b in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)])
-            ok = pa.array(like >= least) if len(like) else pa.array([], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b")), pa.array(like, pa.float64())], names=["a", "b", "likeness"]).filter(ok)
+        trees = jaccard.Forest()
+        for table in jaccard._grouped(batches, "key"):
+            key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+            prints, links = table.column("fingerprint").to_pylist(), []
+            for s, z in zip(*(x.tolist() for x in jaccard._runs(key)), strict=True):
+                own = _Digits(prints[s : s + z])
+                ids = doc[s : s + z].tolist()
+                for i in range(1, z):
+                    mine = trees.root(ids[i])
+                    others = np.array([j for j in range(i) if trees.root(ids[j]) != mine], np.int64)
+                    while len(others):
+                        # The first link of a connected group makes its other pairs needless.
+                        part, others = others[:64], others[64:]
+                        for j in part[own.likeness(i, part) >= least].tolist():
+                            x, y = trees.root(ids[i]), trees.root(ids[j])
+                            if x != y:
+                                trees.parent[max(x, y)] = min(x, y)
+                                links.append((ids[j], ids[i]))
+                                others = np.array([k for k in others.tolist() if trees.root(ids[k]) != min(x, y)], np.int64)
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -248,14 +321,24 @@ def _verified(least: float):
 def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id: the smallest id that verified band matches reach.
 
-    Equal fingerprints are one class from the start. In a bucket every document is held
-    against the bucket's smallest, so a bucket of many makes as many pairs, not their square.
+    Equal fingerprints are one class from the start. All members of a bucket are held
+    against each other, but for pairs that links connect already, so a bucket of near
+    copies costs a pass. Rows of a bucket of over BUCKET members get one of s salts, and
+    every two salts meet in a task of their own.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
-    keyed = classes.select(F.col("rep").alias("doc_id"), "fingerprint").mapInArrow(_banded, "doc_id long, fingerprint string, keys array<long>").select("doc_id", "fingerprint", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "fingerprint")).alias("h"))
-    pairs = keyed.join(heads, "key").filter("h.doc_id < doc_id").select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("h.fingerprint").alias("fa"), F.col("fingerprint").alias("fb")).distinct()
-    links = pairs.mapInArrow(_verified(least), "a long, b long, likeness double")
-    comp = graph.components(links.select("a", "b")).withColumnRenamed("node", "rep")
+    n_parts = shared.parallelism(prints)
+    classes = shared.stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = classes.select(F.col("rep").alias("doc_id"), "fingerprint").filter("doc_id is not null")
+    keyed = reps.mapInArrow(text.released(_banded(least)), "doc_id long, keys array<long>").select(F.explode("keys").alias("tok"), "doc_id")
+    # Near copies share many keys: each set of documents meets once.
+    meetings = keyed.repartition(n_parts, "tok").sortWithinPartitions("tok").mapInArrow(text.released(jaccard._meetings), "tok long, root long, doc_id long").distinct()
+    meetings = shared.stored(meetings, "meetings")
+    hot = meetings.groupBy("tok").count().filter(F.col("count") > BUCKET).select("tok", F.ceil(F.col("count") / BUCKET).cast("int").alias("s"))
+    rows = meetings.join(reps, "doc_id").join(hot, "tok", "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    rows = rows.withColumn("key", F.when(F.col("s") == 1, F.col("tok")).otherwise(F.xxhash64("tok", F.least("salt", "other"), F.greatest("salt", "other"))))
+    dealt = rows.select("key", "doc_id", "fingerprint").repartition(n_parts, "key").sortWithinPartitions("key")
+    links = shared.stored(dealt.mapInArrow(text.released(_linked(least)), "a long, b long"), "links")
+    comp = graph.components(links).withColumnRenamed("node", "rep")
     named = classes.join(comp, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
     return prints.join(named, "fingerprint").select("doc_id", "class_id")

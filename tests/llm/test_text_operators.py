@@ -230,6 +230,32 @@ def test_fingerprint_classes(spark):
     assert got == {1: 1, 4: 4, 7: 7, 10: 10, 13: 13, 16: 1, 19: 4, 22: 7}
 
 
+def test_fingerprint_classes_in_full_buckets(spark):
+    # Unrelated documents of few kinds of digits share buckets; the smallest id of a bucket is rarely the near copy.
+    r = random.Random(4)
+    digits = lambda n: [r.choices("123456789", [70, 15, 5, 3, 2, 2, 1, 1, 1])[0] for _ in range(n)]
+    rows = [digits(160) for _ in range(1500)]
+    for k in range(60):
+        copy = list(rows[1000 + k])
+        for p in r.sample(range(160), 24):
+            copy[p] = r.choice("123456789")
+        rows.append(copy)
+    rows += [digits(6) for _ in range(30)]
+    prints = ["01" + "".join(x) for x in rows]
+    pairs = {(i, j) for i in range(len(prints)) for j in range(i) if fingerprint.likeness(prints[i], prints[j]) >= 0.8}
+    root = list(range(len(prints)))
+    for _ in range(20):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    fingerprint.BUCKET, kept = 16, fingerprint.BUCKET
+    try:
+        docs = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+        got = {x["doc_id"]: x["class_id"] for x in fingerprint.near_classes(docs, 0.8).collect()}
+    finally:
+        fingerprint.BUCKET = kept
+    assert len(pairs) >= 60 and got == dict(enumerate(root))
+
+
 @pytest.mark.parametrize("op", ["tokens", "jaccard", "suffixes", "lm", "secrets", "licenses", "fingerprint"])
 def test_empty_tables(spark, op, tmp_path):
     import public_tokenizers
