@@ -6,11 +6,15 @@ placeholders, everything else is lower-cased. Windows of template words are join
 by hash; where a window's placeholders hold other values than the item's, the values
 must replace each other consistently (one document value for each item value, and the
 reverse), so a question with other numbers or names is caught, and text that merely
-has the same shape is not.
+has the same shape is not. Of values that contradict each other those in most windows
+win. Windows of the lower-cased words themselves are joined too: a verbatim window
+counts whatever its words are.
 
 A document is contaminated by an item if its consistent windows are at least
-``min_cover`` of the item's windows, or ``min_windows`` of them. An item shorter than
-a window is one window of all its words, if it has at least ``min_words``.
+``min_cover`` of the item's windows, or of those of them that are dense (``MIN_WORDS``
+literal words or more), or ``min_windows`` that are dense or verbatim. In all, the windows must hold ``MIN_WORDS``
+words that are equal in both. An item shorter than a window is one window of all its
+words, if it has at least ``MIN_WORDS``.
 
 Cases: null and empty texts match nothing; repeated items each match; other columns
 are ignored; an empty table on either side gives no rows.
@@ -18,6 +22,7 @@ are ignored; an empty table on either side gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,7 @@ from cladeframe.llm import text
 
 U64 = np.uint64
 WINDOW = 8
-MIN_WORDS = 5  # literal words that a window has at least, or it says too little
+MIN_WORDS = 5  # equal words that windows hold at least in all, or they say too little
 BROADCAST_WINDOWS = 1_000_000  # beyond, windows are joined by shuffle
 
 # Units that follow a number.
@@ -78,15 +83,22 @@ class Template:
         self.first = np.searchsorted(doc, np.arange(len(offsets)))
         self.place = np.arange(len(doc)) - self.first[doc] if len(doc) else doc
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of every whole window that has enough literal words."""
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, hash, is template) of every whole window: of its words, and if it has slots and a literal word of its template."""
         total = max(len(self.code) - width + 1, 0)
-        h = np.zeros(total, U64)
-        for j in range(width):
-            h = h * U64(text._BASE) + self.code[j : j + total]
+        if not total:
+            return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
+        whole = self.doc[:total] == self.doc[width - 1 :]
         literal = np.concatenate([[0], np.cumsum(self.kind == 0)])
-        at = np.flatnonzero((self.doc[:total] == self.doc[width - 1 :]) & (literal[width:] - literal[:total] >= min(MIN_WORDS, width))) if total else np.zeros(0, np.int64)
-        return at, text.mix(h[at] + U64(width))
+        literal = literal[width:] - literal[:total]
+        out = []
+        for words, ok in ((self.value, whole), (self.code, whole & (literal > 0) & (literal < width))):
+            h = np.zeros(total, U64)
+            for j in range(width):
+                h = h * U64(text._BASE) + words[j : j + total]
+            at = np.flatnonzero(ok)
+            out.append((at, text.mix(h[at] + U64(width))))
+        return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.repeat([False, True], [len(x[0]) for x in out])
 
 
 def _emitter(key: str, widths: list[int], only: np.ndarray | None, whole_short: bool, longest: int):
@@ -98,59 +110,112 @@ def _emitter(key: str, widths: list[int], only: np.ndarray | None, whole_short:
             for first, last, data, offsets in text.string_slices(batch.column("text")):
                 t = Template(data, offsets, units)
                 size = np.diff(t.first)
-                out: list[tuple[np.ndarray, np.ndarray, int]] = []
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
                 for width in widths:
-                    at, h = t.windows(width)
+                    at, h, template = t.windows(width)
                     if whole_short and width < longest:  # a short item is one window of its own width
                         ok = size[t.doc[at]] == width
-                        at, h = at[ok], h[ok]
+                        at, h, template = at[ok], h[ok], template[ok]
                     if only is not None and len(at):
                         ok = only[np.searchsorted(only, h).clip(max=len(only) - 1)] == h
-                        at, h = at[ok], h[ok]
+                        at, h, template = at[ok], h[ok], template[ok]
                     if len(at):
-                        out.append((at, h, width))
+                        out.append((at, h, template, width))
                 if not out:
                     continue
-                at, h = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-                width = np.concatenate([np.full(len(x[0]), x[2]) for x in out])
+                at, h, template = (np.concatenate([x[k] for x in out]) for k in range(3))
+                width = np.concatenate([np.full(len(x[0]), x[3]) for x in out])
                 slots = []
-                for a, w in zip(at.tolist(), width.tolist(), strict=True):
-                    kind = t.kind[a : a + w]
-                    slots.append(np.where(kind > 0, t.value[a : a + w], U64(0)).view(np.int64).tolist() if kind.any() else None)
+                for a, w, filled in zip(at.tolist(), width.tolist(), template.tolist(), strict=True):
+                    slots.append(np.where(t.kind[a : a + w] > 0, t.value[a : a + w], U64(0)).view(np.int64).tolist() if filled else None)
                 doc = t.doc[at]
-                count = np.bincount(doc, minlength=last - first)
+                count = np.bincount(doc[~template], minlength=last - first)
+                literal = np.concatenate([[0], np.cumsum(t.kind == 0)])
+                dense = literal[at + width] - literal[at] >= np.minimum(MIN_WORDS, width)
+                n_dense = np.bincount(doc[~template & dense], minlength=last - first)
                 ids = batch.column("key")[first:last].take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(t.place[at].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(count[doc].astype(np.int64))], names=[key, "place", "window", "slots", "n_windows"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(t.place[at].astype(np.int32)), pa.array(width.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64())), pa.array(dense), pa.array(count[doc].astype(np.int64)), pa.array(n_dense[doc].astype(np.int64))], names=[key, "place", "width", "window", "slots", "dense", "n_windows", "n_dense"])
 
     return run
 
 
+def _consistent(matches: list[dict]) -> list[dict]:
+    """Matches whose slots keep to one mapping: of an item's value the document's that most windows hold, and the reverse."""
+    votes: dict[tuple[int, int], list] = {}
+    for m in matches:
+        for pair in m["pairs"]:
+            votes.setdefault(pair, [set(), m["d"]])[0].add(m["i"])
+            votes[pair][1] = min(votes[pair][1], m["d"])
+    there: dict[int, int] = {}
+    back: dict[int, int] = {}
+    # Equal votes: the earlier place in the document, so that all slots follow the same copy.
+    for b, d in sorted(votes, key=lambda p: (-len(votes[p][0]), votes[p][1], p)):
+        if b not in there and d not in back:
+            there[b], back[d] = d, b
+    return [m for m in matches if all(there.get(b) == d for b, d in m["pairs"])]
+
+
+def _judged(min_cover: float, min_windows: int):
+    """Of the windows that a document and an item share: the row of those that contaminate."""
+
+    def judge(rows: list[dict], item_windows: int, item_dense: int) -> tuple[int, int, int] | None:
+        matches = []
+        for r in rows:
+            theirs, own = r["i_slots"], r["d_slots"]
+            filled = theirs is not None and own is not None
+            pairs = {(b, d) for b, d in zip(theirs, own, strict=True) if b} if filled else set()
+            equal = [k for k in range(r["width"]) if not filled or not theirs[k] or theirs[k] == own[k]]
+            matches.append({"i": r["i_place"], "d": r["d_place"], "pairs": pairs, "equal": equal, "dense": r["dense"], "plain": not filled})
+        shifts: dict[int, list[dict]] = {}
+        for m in matches:
+            shifts.setdefault(m["d"] - m["i"], []).append(m)
+        best = None
+        # The whole document, and each unbroken copy by itself: other copies can't outvote it.
+        for group in ([matches, *shifts.values()] if len(shifts) > 1 else [matches]):
+            good = _consistent(group)
+            places = {m["i"] for m in good}
+            dense = {m["i"] for m in good if m["dense"]}
+            strong = {m["i"] for m in good if m["dense"] or m["plain"]}
+            if not (len(places) >= max(1, math.ceil(min_cover * item_windows)) or len(dense) >= max(1, math.ceil(min_cover * item_dense)) or len(strong) >= min_windows):
+                continue
+            if len({m["i"] + k for m in good for k in m["equal"]}) >= MIN_WORDS and (best is None or len(places) > best[0]):
+                best = len(places), min(m["d"] for m in good), max(m["d"] for m in good)
+        return best
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (found := judge(r["w"], r["item_windows"], r["n_dense"])) is not None:
+                    out.append((r["doc_id"], r["item_id"], found[0], r["item_windows"], found[1], found[2]))
+            columns = list(zip(*out, strict=True)) or [()] * len(FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=FOUND)
+
+    return run
+
+
+FOUND = ["doc_id", "item_id", "n_windows", "item_windows", "first_word", "last_word"]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, min_windows: int = 12, window: int = WINDOW, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_windows (consistent ones), item_windows, first_word, last_word: one row a document and item that contaminates it."""
     own = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     widths = list(range(MIN_WORDS, window + 1))
-    schema = "{} long, place int, window long, slots array<long>, n_windows long"
+    schema = "{} long, place int, width int, window long, slots array<long>, dense boolean, n_windows long, n_dense long"
     theirs = items.mapInArrow(text.released(_emitter("item_id", widths, None, True, window)), schema.format("item_id"))
+    told = ", ".join(f"{c} long" for c in FOUND)
     if theirs.limit(1).isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, item_windows long, first_word long, last_word long")
+        return docs.sparkSession.createDataFrame([], told)
+    widths = sorted(r["width"] for r in theirs.select("width").distinct().collect())
     distinct = theirs.select("window").distinct().limit(BROADCAST_WINDOWS + 1)
     found = [r["window"] for r in distinct.collect()]  # at most BROADCAST_WINDOWS + 1 numbers
     small = len(found) <= BROADCAST_WINDOWS
     only = np.sort(np.array(found, np.int64).view(U64)) if small else None
-    ours = own.mapInArrow(text.released(_emitter("doc_id", widths, only, False, window)), schema.format("doc_id")).drop("n_windows")
-    # A window that a document repeats counts once, at its first place.
-    ours = ours.groupBy("doc_id", "window").agg(F.min_by(F.struct("place", "slots"), "place").alias("d"))
-    theirs = theirs.groupBy("item_id", "window").agg(F.min_by(F.struct("place", "slots"), "place").alias("i"), F.first("n_windows").alias("item_windows"))
+    ours = own.mapInArrow(text.released(_emitter("doc_id", widths, only, False, window)), schema.format("doc_id")).select("doc_id", "place", "window", "slots")
+    # A window that a document repeats with the same values counts once, at its first place.
+    ours = ours.groupBy("doc_id", "window", "slots").agg(F.min("place").alias("d_place")).withColumnRenamed("slots", "d_slots")
+    theirs = theirs.select("item_id", "window", "width", F.col("place").alias("i_place"), F.col("slots").alias("i_slots"), "dense", "n_dense", F.col("n_windows").alias("item_windows"))
     pairs = ours.join(F.broadcast(theirs) if small else theirs, "window")
-    # Values that stand against each other, by document and item; windows that break the one-to-one rule don't count.
-    values = F.transform(F.arrays_zip(F.col("i.slots").alias("b"), F.col("d.slots").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
-    pairs = pairs.select("doc_id", "item_id", "item_windows", F.col("d.place").alias("place"), F.array_distinct(F.filter(F.coalesce(values, F.array().cast("array<struct<b:long,d:long>>")), lambda x: x["b"] != 0)).alias("v"))
-    grouped = pairs.groupBy("doc_id", "item_id").agg(F.first("item_windows").alias("item_windows"), F.collect_list(F.struct("place", "v")).alias("w"))
-    # An item's windows bound the list. The values in most windows win.
-    every = F.flatten(F.transform("w", lambda x: x["v"]))
-    grouped = grouped.withColumn("votes", F.array_distinct(every))
-    clash = lambda x: F.exists("votes", lambda y: ((y["b"] == x["b"]) & (y["d"] != x["d"])) | ((y["d"] == x["d"]) & (y["b"] != x["b"])))
-    grouped = grouped.withColumn("good", F.filter("w", lambda x: ~F.exists(x["v"], clash)))
-    out = grouped.select("doc_id", "item_id", F.size("good").cast("long").alias("n_windows"), "item_windows", F.array_min(F.transform("good", lambda x: x["place"])).cast("long").alias("first_word"), F.array_max(F.transform("good", lambda x: x["place"])).cast("long").alias("last_word"))
-    return out.filter((F.col("n_windows") >= F.ceil(F.lit(min_cover) * F.col("item_windows"))) & (F.col("n_windows") > 0) | (F.col("n_windows") >= min_windows))
+    grouped = pairs.groupBy("doc_id", "item_id").agg(F.first("item_windows").alias("item_windows"), F.first("n_dense").alias("n_dense"), F.collect_list(F.struct("i_place", "d_place", "width", "i_slots", "d_slots", "dense")).alias("w"))
+    return grouped.mapInArrow(text.released(_judged(min_cover, min_windows)), told)

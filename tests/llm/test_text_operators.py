@@ -201,6 +201,17 @@ def test_decontamination(spark):
         decontaminate.BROADCAST_WINDOWS = kept
 
 
+def test_decontamination_of_dense_slots(spark):
+    item = "Tom had 12 apples, Ann had 7, Bob had 9 and Eve had 4 more"
+    changed = "Jim had 33 apples, Zoe had 8, Rob had 5 and Amy had 61 more"
+    unlike = "Jim had 33 apples, Zoe had 8, Zoe had 33 and Zoe had 8 more"  # one name for three
+    numbers = "1 2 3 5 8 13 21 34 55 89"
+    texts = [f"{prose(30, 1)}. {item}. {prose(9, 2)}", f"{prose(30, 3)}. {changed}.", item.upper(), unlike, f"see {numbers} there", "4 7 1 9 6 2 3 8 5 0", "what is 12 times 7", "what is 9 times 4"]
+    bench = spark.createDataFrame([(1, item), (2, numbers), (3, "What is 12 times 7?")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(make_docs(spark, texts), bench).collect()}
+    assert got == {(1, 1), (4, 1), (7, 1), (13, 2), (19, 3)}
+
+
 def test_fingerprints(spark, texts):
     docs = make_docs(spark, texts, extra=True)
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
