@@ -212,6 +212,14 @@ def test_decontamination_of_dense_slots(spark):
     assert got == {(1, 1), (4, 1), (7, 1), (13, 2), (19, 3)}
 
 
+def test_decontamination_outvotes_strays(spark):
+    item = "every lamp in the hall 12 was painted by hand last winter"
+    stray = "lamp in the hall 15 was painted by"
+    docs = make_docs(spark, [f"{stray} nobody. {prose(20, 1)}. {item}. {prose(9, 2)}", f"{item.replace('12', '40')}. {prose(9, 3)}. {item}", stray])
+    got = {r["doc_id"]: r["n_windows"] for r in decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: 5, 4: 5}
+
+
 def test_fingerprints(spark, texts):
     docs = make_docs(spark, texts, extra=True)
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), reverse=True)
