@@ -9,8 +9,8 @@ kernel ridge regression. Since the kernel is a product of presence vectors, the
 landmarks and the ridge weights fold into one matrix (n-grams by languages), and a
 batch of documents is scored by one matrix product.
 
-The sample is at most ``SAMPLE_DOCS`` labelled documents, chosen by a hash of their
-id; its bound is a parameter. Prediction reads the text alone, the whole of it.
+The sample is at most ``SAMPLE_DOCS`` labelled documents, whole, chosen by a hash of
+their id; its bound is a parameter. Prediction reads the text alone, the whole of it.
 
 Cases: null text and text without a letter is ``und`` with score 0.0; rows without a
 label never train; without any training row every text is ``und``; equal scores take
@@ -32,10 +32,12 @@ from cladeframe.llm import text
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14  # n-grams are hashed to so many
 SAMPLE_DOCS = 2_000
-SAMPLE_CHARS = 4_000  # of a training text
 LANDMARKS = 200
 RIDGE = 1e-2
 SLICE = 256 << 10
+HELD_TEXTS = 100  # held-out texts of a class of sizes that give it a floor
+LOST = 0.005  # of held-out texts, below whose scores the floor is
+MARGIN = 0.02  # of the floor below that
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -76,13 +78,14 @@ class Model:
 
     def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray):
         self.languages, self.weights, self.bias = languages, weights, bias
+        self.floors = np.zeros(BUCKETS.bit_length() + 1)  # least score of a text that isn't ``und``, by the bits of its number of n-grams
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[str], seed: int = 0) -> Model:
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-        x = np.concatenate([dense(d, o) for i in range(0, len(texts), 200) for *_, d, o in text.string_slices(pa.array([t[:SAMPLE_CHARS] for t in texts[i : i + 200]]), 1 << 30)])
+        x = np.concatenate([dense(d, o) for i in range(0, len(texts), 200) for *_, d, o in text.string_slices(pa.array(texts[i : i + 200]), SLICE)])
         y = np.array([languages.index(v) for v in labels])
         rng = np.random.default_rng(seed)
         each = max(1, LANDMARKS // len(languages))
@@ -101,8 +104,31 @@ class Model:
         folded = z.T @ (root @ beta)
         return cls(languages, folded.astype(np.float32), (shift - mean @ beta).astype(np.float32))
 
+    @classmethod
+    def fit_open(cls, texts: list[str], labels: list[str]) -> Model:
+        """A model with floors, from the scores that a fifth of the texts, and their beginnings, have by a model of the others."""
+        model = cls.fit(texts, labels)
+        held, others = texts[::5], [k for k in range(len(texts)) if k % 5]
+        if len(held) < HELD_TEXTS:
+            return model
+        tried = cls.fit([texts[k] for k in others], [labels[k] for k in others])
+        by_size: dict[int, list[float]] = {}
+        for chars in (16, 32, 64, 128, 256, 512, 1024, 2048, None):
+            own = [t[:chars] for t in held if (chars is None or len(t) > chars) and _LETTER.search(t[:chars])]
+            for a in range(0, len(own), 256):
+                for *_, data, offsets in text.string_slices(pa.array(own[a : a + 256]), SLICE):
+                    size = np.bincount(presence(data, offsets)[0], minlength=len(offsets) - 1)
+                    for z, v in zip(size.tolist(), tried.predict(data, offsets)[1].tolist(), strict=True):
+                        by_size.setdefault(z.bit_length(), []).append(v)
+        floor = 0.0
+        for bits in range(len(model.floors)):  # a class of few texts has the floor of the next smaller
+            if len(by_size.get(bits, [])) >= HELD_TEXTS:
+                floor = max(float(np.quantile(by_size[bits], LOST, method="lower")) - MARGIN, 0.0)
+            model.floors[bits] = floor
+        return model
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best language by place, score from 0 to 1) of a slice."""
+        """(best language by place, score from 0 to 1) of a slice; below the floor the place after the last."""
         n = len(offsets) - 1
         doc, bucket = presence(data, offsets)
         first = np.searchsorted(doc, np.arange(n))
@@ -114,29 +140,29 @@ class Model:
             value[has] = np.add.reduceat(self.weights[bucket], first[has], axis=0)
         value = value / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
         best = value.argmax(1)
-        return best, np.clip((value[np.arange(n), best] + 1) / 2, 0.0, 1.0)
+        score = np.clip((value[np.arange(n), best] + 1) / 2, 0.0, 1.0)
+        bits = np.ceil(np.log2(size + 1)).astype(np.int64)
+        return np.where(score >= self.floors[bits], best, len(self.languages)), score
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int = SAMPLE_DOCS) -> tuple[list[str], list[str]]:
-    """At most ``limit`` labelled texts (their first SAMPLE_CHARS characters), an equal share of each label, by a hash of the id."""
+    """At most ``limit`` labelled texts, of each label the equal share of smallest hashes of the id."""
     labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
-    n_labels = max(1, len(labelled.select("l").distinct().limit(limit).collect()))
-    key = F.xxhash64(F.col("i").cast("string"), F.lit("language"))
+    counts = labelled.groupBy("l").count().orderBy("l").limit(limit).collect()
+    if not counts:
+        return [], []
+    share = max(1, limit // len(counts))
+    # Of a label's 2**40 hash values those that hold about 200 times a share of its rows: what meets in the sort is bounded, and holds the smallest.
+    rates = docs.sparkSession.createDataFrame([(r["l"], min(1 << 40, (1 << 40) * 200 * share // r["count"])) for r in counts], "l string, rate long")
+    keyed = labelled.withColumn("k", F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("language")), F.lit(1 << 40)))
     # Only the ids meet in the sort; texts are fetched for the chosen.
-    share = max(1, limit // n_labels)
-    row = labelled.select("l", key.alias("k")).groupBy("l").agg(F.slice(F.array_sort(F.collect_list(F.when(F.pmod("k", F.lit(1 << 20)) < _rate(docs, share), F.col("k")))), 1, share).alias("ks"))
-    keys = row.select(F.explode("ks").alias("k"))
-    chosen = labelled.withColumn("k", key).join(F.broadcast(keys.limit(limit)), "k", "left_semi").select("k", F.substring("t", 1, SAMPLE_CHARS).alias("t"), "l").limit(limit).collect()
+    row = keyed.select("l", "k").join(F.broadcast(rates), "l").filter("k < rate").groupBy("l").agg(F.slice(F.array_sort(F.collect_list("k")), 1, share).alias("ks"))
+    keys = row.select("l", F.explode("ks").alias("k"))
+    chosen = keyed.join(F.broadcast(keys.limit(limit)), ["l", "k"], "left_semi").select("k", "t", "l").limit(limit).collect()
     chosen.sort(key=lambda r: (r["k"], r["t"]))
     return [r["t"] for r in chosen], [r["l"] for r in chosen]
 
 
-def _rate(docs: DataFrame, share: int) -> F.Column:
-    """Of 2**20 hash values, those that hold about 200 times a share of the rows: what meets in the sort is bounded."""
-    total = max(1, docs.count())
-    return F.lit(min(1 << 20, max(1, (1 << 20) * 200 * share // total)))
-
-
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
@@ -172,12 +198,17 @@ def identify_language(docs: DataFrame, training: DataFrame | None = None, id_col
     return own.mapInArrow(text.released(_predictor(model)), "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", open_set: bool = False) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose text has a language: not ``und``, and a score of ``least``.
 
     Learns from the labelled rows of ``docs``; rows are filtered where they stand, without a join.
+    ``open_set``: texts that score below the floor of held-out texts of their size have no learned
+    language. Where nothing can be learned, every text with a letter is kept.
     """
-    model = Model.fit(*training_rows(docs, id_col, text_col, lang_col))
+    fit = Model.fit_open if open_set else Model.fit
+    model = fit(*training_rows(docs, id_col, text_col, lang_col))
+    if not model.languages:
+        model = Model(["any"], np.zeros((BUCKETS, 1), np.float32), np.ones(1, np.float32))
     predict = _predictor(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,17 @@ def test_language_without_labels(spark):
     assert {r["lang_pred"] for r in language.identify_language(docs).collect()} == {"und"}
 
 
+def test_open_set(spark):
+    r = random.Random(8)
+    clean = [(k, spoken(lang, 20 + k % 40, k), lang) for k, lang in enumerate(["en", "de", "es"] * 300)]
+    noise = [(2000 + k, "".join(r.choice("bcdfgjkpqvxyz ") for _ in range(400)), None) for k in range(20)] + [(3000, "日本語の文章です" * 20, None)]
+    docs = spark.createDataFrame(clean + noise, "doc_id long, text string, lang string")
+    kept = {x["doc_id"] for x in language.keep_identified(docs, open_set=True).collect()}
+    assert len([i for i in kept if i < 2000]) >= 0.99 * len(clean) and not [i for i in kept if i >= 2000]
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language.keep_identified(bare, open_set=True).count() == docs.count()
+
+
 def test_shares():
     got = mixing.capped_shares({"+a": 100, "+b": 10, "+c": 100}, {"+a": 5, "+b": 2, "+c": 1}, 315, 2)
     assert got["+b"] == 20 and got["+a"] == 200 and got["+c"] == pytest.approx(95)
