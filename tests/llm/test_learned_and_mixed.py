@@ -43,6 +43,12 @@ def test_open_set(spark):
     assert language.keep_identified(bare, open_set=True).count() == docs.count()
 
 
+def test_rare_label_keeps_its_share(spark):
+    rows = spark.range(40_000).selectExpr("id as doc_id", "concat('text ', id, repeat(' z', 3000)) as text", "if(id % 4000 = 7, 'rare', 'common') as lang")
+    texts, labels = language.training_rows(rows, "doc_id", "text", "lang", 8)
+    assert sorted(labels) == ["common"] * 4 + ["rare"] * 4 and min(map(len, texts)) > 6000
+
+
 def test_shares():
     got = mixing.capped_shares({"+a": 100, "+b": 10, "+c": 100}, {"+a": 5, "+b": 2, "+c": 1}, 315, 2)
     assert got["+b"] == 20 and got["+a"] == 200 and got["+c"] == pytest.approx(95)
