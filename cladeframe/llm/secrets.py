@@ -3,7 +3,9 @@
 Three patterns give the base spans. A battery of randomness tests gives further ones:
 every stretch of at least ``CANDIDATE`` characters of an encoding's alphabet is held
 against the hypothesis that it is ordinary text. Its encoding (hexadecimal, base 32,
-base 64 or plain letters) is inferred from its characters. Chi-squared uniformity over
+base 64 or plain letters) is inferred from its characters and says how often two
+characters of ordinary text are equal; digits alone are a number. Without a digit the
+letters are held alone, and a capital before a small letter begins a word. Chi-squared uniformity over
 that alphabet (as the number of equal pairs) and the number of runs of character
 classes each give a probability under that hypothesis, and Fisher's method combines
 them; serial correlation of neighbouring characters vetoes ordered stretches. Within
@@ -39,6 +41,9 @@ STRETCH = rf"([A-Za-z0-9+/_=-]{{{CANDIDATE},}})"
 LENGTH_CLASSES = (20, 24, 32, 48, 64)
 FALSE_RATE = 0.01
 TEXT_EQUAL = 0.066  # chance that two letters of ordinary text are equal
+HEX_EQUAL = 0.12  # chance that two characters of ordinary numbers and letters up to f are equal
+HEX_DIGITS = "0123456789abcdef"
+BASE32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 TEXT_CHANGE = 0.12  # chance that neighbours in ordinary text differ in class
 SERIAL_LIMIT = 3.3  # standard errors of a serial correlation that no random stretch has
 
@@ -69,27 +74,31 @@ def _tail(z: Column) -> Column:
 
 def probability(value: Column) -> Column:
     """Probability of the battery's result for ordinary text; 1 for stretches that it can't take for secrets."""
+    lettered = value.rlike("[A-Za-z]")
+    digitless = ~value.rlike("[0-9]")
+    value = F.when(digitless, F.regexp_replace(value, "[+/_=-]", "")).otherwise(value)
     n = F.length(value).cast("double")
     chars = F.split(value, "")
+    is_hex = value.rlike("^([0-9a-f]+|[0-9A-F]+)$")
+    is_base32 = ~is_hex & value.rlike("^[A-Z2-7]+=*$")
+    equal = F.when(is_hex, F.lit(HEX_EQUAL)).otherwise(F.lit(TEXT_EQUAL))
     state = F.struct(F.lit("").alias("c"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("pairs"))
     folded = lambda acc, x: F.struct(x.alias("c"), F.when(acc["c"] == x, acc["run"] + 1).otherwise(0).alias("run"), (acc["pairs"] + F.when(acc["c"] == x, acc["run"] + 1).otherwise(0)).alias("pairs"))
     pairs = F.aggregate(F.array_sort(chars), state, folded, lambda acc: acc["pairs"]) / (n * (n - 1) / 2)
-    spread = F.sqrt(F.lit(2 * TEXT_EQUAL * (1 - TEXT_EQUAL)) / (n * (n - 1)))
-    # Hexadecimal digits are 16 kinds: equal pairs are as frequent as in text, and only runs tell.
-    is_hex = value.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    uniform = F.when(is_hex, F.lit(1.0)).otherwise(_tail((F.lit(TEXT_EQUAL) - pairs) / spread))
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[+/_=-]", "-")
+    spread = F.sqrt(2 * equal * (1 - equal) / (n * (n - 1)))
+    uniform = _tail((equal - pairs) / spread)
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.when(digitless, F.regexp_replace(value, "[A-Z](?=[a-z])", "a")).otherwise(value), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[+/_=-]", "-")
     changes = F.length(F.regexp_replace(classes, r"(.)\1*", ".")).cast("double") - 1
     runs = _tail((changes - (n - 1) * TEXT_CHANGE) / F.sqrt((n - 1) * F.lit(TEXT_CHANGE * (1 - TEXT_CHANGE))))
     log = F.log(uniform) + F.log(runs)
     fisher = F.exp(log) * (1 - log)
-    codes = F.transform(chars, lambda c: F.ascii(c).cast("double"))
+    # The alphabet's own order.
+    codes = F.transform(chars, lambda c: F.when(is_hex, F.instr(F.lit(HEX_DIGITS), F.lower(c))).when(is_base32, F.instr(F.lit(BASE32_DIGITS), c)).otherwise(F.ascii(c)).cast("double"))
     mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
     var = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean
     cross = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(value)), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) / (n - 1)
     serial = F.when(var > 0, F.abs((cross - mean * mean) / var) * F.sqrt(n)).otherwise(F.lit(math.inf))
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return F.when(mixed & (serial < SERIAL_LIMIT), F.least(fisher, F.lit(1.0))).otherwise(F.lit(1.0))
+    return F.when(lettered & (n >= CANDIDATE) & (serial < SERIAL_LIMIT), F.least(fisher, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
 def _class_of(n: Column) -> Column:

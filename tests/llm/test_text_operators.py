@@ -153,6 +153,16 @@ def test_secrets(spark, texts):
         assert extra == ([pool] if pool in t else [])
 
 
+def test_secrets_of_letters_alone(spark):
+    r = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(r.choices(letters + letters.lower(), k=44)), "".join(r.choices(letters, k=100)), "".join(r.choices(letters + "234567", k=80)), "".join(r.choices("0123456789ABCDEF", k=60))]
+    plain = ["getUserNameFromDatabaseConnectionSettings", "src/main/java/com/example/application/settings", "INTERNATIONALISATIONSETTINGS", "thetheththingtiononandthewith", "20240101120000202401011200"]
+    docs = make_docs(spark, [f"see {x} here" for x in keys + plain])
+    found = {x["doc_id"]: [d["kind"] for d in x["found"]] for x in secrets.scan_secrets(docs).collect()}
+    assert [found[3 * k + 1] for k in range(len(keys + plain))] == [["random"]] * len(keys) + [[]] * len(plain)
+
+
 def test_licenses(spark, texts):
     more = ["Released under the MIT License.", "Released under the terms of the MIT license; MIT, License", "licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
             "This work is licensed under the GNU General Public License, version 3.", "the mit licenses", "mit license mit license general public license"]
