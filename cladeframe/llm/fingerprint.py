@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm import graph, jaccard, shared, text
+from cladeframe.llm import meetings, shared, text
 from cladeframe.llm.tokens import bucket_of, splitters
 
 DIGITS = 256  # digits at most for the expected two steps a character
@@ -213,7 +213,6 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 BAND_DIGITS = 12  # digits of a key: unrelated texts agree in a fourth of theirs at most, so they rarely share one
 MISSED = 0.001  # chance that texts whose digits agree as often as wanted share no key
-BUCKET = 2048  # rows of one bucket that one task holds; beyond, buckets are parted
 
 
 def _ranges(n: int, least: float) -> list[int]:
@@ -289,28 +288,27 @@ class _Digits:
 
 
 def _linked(least: float):
-    """Of rows in the order of their key: links that connect something new, after every pair of a bucket that isn't yet connected was verified."""
+    """Of groups in the order of their gid: links that connect something new, after every pair that isn't yet connected was verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = jaccard.Forest()
-        for table in jaccard._grouped(batches, "key"):
-            key, doc = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+        trees = meetings.Forest()
+        for table in meetings.grouped(batches, "gid"):
+            gid, doc, comp, side = (table.column(c).to_numpy() for c in ("gid", "doc_id", "comp", "side"))
             prints, links = table.column("fingerprint").to_pylist(), []
-            for s, z in zip(*(x.tolist() for x in jaccard._runs(key)), strict=True):
+            for s, z in zip(*(x.tolist() for x in meetings.runs(gid)), strict=True):
                 own = _Digits(prints[s : s + z])
-                ids = doc[s : s + z].tolist()
+                ids, comps, sides = doc[s : s + z].tolist(), comp[s : s + z].tolist(), side[s : s + z].tolist()
                 for i in range(1, z):
-                    mine = trees.root(ids[i])
-                    others = np.array([j for j in range(i) if trees.root(ids[j]) != mine], np.int64)
+                    mine = trees.root(comps[i])
+                    others = np.array([j for j in range(i) if trees.root(comps[j]) != mine and (not sides[i] or sides[i] != sides[j])], np.int64)
                     while len(others):
                         # The first link of a connected group makes its other pairs needless.
                         part, others = others[:64], others[64:]
                         for j in part[own.likeness(i, part) >= least].tolist():
-                            x, y = trees.root(ids[i]), trees.root(ids[j])
-                            if x != y:
-                                trees.parent[max(x, y)] = min(x, y)
+                            if trees.join(comps[i], comps[j]):
                                 links.append((ids[j], ids[i]))
-                                others = np.array([k for k in others.tolist() if trees.root(ids[k]) != min(x, y)], np.int64)
+                                mine = trees.root(comps[i])
+                                others = np.array([k for k in others.tolist() if trees.root(comps[k]) != mine], np.int64)
             if links:
                 a, b = np.array(links, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -323,22 +321,20 @@ def near_classes(prints: DataFrame, least: float = 0.8) -> DataFrame:
 
     Equal fingerprints are one class from the start. All members of a bucket are held
     against each other, but for pairs that links connect already, so a bucket of near
-    copies costs a pass. Rows of a bucket of over BUCKET members get one of s salts, and
-    every two salts meet in a task of their own.
+    copies costs a pass; hot buckets are cut as in ``meetings``. Rows without an id have
+    the class of their fingerprint, which they never name.
     """
     n_parts = shared.parallelism(prints)
     classes = shared.stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "fingerprint").filter("doc_id is not null")
-    keyed = reps.mapInArrow(text.released(_banded(least)), "doc_id long, keys array<long>").select(F.explode("keys").alias("tok"), "doc_id")
-    # Near copies share many keys: each set of documents meets once.
-    meetings = keyed.repartition(n_parts, "tok").sortWithinPartitions("tok").mapInArrow(text.released(jaccard._meetings), "tok long, root long, doc_id long").distinct()
-    meetings = shared.stored(meetings, "meetings")
-    hot = meetings.groupBy("tok").count().filter(F.col("count") > BUCKET).select("tok", F.ceil(F.col("count") / BUCKET).cast("int").alias("s"))
-    rows = meetings.join(reps, "doc_id").join(hot, "tok", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    rows = rows.withColumn("key", F.when(F.col("s") == 1, F.col("tok")).otherwise(F.xxhash64("tok", F.least("salt", "other"), F.greatest("salt", "other"))))
-    dealt = rows.select("key", "doc_id", "fingerprint").repartition(n_parts, "key").sortWithinPartitions("key")
-    links = shared.stored(dealt.mapInArrow(text.released(_linked(least)), "a long, b long"), "links")
-    comp = graph.components(links).withColumnRenamed("node", "rep")
-    named = classes.join(comp, "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
+    keyed = reps.mapInArrow(text.released(_banded(least)), "doc_id long, keys array<long>").select(F.explode("keys").alias("tok"), "doc_id", F.lit(1).cast("long").alias("n"))
+
+    def verify(groups: DataFrame) -> DataFrame:
+        rows = groups.join(reps, "doc_id").select("gid", "doc_id", "comp", "side", "fingerprint").repartition(n_parts, "gid").sortWithinPartitions("gid")
+        return rows.mapInArrow(text.released(_linked(least)), "a long, b long")
+
+    comp = meetings.connected(meetings.meetings(keyed, n_parts), verify)
+    if comp is None:
+        return prints.join(classes, "fingerprint").select("doc_id", F.col("rep").alias("class_id"))
+    named = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("component", "rep").alias("class_id"))
     return prints.join(named, "fingerprint").select("doc_id", "class_id")

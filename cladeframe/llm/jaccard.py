@@ -2,20 +2,23 @@
 
 Count vectors: a set's shingles are hashed to 64 groups, and the counts by group are
 a point. The summed coordinate minima of two points bound the overlap of their sets
-from above, those of two bounding boxes that of all pairs in them. Points that share
-a shingle of their prefix meet (two linked sets share one of the first
+from above, those of two boxes' upper corners that of all pairs in them. Documents
+that share a shingle of their prefix meet (two linked sets share one of the first
 ``n - ceil(t n) + 1`` shingles in any fixed order; shingles that are frequent in a
-bounded sample come last, which changes no result), hot meetings are parted into
-leaves of an R-tree, and surviving pairs are verified on the full sets.
-
-Three rounds find components exactly: twice a forest of likely links between
-components so far is verified, at last all surviving pairs between different
-components are. So a hot group of near copies costs a forest, not all its pairs.
-Documents with equal sets are one class from the start.
+bounded sample come last, which changes no result). A meeting's points are packed into
+an R-tree by size and the widest coordinates; the tree is held against itself from the
+root down, and pairs of boxes whose bound admits no link are passed over. Documents
+with an admitted partner go on with their whole sets, and pairs are verified where they
+meet: only links that connect something new leave a task, so a group of near copies
+yields a forest, not all its pairs. Documents with equal sets are one class from the
+start; meetings too large for a task are cut (see ``meetings``).
 
 Cases: null and empty texts have the empty set and are linked with nothing; a text
-of fewer words than a shingle has one shingle of all its words; other columns are
-ignored; an empty table gives no rows; repeated ids are one document.
+of fewer words than a shingle has one shingle of all its words; very long texts are
+taken whole; rows of one id are one document as far as links go, and come back each
+with its own size; rows without an id are documents that never name a component (it is
+null where no linked document has an id); ids are below 2**62; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,17 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm import graph, shared, text
+from cladeframe.llm import graph, meetings, shared, text
 
 GROUPS = 64
-FINE_GROUPS = 256  # of the vectors that are held against each other before whole sets are
-LEAF = 512  # points in a leaf of the R-tree
-MEETING = 2048  # rows of one shingle that one task holds; beyond, meetings are parted
+LEAF = 64  # points in a leaf of the R-tree
 SAMPLE_DOCS = 16_384  # documents whose shingles decide which are frequent
 FREQUENT = 400  # of one in so many sampled documents
+SALTS = 16
+HASH_BITS = 48  # of a shingle
+LATE = 1 << 47  # tokens of frequent shingles have this bit
+NO_ID = 1 << 62  # keys of rows without an id are above
+U64 = np.uint64
 
 
 def needed(n, percent: int):
@@ -42,30 +48,52 @@ def needed(n, percent: int):
     return (n * percent + 99) // 100
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for first, last, data, offsets in text.string_slices(batch.column("text")):
-        doc, h = text.shingle_hashes(text.Words(data, offsets), k)
-        yield first, last, *text.distinct_per_document(doc, h, last - first)
+def _linkable(overlap: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * overlap >= percent * (n1 + n2 - overlap)
+
+
+def _sorted_by_owner(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Values below 2**48 in one sort: by owner (below 2**16), then by value."""
+    whole = owner.astype(U64) << U64(HASH_BITS) | value
+    whole.sort()
+    return whole
+
+
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, shingles ascending and distinct by document, bounds)."""
+    for first, last, data, offsets in text.string_slices(column):
+        for a in range(0, last - first, 1 << 15):  # rows of short texts
+            b = min(last - first, a + (1 << 15))
+            doc, h = text.shingle_hashes(text.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), k)
+            whole = _sorted_by_owner(doc, h >> U64(64 - HASH_BITS))
+            keep = np.ones(len(whole), bool)
+            keep[1:] = whole[1:] != whole[:-1]
+            whole = whole[keep]
+            yield first + a, first + b, whole & U64((1 << HASH_BITS) - 1), np.searchsorted(whole, np.arange(b - a + 1, dtype=U64) << U64(HASH_BITS))
 
 
 def _featurizer(k: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, value, bounds in _sets(batch, k):
-                n = np.diff(bounds)
-                owner = np.repeat(np.arange(last - first), n)
-                counts = np.zeros((last - first, GROUPS), np.int64)
-                np.add.at(counts, (owner, (value >> np.uint64(58)).astype(np.int64)), 1)
-                mixed = text.mix(value ^ np.uint64(0xA5A5A5A5DEADBEEF))
-                ends = np.concatenate([[0], np.cumsum(value, dtype=np.uint64)]), np.concatenate([[0], np.cumsum(mixed, dtype=np.uint64)])
-                late = np.isin(value, frequent) if len(frequent) else np.zeros(len(value), bool)
-                # An order unrelated to the groups: the mixed value.
-                order = np.lexsort((mixed, late, owner))
+            for first, last, value, bounds in _sets(batch.column("text"), k):
+                m, n = last - first, np.diff(bounds)
+                owner = np.repeat(np.arange(m), n)
+                counts = np.bincount(owner * GROUPS + (value >> U64(HASH_BITS - 6)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
+                mixed = text.mix(value ^ U64(0xA5A5A5A5DEADBEEF))
+                ends = np.concatenate([[0], np.cumsum(text.mix(value), dtype=U64)]), np.concatenate([[0], np.cumsum(mixed, dtype=U64)])
+                # An order unrelated to the groups: the mixed value; it names the token too.
+                tok = mixed >> U64(17)
+                if len(frequent):
+                    tok |= U64(LATE) * (frequent[np.searchsorted(frequent, value).clip(max=len(frequent) - 1)] == value)
+                ordered = _sorted_by_owner(owner, tok)
                 rank = np.arange(len(value)) - np.repeat(bounds[:-1], n)
                 keep = rank < np.repeat(np.where(n > 0, n - needed(n, percent) + 1, 0), n)
-                prefix, kept = value[order][keep], np.bincount(owner[keep], minlength=last - first)
+                prefix, kept = ordered[keep] & U64((1 << HASH_BITS) - 1), np.bincount(owner[keep], minlength=m)
+                wide = counts.max(1, initial=0) > 255
+                small = counts.astype(np.uint8)
+                packed = [counts[r].astype(np.uint32).tobytes() if w else small[r].tobytes() for r, w in enumerate(wide.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[first:last], pa.array(n), *(pa.array((e[bounds[1:]] - e[bounds[:-1]]).view(np.int64)) for e in ends), pa.array([r.astype(np.uint8 if r.max() < 256 else np.uint32).tobytes() for r in counts], pa.binary()), text.list_array(prefix.view(np.int64), np.concatenate([[0], np.cumsum(kept)]))],
+                    [batch.column("doc_id")[first:last], pa.array(n), *(pa.array((e[bounds[1:]] - e[bounds[:-1]]).view(np.int64)) for e in ends), pa.array(packed, pa.binary()), text.list_array(prefix.view(np.int64), np.concatenate([[0], np.cumsum(kept)]))],
                     names=["doc_id", "n", "sum1", "sum2", "counts", "prefix"],
                 )
 
@@ -75,7 +103,7 @@ def _featurizer(k: int, percent: int, frequent: np.ndarray):
 def _set_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, value, bounds in _sets(batch, k):
+            for first, last, value, bounds in _sets(batch.column("text"), k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], text.list_array(value.view(np.int64), bounds)], names=["doc_id", "shingles"])
 
     return run
@@ -88,225 +116,227 @@ def _frequent(own: DataFrame, k: int) -> np.ndarray:
     sample = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == 0)
     least = max(8, min(total, SAMPLE_DOCS) // FREQUENT)
     counts = sample.mapInArrow(text.released(_set_rows(k)), "doc_id long, shingles array<long>").select(F.explode("shingles").alias("s")).groupBy("s").count().filter(F.col("count") >= least)
-    return np.sort(np.array([r["s"] for r in counts.select("s").collect()], np.int64).view(np.uint64))
+    return np.sort(np.array([r["s"] for r in counts.select("s").collect()], np.int64).view(U64))
+
+
+class Tree:
+    """An R-tree over the points of one meeting: boxes are sizes from, to and upper corners of count vectors."""
+
+    def __init__(self, n: np.ndarray, counts: np.ndarray, percent: int):
+        self.n, self.counts, self.percent = n, counts, percent
+        self.rows: list[np.ndarray] = []
+        self.box: list[tuple[int, int, np.ndarray]] = []
+        self.children: list[tuple[int, int] | None] = []
+        self._build(np.arange(len(n)))
+
+    def _build(self, rows: np.ndarray) -> int:
+        """Place of a new node over the rows."""
+        here = len(self.rows)
+        n, counts = self.n[rows], self.counts[rows]
+        high = counts.max(0)
+        self.rows.append(rows)
+        self.box.append((int(n.min()), int(n.max()), high.astype(np.int64)))
+        self.children.append(None)
+        if len(rows) > LEAF:
+            # Sizes that can't link part first; then the coordinate that spreads most.
+            by = n if needed(int(n.max()), self.percent) > int(n.min()) else counts[:, int((high - counts.min(0)).argmax())]
+            order = rows[np.argsort(by, kind="stable")]
+            middle = (len(rows) // 2 + LEAF - 1) // LEAF * LEAF
+            self.children[here] = self._build(order[:middle]), self._build(order[middle:])
+        return here
+
+    def leaf_pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of every two leaves (or one twice) whose boxes admit a link, from the root down."""
+        stack = [(0, 0)]
+        while stack:
+            p, q = stack.pop()
+            (low_p, high_p, top_p), (low_q, high_q, top_q) = self.box[p], self.box[q]
+            if needed(max(low_p, low_q), self.percent) > min(high_p, high_q, int(np.minimum(top_p, top_q).sum())):
+                continue
+            down_p, down_q = self.children[p], self.children[q]
+            if down_p is None and down_q is None:
+                yield self.rows[p], self.rows[q]
+            elif p == q:
+                a, b = down_p
+                stack += [(a, b), (b, b), (a, a)]
+            elif down_q is None or (down_p is not None and len(self.rows[p]) >= len(self.rows[q])):
+                stack += [(c, q) for c in down_p]
+            else:
+                stack += [(p, c) for c in down_q]
+
+
+def _partnered(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which points of a meeting have another that the bounds allow, in another component and not on the same side."""
+    out = np.zeros(len(n), bool)
+    for x, y in Tree(n, counts, percent).leaf_pairs():
+        if out[x].all() and out[y].all():
+            continue
+        bound = np.minimum(counts[x][:, None, :], counts[y][None, :, :]).sum(2, dtype=np.int64)
+        ok = _linkable(bound, n[x][:, None], n[y][None, :], percent) & (comp[x][:, None] != comp[y][None, :]) & ((side[x][:, None] != side[y][None, :]) | (side[x] == 0)[:, None])
+        out[x] |= ok.any(1)
+        out[y] |= ok.any(0)
+    return out
 
 
-def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return start, np.diff(np.concatenate([start, [len(key)]]))
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    """Count vectors of packed rows: bytes where all are small, else wider numbers."""
+    packed = column.to_pylist()
+    if all(len(c) == GROUPS for c in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS)
+    return np.array([np.frombuffer(c, np.uint8 if len(c) == GROUPS else np.uint32) for c in packed], np.uint32).reshape(-1, GROUPS)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables with whole runs of an ascending key, from batches in that order."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        column = batch.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.searchsorted(column, column[-1]))
-        if cut or (held and held[-1].column(key)[-1].as_py() != column[0]):
-            if cut:
-                held.append(batch.slice(0, cut))
-            if held:
-                yield pa.Table.from_batches(held)
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of their shingle: for every shingle of several documents these, under a key of the set of documents."""
-    for table in _grouped(batches, "tok"):
-        tok, doc = (table.column(c).to_numpy() for c in ("tok", "doc_id"))
-        start, size = _runs(tok)
-        root = np.repeat(np.minimum.reduceat(doc, start), size)
-        key = np.repeat(text.mix(np.add.reduceat(text.mix(doc.view(np.uint64) + np.uint64(7)), start) + size.astype(np.uint64)), size)
-        keep = np.repeat(size, size) > 1
-        rows = np.unique(np.stack([key[keep].view(np.int64), root[keep], doc[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2])], names=["tok", "root", "doc_id"])
-
-
-def _linkable(bound: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * bound >= percent * (n1 + n2 - bound)
-
-
-def _leaf_pairs(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j of one meeting that the bounds allow and whose components differ.
-
-    Points are packed into leaves by size and two coordinates; boxes that can't hold a
-    linked pair are passed over.
-    """
-    order = np.lexsort((counts[:, 0], n))
-    leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
-    high = [counts[x].max(0) for x in leaves]
-    size = [(n[x].min(), n[x].max()) for x in leaves]
-    out = []
-    for p, x in enumerate(leaves):
-        for q in range(p, len(leaves)):
-            y = leaves[q]
-            bound = int(np.minimum(high[p], high[q]).sum())
-            if needed(size[q][0], percent) > min(size[p][1], bound):
-                continue
-            for r, i in enumerate(x):
-                j = y[r + 1 :] if p == q else y
-                j = j[(needed(np.maximum(n[j], n[i]), percent) <= np.minimum(n[j], n[i])) & (comp[j] != comp[i])]
-                if len(j):
-                    b = np.minimum(counts[i], counts[j]).sum(1)
-                    ok = _linkable(b, n[i], n[j], percent)
-                    if ok.any():
-                        out.append((np.full(int(ok.sum()), i), j[ok], b[ok]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    i, j, b = (np.concatenate(c) for c in zip(*out, strict=True))
-    return i, j, b
-
-
-class Forest:
-    """Which documents the pairs so far connect."""
-
-    def __init__(self):
-        self.parent: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    def kept(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Places of the pairs that connect something new, the heaviest first."""
-        keep = []
-        for k in np.argsort(-weight, kind="stable").tolist():
-            x, y = self.root(int(a[k])), self.root(int(b[k]))
-            if x != y:
-                self.parent[max(x, y)] = min(x, y)
-                keep.append(k)
-        return np.array(keep, np.int64)
-
-
-def _meet(percent: int, forest: bool):
+def _coarse(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = Forest()
-        for table in _grouped(batches, "key"):
-            key, doc, n, comp = (table.column(c).to_numpy() for c in ("key", "doc_id", "n", "comp"))
-            counts = np.array([np.frombuffer(c, np.uint8 if len(c) == GROUPS else np.uint32) for c in table.column("counts").to_pylist()], np.int32)
-            n = n.astype(np.int64)
-            start, size = _runs(key)
-            found = []
-            i = start[size == 2]  # most meetings: all at once
+        for table in meetings.grouped(batches, "gid"):
+            gid, n, comp, side = (table.column(c).to_numpy() for c in ("gid", "n", "comp", "side"))
+            counts = _vectors(table.column("counts"))
+            keep = np.zeros(len(gid), bool)
+            start, size = meetings.runs(gid)
+            i = start[size == 2]  # most groups: all at once
             if len(i):
-                b = np.minimum(counts[i], counts[i + 1]).sum(1)
-                ok = _linkable(b, n[i], n[i + 1], percent) & (comp[i] != comp[i + 1])
-                found.append((i[ok], i[ok] + 1, b[ok]))
+                bound = np.minimum(counts[i], counts[i + 1]).sum(1, dtype=np.int64)
+                ok = _linkable(bound, n[i], n[i + 1], percent) & (comp[i] != comp[i + 1]) & ((side[i] != side[i + 1]) | (side[i] == 0))
+                keep[i] = keep[i + 1] = ok
             for s, z in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                i, j, b = _leaf_pairs(n[s : s + z], counts[s : s + z], comp[s : s + z], percent)
-                found.append((s + i, s + j, b))
-            pairs = []
-            for i, j, b in found:
-                if forest and len(i):
-                    keep = trees.kept(comp[i], comp[j], b / (n[i] + n[j] - b))
-                    i, j = i[keep], j[keep]
-                pairs.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])], 1))
-            if pairs:
-                told = np.unique(np.concatenate(pairs), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(told[:, 0]), pa.array(told[:, 1])], names=["a", "b"])
+                own = slice(s, s + z)
+                keep[own] = _partnered(n[own], counts[own], comp[own], side[own], percent)
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(pa.array(keep)) for c in ("gid", "doc_id", "comp", "side")], names=["gid", "doc_id", "comp", "side"])
 
     return run
 
 
-def _candidates(meetings: DataFrame, points: DataFrame, percent: int, forest: bool, n_parts: int) -> DataFrame:
-    """Pairs (a, b) of documents that share a prefix shingle and that the count vectors allow.
-
-    Shingles of over MEETING documents are parted: their rows get one of s salts, and
-    every two salts meet in a task of their own.
-    """
-    rows = meetings.join(points, "doc_id")
-    hot = meetings.groupBy("tok").count().filter(F.col("count") > MEETING).select("tok", F.ceil(F.col("count") / MEETING).cast("int").alias("s"))
-    rows = rows.join(hot, "tok", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("s")).cast("int")
-    rows = rows.withColumn("salt", salt).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    rows = rows.withColumn("key", F.when(F.col("s") == 1, F.col("tok")).otherwise(F.xxhash64("tok", F.least("salt", "other"), F.greatest("salt", "other"))))
-    # Meetings of one group of copies mostly have the same smallest document: few tasks see them, and a task's forest spans them.
-    deal = F.xxhash64("root", F.pmod("key", F.lit(4))) if forest else F.col("key")
-    dealt = rows.select("key", "doc_id", "n", "comp", "counts", deal.alias("deal")).repartition(n_parts, "deal").sortWithinPartitions("key")
-    return dealt.mapInArrow(text.released(_meet(percent, forest)), "a long, b long").distinct()
-
-
-def _vectors(k: int, groups: int):
-    """Rows (doc_id, n, fine): counts by groups that are unrelated to those of the points."""
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Overlap of every two sets, as products of the membership matrix, some columns at a time."""
+    z = len(sets)
+    owner = np.repeat(np.arange(z), [len(s) for s in sets])
+    whole = np.concatenate(sets)
+    order = np.argsort(whole, kind="stable")
+    owner, whole = owner[order], whole[order]
+    start, size = meetings.runs(whole)
+    held = np.repeat(size > 1, size)  # what one set alone has adds nothing
+    owner, column = owner[held], np.repeat(np.cumsum(size > 1) - 1, size)[held]
+    out = np.zeros((z, z), np.float32)
+    width = max(1, (1 << 22) // z)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [c, c + width])
+        member = np.zeros((z, min(width, int(column[-1]) + 1 - c)), np.float32)
+        member[owner[a:b], column[a:b] - c] = 1
+        out += member @ member.T
+    return np.rint(out).astype(np.int64)
+
+
+def _exact(percent: int):
+    """Links that connect something new, of groups whose rows bring their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, value, bounds in _sets(batch, k):
-                n = np.diff(bounds)
-                owner = np.repeat(np.arange(last - first), n)
-                group = (text.mix(value ^ np.uint64(0x1234567)) % np.uint64(groups)).astype(np.int64)
-                counts = np.bincount(owner * groups + group, minlength=(last - first) * groups).reshape(-1, groups)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first:last], pa.array(n), pa.array([r.astype(np.uint8 if r.max() < 256 else np.uint32).tobytes() for r in counts], pa.binary())], names=["doc_id", "n", "fine"])
-
-    return run
-
-
-def _fine_filter(percent: int, groups: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            va, vb = ([np.frombuffer(c, np.uint8 if len(c) == groups else np.uint32) for c in batch.column(x).to_pylist()] for x in ("fa", "fb"))
-            bound = np.array([int(np.minimum(x, y).sum()) for x, y in zip(va, vb, strict=True)], np.int64)
-            ok = _linkable(bound, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok))
+        trees = meetings.Forest()
+        for table in meetings.grouped(batches, "gid"):
+            gid, doc, comp, side = (table.column(c).to_numpy() for c in ("gid", "doc_id", "comp", "side"))
+            lists = table.column("shingles").combine_chunks()
+            value = lists.values.to_numpy(zero_copy_only=False)
+            bounds = lists.offsets.to_numpy()
+            links: list[tuple[int, int]] = []
+            for s, z in zip(*(x.tolist() for x in meetings.runs(gid)), strict=True):
+                ids, comps, sides = doc[s : s + z], comp[s : s + z], side[s : s + z]
+                if len({trees.root(c) for c in comps.tolist()}) == 1:
+                    continue
+                sets = [value[bounds[i] : bounds[i + 1]] for i in range(s, s + z)]
+                n = np.array([len(x) for x in sets])
+                if z == 2:
+                    overlap = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]])
+                    overlap = np.concatenate([overlap, overlap[:, ::-1]])
+                else:
+                    overlap = _overlaps(sets)
+                ok = _linkable(overlap, n[:, None], n[None, :], percent) & (comps[:, None] != comps[None, :]) & ((sides[:, None] != sides[None, :]) | (sides == 0)[:, None])
+                left = np.ones(z, bool)
+                for i in range(z):
+                    if not left[i]:
+                        continue
+                    left[i], stack = False, [i]
+                    while stack:
+                        x = stack.pop()
+                        new = np.flatnonzero(ok[x] & left)
+                        left[new] = False
+                        for y in new.tolist():
+                            stack.append(y)
+                            if trees.join(int(comps[x]), int(comps[y])):
+                                links.append((int(ids[x]), int(ids[y])))
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _of_ids(own: DataFrame, pairs: DataFrame) -> DataFrame:
-    ids = shared.stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def _of_ids(own: DataFrame, rows: DataFrame) -> DataFrame:
+    ids = shared.stored(rows.select("doc_id").distinct(), "ids")
     return own.join(shared.sized_broadcast(ids), "doc_id", "left_semi")
 
 
-def _verified(pairs: DataFrame, own: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose sets link. Finer count vectors, a sixteenth of a set's size, are held against each other first."""
-    fine = shared.stored(_of_ids(own, pairs).mapInArrow(text.released(_vectors(k, FINE_GROUPS)), "doc_id long, n long, fine binary"), "vectors")
-    both = pairs.join(fine.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa")), "a").join(fine.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb")), "b")
-    left = shared.stored(both.mapInArrow(text.released(_fine_filter(percent, FINE_GROUPS)), "a long, b long"), "pairs")
-    sets = shared.stored(_of_ids(own, left).mapInArrow(text.released(_set_rows(k)), "doc_id long, shingles array<long>"), "sets")
-    sided = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    linked = sided.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
-    return linked.filter(F.lit(100) * F.col("o") >= F.lit(percent) * (F.col("t") - F.col("o"))).select("a", "b")
+def row_key(doc_id: Column, said: Column) -> Column:
+    """The id, or a number above all ids that equal texts without an id share."""
+    return F.coalesce(doc_id.cast("long"), F.shiftrightunsigned(F.xxhash64(said), 2) + F.lit(NO_ID))
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id: sets link when 100 * overlap >= percent * union."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
+def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """key, n, component by row; keys are those of ``row_key``."""
+    said = F.col(text_col).cast("string")
+    own = docs.select(row_key(F.col(id_col), said).alias("doc_id"), said.alias("text"))
     n_parts = shared.parallelism(docs)
     schema = "doc_id long, n long, sum1 long, sum2 long, counts binary, prefix array<long>"
     points = shared.stored(own.mapInArrow(text.released(_featurizer(k, percent, _frequent(own, k))), schema), "points")
     # Equal sets are one class, whose smallest id stands for it.
     classes = shared.stored(points.filter("n > 0").groupBy("sum1", "sum2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = points.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    tokens = reps.select(F.explode("prefix").alias("tok"), "doc_id").repartition(n_parts, "tok").sortWithinPartitions("tok")
-    # Near copies share many shingles: each set of documents meets once.
-    meetings = shared.stored(tokens.mapInArrow(text.released(_meetings), "tok long, root long, doc_id long").distinct(), "meetings")
-    light = shared.stored(reps.select("doc_id", "n", "counts"), "points")
-    comp = links = tested = None
-    for forest in (True, True, False):
-        named = light.withColumn("comp", F.col("doc_id")) if comp is None else light.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-        pairs = _candidates(meetings, named, percent, forest, n_parts)
-        pairs = shared.stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if comp is not None and pairs.isEmpty():
-            continue
-        found = shared.stored(_verified(pairs, own, k, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comp = shared.stored(graph.components(links), "components")
+    reps = points.join(classes.select("sum1", "sum2", "n", F.col("rep").alias("doc_id")), ["sum1", "sum2", "n", "doc_id"], "left_semi")
+    tokens = reps.select(F.explode("prefix").alias("tok"), "doc_id", "n")
+    late = F.col("tok") >= F.lit(LATE)
+    met = meetings.meetings(tokens.filter(~late), n_parts, tokens.filter(late))
+    light = shared.stored(reps.select("doc_id", "counts"), "points")
+
+    def verify(groups: DataFrame) -> DataFrame:
+        rows = groups.join(light, "doc_id").select("gid", "doc_id", "n", "comp", "side", "counts").repartition(n_parts, "gid").sortWithinPartitions("gid")
+        left = shared.stored(rows.mapInArrow(text.released(_coarse(percent)), "gid long, doc_id long, comp long, side int"), "partnered")
+        sets = shared.stored(_of_ids(own, left).mapInArrow(text.released(_set_rows(k)), "doc_id long, shingles array<long>"), "sets")
+        both = left.join(sets, "doc_id").select("gid", "doc_id", "comp", "side", "shingles").repartition(n_parts, "gid").sortWithinPartitions("gid")
+        return both.mapInArrow(text.released(_exact(percent)), "a long, b long")
+
+    # An id with several texts is one document: the classes of its texts are linked.
+    twice = shared.stored(points.filter("n > 0").groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select("doc_id"), "twice")
+    more = None
+    if not twice.isEmpty():
+        named = points.join(twice, "doc_id", "left_semi").join(classes, ["sum1", "sum2", "n"]).select("doc_id", "rep").distinct()
+        more = shared.stored(named.join(named.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").filter("a != b").distinct(), "links")
+    comp = meetings.connected(met, verify, more)
+    if comp is None:
+        comp = docs.sparkSession.createDataFrame([], "node long, component long")
     of_rep = comp.withColumnRenamed("node", "rep")
     named = classes.join(of_rep, "rep", "left").select("sum1", "sum2", "n", F.coalesce("component", "rep").alias("component"))
     # A class of many copies is a hot key: its rows are salted, its one name is copied to each salt.
-    salts = 16
-    left = points.select("doc_id", "n", "sum1", "sum2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    right = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, ["sum1", "sum2", "n", "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    left = points.select("doc_id", "n", "sum1", "sum2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    right = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, ["sum1", "sum2", "n", "salt"], "left").select(F.col("doc_id").alias("key"), "n", F.coalesce("component", "doc_id").alias("component"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id by row: sets link when 100 * overlap >= percent * union."""
+    told = lambda c: F.when(F.col(c) < F.lit(NO_ID), F.col(c))
+    return _components(docs, k, percent, id_col, text_col).select(told("key").alias("doc_id"), F.col("n").alias("n_shingles"), told("component").alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs``, with all their columns: of each component those of the smallest id, one row an id (the least text by hash, then by itself)."""
+    gone = shared.stored(_components(docs, k, percent, id_col, text_col).filter("key != component").select(F.col("key").alias("__key")).distinct(), "gone")
+    keyed = docs.withColumn("__own", row_key(docs[id_col], docs[text_col].cast("string")))
+    kept = keyed.join(shared.sized_broadcast(gone), F.col("__own") == F.col("__key"), "left_anti")
+    twice = shared.stored(kept.groupBy("__own").count().filter("count > 1").select(F.col("__own").alias("__key")), "twice")
+    if twice.isEmpty():
+        return kept.drop("__own")
+    many = shared.sized_broadcast(twice)
+    columns = [c for c in kept.columns if c != "__own"]
+    row = F.struct(F.xxhash64(text_col).alias("__h"), *(F.col(c) for c in columns))
+    least = kept.join(many, F.col("__own") == F.col("__key"), "left_semi").groupBy("__own").agg(F.min(row).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in columns))
+    return kept.join(many, F.col("__own") == F.col("__key"), "left_anti").drop("__own").unionByName(least)
 
 
 #: The same classes by plain SQL, for three words and 90 per cent.

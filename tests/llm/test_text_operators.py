@@ -10,7 +10,7 @@ import zlib
 import pytest
 from helpers import ODD, lower, make_docs, prose, words
 
-from cladeframe.llm import decontaminate, fingerprint, jaccard, licenses, lm, secrets, suffixes, tokens
+from cladeframe.llm import decontaminate, fingerprint, jaccard, licenses, lm, meetings, secrets, suffixes, tokens
 
 
 @pytest.fixture(scope="module")
@@ -78,7 +78,7 @@ def test_jaccard(spark, texts, k, percent):
 
 def test_jaccard_hot_meetings(spark, monkeypatch):
     """Meetings that are parted by salts, and leaves of few points, give the same components."""
-    monkeypatch.setattr(jaccard, "MEETING", 5)
+    monkeypatch.setattr(meetings, "MEETING", 5)
     monkeypatch.setattr(jaccard, "LEAF", 4)
     base = prose(80, seed=5).split()
     texts = []
@@ -276,12 +276,12 @@ def test_fingerprint_classes_in_full_buckets(spark):
     for _ in range(20):
         for i, j in pairs:
             root[i] = root[j] = min(root[i], root[j])
-    fingerprint.BUCKET, kept = 16, fingerprint.BUCKET
+    meetings.MEETING, kept = 16, meetings.MEETING
     try:
         docs = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
         got = {x["doc_id"]: x["class_id"] for x in fingerprint.near_classes(docs, 0.8).collect()}
     finally:
-        fingerprint.BUCKET = kept
+        meetings.MEETING = kept
     assert len(pairs) >= 60 and got == dict(enumerate(root))
 
 
