@@ -72,6 +72,21 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
             yield first + a, first + b, whole & U64((1 << HASH_BITS) - 1), np.searchsorted(whole, np.arange(b - a + 1, dtype=U64) << U64(HASH_BITS))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """One byte a group where all are small, else four; the first byte says which."""
+    wide = len(counts) > 0 and counts.max() > 255
+    return (b"\4" if wide else b"\1") + counts.astype(np.uint32 if wide else np.uint8).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.uint32, offset=1).astype(np.uint32)
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by fewer groups; both numbers are powers of two."""
+    return counts if len(counts) == groups else counts.reshape(groups, -1).sum(1, dtype=np.uint32)
+
+
 def _featurizer(k: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,12 +104,14 @@ def _featurizer(k: int, percent: int, frequent: np.ndarray):
                 rank = np.arange(len(value)) - np.repeat(bounds[:-1], n)
                 keep = rank < np.repeat(np.where(n > 0, n - needed(n, percent) + 1, 0), n)
                 prefix, kept = ordered[keep] & U64((1 << HASH_BITS) - 1), np.bincount(owner[keep], minlength=m)
-                wide = counts.max(1, initial=0) > 255
-                small = counts.astype(np.uint8)
-                packed = [counts[r].astype(np.uint32).tobytes() if w else small[r].tobytes() for r, w in enumerate(wide.tolist())]
+                # As many finer groups as a fourth of the set's size: they bound long texts as tightly as short ones.
+                bits = np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 4)).astype(np.int64), 6)
+                at = np.concatenate([[0], np.cumsum(1 << bits)])
+                fine = np.bincount(at[owner] + (value >> (HASH_BITS - bits[owner]).astype(U64)).astype(np.int64), minlength=int(at[-1]))
+                packed = [_packed(counts[r]) for r in range(m)], [_packed(fine[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[first:last], pa.array(n), *(pa.array((e[bounds[1:]] - e[bounds[:-1]]).view(np.int64)) for e in ends), pa.array(packed, pa.binary()), text.list_array(prefix.view(np.int64), np.concatenate([[0], np.cumsum(kept)]))],
-                    names=["doc_id", "n", "sum1", "sum2", "counts", "prefix"],
+                    [batch.column("doc_id")[first:last], pa.array(n), *(pa.array((e[bounds[1:]] - e[bounds[:-1]]).view(np.int64)) for e in ends), *(pa.array(x, pa.binary()) for x in packed), text.list_array(prefix.view(np.int64), np.concatenate([[0], np.cumsum(kept)]))],
+                    names=["doc_id", "n", "sum1", "sum2", "counts", "fine", "prefix"],
                 )
 
     return run
@@ -165,43 +182,71 @@ class Tree:
                 stack += [(p, c) for c in down_q]
 
 
-def _partnered(n: np.ndarray, counts: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Which points of a meeting have another that the bounds allow, in another component and not on the same side."""
-    out = np.zeros(len(n), bool)
+def _minima(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Summed minima of every row of x with every row of y."""
+    if x.shape[1] <= GROUPS:
+        return np.minimum(x[:, None, :], y[None, :, :]).sum(2, dtype=np.int64)
+    return np.stack([np.minimum(row, y).sum(1, dtype=np.int64) for row in x])
+
+
+def _parted(n: np.ndarray, counts: np.ndarray, fine: list[np.ndarray] | None, comp: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which points of a meeting the bounds connect: a label by row, its own place for rows that are alone.
+
+    Only pairs in different components and not on the same side count.
+    """
+    label = np.arange(len(n))
     for x, y in Tree(n, counts, percent).leaf_pairs():
-        if out[x].all() and out[y].all():
+        if len(set(label[x].tolist()) | set(label[y].tolist())) == 1:
             continue
-        bound = np.minimum(counts[x][:, None, :], counts[y][None, :, :]).sum(2, dtype=np.int64)
+        if fine is None:
+            bound = _minima(counts[x], counts[y])
+        else:
+            groups = min(len(fine[r]) for r in (*x.tolist(), *y.tolist()))
+            bound = _minima(*(np.stack([_folded(fine[r], groups) for r in z.tolist()]) for z in (x, y)))
         ok = _linkable(bound, n[x][:, None], n[y][None, :], percent) & (comp[x][:, None] != comp[y][None, :]) & ((side[x][:, None] != side[y][None, :]) | (side[x] == 0)[:, None])
-        out[x] |= ok.any(1)
-        out[y] |= ok.any(0)
-    return out
+        while True:
+            i, j = np.nonzero(ok & (label[x][:, None] != label[y][None, :]))
+            if not len(i):
+                break
+            a, b = label[x[i[0]]], label[y[j[0]]]
+            label[label == max(a, b)] = min(a, b)
+    return label
 
 
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     """Count vectors of packed rows: bytes where all are small, else wider numbers."""
     packed = column.to_pylist()
-    if all(len(c) == GROUPS for c in packed):
-        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS)
-    return np.array([np.frombuffer(c, np.uint8 if len(c) == GROUPS else np.uint32) for c in packed], np.uint32).reshape(-1, GROUPS)
+    if all(len(c) == GROUPS + 1 for c in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS + 1)[:, 1:]
+    return np.array([_unpacked(c) for c in packed], np.uint32).reshape(-1, GROUPS)
 
 
-def _coarse(percent: int):
+def _coarse(percent: int, finer: bool):
+    """Groups parted into what the bounds connect, without rows that are alone; ``finer``: by vectors as long as sets need."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in meetings.grouped(batches, "gid"):
             gid, n, comp, side = (table.column(c).to_numpy() for c in ("gid", "n", "comp", "side"))
-            counts = _vectors(table.column("counts"))
-            keep = np.zeros(len(gid), bool)
+            fine = [_unpacked(c) for c in table.column("counts").to_pylist()] if finer else None
+            counts = np.stack([_folded(c, GROUPS) for c in fine]) if finer else _vectors(table.column("counts"))
+            keep, part = np.zeros(len(gid), bool), np.zeros(len(gid), np.int64)
             start, size = meetings.runs(gid)
             i = start[size == 2]  # most groups: all at once
             if len(i):
                 bound = np.minimum(counts[i], counts[i + 1]).sum(1, dtype=np.int64)
                 ok = _linkable(bound, n[i], n[i + 1], percent) & (comp[i] != comp[i + 1]) & ((side[i] != side[i + 1]) | (side[i] == 0))
+                if finer:
+                    for a in np.flatnonzero(ok).tolist():
+                        x, y = fine[i[a]], fine[i[a] + 1]
+                        groups = min(len(x), len(y))
+                        ok[a] = _linkable(np.minimum(_folded(x, groups), _folded(y, groups)).sum(dtype=np.int64), n[i[a]], n[i[a] + 1], percent)
                 keep[i] = keep[i + 1] = ok
             for s, z in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
                 own = slice(s, s + z)
-                keep[own] = _partnered(n[own], counts[own], comp[own], side[own], percent)
-            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().filter(pa.array(keep)) for c in ("gid", "doc_id", "comp", "side")], names=["gid", "doc_id", "comp", "side"])
+                label = part[own] = _parted(n[own], counts[own], fine[own] if finer else None, comp[own], side[own], percent)
+                keep[own] = np.bincount(label, minlength=z)[label] > 1
+            gid = np.where(part > 0, text.mix(gid.view(U64) + part.astype(U64)).view(np.int64), gid)
+            yield pa.RecordBatch.from_arrays([pa.array(gid[keep]), *(table.column(c).combine_chunks().filter(pa.array(keep)) for c in ("doc_id", "n", "comp", "side"))], names=["gid", "doc_id", "n", "comp", "side"])
 
     return run
 
@@ -284,7 +329,7 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     said = F.col(text_col).cast("string")
     own = docs.select(row_key(F.col(id_col), said).alias("doc_id"), said.alias("text"))
     n_parts = shared.parallelism(docs)
-    schema = "doc_id long, n long, sum1 long, sum2 long, counts binary, prefix array<long>"
+    schema = "doc_id long, n long, sum1 long, sum2 long, counts binary, fine binary, prefix array<long>"
     points = shared.stored(own.mapInArrow(text.released(_featurizer(k, percent, _frequent(own, k))), schema), "points")
     # Equal sets are one class, whose smallest id stands for it.
     classes = shared.stored(points.filter("n > 0").groupBy("sum1", "sum2", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -292,11 +337,17 @@ def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: st
     tokens = reps.select(F.explode("prefix").alias("tok"), "doc_id", "n")
     late = F.col("tok") >= F.lit(LATE)
     met = meetings.meetings(tokens.filter(~late), n_parts, tokens.filter(late))
-    light = shared.stored(reps.select("doc_id", "counts"), "points")
+    light = shared.stored(reps.select("doc_id", "counts", "fine"), "vectors")
+
+    def bounded(groups: DataFrame, vectors: str) -> DataFrame:
+        rows = groups.join(light.select("doc_id", F.col(vectors).alias("counts")), "doc_id").select("gid", "doc_id", "n", "comp", "side", "counts")
+        left = rows.repartition(n_parts, "gid").sortWithinPartitions("gid").mapInArrow(text.released(_coarse(percent, vectors == "fine")), "gid long, doc_id long, n long, comp long, side int")
+        return shared.stored(left, "partnered")
 
     def verify(groups: DataFrame) -> DataFrame:
-        rows = groups.join(light, "doc_id").select("gid", "doc_id", "n", "comp", "side", "counts").repartition(n_parts, "gid").sortWithinPartitions("gid")
-        left = shared.stored(rows.mapInArrow(text.released(_coarse(percent)), "gid long, doc_id long, comp long, side int"), "partnered")
+        left = bounded(groups, "counts")
+        left = bounded(meetings.merged(left.filter("side = 0")).unionByName(left.filter("side > 0")), "fine")
+        left = shared.stored(meetings.gathered(left), "groups")
         sets = shared.stored(_of_ids(own, left).mapInArrow(text.released(_set_rows(k)), "doc_id long, shingles array<long>"), "sets")
         both = left.join(sets, "doc_id").select("gid", "doc_id", "comp", "side", "shingles").repartition(n_parts, "gid").sortWithinPartitions("gid")
         return both.mapInArrow(text.released(_exact(percent)), "a long, b long")

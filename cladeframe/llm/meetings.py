@@ -21,6 +21,7 @@ from cladeframe.llm import graph, shared, text
 
 MEETING = 1024  # rows of a group, about
 WEIGHT = 1 << 21  # and their summed weight
+SMALL = 64  # rows of a group that cost next to nothing
 LONG_RUN = 1 << 18  # rows of one token beyond which they pass on without being compared to other tokens' rows
 U64 = np.uint64
 
@@ -123,19 +124,38 @@ def meetings(tokens: DataFrame, n_parts: int, frequent: DataFrame | None = None)
 
 
 def keys_of(met: DataFrame) -> DataFrame:
-    """key, c, w, root, s (tasks it is cut for) of meetings of several documents, stored."""
-    keys = met.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.min("doc_id").alias("root")).filter("c > 1")
+    """key, c, w, s (tasks it is cut for) of meetings of several documents, stored."""
+    keys = met.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w")).filter("c > 1")
     s = F.greatest(F.ceil(F.col("c") / MEETING), F.ceil(F.col("w") / WEIGHT)).cast("int")
     return shared.stored(keys.withColumn("s", s), "keys")
 
 
+def merged(rows: DataFrame) -> DataFrame:
+    """gid, doc_id, n and other columns of the document: groups of one smallest document are one where their union is SMALL or hardly larger than the largest."""
+    sizes = rows.groupBy("gid").agg(F.count("*").alias("c"), F.min("doc_id").alias("root"))
+    named = rows.join(sizes, "gid")
+    unions = named.groupBy("root", "doc_id").agg(F.max("c").alias("c"), F.max("n").alias("n")).groupBy("root").agg(F.count("*").alias("docs"), F.max("c").alias("c"), F.sum("n").alias("w"))
+    one = unions.filter((F.col("docs") <= F.greatest(2 * F.col("c"), F.lit(SMALL))) & (F.col("w") <= 2 * WEIGHT)).select("root", F.lit(True).alias("one"))
+    gid = F.when(F.col("one"), F.xxhash64("root", F.lit("root"))).otherwise(F.col("gid"))
+    return named.join(one, "root", "left").select(gid.alias("gid"), *(c for c in rows.columns if c != "gid")).distinct()
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """gid, doc_id, n, comp, side: groups that share documents are one where a task can hold them; groups with sides stay."""
+    roots = rows.filter("side = 0").groupBy("gid").agg(F.min("doc_id").alias("a"))
+    edges = shared.stored(rows.filter("side = 0").join(roots, "gid").select("gid", "a", F.col("doc_id").alias("b"), "n"), "edges")
+    comp = graph.components(edges)
+    if edges.isEmpty():
+        return rows
+    named = edges.join(comp.withColumnRenamed("node", "a"), "a").select("gid", "component", F.col("b").alias("doc_id"), "n")
+    sizes = named.groupBy("component", "doc_id").agg(F.max("n").alias("n")).groupBy("component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    new = named.join(sizes.filter((F.col("c") <= MEETING) & (F.col("w") <= WEIGHT)), "component").select("gid", F.xxhash64("component", F.lit("gathered")).alias("new")).distinct()
+    return rows.join(new, "gid", "left").select(F.coalesce("new", "gid").alias("gid"), "doc_id", "n", "comp", "side").distinct()
+
+
 def cold_groups(met: DataFrame, keys: DataFrame) -> DataFrame:
-    """gid, doc_id, n: meetings that one task can hold, those of one root together where they are much the same."""
-    rows = met.join(keys.filter("s = 1").select("key", "root", "c"), "key")
-    unions = rows.groupBy("root", "doc_id").agg(F.max("c").alias("c"), F.max("n").alias("n")).groupBy("root").agg(F.count("*").alias("docs"), F.max("c").alias("c"), F.sum("n").alias("w"))
-    merged = unions.filter((F.col("docs") <= 2 * F.col("c")) & (F.col("w") <= 2 * WEIGHT)).select("root", F.lit(True).alias("merged"))
-    gid = F.when(F.col("merged"), F.xxhash64("root", F.lit("root"))).otherwise(F.col("key"))
-    return rows.join(merged, "root", "left").select(gid.alias("gid"), "doc_id", "n").distinct()
+    """gid, doc_id, n: meetings that one task can hold."""
+    return merged(met.join(keys.filter("s = 1").select("key"), "key").withColumnRenamed("key", "gid"))
 
 
 def _named(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
