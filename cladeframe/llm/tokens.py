@@ -13,7 +13,11 @@ table gives an empty file set; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import codecs
+import functools
+import itertools
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,9 +31,9 @@ from cladeframe.llm import shared, text
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Words whose ids a task remembers at most; it starts anew beyond them.
-REMEMBERED_WORDS = 300_000
-SLICE_BYTES = 4 << 20
+#: Words whose ids a worker remembers at most; beyond, it forgets those that only one slice had.
+REMEMBERED_WORDS = 250_000
+SLICE_BYTES = 1 << 20
 TOKENS_SCHEMA = "doc_id long, n_tokens long, crc long, tokens array<int>"
 
 
@@ -42,36 +46,46 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.keep(np.zeros(0, np.int64))
+
+    index: dict[bytes, int] = {}
+    flat = begin = length = hits = np.zeros(0, np.int32)
+
+    def keep(self, rows: np.ndarray) -> None:
+        """Forget all words but those of the ascending rows."""
+        words = list(self.index)
+        self.index = {words[r]: k for k, r in enumerate(rows.tolist())}
+        length = self.length[rows].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        flat = self.flat[np.repeat(self.begin[rows] - ends[:-1], length) + np.arange(ends[-1])]
+        self.used = int(ends[-1])
+        room = 1 << max(14, int(len(rows)).bit_length())
+        self.flat = np.concatenate([flat, np.zeros(max(1 << 16, self.used), np.int32)])
+        self.begin, self.length, self.hits = np.zeros(room, np.int64), np.zeros(room, np.int32), np.zeros(room, np.int32)
+        self.begin[: len(rows)], self.length[: len(rows)] = ends[:-1], length
 
     def pieces(self, word: bytes) -> list[int]:
-        """Ids of one word. Letters alone are one piece, which goes straight to the model."""
-        if word.isalpha():
-            return [t.id for t in self.model.tokenize(word.decode().lower())]
+        """Ids of one word that isn't letters of ASCII alone."""
+        if word.isascii() and b"'" not in word and b"<|" not in word:  # letters, single digits and the rest are pieces
+            return [t.id for p in _PIECE.findall(word.decode().lower()) for t in self.model.tokenize(p)]
         said = word.decode()
-        plain = unicodedata.normalize("NFC", said)
+        plain = said if unicodedata.is_normalized("NFC", said) else unicodedata.normalize("NFC", said)
         plain = "".join(c.lower() for c in plain) if "\u03a3" in plain else plain.lower()  # no final sigma
         if plain.isalpha():
-            return [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(_BYTE_CHARS))]
+            return [t.id for t in self.model.tokenize(codecs.charmap_decode(plain.encode(), "strict", _BYTE_CHARS)[0])]
         return self.tokenizer.encode(said, add_special_tokens=False).ids
 
     def add(self, words: list[bytes]) -> None:
-        ids = [self.pieces(w) for w in words]
+        one, other = self.model.tokenize, self.pieces
+        # Letters alone are one piece, which goes straight to the model.
+        ids = [[t.id for t in one(w.decode().lower())] if w.isalpha() else other(w) for w in words]
         lengths = np.fromiter(map(len, ids), np.int32, len(ids))
-        new = np.array([i for x in ids for i in x], np.int32)
+        new = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lengths.sum()))
         n = len(self.index)
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(ids) > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-            self.length = np.concatenate([self.length, np.zeros_like(self.length)])
+            self.begin, self.length, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length, self.hits))
         self.flat[self.used : self.used + len(new)] = new
         self.begin[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(ids)] = lengths
@@ -81,17 +95,28 @@ class WordCache:
     def rows(self, words: list[bytes]) -> np.ndarray:
         """Places of distinct words in the cache."""
         if len(self.index) + len(words) > REMEMBERED_WORDS:
-            self.clear()
+            often = np.flatnonzero(self.hits[: len(self.index)] > 1)
+            self.keep(often if len(often) + len(words) <= REMEMBERED_WORDS else np.zeros(0, np.int64))
         if missing := [w for w in words if w not in self.index]:
             self.add(missing)
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.hits[rows] += 1
+        return rows
+
+
+@functools.lru_cache(maxsize=1)
+def _cache(path: str) -> WordCache:
+    """The worker's cache, which its next tasks go on with."""
+    return WordCache(path)
 
 
+_PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _STOPS = np.isin(np.arange(256), [ord(","), ord(".")])
 #: Byte-level vocabularies write a byte as itself where it prints, else as a letter from 256 on.
 _PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTS)))}
+_OTHERS = sorted(set(range(256)) - set(_PRINTS))
+_BYTE_CHARS = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
 
 
 def encode_slice(cache: WordCache, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +140,7 @@ def encode_slice(cache: WordCache, data: np.ndarray, offsets: np.ndarray) -> tup
 
 def encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(path)  # goes with the task: workers live on
+        cache = _cache(path)
         for batch in batches:
             for first, last, data, offsets in text.string_slices(batch.column("text"), SLICE_BYTES):
                 ids, bounds = encode_slice(cache, data, offsets)
@@ -185,7 +210,8 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = read_tokens(spark, path).withColumn("file", F.col("_metadata.file_name")).select("doc_id", "tokens", "file").mapInArrow(text.released(_checksums), "doc_id long, n_tokens long, ids_crc32 long, file string")
     lengths = read_tokens(spark, path, metadata_only=True).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.sum("n_tokens").alias("total"))
-    # Files are named by the writing task, tasks hold ascending ranges of ids.
-    before = lengths.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    # Files are numbered by the writing task, tasks hold ascending ranges of ids.
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = lengths.select("file", (F.sum("total").over(Window.orderBy(number, "file")) - F.col("total")).alias("before"))
     within = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(F.broadcast(before), "file").select("doc_id", (F.col("before") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
