@@ -73,6 +73,13 @@ def dense(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
 
 
+def _dense_parts(texts: list[str]) -> Iterator[np.ndarray]:
+    """``dense`` of a few texts at a time: the whole table would be large for a driver."""
+    for a in range(0, len(texts), 200):
+        for *_, data, offsets in text.string_slices(pa.array(texts[a : a + 200], pa.string()), SLICE):
+            yield dense(data, offsets)
+
+
 class Model:
     """languages, and the folded weights: presence vectors @ weights + bias are the regressions' values."""
 
@@ -85,15 +92,14 @@ class Model:
         languages = sorted(set(labels))
         if not languages:
             return cls([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-        x = np.concatenate([dense(d, o) for i in range(0, len(texts), 200) for *_, d, o in text.string_slices(pa.array(texts[i : i + 200]), SLICE)])
         y = np.array([languages.index(v) for v in labels])
         rng = np.random.default_rng(seed)
         each = max(1, LANDMARKS // len(languages))
         marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:each] for k in range(len(languages))])
-        z = x[marks]
+        z = np.concatenate(list(_dense_parts([texts[k] for k in marks.tolist()])))
         values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
         root = vectors / np.sqrt(np.maximum(values, 1e-6))  # Nyström: features = k(x, z) @ root
-        feats = (x @ z.T).astype(np.float64) @ root
+        feats = np.concatenate([(x @ z.T).astype(np.float64) for x in _dense_parts(texts)]) @ root
         target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
         # Languages weigh alike, however many samples they have.
         w = 1.0 / np.bincount(y, minlength=len(languages))[y]
@@ -194,6 +200,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def identify_language(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, lang_pred, score; ``training`` holds the labelled rows (``docs`` by default)."""
     model = Model.fit(*training_rows(docs if training is None else training, id_col, text_col, lang_col, limit))
+    text.give_back()
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(text.released(_predictor(model)), "doc_id long, lang_pred string, score double")
 
@@ -207,6 +214,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text",
     """
     fit = Model.fit_open if open_set else Model.fit
     model = fit(*training_rows(docs, id_col, text_col, lang_col))
+    text.give_back()
     if not model.languages:
         model = Model(["any"], np.zeros((BUCKETS, 1), np.float32), np.ones(1, np.float32))
     predict = _predictor(model)

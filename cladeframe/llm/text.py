@@ -152,14 +152,19 @@ def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType | None
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind) if kind else pa.array(values))
 
 
+def give_back() -> None:
+    """Return the memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, after which the worker, which lives on, gives back the memory that it freed."""
 
     def then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return then_release
