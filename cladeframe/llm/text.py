@@ -32,7 +32,7 @@ NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 def _power(kind: str, n: int) -> np.ndarray:
     have = _powers[kind]
     if len(have) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         steps = np.full(size, _BASE if kind == "up" else _INVERSE, U64)
         steps[0] = U64(1)
         have = _powers[kind] = np.multiply.accumulate(steps)

@@ -14,7 +14,6 @@ table gives an empty file set; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import codecs
-import functools
 import itertools
 import os
 import re
@@ -31,8 +30,8 @@ from cladeframe.llm import shared, text
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
-#: Words whose ids a worker remembers at most; beyond, it forgets those that only one slice had.
-REMEMBERED_WORDS = 250_000
+#: Words whose ids a task remembers at most; beyond, it forgets those that only one slice had.
+REMEMBERED_WORDS = 200_000
 SLICE_BYTES = 1 << 20
 TOKENS_SCHEMA = "doc_id long, n_tokens long, crc long, tokens array<int>"
 
@@ -104,12 +103,6 @@ class WordCache:
         return rows
 
 
-@functools.lru_cache(maxsize=1)
-def _cache(path: str) -> WordCache:
-    """The worker's cache, which its next tasks go on with."""
-    return WordCache(path)
-
-
 _PIECE = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 _STOPS = np.isin(np.arange(256), [ord(","), ord(".")])
@@ -140,7 +133,7 @@ def encode_slice(cache: WordCache, data: np.ndarray, offsets: np.ndarray) -> tup
 
 def encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(path)
+        cache = WordCache(path)  # goes with the task: workers live on, and other tasks' words are mostly others
         for batch in batches:
             for first, last, data, offsets in text.string_slices(batch.column("text"), SLICE_BYTES):
                 ids, bounds = encode_slice(cache, data, offsets)
