@@ -710,11 +710,6 @@ def al_tblastn_chain(spark, d):
     return alignment.hit_chains(_segments(spark, d), ["l_orderkey"])
 
 
-@query()
-def agg_chain_summary(spark, d):
-    return alignment.chain_summary(al_tblastn_chain(spark, d), ["l_orderkey"])
-
-
 @query()
 def jn_gt_partition(spark, d):
     rows = c.cohort(spark, d).select("accession", "gt", F.col("nt").alias("seq"))

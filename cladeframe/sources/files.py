@@ -59,6 +59,23 @@ def write_fasta(rows: DataFrame, path: str, header: str = "header", seq: str = "
     rows.select(F.concat(F.lit(">"), header, F.lit("\n"), sequences.wrap(F.col(seq), width)).alias("value")).write.mode("overwrite").text(path)
 
 
+def rewrite_fasta(kept: DataFrame, path: str, width: int = 70) -> None:
+    """Kept records (header, seq) below a new folder, a file a study: a rewrite never touches what it reads."""
+    kept.select("ref_id", F.concat(F.lit(">"), "header", F.lit("\n"), sequences.wrap(F.col("seq"), width)).alias("value")).repartition("ref_id").write.mode("errorifexists").partitionBy("ref_id").text(path)
+
+
+def concatenated(spark: SparkSession, paths: str | Sequence[str], path: str, endings: Sequence[str] | None = FASTA_ENDINGS) -> None:
+    """All FASTA files as one text below ``path``, in the order of their paths, each ended by a new line; whole records stay together."""
+    whole = _whole(spark, paths, endings).select("path", F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"\n$", "").alias("value"))
+    whole.orderBy("path").select("value").write.mode("errorifexists").text(path)
+
+
+def write_report(texts: DataFrame, path: str, by: Sequence[str] = (), text: str = "text") -> None:
+    """Texts as files; ``by``: a folder a value."""
+    writer = texts.select(*by, F.col(text).alias("value")).write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).text(path)
+
+
 def read_table(spark: SparkSession, paths: str | Sequence[str], required: Sequence[str] = (), sep: str = ",") -> DataFrame:
     """All columns as trimmed text, blank for missing; a byte-order mark is dropped; missing required columns are an error."""
     df = spark.read.csv(paths, header=True, multiLine=True, escape='"', sep=sep, encoding="UTF-8")

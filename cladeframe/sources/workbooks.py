@@ -90,6 +90,34 @@ def workbook_bytes(tables: dict[str, tuple[list[str], list[list]]]) -> bytes:
     return out.getvalue()
 
 
+SHEET_ROWS = 1_048_575  # below the head; the format holds no more
+SHEETS = 255
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """One workbook of small tables, on any file system that Spark writes to. More rows or sheets than the format holds are an error."""
+    if len(sheets) > SHEETS:
+        raise ValueError(f"more than {SHEETS} sheets")
+    told = {}
+    for name, rows in sheets.items():
+        found = rows.limit(SHEET_ROWS + 1).collect()
+        if len(found) > SHEET_ROWS:
+            raise ValueError(f"more than {SHEET_ROWS} rows in sheet {name}")
+        told[name] = rows.columns, [list(r) for r in found]
+    spark = next(iter(sheets.values())).sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(workbook_bytes(told))
+    out.close()
+
+
+def write_tabs(rows: DataFrame, by: str, path: str, order: Sequence[str] = (), more: dict[str, DataFrame] | None = None) -> None:
+    """One sheet a value of ``by``, in its order, after the sheets of ``more`` (counts, exclusions)."""
+    values = [r[0] for r in rows.select(by).distinct().orderBy(by).limit(SHEETS + 1).collect()]
+    own = {str(v): rows.filter(rows[by].eqNullSafe(v)).drop(by) for v in values}
+    write_workbook((more or {}) | {k: v.orderBy(*order) if order else v for k, v in own.items()}, path)
+
+
 def document_pages(raw: bytes) -> list[str]:
     """A DOCX file's paragraphs, parted where page breaks stand."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
