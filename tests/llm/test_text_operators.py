@@ -186,8 +186,28 @@ def test_template_automaton():
     assert a.longest(b"grant of all use to many other people now x".split()) == 9
     assert a.longest(b"grant of use to people".split()) == 0
     assert a.longest(b"grant use to one two three people".split()) == 0
-    with pytest.raises(ValueError):
-        licenses.compile_template("t", "[maybe] grant")
+    b = licenses.compile_template("t", "give (one [or two]|{2} three) cups [of (tea [hot]|milk)] end")
+    for said, n in (("give one cups end", 4), ("give one or two cups of tea end", 8), ("give x y three cups of milk end", 8), ("give three cups of tea hot end", 7), ("give or two cups end", 0), ("give one cups of hot end", 0), ("give cups end", 0)):
+        assert b.longest(said.encode().split()) == n
+    for wrong in ("[maybe] grant", "grant (a|b", "grant [a)"):
+        with pytest.raises(ValueError):
+            licenses.compile_template("t", wrong)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_licenses(spark):
+    altered = MIT.replace("The above copyright", "The Software shall be used for Good, not Evil.\n\nThe above copyright")
+    bsd = licenses.TEMPLATES["bsd-3-clause-text"]
+    plain = lambda t: re.sub(r"\{\d+\}", "acme", re.sub(r"\(([^()|]*)\|[^()]*\)", r"\1", re.sub(r"\[[^\[\]]*\]", "", t)))
+    docs = make_docs(spark, [MIT, altered, "Copyright Acme. " + plain(bsd), MIT.replace("the Authors", "Acme Inc.").replace('"', "”"), None])
+    got = [r["labels"] for r in sorted(licenses.scan_licenses(docs).collect(), key=lambda r: r["doc_id"])]
+    assert got[0] == "mit-opening,mit-text" and got[1] == "mit-opening" and got[2] == "bsd-3-clause-text,bsd-opening" and got[4] == ""
 
 
 def test_decontamination(spark):
