@@ -92,6 +92,18 @@ def test_jaccard_hot_meetings(spark, monkeypatch):
     assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 3, 90)
 
 
+def test_jaccard_without_ids(spark):
+    """Rows without an id are compared and never name a component; an id with several texts links what they link."""
+    one, two, three = (prose(60, seed=k) for k in (101, 102, 103))
+    rows = [(5, one), (None, one), (None, two), (None, two + " end"), (9, two), (7, three), (7, one + " more"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_components(docs, 3, 90).collect()), key=repr)
+    assert got == sorted([(5, 5), (None, 5), (None, 9), (None, 9), (9, 9), (7, 5), (7, 5), (None, None)], key=repr)
+    kept = jaccard.representatives(docs, 3, 90)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(5, one), (9, two), (None, None)], key=repr)
+
+
 def brute_repeats(rows, length):
     data = [(i, (t or "").encode()) for i, t in rows]
     count = collections.Counter(b[p : p + length] for _, b in data for p in range(len(b) - length + 1))
