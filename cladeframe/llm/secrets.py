@@ -1,17 +1,19 @@
 """Secret scans in DataFrame functions alone.
 
-Three patterns give the base spans. A battery of randomness tests gives further ones:
-every stretch of at least ``CANDIDATE`` characters of an encoding's alphabet is held
-against the hypothesis that it is ordinary text. Its encoding (hexadecimal, base 32,
-base 64 or plain letters) is inferred from its characters and says how often two
-characters of ordinary text are equal; digits alone are a number. Without a digit the
-letters are held alone, and a capital before a small letter begins a word. Chi-squared uniformity over
-that alphabet (as the number of equal pairs) and the number of runs of character
-classes each give a probability under that hypothesis, and Fisher's method combines
-them; serial correlation of neighbouring characters vetoes ordered stretches. Within
-each class of length, the Benjamini-Hochberg rule over the candidates of all documents
-keeps false discoveries below ``FALSE_RATE``: probabilities are counted in tenths of a
-decade, so only a table of classes and bins reaches the driver.
+Three patterns give the base spans. A battery of randomness tests gives further ones,
+from every stretch of at least ``CANDIDATE`` characters that holds a letter. The
+stretch's encoding is inferred from its characters (``ENCODINGS``, the first that fits)
+and sets the alphabet and the constants of three tests: chi-squared uniformity over that
+alphabet, the number of runs of character classes (vowels and consonants where there is
+one class only; elsewhere a capital before a small letter begins a word) and the serial
+correlation of neighbours' places in the alphabet.
+
+A stretch passes if no test rejects that it is drawn at random (``GATE`` standard
+errors). Passing says little of short stretches, so it must also be unlike ordinary
+text: Fisher's method combines the chances that ordinary text is as uniform and has such
+runs. Within each class of length, the Benjamini-Hochberg rule over the candidates of
+all documents keeps false discoveries below ``FALSE_RATE``: probabilities are counted in
+tenths of a decade, so only a table of classes and bins reaches the driver.
 
 A regular expression's matches get their places from the lengths of the pieces
 between them: all in one row, so neither joins nor groups are needed.
@@ -24,6 +26,7 @@ table gives no rows.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +43,36 @@ CANDIDATE = 20
 STRETCH = rf"([A-Za-z0-9+/_=-]{{{CANDIDATE},}})"
 LENGTH_CLASSES = (20, 24, 32, 48, 64)
 FALSE_RATE = 0.01
-TEXT_EQUAL = 0.066  # chance that two letters of ordinary text are equal
-HEX_EQUAL = 0.12  # chance that two characters of ordinary numbers and letters up to f are equal
-HEX_DIGITS = "0123456789abcdef"
-BASE32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-TEXT_CHANGE = 0.12  # chance that neighbours in ordinary text differ in class
-SERIAL_LIMIT = 3.3  # standard errors of a serial correlation that no random stretch has
+GATE = 3.7  # standard errors from what a random string has
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """What a random string and ordinary text look like in an encoding. ``change``, ``spread``: mean and variance of a random
+    string's changes of class a step; ``text_change``: ordinary text's; ``equal``, ``triple``: chance that two, three of its characters are equal.
+    ``vowels``: classes are vowels and consonants. ``folds``: in one case, whichever."""
+
+    pattern: str
+    alphabet: str
+    change: float
+    spread: float
+    text_change: float
+    equal: float = 0.066
+    triple: float = 0.0054
+    vowels: bool = False
+    folds: bool = False
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: In order; the last fits all. Changes of two classes follow from their shares, those of three from simulation.
+ENCODINGS = (
+    Encoding("^([a-z]+|[A-Z]+)$", LOWER, 0.311, 0.332, 0.62, vowels=True, folds=True),
+    Encoding("^[A-Za-z]+$", UPPER + LOWER, 0.249, 0.183, 0.05),
+    Encoding("^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.469, 0.278, 0.12, 0.12, 0.017, folds=True),
+    Encoding("^[A-Z2-7]+$", UPPER + "234567", 0.305, 0.331, 0.08),
+    Encoding("^([a-z0-9]+|[A-Z0-9]+)$", DIGITS + LOWER, 0.401, 0.32, 0.12, folds=True),
+    Encoding("", UPPER + LOWER + DIGITS + "+/", 0.479, 0.305, 0.15),
+)
 
 
 def matches(text: str, pattern: str, group: int, least: int) -> Column:
@@ -72,33 +99,82 @@ def _tail(z: Column) -> Column:
     return F.greatest(F.when(z >= 0, upper).otherwise(1 - upper), F.lit(1e-300))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once (a lambda's own variable)."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def _encoding(value: Column) -> Column:
+    """The constants of the first encoding whose alphabet holds all of ``value``."""
+    fields = lambda e: F.struct(*(F.lit(getattr(e, k)).alias(k) for k in ("change", "spread", "text_change", "equal", "triple", "vowels", "folds", "alphabet")), F.lit(float(len(e.alphabet))).alias("size"))
+    out = fields(ENCODINGS[-1])
+    for e in reversed(ENCODINGS[:-1]):
+        out = F.when(value.rlike(e.pattern), fields(e)).otherwise(out)
+    return out
+
+
+def _changes(value: Column, vowels: Column) -> Column:
+    """Number of neighbours that differ in class."""
+    cased = value
+    for pattern, sign in (("[A-Z](?=[a-z])", "a"), ("[a-z]", "a"), ("[A-Z]", "B"), ("[0-9]", "0"), ("[+/_-]", "-")):
+        cased = F.regexp_replace(cased, pattern, sign)
+    spoken = F.regexp_replace(F.regexp_replace(F.lower(value), "[aeiou]", "1"), "[a-z]", "2")
+    return F.length(F.regexp_replace(F.when(vowels, spoken).otherwise(cased), r"(.)\1*", ".")).cast("double") - 1
+
+
+def _uniformity(x: Column) -> tuple[Column, Column]:
+    """Standard errors of chi-squared above that of a random string, and below that of ordinary text; from equal pairs."""
+    n, size, equal = x["n"], x["e"]["size"], x["e"]["equal"]
+    chi = (n + 2 * x["pairs"]) * size / n - n
+    text = (n + n * (n - 1) * equal) * size / n - n
+    text_spread = F.sqrt(2 * n * (n - 1) * (equal * (1 - equal) + 2 * (n - 2) * (x["e"]["triple"] - equal * equal))) * size / n
+    return (chi - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n), (text - chi) / text_spread
+
+
+def _runs(x: Column) -> tuple[Column, Column]:
+    """Standard errors of the changes of class from a random string's, and from ordinary text's on the random side."""
+    e, steps = x["e"], x["n"] - 1
+    side = F.when(e["text_change"] < e["change"], 1.0).otherwise(-1.0)
+    return (x["changes"] - steps * e["change"]) / F.sqrt(steps * e["spread"]), side * (x["changes"] - steps * e["text_change"]) / F.sqrt(steps * e["text_change"] * (1 - e["text_change"]))
+
+
+def _serial(x: Column) -> Column:
+    """Standard errors of the correlation between neighbours' places in the alphabet."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, y: a + y)
+
+    def correlation(off: Column) -> Column:
+        square = total(F.transform(off, lambda y: y * y))
+        cross = total(F.zip_with(off, F.slice(off, 2, F.size(off)), lambda y, z: F.coalesce(y * z, F.lit(0.0))))
+        return F.when(square > 0, (cross / square + 1 / x["n"]) * F.sqrt(x["n"])).otherwise(F.lit(math.inf))
+
+    return _let(total(x["place"]) / x["n"], lambda mean: _let(F.transform(x["place"], lambda y: y - mean), correlation))
+
+
 def probability(value: Column) -> Column:
-    """Probability of the battery's result for ordinary text; 1 for stretches that it can't take for secrets."""
-    lettered = value.rlike("[A-Za-z]")
-    digitless = ~value.rlike("[0-9]")
-    value = F.when(digitless, F.regexp_replace(value, "[+/_=-]", "")).otherwise(value)
-    n = F.length(value).cast("double")
-    chars = F.split(value, "")
-    is_hex = value.rlike("^([0-9a-f]+|[0-9A-F]+)$")
-    is_base32 = ~is_hex & value.rlike("^[A-Z2-7]+=*$")
-    equal = F.when(is_hex, F.lit(HEX_EQUAL)).otherwise(F.lit(TEXT_EQUAL))
+    """Chance of the battery's result for ordinary text; 1 for stretches that a test rejects as not random."""
     state = F.struct(F.lit("").alias("c"), F.lit(0).alias("run"), F.lit(0).cast("long").alias("pairs"))
-    folded = lambda acc, x: F.struct(x.alias("c"), F.when(acc["c"] == x, acc["run"] + 1).otherwise(0).alias("run"), (acc["pairs"] + F.when(acc["c"] == x, acc["run"] + 1).otherwise(0)).alias("pairs"))
-    pairs = F.aggregate(F.array_sort(chars), state, folded, lambda acc: acc["pairs"]) / (n * (n - 1) / 2)
-    spread = F.sqrt(2 * equal * (1 - equal) / (n * (n - 1)))
-    uniform = _tail((equal - pairs) / spread)
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.when(digitless, F.regexp_replace(value, "[A-Z](?=[a-z])", "a")).otherwise(value), "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0"), "[+/_=-]", "-")
-    changes = F.length(F.regexp_replace(classes, r"(.)\1*", ".")).cast("double") - 1
-    runs = _tail((changes - (n - 1) * TEXT_CHANGE) / F.sqrt((n - 1) * F.lit(TEXT_CHANGE * (1 - TEXT_CHANGE))))
-    log = F.log(uniform) + F.log(runs)
-    fisher = F.exp(log) * (1 - log)
-    # The alphabet's own order.
-    codes = F.transform(chars, lambda c: F.when(is_hex, F.instr(F.lit(HEX_DIGITS), F.lower(c))).when(is_base32, F.instr(F.lit(BASE32_DIGITS), c)).otherwise(F.ascii(c)).cast("double"))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean
-    cross = F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(value)), lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x) / (n - 1)
-    serial = F.when(var > 0, F.abs((cross - mean * mean) / var) * F.sqrt(n)).otherwise(F.lit(math.inf))
-    return F.when(lettered & (n >= CANDIDATE) & (serial < SERIAL_LIMIT), F.least(fisher, F.lit(1.0))).otherwise(F.lit(1.0))
+
+    def folded(acc: Column, c: Column) -> Column:
+        run = F.when(acc["c"] == c, acc["run"] + 1).otherwise(0)
+        return F.struct(c.alias("c"), run.alias("run"), (acc["pairs"] + run).alias("pairs"))
+
+    def measured(v: Column, e: Column, chars: Column) -> Column:
+        pairs = F.aggregate(F.array_sort(chars), state, folded, lambda acc: acc["pairs"])
+        place = F.transform(chars, lambda c: F.instr(e["alphabet"], c).cast("double"))
+        return F.struct(e.alias("e"), F.length(v).cast("double").alias("n"), pairs.alias("pairs"), _changes(v, e["vowels"]).alias("changes"), place.alias("place"))
+
+    def judged(x: Column) -> Column:
+        chi, text_chi = _uniformity(x)
+        runs, text_runs = _runs(x)
+        random = (chi < GATE) & (F.abs(runs) < GATE) & (F.abs(_serial(x)) < GATE)
+        combined = _let(F.log(_tail(text_chi)) + F.log(_tail(text_runs)), lambda log: F.least(F.exp(log) * (1 - log), F.lit(1.0)))
+        return F.when((x["n"] >= CANDIDATE) & random, combined).otherwise(F.lit(1.0))
+
+    bare = F.regexp_replace(value, "=+$", "")
+    bare = F.when(value.rlike("[0-9]"), bare).otherwise(F.regexp_replace(value, "[+/_=-]", ""))
+    lower = lambda v, e: F.when(e["folds"], F.lower(v)).otherwise(v)
+    chance = _let(bare, lambda v: _let(_encoding(v), lambda e: _let(F.split(lower(v, e), ""), lambda chars: _let(measured(v, e, chars), judged))))
+    return F.when(value.rlike("[A-Za-z]"), chance).otherwise(F.lit(1.0))
 
 
 def _class_of(n: Column) -> Column:

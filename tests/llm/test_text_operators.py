@@ -175,6 +175,21 @@ def test_secrets_of_letters_alone(spark):
     assert [found[3 * k + 1] for k in range(len(keys + plain))] == [["random"]] * len(keys) + [[]] * len(plain)
 
 
+def test_secrets_by_encoding(spark):
+    """Random strings of every alphabet are found, paths, names and times are not."""
+    r = random.Random(5)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [lower + lower.upper() + digits + "+/", lower.upper() + "234567", digits + "ABCDEF", lower + digits, lower + lower.upper(), lower]
+    some = "get user account settings by name value total service manager internal application connection response".split()
+    pick = lambda n: r.choices(some, k=n)
+    keys = ["".join(r.choices(a, k=n)) for a in alphabets for n in (32, 48) for _ in range(20)]
+    plain = [f(k) for k in range(20) for f in (lambda k: "/".join(["api", f"v{k % 9}", *pick(5)]), lambda k: "".join(w.capitalize() for w in pick(5)) + str(k), lambda k: "-".join(pick(4)), lambda k: f"2024-01-{10 + k}T10-20-{30 + k}Z")]
+    docs = spark.createDataFrame(list(enumerate(f"see {x} here" for x in keys + plain)), "doc_id long, text string")
+    found = {x["doc_id"]: [d["kind"] for d in x["found"]] for x in secrets.scan_secrets(docs).collect()}
+    assert sum("random" in found[k] for k in range(len(keys))) >= 0.9 * len(keys)
+    assert sum("random" in found[k + len(keys)] for k in range(len(plain))) <= 1
+
+
 def test_licenses(spark, texts):
     more = ["Released under the MIT License.", "Released under the terms of the MIT license; MIT, License", "licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
             "This work is licensed under the GNU General Public License, version 3.", "the mit licenses", "mit license mit license general public license"]
