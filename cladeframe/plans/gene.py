@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeframe import genes
 from cladeframe.functions import labels, sequences
-from cladeframe.operators import alignment, distance, hits, profiles, selection
+from cladeframe.operators import alignment, distance, extraction, hits, profiles, selection
 
 LABEL_COLUMNS = ["source_note", "source_organism", "source_strain", "source_serotype"]
 
@@ -103,10 +103,23 @@ class GenePlan:
         own = windows.join(records.select(F.col("accession").alias("query"), F.col("seq").alias("nt")), "query").select(F.col("query").alias("accession"), sequences.aa_window(cut, F.col("sstart").cast("int")).alias("aa"))
         rows = assigned.join(own, "accession", "left").join(F.broadcast(references.select("gt", F.col("seq").alias("ref"))), "gt", "left").repartition("accession")
         aligned = rows.withColumn("al", alignment.aligner()(F.coalesce("aa", F.lit("")), F.coalesce("ref", F.lit(""))))
-        out = aligned.withColumn("x", alignment.anchored(F.col("al.query"), F.col("al.ref"), F.col("al.ref_start")))
+        return self._anchored(aligned, F.col("al.query"), F.col("al.ref"), F.col("al.ref_start")).drop("al", "aa", "ref")
+
+    def extracted_proteins(self, assigned: DataFrame, records: DataFrame, references: DataFrame, refine: bool = False) -> DataFrame:
+        """As ``proteins`` without hits: the gene's best reading in the whole sequence. ``references``: gt, seq (bases) [, begin, end: known residues]."""
+        known = [c for c in ("begin", "end") if c in references.columns]
+        refs = references.select("gt", F.col("seq").alias("ref_nt"), *(F.col(c).alias(f"known_{c}") for c in known))
+        rows = assigned.join(records.select("accession", F.col("seq").alias("nt")), "accession", "left").join(F.broadcast(refs), "gt", "left").repartition("accession")
+        ends = {c: F.col(f"known_{c}") for c in known}
+        found = rows.withColumn("gene", extraction.extracted(F.col("nt"), F.col("ref_nt"), refine=refine, **ends)).withColumn("ref", sequences.translate(F.col("ref_nt")))
+        return self._anchored(found, F.col("gene.aligned_query"), F.col("gene.aligned_ref"), F.lit(1)).drop("gene", "nt", "ref", "ref_nt", *(f"known_{c}" for c in known))
+
+    def _anchored(self, aligned: DataFrame, query: Column, ref: Column, ref_start: Column) -> DataFrame:
+        """Adds seq, start, end and quality of an aligned protein; the genotype's protein is in ``ref``."""
+        out = aligned.withColumn("x", alignment.anchored(query, ref, ref_start))
         has = F.length("x.aa") >= genes.MIN_OVERLAP_AA
-        out = out.withColumns({"seq": F.when(has, F.col("x.aa")), "start": F.when(has, F.col("x.start")), "end": F.when(has, F.col("x.end"))}).drop("al", "x", "aa")
-        out = out.withColumn("quality", alignment.quality(F.col("seq"), F.col("start"), F.col("end"), F.col("ref"), self.gene)).drop("ref")
+        out = out.withColumns({"seq": F.when(has, F.col("x.aa")), "start": F.when(has, F.col("x.start")), "end": F.when(has, F.col("x.end"))}).drop("x")
+        out = out.withColumn("quality", alignment.quality(F.col("seq"), F.col("start"), F.col("end"), F.col("ref"), self.gene))
         return out if self.options.keep_blank else out.filter("seq is not null")
 
     def profile_rows(self, proteins: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cladeframe import genes
 from cladeframe.functions import labels, sequences
-from cladeframe.operators import alignment, distance, grouping, hits, profiles, selection
+from cladeframe.operators import alignment, distance, extraction, grouping, hits, profiles, selection
 from cladeframe.plans import cohort as c
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,6 +694,12 @@ def al_extract_aa(spark, d):
     return rows.select("accession", alignment.anchored(F.col("al.query"), F.col("al.ref"), F.col("al.ref_start")).alias("x")).select("accession", "x.*")
 
 
+@query()
+def al_gene_extract(spark, d):
+    found = c.cohort(spark, d).select("accession", extraction.extracted(F.col("nt"), F.lit("ATGGCTTGCGATGAATTC"), refine=True).alias("gene"))
+    return found.select("accession", "gene.score", "gene.frame", "gene.aa", "gene.aligned_ref_nt", "gene.aligned_query_nt")
+
+
 @query()
 def al_frameshift_dp(spark, d):
     return c.cohort(spark, d).select("accession", alignment.frameshift_refined()(F.lit("ACD"), F.col("nt")).alias("f")).select("accession", "f.*")
