@@ -11,7 +11,7 @@ import re
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe import genes
@@ -97,6 +97,11 @@ def best_reading(found: list[Reading]) -> Reading | None:
     return min(found, key=lambda x: (x.stops, -x.score, -x.signatures, -x.informative, x.ignored), default=None)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by a hash of ``key`` over all shuffle partitions: extraction costs time, not bytes, so small tables aren't coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def extracted(seq: Column, ref: Column, preferred: Column | None = None, begin: Column | None = None, end: Column | None = None, refine: bool = False, flank: int = FLANK) -> Column:
     """struct of the best reading of the gene ``ref`` (bases) in ``seq``; its fields are null where nothing aligns.
 

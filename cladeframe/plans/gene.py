@@ -109,7 +109,7 @@ class GenePlan:
         """As ``proteins`` without hits: the gene's best reading in the whole sequence. ``references``: gt, seq (bases) [, begin, end: known residues]."""
         known = [c for c in ("begin", "end") if c in references.columns]
         refs = references.select("gt", F.col("seq").alias("ref_nt"), *(F.col(c).alias(f"known_{c}") for c in known))
-        rows = assigned.join(records.select("accession", F.col("seq").alias("nt")), "accession", "left").join(F.broadcast(refs), "gt", "left").repartition("accession")
+        rows = extraction.spread(assigned.join(records.select("accession", F.col("seq").alias("nt")), "accession", "left").join(F.broadcast(refs), "gt", "left"), "accession")
         ends = {c: F.col(f"known_{c}") for c in known}
         found = rows.withColumn("gene", extraction.extracted(F.col("nt"), F.col("ref_nt"), refine=refine, **ends)).withColumn("ref", sequences.translate(F.col("ref_nt")))
         return self._anchored(found, F.col("gene.aligned_query"), F.col("gene.aligned_ref"), F.lit(1)).drop("gene", "nt", "ref", "ref_nt", *(f"known_{c}" for c in known))

@@ -696,7 +696,8 @@ def al_extract_aa(spark, d):
 
 @query()
 def al_gene_extract(spark, d):
-    found = c.cohort(spark, d).select("accession", extraction.extracted(F.col("nt"), F.lit("ATGGCTTGCGATGAATTC"), refine=True).alias("gene"))
+    rows = extraction.spread(c.cohort(spark, d).select("accession", "nt"), "accession")
+    found = rows.select("accession", extraction.extracted(F.col("nt"), F.lit("ATGGCTTGCGATGAATTC"), refine=True).alias("gene"))
     return found.select("accession", "gene.score", "gene.frame", "gene.aa", "gene.aligned_ref_nt", "gene.aligned_query_nt")
 
 
