@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import jaccard, lm
+from cladeframe.llm import audit, jaccard, lm, resampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,20 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), stable_scan=True).drop("kept")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cladeframe.llm import simhash
+
+    return simhash.simhash_components(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_fingerprint": op2_fingerprint,
@@ -95,5 +109,8 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op10_license_scan": op10_license_scan,
+    "op11_simhash": op11_simhash,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_resampling": op13_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": jaccard.ORACLE_SQL, "op9_stupid_backoff": lm.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_jaccard_join": jaccard.ORACLE_SQL, "op9_stupid_backoff": lm.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL, "op13_resampling": resampling.ORACLE_SQL}

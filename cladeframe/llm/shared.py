@@ -58,3 +58,15 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     """Rows of ``docs`` whose id is not in the one column of ``ids``; null ids stay."""
     gone = stored(ids.select(F.col(ids.columns[0]).alias("__gone")).distinct(), "gone")
     return docs.join(sized_broadcast(gone), docs[id_col] == F.col("__gone"), "left_anti")
+
+
+def joined_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of ``left`` (stored) with the one row of ``right`` that has their key.
+
+    Keys that hold more than a quarter of a task's fair share of the rows, at most four
+    a task whatever the data, take their row by broadcast; all others by shuffle.
+    """
+    share = max(1, left.count() // (4 * parallelism(left)))
+    hot = stored(left.groupBy(key).count().filter(F.col("count") > share).select(key).join(right, key), "hot")
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(cold.join(right, key))
