@@ -66,12 +66,12 @@ class WordCache:
     def pieces(self, word: bytes) -> list[int]:
         """Ids of one word that isn't letters of ASCII alone."""
         if word.isascii() and b"'" not in word and b"<|" not in word:  # letters, single digits and the rest are pieces
-            return [t.id for p in _PIECE.findall(word.decode().lower()) for t in self.model.tokenize(p)]
+            return [t.id for p in _PIECE.findall(word.decode().lower()) for t in self.model.tokenize(_as_chars(p.encode()))]
         said = word.decode()
         plain = said if unicodedata.is_normalized("NFC", said) else unicodedata.normalize("NFC", said)
         plain = "".join(c.lower() for c in plain) if "\u03a3" in plain else plain.lower()  # no final sigma
         if plain.isalpha():
-            return [t.id for t in self.model.tokenize(codecs.charmap_decode(plain.encode(), "strict", _BYTE_CHARS)[0])]
+            return [t.id for t in self.model.tokenize(_as_chars(plain.encode()))]
         return self.tokenizer.encode(said, add_special_tokens=False).ids
 
     def add(self, words: list[bytes]) -> None:
@@ -112,6 +112,10 @@ _OTHERS = sorted(set(range(256)) - set(_PRINTS))
 _BYTE_CHARS = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
 
 
+def _as_chars(piece: bytes) -> str:
+    return codecs.charmap_decode(piece, "strict", _BYTE_CHARS)[0]
+
+
 def encode_slice(cache: WordCache, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds by document) of a slice, as the tokenizer gives them for each whole text.
 

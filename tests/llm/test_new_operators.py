@@ -315,3 +315,38 @@ def test_queries(spark, tmp_path):
     assert audited == brute_audit([(i, t, s) for i, t, _, s, _ in rows], labels)
     drawn = {x["doc_id"]: [x["n_features"], x["weight"], x["score"], x["rank"]] for x in queries.op13_resampling(spark, str(tmp_path)).collect()}
     assert drawn == brute_resample([(i, t) for i, t, *_ in rows], target)
+
+
+# ---- token output
+
+
+def test_tokens_of_every_ascii_character(spark, tmp_path):
+    """The query itself: every ASCII character alone, in words and between blanks, and random Unicode, against the tokenizer; the files' layout."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from cladeframe.llm import shared
+
+    r = random.Random(0)
+    ascii_ = [chr(c) for c in range(128)]
+    other = [chr(c) for c in (0x85, 0xA0, 0xC5, 0xDF, 0x130, 0x131, 0x301, 0x345, 0x3A3, 0x3C2, 0x2003, 0x2028, 0x3000, 0x4E00, 0xFEFF, 0x1F1E6, 0x1F600)]
+    texts = [None, *ascii_, *(f"ab{c}cd" for c in ascii_), *(f"x {c} y" for c in ascii_)]
+    texts += ["".join(r.choice(ascii_) if r.random() < 0.6 else r.choice(other) if r.random() < 0.5 else r.choice("abcde   '") for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    rows = [(3 * k + 1, t, "en", "s", 0) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op1_token_output(spark, str(tmp_path)).collect()}
+    model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    start = 0
+    for i, t, *_ in rows:
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(t)
+        start += len(ids)
+    from pathlib import Path
+
+    newest = max((p for p in Path(shared.shared_dir(spark).removeprefix("file:")).glob("cladeframe/tokens-*")), key=lambda p: p.stat().st_mtime)
+    for file in newest.glob("part-*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = {group.column(k).path_in_schema.split(".")[0]: group.column(k) for k in range(group.num_columns)}
+        assert "RLE_DICTIONARY" in columns["tokens"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+        assert all(c.has_offset_index and c.has_column_index for c in columns.values())
