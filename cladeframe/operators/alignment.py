@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe import genes
+from cladeframe.operators import pairbatch
 
 
 @dataclass(frozen=True)
@@ -128,12 +129,35 @@ def align(query: str, ref: str, scores: Scores = GLOBAL_AA, local: bool = False)
 ALIGNED = "score double, query_start int, query_end int, ref_start int, ref_end int, query string, ref string"
 
 
+def costs(scores: Scores) -> pairbatch.Costs:
+    return pairbatch.Costs(scores.match, scores.mismatch, scores.gap_open, scores.gap_extend, None, tuple(ord(c) for c in scores.wildcard))
+
+
+def _codes(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def align_all(pairs: list[tuple[str, str]], scores: Scores = GLOBAL_AA, local: bool = False) -> list[Alignment]:
+    """``align`` of many pairs, by one program for all; equal pairs are aligned once."""
+    kinds = list(dict.fromkeys(pairs))
+    coded = [(_codes(q), _codes(r)) for q, r in kinds]
+    said = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
+    done: dict[tuple[str, str], Alignment] = {}
+    paths = pairbatch.align([q for q, _ in coded], [r for _, r in coded], costs(scores), local)
+    for pair, (q, r), path in zip(kinds, coded, paths, strict=True):
+        one = int(len(path.steps) > 0)
+        a, b = path.rows(q, r, ord("-"))
+        done[pair] = Alignment(path.score, path.query[0] + one, path.query[1], path.ref[0] + one, path.ref[1], said(a), said(b))
+    return [done[p] for p in pairs]
+
+
 def aligner(scores: Scores = GLOBAL_AA, local: bool = False):
     """Vectorised function of (query, ref); null sequences are empty."""
 
     @F.pandas_udf(ALIGNED)
     def run(query: pd.Series, ref: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([vars(align(q or "", r or "", scores, local)) for q, r in zip(query, ref, strict=True)], columns=[f.split()[0] for f in ALIGNED.split(", ")])
+        found = align_all([(q or "", r or "") for q, r in zip(query, ref, strict=True)], scores, local)
+        return pd.DataFrame([vars(x) for x in found], columns=[f.split()[0] for f in ALIGNED.split(", ")])
 
     return run
 
