@@ -210,6 +210,21 @@ SKIP = {1: -4, 2: -5, 3: -3}
 DELETE = -4
 
 
+def _skipped(row: np.ndarray, skips: tuple[int, ...]) -> None:
+    """Raises places of ``row`` to the best value that skips from earlier places give: per skip a running maximum of every k-th place, until nothing rises."""
+    n = len(row)
+    while True:
+        before = row.copy()
+        for k in skips:
+            filled = np.full(-(-n // k) * k, -(1 << 40), np.int64)
+            filled[:n] = row
+            lanes = filled.reshape(-1, k) - SKIP[k] * np.arange(len(filled) // k)[:, None]
+            best = np.maximum.accumulate(lanes, 0) + SKIP[k] * np.arange(len(filled) // k)[:, None]
+            np.maximum(row, best.reshape(-1)[:n], out=row)
+        if (row == before).all():
+            return
+
+
 def frameshift(reference: str, bases: str, skips: tuple[int, ...] = (1, 2, 3), may_delete: bool = True, free_start: bool = True) -> dict:
     """Residues of ``bases`` read along a protein with frame shifts.
 
@@ -228,14 +243,17 @@ def frameshift(reference: str, bases: str, skips: tuple[int, ...] = (1, 2, 3), m
     special = np.where(code == ord("X"), AMBIGUOUS, np.where(code == ord("*"), STOP, 0)) if len(code) else code
     for i in range(m + 1):
         row = score[i]
-        # Skips go right within a row: one scan in order of position, the first best origin stays.
-        for j in range(n + 1):
-            if row[j] <= low // 2:
+        unskipped = row.copy()
+        _skipped(row, skips)
+        # Where several ways lead to the best value: no skip, then the longest.
+        settled = row == unskipped
+        for k in sorted(skips, reverse=True):
+            if k > n:
                 continue
-            for k in skips:
-                if j + k <= n and row[j] + SKIP[k] > row[j + k]:
-                    row[j + k] = row[j] + SKIP[k]
-                    came[i, j + k] = k
+            by = np.zeros(n + 1, bool)
+            by[k:] = (row[k:] == row[:-k] + SKIP[k]) & (row[:-k] > low // 2)
+            came[i][by & ~settled] = k
+            settled |= by
         if i == m:
             break
         below = score[i + 1]

@@ -20,6 +20,7 @@ from cladeframe.operators import alignment
 #: Local alignment that finds the window; ambiguous bases are N and neither match nor differ.
 WINDOW = alignment.Scores(gap_open=-5.0, gap_extend=-1.0, wildcard="N")
 FLANK = 30
+BATCH = 1024  # sequences whose alignments are one batch of programs
 
 
 @dataclass(frozen=True)
@@ -47,51 +48,104 @@ def residues(nt: str) -> str:
     return "".join(genes.CODONS.get(nt[k : k + 3], "X") for k in range(0, len(nt) - 2, 3))
 
 
+def gene_windows(pairs: list[tuple[str, str]], flank: int = FLANK) -> list[tuple[int, int] | None]:
+    """Of each (sequence, gene) the stretch (from 0, end exclusive) that holds all of the gene and a margin; None if nothing aligns."""
+    masked = [tuple(re.sub("[^ACGT]", "N", s) for s in pair) for pair in pairs]
+    out: list[tuple[int, int] | None] = []
+    for (seq, ref), al in zip(pairs, alignment.align_all(masked, WINDOW, local=True), strict=True):
+        out.append(None if al.score <= 0 else (max(0, al.query_start - al.ref_start - flank), min(len(seq), al.query_end + len(ref) - al.ref_end + flank)))
+    return out
+
+
 def gene_window(seq: str, ref: str, flank: int = FLANK) -> tuple[int, int] | None:
-    """The stretch of ``seq`` (from 0, end exclusive) that holds all of ``ref`` and a margin; None if nothing aligns."""
-    masked = [re.sub("[^ACGT]", "N", s) for s in (seq, ref)]
-    al = alignment.align(*masked, WINDOW, local=True)
-    if al.score <= 0:
-        return None
-    return max(0, al.query_start - al.ref_start - flank), min(len(seq), al.query_end + len(ref) - al.ref_end + flank)
+    return gene_windows([(seq, ref)], flank)[0]
 
 
-def codon_aligned(nt: str, ref: str, frame: int, begin: str = "", end: str = "") -> Reading:
+@dataclass(frozen=True)
+class Coding:
+    """Whole codons to be aligned with a gene, and what is known of its protein's ends."""
+
+    nt: str
+    ref: str
+    frame: int
+    begin: str = ""
+    end: str = ""
+
+
+def _overhang(aligned_ref: str) -> tuple[int, int]:
+    """Residues before and after the reference's first and last."""
+    inner = aligned_ref.strip("-")
+    lead = aligned_ref.index(inner) if inner else 0
+    return (lead, len(aligned_ref) - lead - len(inner)) if inner else (0, 0)
+
+
+def codons_aligned(codings: list[Coding]) -> list[Reading]:
     """Whole codons along the reference's; what overhangs the reference is cut off and the rest is aligned again."""
-    ref_aa = residues(ref)
-    al = alignment.align(residues(nt), ref_aa)
-    inner = al.ref.strip("-")
-    if inner:
-        lead, trail = al.ref.index(inner), len(al.ref) - al.ref.index(inner) - len(inner)
-        kept = nt[3 * lead : len(nt) // 3 * 3 - 3 * trail]
+    nts = [c.nt for c in codings]
+    found = alignment.align_all([(residues(c.nt), residues(c.ref)) for c in codings])
+    again = []
+    for k, al in enumerate(found):
+        lead, trail = _overhang(al.ref)
+        kept = nts[k][3 * lead : len(nts[k]) // 3 * 3 - 3 * trail]
         if lead + trail and kept:
-            nt, al = kept, alignment.align(residues(kept), ref_aa)
-    aa = residues(nt)
-    both = [(r, q) for r, q in zip(al.ref, al.query, strict=True) if r != "-" and q != "-"]
-    said = [(r, q) for r, q in both if q not in "X*"]
-    score = sum(r == q for r, q in said) / len(said) if said else 0.0
-    known = int(bool(begin) and aa.startswith(begin)) + int(bool(end) and aa.endswith(end))
-    return Reading(aa.count("*"), score, len(said), len(both) - len(said), frame, nt, aa, al.ref, al.query, alignment.residues_to_codons(al.ref, ref), alignment.residues_to_codons(al.query, nt), known)
+            nts[k] = kept
+            again.append(k)
+    for k, al in zip(again, alignment.align_all([(residues(nts[k]), residues(codings[k].ref)) for k in again]), strict=True):
+        found[k] = al
+    out = []
+    for c, nt, al in zip(codings, nts, found, strict=True):
+        aa = residues(nt)
+        both = [(r, q) for r, q in zip(al.ref, al.query, strict=True) if r != "-" and q != "-"]
+        said = [(r, q) for r, q in both if q not in "X*"]
+        score = sum(r == q for r, q in said) / len(said) if said else 0.0
+        known = int(bool(c.begin) and aa.startswith(c.begin)) + int(bool(c.end) and aa.endswith(c.end))
+        out.append(Reading(aa.count("*"), score, len(said), len(both) - len(said), c.frame, nt, aa, al.ref, al.query, alignment.residues_to_codons(al.ref, c.ref), alignment.residues_to_codons(al.query, nt), known))
+    return out
 
 
-def readings(seq: str, ref: str, preferred: int | None = None, refine: bool = False, begin: str = "", end: str = "", flank: int = FLANK) -> list[Reading]:
-    """All readings of the window, that of the preferred frame first, the frame-shift program's last."""
-    found = gene_window(seq, ref, flank)
-    if found is None:
-        return []
-    start, window = found[0], seq[slice(*found)]
-    out = []
-    for k in sorted(range(3), key=lambda k: preferred is None or (start + k) % 3 != preferred):
-        coding = window[k : k + (len(window) - k) // 3 * 3]
-        if coding:
-            out.append(codon_aligned(coding, ref, (start + k) % 3, begin, end))
-    if refine:
-        read = alignment.frameshift(residues(ref), window)
-        if read["nt"]:
-            out.append(codon_aligned(read["nt"], ref, (start + read["nt_start"]) % 3, begin, end))
+def codon_aligned(nt: str, ref: str, frame: int, begin: str = "", end: str = "") -> Reading:
+    return codons_aligned([Coding(nt, ref, frame, begin, end)])[0]
+
+
+@dataclass(frozen=True)
+class Asked:
+    """A sequence, the gene to find in it, its own frame (0 to 2) and known ends."""
+
+    seq: str
+    ref: str
+    preferred: int | None = None
+    begin: str = ""
+    end: str = ""
+
+
+def all_readings(asked: list[Asked], refine: bool = False, flank: int = FLANK) -> list[list[Reading]]:
+    """All readings of every sequence's window, that of its preferred frame first, the frame-shift program's last."""
+    codings: list[Coding] = []
+    owner: list[int] = []
+    for k, (a, found) in enumerate(zip(asked, gene_windows([(a.seq, a.ref) for a in asked], flank), strict=True)):
+        if found is None:
+            continue
+        start, window = found[0], a.seq[slice(*found)]
+        for f in sorted(range(3), key=lambda f: a.preferred is None or (start + f) % 3 != a.preferred):
+            coding = window[f : f + (len(window) - f) // 3 * 3]
+            if coding:
+                codings.append(Coding(coding, a.ref, (start + f) % 3, a.begin, a.end))
+                owner.append(k)
+        if refine:
+            read = alignment.frameshift(residues(a.ref), window)
+            if read["nt"]:
+                codings.append(Coding(read["nt"], a.ref, (start + read["nt_start"]) % 3, a.begin, a.end))
+                owner.append(k)
+    out: list[list[Reading]] = [[] for _ in asked]
+    for k, reading in zip(owner, codons_aligned(codings), strict=True):
+        out[k].append(reading)
     return out
 
 
+def readings(seq: str, ref: str, preferred: int | None = None, refine: bool = False, begin: str = "", end: str = "", flank: int = FLANK) -> list[Reading]:
+    return all_readings([Asked(seq, ref, preferred, begin, end)], refine, flank)[0]
+
+
 def best_reading(found: list[Reading]) -> Reading | None:
     """Least stops, then identity, known ends, informative columns, least ignored ones; the first of equals."""
     return min(found, key=lambda x: (x.stops, -x.score, -x.signatures, -x.informative, x.ignored), default=None)
@@ -111,10 +165,11 @@ def extracted(seq: Column, ref: Column, preferred: Column | None = None, begin:
 
     @F.pandas_udf(FIELDS)
     def run(seqs: pd.Series, refs: pd.Series, frames: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        asked = [Asked(s or "", r or "", None if pd.isna(f) else int(f), b or "", e or "") for s, r, f, b, e in zip(seqs, refs, frames, begins, ends, strict=True)]
         rows = []
-        for s, r, f, b, e in zip(seqs, refs, frames, begins, ends, strict=True):
-            best = best_reading(readings(s or "", r or "", None if pd.isna(f) else int(f), refine, b or "", e or "", flank))
-            rows.append(asdict(best) if best else {})
+        for a in range(0, len(asked), BATCH):
+            best = [best_reading(x) for x in all_readings(asked[a : a + BATCH], refine, flank)]
+            rows += [asdict(x) if x else {} for x in best]
         # Objects keep null integers apart from numbers.
         return pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.split(", ")], dtype=object)
 
