@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe import genes
-from cladeframe.operators import pairbatch
+from cladeframe.operators import pairbatch, sized
 
 
 @dataclass(frozen=True)
@@ -372,16 +373,143 @@ def six_frames(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out)
 
 
+WORDS = (4, 6, 9, 12)  # lengths of the words that bound a score
+
+
+class Sketches:
+    """The words of references, to bound alignment scores from above.
+
+    An alignment's equal columns form runs that breaks part (a mismatch or a gap). A run
+    of L columns gives L - k + 1 words that stand in both sequences, so of N symbols with
+    c common words at least (N - c - k + 1) / k breaks are needed, and each costs a match
+    and a mismatch, or a gap. That holds for local and global scores; symbols of the
+    wildcard are taken as equal to all.
+    """
+
+    def __init__(self, refs: list[str], scores: Scores):
+        self.scores, self.size = scores, np.array([len(r) for r in refs])
+        wild = sorted({ord(c) for c in scores.wildcard})
+        self.wild = np.array(wild, np.int64)
+        self.words = {}
+        for k in WORDS:
+            found = [self._words(_codes(r), k) for r in refs]
+            free = np.array([int((~known).sum()) for _, known in found])
+            code = np.concatenate([np.unique(c[known]) for c, known in found] or [np.zeros(0, np.int64)])
+            owner = np.repeat(np.arange(len(refs)), [len(np.unique(c[known])) for c, known in found])
+            order = np.argsort(code, kind="stable")
+            self.words[k] = code[order], owner[order], free
+
+    def _words(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, holds no wildcard) at every place."""
+        total = max(len(codes) - k + 1, 0)
+        out, known = np.zeros(total, np.int64), np.ones(total, bool)
+        for j in range(k):
+            out = out * np.int64(1_000_003) + codes[j : j + total]
+            known &= ~np.isin(codes[j : j + total], self.wild)
+        return out, known
+
+    def bounds(self, query: str) -> np.ndarray:
+        """No alignment of the query with each reference scores above this."""
+        s, codes = self.scores, _codes(query)
+        length = np.minimum(self.size, len(codes))
+        out = s.match * length.astype(float)
+        for k, (code, owner, free) in self.words.items():
+            words, known = self._words(codes, k)
+            kinds, times = np.unique(words[known], return_counts=True)
+            low, high = np.searchsorted(code, kinds), np.searchsorted(code, kinds, "right")
+            n = high - low
+            at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            common = np.bincount(owner[at], np.repeat(times, n), len(self.size)) + (~known).sum()
+            common = np.where(free > 0, np.maximum(common, len(words)), common)  # a reference's wildcards may equal any word
+            breaks = np.maximum(np.ceil((length - common - (k - 1)) / k), 0)
+            out = np.minimum(out, s.match * length - breaks * min(s.match - s.mismatch, -s.gap_open, s.match * (k - 1)))
+        return out
+
+
+def winners(queries: list[str], refs: list[str], scores: Scores, local: bool, sketches: Sketches | None = None) -> list[tuple[int, Alignment, int]]:
+    """Of every query the first best reference, its alignment, and how many references were aligned: those whose bound reaches the best score so far."""
+    if not refs:
+        return []
+    known = sketches or Sketches(refs, scores)
+    bounds = [known.bounds(q) for q in queries]
+    order = [np.lexsort((np.arange(len(refs)), -b)).tolist() for b in bounds]
+    best: list[tuple[int, Alignment] | None] = [None] * len(queries)
+    aligned, tried, step = [0] * len(queries), 0, 1
+    while tried < len(refs):
+        jobs = []
+        for k, b in enumerate(bounds):
+            for r in order[k][tried : tried + step]:
+                # Of equal scores the earlier reference wins.
+                if best[k] is None or (b[r], -r) > (best[k][1].score, -best[k][0]):
+                    jobs.append((k, r))
+        for (k, r), al in zip(jobs, align_all([(queries[k], refs[r]) for k, r in jobs], scores, local), strict=True):
+            aligned[k] += 1
+            if best[k] is None or (al.score, -r) > (best[k][1].score, -best[k][0]):
+                best[k] = r, al
+        tried, step = tried + step, 2 * step
+    return [(*found, n) for found, n in zip(best, aligned, strict=True)]  # type: ignore[misc]
+
+
+QUERIES = 256  # sequences whose references are tried together
+
+
 def best_reference(queries: DataFrame, references: DataFrame, on: list[str], query: str, scores: Scores = LOCAL_NT, local: bool = True) -> DataFrame:
-    """Every query against the references that share ``on`` (a short table), and of these the best score; the first of equals.
+    """Every query (``query``, seq) against the references (ref_ordinal, ref_name, ref_seq) of its values of ``on``, or against
+    all: query, ref_name, the alignment, and how many references were aligned for it.
 
+    The highest score wins, the first of equals. References whose bound does not reach the best
+    score so far are not aligned (``Sketches``). Up to ``sized.BYTES`` of references go to the
+    tasks; more are met by their key, in blocks that each query visits, a row a pair.
     Queries are spread by a hash of their own, so a genotype with most rows is no hot task.
     """
-    spread = queries.repartition(F.col(query))
-    pairs = spread.join(F.broadcast(references), on)
+    spread = queries.select(query, *on, "seq").repartition(F.col(query))
+    known = references.select(*on, "ref_ordinal", "ref_name", "ref_seq")
+    if sized.rows_of(known, "ref_seq") == 0 and not known.isEmpty():
+        return _best_of_pairs(spread, known, on, query, scores, local)
+    groups: dict[tuple, list] = {}
+    for r in sorted(known.collect(), key=lambda r: (r["ref_ordinal"], r["ref_name"])):  # at most sized.BYTES
+        groups.setdefault(tuple(r[c] for c in on), []).append((r["ref_name"], r["ref_seq"] or ""))
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema.fields}
+    out = f"{query} {kinds[query]}, ref_name string, {ALIGNED}, aligned int".replace("query string, ref string", "query_aligned string, ref_aligned string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketches: dict[tuple, Sketches] = {}
+        fields = [f.split()[0] for f in ALIGNED.split(", ")]
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(a, QUERIES)
+                keys = list(zip(*(part.column(c).to_pylist() for c in on), strict=True)) if on else [()] * part.num_rows
+                seqs = part.column("seq").to_pylist()
+                by_key: dict[tuple, list[int]] = {}
+                for k, key in enumerate(keys):
+                    if key in groups:
+                        by_key.setdefault(key, []).append(k)
+                rows, place = [], []
+                for key, places in by_key.items():
+                    refs = [s for _, s in groups[key]]
+                    if key not in sketches:
+                        sketches[key] = Sketches(refs, scores)
+                    for k, (r, al, n) in zip(places, winners([seqs[k] or "" for k in places], refs, scores, local, sketches[key]), strict=True):
+                        place.append(k)
+                        rows.append((groups[key][r][0], *(getattr(al, f) for f in fields), n))
+                columns = list(zip(*rows, strict=True)) if rows else [()] * (len(fields) + 2)
+                types = [pa.string(), pa.float64(), *[pa.int32()] * 4, pa.string(), pa.string(), pa.int32()]
+                told = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(query).take(pa.array(place, pa.int64())), *told], names=[f.split()[0] for f in out.split(", ")])
+
+    found = spread.mapInArrow(run, out)
+    return found.withColumnsRenamed({"query_aligned": "query", "ref_aligned": "ref"}) if query != "query" else found
+
+
+def _best_of_pairs(queries: DataFrame, references: DataFrame, on: list[str], query: str, scores: Scores, local: bool) -> DataFrame:
+    """``best_reference`` a row a pair: many references, by their key and a block."""
+    n = max(1, references.count() // 10_000)
+    blocks = references.withColumn("block", F.pmod(F.xxhash64("ref_name", "ref_ordinal"), F.lit(n)))
+    pairs = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).join(blocks, [*on, "block"])
     scored = pairs.withColumn("al", aligner(scores, local)(F.col("seq"), F.col("ref_seq")))
-    keep = F.struct((-F.col("al.score")).alias("s"), F.col("ref_ordinal"), F.col("ref_name"), F.col("al"))
-    return scored.groupBy(query).agg(F.min(F.struct((-F.col("al.score")).alias("s"), "ref_ordinal")).alias("k"), F.min_by(keep, F.struct((-F.col("al.score")).alias("s"), "ref_ordinal")).alias("b")).select(query, F.col("b.ref_name").alias("ref_name"), "b.al.*")
+    first = F.struct((-F.col("al.score")).alias("s"), "ref_ordinal", "ref_name")
+    best = scored.groupBy(query).agg(F.min_by(F.struct("ref_name", "al"), first).alias("b"), F.count("*").cast("int").alias("aligned"))
+    return best.select(query, F.col("b.ref_name").alias("ref_name"), "b.al.*", "aligned")
 
 
 def quality(aa: Column, start: Column, end: Column, reference: Column, gene: genes.Gene) -> Column:

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe import genes
@@ -182,33 +182,33 @@ def _with_neighbours(place: np.ndarray, code: np.ndarray, search: Search) -> tup
 def _words(search: Search, of_query: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, seq in zip(batch.column("name"), batch.column("seq").to_pylist(), strict=True):
+            for name, group, seq in zip(batch.column("name"), batch.column("grp"), batch.column("seq").to_pylist(), strict=True):
                 for strand, symbols in readings(_bytes(seq), search.translated) if of_query else proteins(_bytes(seq)):
                     place, code = word_codes(symbols, search)
                     if not of_query and search.neighbours is not None:
                         place, code = _with_neighbours(place, code, search)
                     for a in range(0, len(place), 1 << 16):
                         n = len(place[a : a + (1 << 16)])
-                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, pa.string()), pa.array(np.full(n, strand, np.int32)), pa.array(place[a : a + n].astype(np.int32)), pa.array(code[a : a + n])], names=["name", "strand", "place", "word"])
+                        yield pa.RecordBatch.from_arrays([pa.repeat(name, n), pa.repeat(group, n), pa.array(np.full(n, strand, np.int32)), pa.array(place[a : a + n].astype(np.int32)), pa.array(code[a : a + n])], names=["name", "grp", "strand", "place", "word"])
 
     return run
 
 
 def words(rows: DataFrame, name: str, seq: str, search: Search, of_query: bool) -> DataFrame:
-    """name, strand, place (from 0), word."""
-    own = rows.select(F.col(name).cast("string").alias("name"), F.col(seq).cast("string").alias("seq"))
-    return own.mapInArrow(_words(search, of_query), "name string, strand int, place int, word long")
+    """name, grp, strand, place (from 0), word."""
+    own = rows.select(F.col(name).alias("name"), "grp", F.col(seq).alias("seq"))
+    return own.mapInArrow(_words(search, of_query), "name string, grp string, strand int, place int, word long")
 
 
 def candidates(queries: DataFrame, references: DataFrame, search: Search) -> DataFrame:
     """query, ref, seeds (strand, diagonal, count, first place on the query; a null diagonal: the whole matrix): one row a pair that may have a hit."""
     of_refs = words(references, "ref", "ref_seq", search, False).withColumnRenamed("name", "ref").withColumnRenamed("place", "ref_place").drop("strand")
     of_queries = words(queries, "query", "seq", search, True).withColumnRenamed("name", "query")
-    hot = of_refs.groupBy("word", "ref").count().filter(F.col("count") > HOT_PLACES).select("word", "ref")
-    index = of_refs.join(hot, ["word", "ref"], "left_anti")
-    met = of_queries.join(sized.small(index, INDEX_ROWS), "word").withColumn("diagonal", F.col("ref_place") - F.col("place"))
+    hot = of_refs.groupBy("word", "grp", "ref").count().filter(F.col("count") > HOT_PLACES).select("word", "grp", "ref")
+    index = of_refs.join(hot, ["word", "grp", "ref"], "left_anti")
+    met = of_queries.join(sized.small(index, INDEX_ROWS), ["word", "grp"]).withColumn("diagonal", F.col("ref_place") - F.col("place"))
     seeds = met.groupBy("query", "ref", "strand", "diagonal").agg(F.count("*").cast("int").alias("n"), F.min("place").alias("place")).filter(F.col("n") >= search.seeds)
-    masked = of_queries.join(sized.small(hot, INDEX_ROWS), "word").select("query", "ref", "strand").distinct()
+    masked = of_queries.join(sized.small(hot, INDEX_ROWS), ["word", "grp"]).select("query", "ref", "strand").distinct()
     both = seeds.unionByName(masked.withColumns({"diagonal": F.lit(None).cast("int"), "n": F.lit(1), "place": F.lit(0)}))
     # A pair has at most as many diagonals as both sequences have symbols.
     return both.groupBy("query", "ref").agg(F.collect_list(F.struct("strand", "diagonal", "n", "place")).alias("seeds"))
@@ -254,7 +254,7 @@ def bands(query: np.ndarray, ref: np.ndarray, search: Search, seeds: list[tuple[
 HIT = "query string, ref string, length int, mismatch int, gaps int, pident double, evalue double, bitscore double, qstart int, qend int, sstart int, send int, frame int, qseq string, sseq string"
 
 
-def _extended(search: Search, space: int):
+def _extended(search: Search):
     def told(row: dict, strand: int, symbols: np.ndarray, ref: np.ndarray, n: int, path: pairbatch.Path) -> tuple:
         a, b = path.rows(symbols, ref, ord("-"))
         gaps = int(((a == ord("-")) | (b == ord("-"))).sum())
@@ -269,7 +269,7 @@ def _extended(search: Search, space: int):
                 begin, end = n - begin + 1, n - end + 1
         elif strand < 0:
             begin, end, s_begin, s_end = n - end + 1, n - begin + 1, s_end, s_begin
-        evalue = max(len(symbols), 1) * space * 2.0**-bits
+        evalue = max(len(symbols), 1) * row["space"] * 2.0**-bits
         return row["query"], row["ref"], len(a), len(a) - gaps - equal, gaps, 100.0 * equal / len(a), evalue, bits, begin, end, s_begin, s_end, strand, a.tobytes().decode(), b.tobytes().decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,17 +300,25 @@ def _extended(search: Search, space: int):
     return run
 
 
-def hits(queries: DataFrame, references: DataFrame, search: Search = BASES) -> DataFrame:
+def hits(queries: DataFrame, references: DataFrame, search: Search = BASES, on: str | None = None, targets: int | None = None) -> DataFrame:
     """The best hit of every query (query, seq) in every reference (ref, ref_seq) where it is significant; places from 1, as search programs write them.
 
     ``frame``: strand (1, -1) or frame (1 to 3, -1 to -3) of the query; of a reverse strand the
-    reference's places run backwards, of a reverse frame the query's.
+    reference's places run backwards, of a reverse frame the query's. ``on``: a column of both
+    tables; queries meet the references of their own value only, which are their search space.
+    ``targets``: the best references a query keeps.
     """
-    known = references.filter(F.length("ref_seq") > 0).select(F.col("ref").cast("string").alias("ref"), F.col("ref_seq").cast("string").alias("ref_seq")).dropDuplicates(["ref"])
-    asked = queries.filter(F.length("seq") > 0).select(F.col("query").cast("string").alias("query"), F.col("seq").cast("string").alias("seq")).dropDuplicates(["query"])
-    space = int(known.agg(F.coalesce(F.sum(F.length("ref_seq")), F.lit(0))).first()[0])
-    pairs = candidates(asked, known, search).join(asked, "query").join(sized.small(known, sized.rows_of(known, "ref_seq")), "ref")
-    return pairs.mapInArrow(_extended(search, space), HIT)
+    group = F.lit("") if on is None else F.col(on).cast("string")
+    own = lambda df, name, seq: df.filter(F.length(seq) > 0).select(F.col(name).cast("string").alias(name), F.col(seq).cast("string").alias(seq), group.alias("grp")).filter("grp is not null").dropDuplicates([name])
+    known, asked = own(references, "ref", "ref_seq"), own(queries, "query", "seq")
+    space = known.groupBy("grp").agg(F.sum(F.length("ref_seq")).alias("space"))
+    of_ref = known.join(space, "grp").drop("grp")
+    pairs = candidates(asked, known, search).join(asked.drop("grp"), "query").join(sized.small(of_ref, sized.rows_of(known, "ref_seq")), "ref")
+    found = pairs.mapInArrow(_extended(search), HIT)
+    if targets is None:
+        return found
+    order = Window.partitionBy("query").orderBy(F.desc("bitscore"), F.desc("length"), "ref")
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= targets).drop("nth")
 
 
 def as_targets(found: DataFrame, references: DataFrame, target: str) -> DataFrame:

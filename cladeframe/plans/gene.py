@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeframe import genes
 from cladeframe.functions import labels, sequences
-from cladeframe.operators import alignment, distance, extraction, hits, profiles, selection
+from cladeframe.operators import alignment, distance, extraction, hits, profiles, search, selection, sized
 
 LABEL_COLUMNS = ["source_note", "source_organism", "source_strain", "source_serotype"]
 
@@ -40,6 +40,27 @@ DEFAULTS = {
 }
 
 
+def folder_assignments(records: DataFrame, gene_refs: DataFrame, subtype_refs: DataFrame, least: int = genes.MIN_OVERLAP_NT) -> DataFrame:
+    """Every gene that a sequence holds, with its genotype and nearest subtype, from one search in all genes' references.
+
+    ``records``: accession, seq; ``gene_refs``: gene, gt, seq, ordinal; ``subtype_refs``: subtype, accession, seq, ordinal.
+    Per sequence and gene the hit of most bits, then of most columns, then of the first
+    reference; then the same among the subtypes' references of that genotype, for every gene
+    alike. Sequences without a gene have no row; a gene without a subtype hit has nulls there.
+    """
+    named = gene_refs.select(F.concat_ws("|", "gene", "gt", F.col("ordinal").cast("string")).alias("ref"), F.col("seq").alias("ref_seq"), F.struct("gene", "gt").alias("target"), "ordinal")
+    asked = records.select(F.col("accession").alias("query"), "seq")
+    found = search.as_targets(search.hits(asked, named, targets=1000), named, "target").filter(F.col("length") >= least)
+    best = hits.best(found.select("query", "target.gene", "target.gt", "length", "pident", "bitscore", "ordinal"), ["query", "gene"], hits.by_bitscore()).drop("rank")
+    types = subtype_refs.select(F.concat_ws("|", "subtype", F.col("ordinal").cast("string")).alias("ref"), F.col("seq").alias("ref_seq"), F.struct("subtype", "accession").alias("target"), "ordinal", labels.genotype(F.col("subtype")).alias("gt"))
+    # A sequence whose genes have several genotypes is asked once for each.
+    wanted = best.select("query", "gt").distinct().join(asked, "query").withColumn("query", F.concat_ws("\t", "query", "gt"))
+    near = search.as_targets(search.hits(wanted, types, on="gt", targets=1000), types, "target").filter(F.col("length") >= least)
+    nearest = hits.best(near, ["query"], hits.by_bitscore()).select(F.substring_index("query", "\t", 1).alias("query"), F.substring_index("query", "\t", -1).alias("gt"), F.col("target.subtype").alias("subtype"), F.col("target.accession").alias("subtype_reference_accession"), F.col("length").alias("subtype_aligned_nt"), F.col("pident").alias("subtype_pident"))
+    out = best.join(nearest, ["query", "gt"], "left")
+    return out.select(F.col("query").alias("accession"), "gene", F.col("gt").alias("genotype"), F.col("length").alias("genotype_aligned_nt"), F.col("pident").alias("genotype_pident"), "subtype", "subtype_reference_accession", "subtype_aligned_nt", "subtype_pident")
+
+
 class GenePlan:
     def __init__(self, gene: str, external: bool = False, options: Options | None = None):
         self.gene = genes.GENES[gene]
@@ -60,7 +81,7 @@ class GenePlan:
             return own
         ruled = rules.select("ref_id").distinct()
         met = selection.apply_rules(metadata.join(ruled, "ref_id", "left_semi"), rules, list(fields), lists).select("ref_id", "accession").withColumn("__met", F.lit(True)).dropDuplicates(["ref_id", "accession"])
-        marked = own.join(F.broadcast(ruled.withColumn("__ruled", F.lit(True))), "ref_id", "left").join(met, ["ref_id", "accession"], "left")
+        marked = own.join(sized.small(ruled.withColumn("__ruled", F.lit(True))), "ref_id", "left").join(met, ["ref_id", "accession"], "left")
         return marked.filter(F.col("__ruled").isNull() | F.col("__met")).drop("__ruled", "__met")
 
     @staticmethod
@@ -69,6 +90,30 @@ class GenePlan:
         found = metadata.withColumn("x", labels.first_genotype_subtype([c for c in LABEL_COLUMNS if c in metadata.columns]))
         return found.select("accession", "x.*").dropDuplicates(["accession"])
 
+    # Search
+
+    @staticmethod
+    def genotype_hits(records: DataFrame, references: DataFrame) -> DataFrame:
+        """Hits of the records (accession, seq) in the genotypes' references (gt, seq, ordinal), as ``genotypes`` takes them."""
+        named = references.select(F.concat_ws("|", "gt", F.col("ordinal").cast("string")).alias("ref"), F.col("seq").alias("ref_seq"), "gt", "ordinal")
+        found = search.hits(records.select(F.col("accession").alias("query"), "seq"), named)
+        return search.as_targets(found, named, "gt")
+
+    @staticmethod
+    def subtype_hits(assigned: DataFrame, records: DataFrame, references: DataFrame) -> DataFrame:
+        """Hits of assigned records in the references (subtype, seq, ordinal) of their own genotype, at most 100 a record."""
+        named = references.select(F.concat_ws("|", "subtype", F.col("ordinal").cast("string")).alias("ref"), F.col("seq").alias("ref_seq"), "subtype", "ordinal", labels.genotype(F.col("subtype")).alias("gt"))
+        asked = records.select(F.col("accession").alias("query"), "seq").join(assigned.select(F.col("accession").alias("query"), "gt"), "query")
+        return search.as_targets(search.hits(asked, named, on="gt", targets=100), named, "subtype")
+
+    @staticmethod
+    def protein_windows(assigned: DataFrame, records: DataFrame, references: DataFrame) -> DataFrame:
+        """The best translated hit of every assigned record in its genotype's protein (gt, seq): query, qstart, qend, sstart, send, frame, ..."""
+        named = references.select(F.col("gt").alias("ref"), F.col("seq").alias("ref_seq"), "gt")
+        asked = records.select(F.col("accession").alias("query"), "seq").join(assigned.select(F.col("accession").alias("query"), "gt"), "query")
+        found = search.hits(asked, named, search.TRANSLATED, on="gt", targets=1).withColumn("ordinal", F.lit(0))
+        return hits.best_protein(found, "query", genes.MIN_OVERLAP_AA)
+
     # Assignment
 
     def genotypes(self, records: DataFrame, gt_hits: DataFrame, said: DataFrame) -> DataFrame:
@@ -101,7 +146,7 @@ class GenePlan:
         """Adds seq, start, end: the aligned window (query, qstart, qend, sstart) is translated in its reference's frame and anchored on the genotype's protein."""
         cut = F.substring(F.col("nt"), F.col("qstart").cast("int"), (F.col("qend") - F.col("qstart") + 1).cast("int"))
         own = windows.join(records.select(F.col("accession").alias("query"), F.col("seq").alias("nt")), "query").select(F.col("query").alias("accession"), sequences.aa_window(cut, F.col("sstart").cast("int")).alias("aa"))
-        rows = assigned.join(own, "accession", "left").join(F.broadcast(references.select("gt", F.col("seq").alias("ref"))), "gt", "left").repartition("accession")
+        rows = assigned.join(own, "accession", "left").join(sized.small(references.select("gt", F.col("seq").alias("ref"))), "gt", "left").repartition("accession")
         aligned = rows.withColumn("al", alignment.aligner()(F.coalesce("aa", F.lit("")), F.coalesce("ref", F.lit(""))))
         return self._anchored(aligned, F.col("al.query"), F.col("al.ref"), F.col("al.ref_start")).drop("al", "aa", "ref")
 
@@ -109,7 +154,7 @@ class GenePlan:
         """As ``proteins`` without hits: the gene's best reading in the whole sequence. ``references``: gt, seq (bases) [, begin, end: known residues]."""
         known = [c for c in ("begin", "end") if c in references.columns]
         refs = references.select("gt", F.col("seq").alias("ref_nt"), *(F.col(c).alias(f"known_{c}") for c in known))
-        rows = extraction.spread(assigned.join(records.select("accession", F.col("seq").alias("nt")), "accession", "left").join(F.broadcast(refs), "gt", "left"), "accession")
+        rows = extraction.spread(assigned.join(records.select("accession", F.col("seq").alias("nt")), "accession", "left").join(sized.small(refs), "gt", "left"), "accession")
         ends = {c: F.col(f"known_{c}") for c in known}
         found = rows.withColumn("gene", extraction.extracted(F.col("nt"), F.col("ref_nt"), refine=refine, **ends)).withColumn("ref", sequences.translate(F.col("ref_nt")))
         return self._anchored(found, F.col("gene.aligned_query"), F.col("gene.aligned_ref"), F.lit(1)).drop("gene", "nt", "ref", "ref_nt", *(f"known_{c}" for c in known))

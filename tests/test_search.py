@@ -152,3 +152,83 @@ def test_search_of_nothing(spark):
     refs = spark.createDataFrame([("r", "ACGT" * 30)], "ref string, ref_seq string")
     assert search.hits(none, refs).count() == 0
     assert search.hits(spark.createDataFrame([("q", "ACGT" * 30)], "query string, seq string"), refs.filter("ref = 'x'")).count() == 0
+
+
+def test_bounds_and_winners():
+    """No alignment beats its bound; the winner is that of all pairs, and related references save alignments."""
+    r = random.Random(12)
+    for scores, symbols in ((alignment.LOCAL_NT, "ACGT"), (alignment.GLOBAL_AA, search.RESIDUES), (extraction.WINDOW, "ACGTN"), (alignment.PLAIN, "ACGT")):
+        for local in (True, False):
+            refs = ["".join(r.choice(symbols) for _ in range(r.randint(0, 60))) for _ in range(12)]
+            queries = [mutated(r.choice(refs), r, 0.1, symbols) for _ in range(15)] + ["", "A"]
+            known = alignment.Sketches(refs, scores)
+            got = alignment.winners(queries, refs, scores, local)
+            for q, (best, al, n) in zip(queries, got, strict=True):
+                every = [alignment.align(q, t, scores, local).score for t in refs]
+                assert (np.array(every) <= known.bounds(q) + 1e-9).all()
+                assert best == every.index(max(every)) and al == alignment.align(q, refs[best], scores, local) and 1 <= n <= 12
+    refs = ["".join(r.choice("ACGT") for _ in range(300)) for _ in range(30)]
+    got = alignment.winners([mutated(t, r, 0.03) for t in refs], refs, alignment.LOCAL_NT, True)
+    assert [g[0] for g in got] == list(range(30)) and sum(g[2] for g in got) <= 3 * 30
+
+
+@pytest.mark.parametrize("on", [[], ["gt"]])
+def test_best_reference_of_all(spark, on, monkeypatch):
+    r = random.Random(21)
+    refs = [("12"[k % 2], k, f"r{k}", "".join(r.choice("ACGT") for _ in range(80))) for k in range(9)]
+    rows = [(f"q{k}", "12"[k % 2], mutated(r.choice(refs)[3], r, 0.2)) for k in range(30)] + [("none", "9", "ACGT"), ("null", "1", None)]
+    df = spark.createDataFrame(rows, "name string, gt string, seq string")
+    rd = spark.createDataFrame(refs, "gt string, ref_ordinal int, ref_name string, ref_seq string")
+    want = {}
+    for name, gt, seq in rows:
+        own = [x for x in refs if not on or x[0] == gt]
+        if own:
+            scored = [(-alignment.align(seq or "", x[3], alignment.LOCAL_NT, True).score, x[1], x[2]) for x in own]
+            want[name] = min(scored)[2], -min(scored)[0]
+    ask = lambda: {x["name"]: (x["ref_name"], x["score"]) for x in alignment.best_reference(df, rd, on, "name").collect()}
+    assert ask() == want
+    monkeypatch.setattr("cladeframe.operators.sized.BYTES", 10)
+    assert ask() == want
+
+
+def test_plan_searches_by_itself(spark):
+    """Genotypes, subtypes, protein windows and a folder's assignments from own hits, on sequences of known origin."""
+    from cladeframe import genes
+    from cladeframe.plans.gene import GenePlan, Options, folder_assignments
+
+    r = random.Random(31)
+    codon = {}
+    for c, a in genes.CODONS.items():
+        codon.setdefault(a, c)
+    proteins = {g: "".join(r.choice(genes.VALID_AA) for _ in range(213)) for g in "123"}
+    gt_nt = {g: "".join(codon[a] for a in p) for g, p in proteins.items()}
+    types = {f"{g}{s}": mutated(gt_nt[g], r, 0.08, gaps=0) for g in "123" for s in "ab"}
+    truth, rows = {}, []
+    for k in range(24):
+        t = r.choice(sorted(types))
+        at = 3 * r.randrange(20)
+        truth[f"S{k}"] = t
+        rows.append((f"S{k}", "x", "GG" + mutated(types[t][at : at + 450], r, 0.02, gaps=0)))
+    rows.append(("junk", "x", "".join(r.choice("ACGT") for _ in range(400))))
+    records = spark.createDataFrame(rows, "accession string, ref_id string, seq string")
+    gt_refs = spark.createDataFrame([(g, s, int(g)) for g, s in gt_nt.items()], "gt string, seq string, ordinal int")
+    sub_refs = spark.createDataFrame([(t, f"AC{t}", s, k) for k, (t, s) in enumerate(sorted(types.items()))], "subtype string, accession string, seq string, ordinal int")
+    plan = GenePlan("NS5A", options=Options())
+    said = spark.createDataFrame([], "accession string, genotype string, subtype string")
+    assigned = plan.genotypes(records, plan.genotype_hits(records, gt_refs), said)
+    subs = plan.subtypes(assigned, plan.subtype_hits(assigned, records, sub_refs), said).cache()
+    assert {x["accession"]: x["subtype"] for x in subs.collect()} == truth
+    refs = spark.createDataFrame(sorted(proteins.items()), "gt string, seq string")
+    windows = plan.protein_windows(subs, records, refs)
+    assert {x["frame"] for x in windows.collect()} == {3} and windows.count() == 24
+    from pyspark.sql import functions as F
+
+    nt_windows = plan.genotype_hits(records, gt_refs)
+    own = nt_windows.join(subs.select(F.col("accession").alias("query"), F.col("gt").alias("target")), ["query", "target"]).select("query", "qstart", "qend", "sstart")
+    found = plan.proteins(subs, records, own, refs).collect()
+    assert len(found) == 24 and all(abs(len(x["seq"]) - 150) <= 2 for x in found)
+    genes_of = spark.createDataFrame([("NS5A", g, s, int(g)) for g, s in gt_nt.items()] + [("NS3", "1", "".join(r.choice("ACGT") for _ in range(600)), 9)], "gene string, gt string, seq string, ordinal int")
+    folder = {x["accession"]: x for x in folder_assignments(records, genes_of, sub_refs).collect()}
+    assert {k: (x["gene"], x["genotype"], x["subtype"], x["subtype_reference_accession"]) for k, x in folder.items()} == {k: ("NS5A", t[0], t, f"AC{t}") for k, t in truth.items()}
+    plan_of_none = folder_assignments(records.filter("accession = 'junk'"), genes_of, sub_refs)
+    assert plan_of_none.count() == 0
