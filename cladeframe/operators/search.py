@@ -214,36 +214,55 @@ def candidates(queries: DataFrame, references: DataFrame, search: Search) -> Dat
     return both.groupBy("query", "ref").agg(F.collect_list(F.struct("strand", "diagonal", "n", "place")).alias("seeds"))
 
 
-def ungapped(query: np.ndarray, ref: np.ndarray, search: Search, q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Scores of extensions without gaps from words at (q, r), both ways until the score drops by ``x_drop``; all seeds at once."""
+@dataclass
+class Seeded:
+    """One reading of a query, a reference, and the places of their seeds; ``whole``: a masked word is shared."""
+
+    row: int
+    strand: int
+    query: np.ndarray
+    ref: np.ndarray
+    diagonal: np.ndarray
+    place: np.ndarray
+    whole: bool
+
+
+def reaching(found: list[Seeded], search: Search) -> list[np.ndarray]:
+    """Which seeds' extensions without gaps reach ``trigger`` before their score has dropped by ``x_drop``; the seeds of all pairs at once."""
+    if not found:
+        return []
+    ends = [np.cumsum([0, *(len(x) for x in seqs)]) for seqs in ([f.query for f in found], [f.ref for f in found])]
+    query, ref = np.concatenate([f.query for f in found]), np.concatenate([f.ref for f in found])
+    n = [len(f.place) for f in found]
+    owner = np.repeat(np.arange(len(found)), n)
+    place = np.concatenate([f.place for f in found]).astype(np.int64)
+    q, r = place + ends[0][owner], place + np.concatenate([f.diagonal for f in found]) + ends[1][owner]
+    low_q, high_q, low_r, high_r = (e[owner + k] for e in ends for k in (0, 1))
     table = search.matrix
     total = np.zeros(len(q))
     for j in range(search.word):
         total += table[query[q + j], ref[r + j]]
-    for step, first in ((1, search.word), (-1, -1)):
-        alive = np.arange(len(q))
+    for step, away in ((1, search.word), (-1, -1)):
         score, best = np.zeros(len(q)), np.zeros(len(q))
-        away = first
+        alive = np.flatnonzero(total < search.trigger)
         while len(alive):
             i, j = q[alive] + away, r[alive] + away
-            inside = (i >= 0) & (j >= 0) & (i < len(query)) & (j < len(ref))
+            inside = (i >= low_q[alive]) & (j >= low_r[alive]) & (i < high_q[alive]) & (j < high_r[alive])
             alive, i, j = alive[inside], i[inside], j[inside]
             score[alive] += table[query[i], ref[j]]
             best[alive] = np.maximum(best[alive], score[alive])
-            alive = alive[score[alive] > best[alive] - search.x_drop]
+            alive = alive[(score[alive] > best[alive] - search.x_drop) & (total[alive] + best[alive] < search.trigger)]
             away += step
         total += best
-    return total
+    return np.split(total >= search.trigger, np.cumsum(n)[:-1])
 
 
-def bands(query: np.ndarray, ref: np.ndarray, search: Search, seeds: list[tuple[int | None, int]]) -> list[tuple[int, int]]:
-    """Bands of diagonals worth aligning, from (diagonal, place on the query) seeds; a null diagonal asks for all."""
-    if any(d is None for d, _ in seeds):
-        return [(-len(query), len(ref))]
-    diagonal, place = (np.array(x, np.int64) for x in zip(*sorted(seeds), strict=True))
-    reached = diagonal[ungapped(query, ref, search, place, place + diagonal) >= search.trigger]
+def bands(found: Seeded, reached: np.ndarray, search: Search) -> list[tuple[int, int]]:
+    """Bands of diagonals worth aligning."""
+    if found.whole:
+        return [(-len(found.query), len(found.ref))]
     out: list[list[int]] = []
-    for d in reached.tolist():
+    for d in np.sort(found.diagonal[reached]).tolist():
         if out and d - search.slack <= out[-1][1]:
             out[-1][1] = d + search.slack
         else:
@@ -278,7 +297,7 @@ def _extended(search: Search):
         for batch in batches:
             for part in range(0, batch.num_rows, PAIRS):
                 rows = batch.slice(part, PAIRS).to_pylist()
-                jobs = []
+                seeded = []
                 for k, row in enumerate(rows):
                     ref = _bytes(row["ref_seq"]) & 127
                     read = dict(readings(_bytes(row["seq"]) & 127, search.translated))
@@ -286,7 +305,10 @@ def _extended(search: Search):
                     for s in row["seeds"]:
                         by_strand.setdefault(s["strand"], []).append((s["diagonal"], s["place"]))
                     for strand in sorted(by_strand, key=lambda s: (s < 0, abs(s))):
-                        jobs += [(k, strand, read[strand], ref, band) for band in bands(read[strand], ref, search, by_strand[strand])]
+                        at = [x for x in by_strand[strand] if x[0] is not None]
+                        diagonal, place = (np.array(x, np.int64) for x in zip(*at, strict=True)) if at else (np.zeros(0, np.int64),) * 2
+                        seeded.append(Seeded(k, strand, read[strand], ref, diagonal, place, len(at) < len(by_strand[strand])))
+                jobs = [(x.row, x.strand, x.query, x.ref, band) for x, ok in zip(seeded, reaching(seeded, search), strict=True) for band in bands(x, ok, search)]
                 found = pairbatch.align([j[2] for j in jobs], [j[3] for j in jobs], search.costs, True, [j[4] for j in jobs])
                 best: dict[int, tuple] = {}
                 for (k, strand, symbols, ref, _), path in zip(jobs, found, strict=True):
@@ -309,11 +331,14 @@ def hits(queries: DataFrame, references: DataFrame, search: Search = BASES, on:
     ``targets``: the best references a query keeps.
     """
     group = F.lit("") if on is None else F.col(on).cast("string")
-    own = lambda df, name, seq: df.filter(F.length(seq) > 0).select(F.col(name).cast("string").alias(name), F.col(seq).cast("string").alias(seq), group.alias("grp")).filter("grp is not null").dropDuplicates([name])
-    known, asked = own(references, "ref", "ref_seq"), own(queries, "query", "seq")
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = lambda df, name, seq: df.filter(F.length(seq) > 0).select(F.col(name).cast("string").alias(name), F.col(seq).cast("string").alias(seq), group.alias("grp")).filter("grp is not null")
+    known = own(references, "ref", "ref_seq").dropDuplicates(["ref"])
+    # A number of partitions that stays: alignment costs time, not bytes. All that follows keeps this partitioning.
+    asked = own(queries, "query", "seq").repartition(n, "query").dropDuplicates(["query"])
     space = known.groupBy("grp").agg(F.sum(F.length("ref_seq")).alias("space"))
     of_ref = known.join(space, "grp").drop("grp")
-    pairs = candidates(asked, known, search).join(asked.drop("grp"), "query").join(sized.small(of_ref, sized.rows_of(known, "ref_seq")), "ref")
+    pairs = candidates(asked, known, search).repartition(n, "query").join(asked.drop("grp"), "query").join(sized.small(of_ref, sized.rows_of(known, "ref_seq")), "ref")
     found = pairs.mapInArrow(_extended(search), HIT)
     if targets is None:
         return found

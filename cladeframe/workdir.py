@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -24,6 +24,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/cladeframe/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and read back: its lineage ends there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stage(df, path: str, required: list[str] = (), rerun: bool = False):
     """A stage's Parquet table: the one at ``path`` if it is there, complete and has the columns, else written now."""
     spark = df.sparkSession
