@@ -462,7 +462,8 @@ def best_reference(queries: DataFrame, references: DataFrame, on: list[str], que
     tasks; more are met by their key, in blocks that each query visits, a row a pair.
     Queries are spread by a hash of their own, so a genotype with most rows is no hot task.
     """
-    spread = queries.select(query, *on, "seq").repartition(F.col(query))
+    # A number of partitions that stays: alignment costs time, not bytes.
+    spread = queries.select(query, *on, "seq").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), query)
     known = references.select(*on, "ref_ordinal", "ref_name", "ref_seq")
     if sized.rows_of(known, "ref_seq") == 0 and not known.isEmpty():
         return _best_of_pairs(spread, known, on, query, scores, local)

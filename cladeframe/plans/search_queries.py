@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe import genes
+from cladeframe import genes, workdir
 from cladeframe.operators import alignment, hits, msa, search
 from cladeframe.plans import cohort as c
 from cladeframe.plans import gene as g
 from cladeframe.plans.queries import query
+from cladeframe.sources import files, genbank
 
 CODONS = 150
 SENSE = [codon for codon, aa in sorted(genes.CODONS.items()) if aa != "*"]
@@ -117,3 +118,42 @@ def al_msa(spark, d):
     most = counts.groupBy("truth", "pos").agg(F.max_by("codon", F.struct("n", "codon")).alias("codon"))
     consensus = _joined(most.filter(~_one_in(9, "truth", "pos")), ["truth"], "codon")
     return msa.progressive(consensus.withColumnRenamed("truth", "name"), msa.BASES)
+
+
+# Records by byte ranges, bundles
+
+
+def _genbank(spark: SparkSession, d: str) -> str:
+    """Every customer as a GenBank record; a third of the files' lines end as on another system."""
+    path = workdir.new_path(spark, "genbank")
+    key, end = F.col("c_custkey").cast("string"), F.when(F.pmod("c_custkey", F.lit(3)) == 0, "\r\n").otherwise("\n")
+    bases = F.when(F.pmod("c_custkey", F.lit(2)) == 0, "acgt").otherwise("ggttaa")
+    text = F.concat(F.lit("LOCUS       C"), key, end, F.lit("ACCESSION   C"), key, end, F.lit("ORIGIN"), end, F.lit("        1 "), bases, end, F.lit("//"), F.when(F.pmod("c_custkey", F.lit(3)) == 0, "\r").otherwise(""))
+    c.table(spark, d, "customer").select(text.alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT 'C' || c_custkey AS accession, CAST(2 * length('C' || c_custkey) + CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 6 END + CASE WHEN c_custkey % 3 = 0 THEN 52 ELSE 47 END AS BIGINT) AS n_bytes FROM customer")
+def src_genbank_offsets(spark, d):
+    """Every record's bytes, by its offsets."""
+    rows = genbank.as_text(genbank.read_records(spark, _genbank(spark, d)))
+    return rows.select(F.element_at(files.raw_accessions(F.col("record")), 1).alias("accession"), (F.col("end_byte") - F.col("start_byte")).alias("n_bytes"))
+
+
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS study, 'C' || c_custkey AS accession, CASE WHEN c_custkey % 2 = 0 THEN 'ACGT' ELSE 'GGTTAA' END AS sequence FROM customer WHERE c_acctbal > 0")
+def rp_genbank_bundles(spark, d):
+    """Bundles by nation, written and cut out again by their index."""
+    wanted = c.table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_nationkey").cast("string").alias("study"), F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit(".1")).alias("accession"))
+    path = workdir.new_path(spark, "bundles")
+    genbank.write_bundles(genbank.read_records(spark, _genbank(spark, d)), wanted, path)
+    rows = files.parsed_genbank(genbank.read_bundles(spark, path).withColumn("record", F.regexp_replace(F.regexp_replace("record", "\r", ""), "\n//\n?$", "\n")).withColumn("asked", F.col("accession")))
+    return rows.select("study", F.substring_index("asked", ".", 1).alias("accession"), "sequence")
+
+
+@query("SELECT 'C' || c_custkey AS accession FROM customer WHERE c_acctbal > 5000")
+def jn_gb_semi(spark, d):
+    """Records of the wanted accessions; of repeated records the last."""
+    wanted = c.table(spark, d, "customer").filter("c_acctbal > 5000").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("accession"))
+    records = genbank.read_records(spark, _genbank(spark, d))
+    twice = records.unionByName(records.withColumn("path", F.concat("path", F.lit("~"))))
+    return genbank.matching(twice, wanted).filter(F.col("path").endswith("~")).select(F.col("asked").alias("accession"))

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeframe import workdir
 from cladeframe.functions import labels, sequences
+from cladeframe.operators import selection
 
 # File name endings.
 FASTA_ENDINGS = ("fa", "faa", "fasta", "fna", "fas", "ffn", "frn", "seq")
@@ -35,9 +37,26 @@ def fasta_records(text: Column) -> Column:
     return F.slice(F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)^>"), 2, 1 << 30)
 
 
-def read_fasta(spark: SparkSession, paths: str | Sequence[str], upper: bool = True, raw: bool = False, endings: Sequence[str] | None = None, rule: str = "prefix") -> DataFrame:
-    """ref_id, path, ordinal, header, accession, seq [, body]: white space within sequences is dropped."""
-    rows = _whole(spark, paths, endings).select("path", F.posexplode(fasta_records(F.col("value"))).alias("ordinal", "record"))
+def read_fasta(spark: SparkSession, paths: str | Sequence[str], upper: bool = True, raw: bool = False, endings: Sequence[str] | None = None, rule: str = "prefix", filled: bool = False, unique: bool = False, containing: str | None = None) -> DataFrame:
+    """ref_id, path, ordinal, header, accession, seq [, body]: white space within sequences is dropped.
+
+    Conditions that are errors when the rows are read, without a second pass: ``filled``, a file without a
+    record; ``unique``, an accession that occurs twice. ``containing``: only records whose
+    header has the text in any case; a file without one is an error.
+    """
+    found = _whole(spark, paths, endings).select("path", fasta_records(F.col("value")).alias("records"))
+    some = lambda records, what: F.when(F.size(records) == 0, F.raise_error(F.concat(F.lit(f"{what}: "), "path"))).otherwise(records)
+    if filled or containing is not None:
+        # Files without a byte give no row; the listing names them.
+        for name, length, _ in workdir.listed(spark, [paths] if isinstance(paths, str) else list(paths)):
+            if length == 0 and (not endings or name.rsplit(".", 1)[-1] in endings):
+                raise ValueError(f"no record in: {name}")
+        found = found.withColumn("records", some(F.col("records"), "no record in"))
+    if containing is not None:
+        has = F.filter(F.transform("records", lambda x, k: F.struct(k.alias("ordinal"), x.alias("record"))), lambda x: labels.contains_ci(F.regexp_extract(x["record"], r"^([^\n]*)", 1), F.lit(containing)))
+        rows = found.select("path", F.explode(some(has, f"no header contains {containing} in")).alias("x")).select("path", "x.*")
+    else:
+        rows = found.select("path", F.posexplode("records").alias("ordinal", "record"))
     body = F.regexp_replace("record", r"^[^\n]*\n?", "")
     seq = F.regexp_replace(body, r"\s", "")
     out = rows.select(
@@ -45,7 +64,8 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], upper: bool = Tr
         F.trim(F.regexp_extract("record", r"^([^\n]*)", 1)).alias("header"), labels.accession_of(F.ltrim("record")).alias("accession"),
         (F.upper(seq) if upper else seq).alias("seq"), body.alias("body"),
     )
-    return out if raw else out.drop("body")
+    out = out if raw else out.drop("body")
+    return selection.unique_or_fail(out, ["accession"], "accession") if unique else out
 
 
 def accession_files(records: DataFrame) -> DataFrame:
@@ -110,12 +130,10 @@ def read_genotype_references(spark: SparkSession, path: str, gene: str) -> DataF
 
 
 def read_genbank(spark: SparkSession, paths: str | Sequence[str], endings: Sequence[str] | None = None) -> DataFrame:
-    """path, ordinal, start_byte, record: raw records up to their '//' line; a last one without it counts too."""
-    whole = _whole(spark, paths, endings).withColumn("value", F.regexp_replace("value", r"\r\n?", "\n"))
-    parts = whole.select("path", F.posexplode(F.split("value", r"(?m)^//[ \t]*\n?")).alias("ordinal", "record"))
-    size = F.octet_length("record") + 3
-    out = parts.withColumn("start_byte", F.sum(size).over(Window.partitionBy("path").orderBy("ordinal")) - size)
-    return out.filter(F.trim("record") != "")
+    """path, ordinal, start_byte, end_byte, record: records without their '//' line and with plain new lines; a last one without it counts too."""
+    from cladeframe.sources import genbank
+
+    return genbank.as_text(genbank.read_records(spark, paths, endings)).drop("raw")
 
 
 def parsed_genbank(records: DataFrame) -> DataFrame:

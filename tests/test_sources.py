@@ -107,3 +107,41 @@ def test_documents(spark, tmp_path):
         z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>One</w:t><w:br w:type="page"/></w:r></w:p><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>')
     (tmp_path / "d.docx").write_bytes(out.getvalue())
     assert [(r["page"], r["text"]) for r in workbooks.read_documents(spark, str(tmp_path / "d.docx")).orderBy("page").collect()] == [(1, "One"), (2, "Two")]
+
+
+def test_conditions_of_fasta(spark, tmp_path):
+    (tmp_path / "1_a.fa").write_text(">X1 NS3 gene\nac\n>X2 other\ngt\n")
+    (tmp_path / "2_b.fa").write_text(">X1 ns3\nac\n")
+    (tmp_path / "3_c.fa").write_text("")
+    one, two, none = (str(tmp_path / x) for x in ("1_a.fa", "2_b.fa", "3_c.fa"))
+    assert files.read_fasta(spark, one, filled=True, unique=True, upper=False).count() == 2
+    assert files.read_fasta(spark, [one, none]).count() == 2
+    assert [(r["ordinal"], r["accession"]) for r in files.read_fasta(spark, one, containing="ns3").collect()] == [(0, "X1")]
+    for kind, paths in (({"filled": True}, [one, none]), ({"unique": True}, [one, two]), ({"containing": "NS5B"}, [one]), ({"containing": "other"}, [one, two])):
+        with pytest.raises(Exception, match=r"no record in|occurs more than once: X1|no header contains"):
+            files.read_fasta(spark, paths, **kind).collect()
+
+
+def test_cached_stages(spark, tmp_path):
+    from cladeframe import workdir
+
+    source, path, made = tmp_path / "in.txt", str(tmp_path / "stage"), []
+
+    def ask(rerun=False, **settings):
+        def make():
+            return spark.read.text(str(source)).selectExpr("upper(value) AS value", f"{len(settings)} AS n")
+
+        before = {p.name for p in (tmp_path / "stage").glob("*")} if (tmp_path / "stage").exists() else set()
+        rows = sorted(r["value"] for r in workdir.cached(spark, path, make, [str(source)], settings, rerun).collect())
+        made.append(len({p.name for p in (tmp_path / "stage").glob("*")} - before))
+        return rows
+
+    source.write_text("a\nb\n")
+    assert ask() == ask() == ["A", "B"] and made == [1, 0]
+    source.write_text("a\nb\nc\n")
+    assert ask() == ["A", "B", "C"] and made[-1] == 1
+    assert ask(k=1) == ["A", "B", "C"] and made[-1] == 1 and ask(k=1) and made[-1] == 0
+    broken = tmp_path / "stage" / "_writing-x"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_bytes(b"half")
+    assert ask(k=2) == ["A", "B", "C"] and ask(rerun=True, k=2) == ["A", "B", "C"] and made[-1] == 0
