@@ -5,9 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from cladeframe import workdir
 from cladeframe.functions import labels, sequences
 from cladeframe.operators import selection
 
@@ -158,7 +159,10 @@ def alignment_blocks(ref: Column, query: Column, width: int = 80, names: tuple[s
 
 
 def consensus_report(aligned: DataFrame, gene: str, width: int = 80) -> DataFrame:
-    """(label, text) of (label, gt, ref, query, score): head, score and identity, and the alignment in blocks."""
+    """(label, text) of (label, gt, ref, query, score [, reference, number]): head, score and identity, and the alignment in blocks.
+
+    With the reference's name and the running number of the report, the head has both.
+    """
     ref, query = F.col("ref"), F.col("query")
     columns = F.zip_with(sequences.chars(ref), sequences.chars(query), lambda a, b: F.struct(a.alias("r"), b.alias("q")))
     said = F.size(F.filter(columns, lambda x: (x["r"] != "-") & ~x["q"].isin("-", "X", "*")))
@@ -166,10 +170,26 @@ def consensus_report(aligned: DataFrame, gene: str, width: int = 80) -> DataFram
     share = F.when(said > 0, same / said).otherwise(F.lit(0.0))
     size = lambda c: F.length(F.regexp_replace(c, "-", ""))
     head = F.concat(F.lit(f"gene={gene} subtype_consensus="), F.col("label"), F.lit(" genotype=GT"), F.col("gt"))
+    if {"number", "reference"} <= set(aligned.columns):
+        head = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), head, F.lit(" reference="), F.col("reference"))
     score = F.format_string("score=%.3f identity=%d/%d (%.3f%%) reference_length=%d consensus_length=%d", F.col("score").cast("double"), same, said, share * 100, size(ref), size(query))
     return aligned.select("label", F.concat_ws("\n", head, score, alignment_blocks(ref, query, width)).alias("text"))
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """``rows`` with their number, from 1, in a total order.
+
+    Rows are sorted by ranges; a range's first number is the count of the rows before it, so no
+    task ever holds more than its range. Only a count a task meets in one place.
+    """
+    sorted_rows = workdir.stored(rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__id", 33)  # the task that sorted the row; the lower bits are its place there
+    counts = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_rows.join(F.broadcast(before), part == F.col("__part")).withColumn(name, F.col("__before") + place + 1).drop("__id", "__part", "__before")
+
+
 def mention_report(hits: DataFrame) -> DataFrame:
     """(paper, text): a paper's accession mentions as lines, by sentence and accession, under a head with their number."""
     line = F.concat(F.lit("- "), F.col("accession"), F.lit(": "), F.col("sentence"))

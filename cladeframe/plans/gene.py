@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from cladeframe import genes
+from cladeframe import genes, workdir
 from cladeframe.functions import labels, sequences
 from cladeframe.operators import alignment, distance, extraction, hits, profiles, search, selection, sized
 
@@ -40,6 +40,48 @@ DEFAULTS = {
 }
 
 
+# What says that a gene is present.
+PRESENT = ("yes", "y", "true", "1", "present")
+
+
+@dataclass(frozen=True)
+class Staged:
+    """``entries``: ref_id, header, accession, seq in file order; ``seed``: ref_id, ref_name, patients, count; ``counters``: one row."""
+
+    entries: DataFrame
+    seed: DataFrame
+    counters: DataFrame
+
+
+def staged(metadata: DataFrame, fasta: DataFrame, gene: str) -> Staged:
+    """What the metadata (ref_id, accession, ``gene``, ordinal) select for a run, out of the first file of each study (``read_fasta``).
+
+    A metadata row has the first reason for which it is left out: ``no_gene``, ``missing_id``,
+    ``duplicate`` (of an earlier row's study and accession). A selected accession is
+    ``missing_fasta`` (its study has no file) or ``missing_sequence`` (the file lacks it). Reasons
+    are counted while the marked rows are written: no pass of their own.
+    """
+    study, name = (F.coalesce(F.trim(c), F.lit("")) for c in ("ref_id", "accession"))
+    able = metadata.select(study.alias("ref_id"), name.alias("accession"), F.lower(F.trim(F.coalesce(F.col(gene), F.lit("")))).isin(*PRESENT).alias("present"), "ordinal")
+    reason = F.when(~F.col("present"), "no_gene").when((F.col("ref_id") == "") | (F.col("accession") == ""), "missing_id")
+    first = F.row_number().over(Window.partitionBy("ref_id", "accession", F.col("reason").isNull()).orderBy("ordinal"))
+    marked = able.withColumn("reason", reason).withColumn("reason", F.when(F.col("reason").isNull() & (first > 1), "duplicate").otherwise(F.col("reason")))
+    seen = Observation()
+    kinds = ("no_gene", "missing_id", "duplicate")
+    chosen = workdir.stored(marked.observe(seen, *(F.count_if(F.col("reason") == k).alias(f"skipped_{k}") for k in kinds), F.count_if(F.col("reason").isNull()).alias("selected_accessions")).filter("reason is null").select("ref_id", "accession"), "selected")
+    own = fasta.join(fasta.groupBy("ref_id").agg(F.min("path").alias("path")), ["ref_id", "path"], "left_semi")
+    entries = workdir.stored(own.join(chosen, ["ref_id", "accession"], "left_semi").select("ref_id", "path", "ordinal", "header", "accession", "seq"), "staged")
+    counts = entries.groupBy("ref_id").agg(F.count("*").alias("n"))
+    seed = counts.select("ref_id", F.concat(F.lit("metadata_"), "ref_id").alias("ref_name"), F.col("n").alias("patients"), F.col("n").alias("count"))
+    with_file = chosen.join(fasta.select("ref_id").distinct().withColumn("f", F.lit(True)), "ref_id", "left").join(entries.select("ref_id", "accession").distinct().withColumn("s", F.lit(True)), ["ref_id", "accession"], "left")
+    lost = with_file.agg(F.count_if(F.col("f").isNull()).alias("missing_fasta"), F.count_if(F.col("f") & F.col("s").isNull()).alias("missing_sequence"), F.count_distinct("ref_id").alias("selected_studies"))
+    total = counts.agg(F.count("*").alias("staged_studies"), F.coalesce(F.sum("n"), F.lit(0)).alias("staged_accessions"))
+    told = {k: int(v) for k, v in seen.get.items()}
+    spark = metadata.sparkSession
+    row = {**told, **lost.first().asDict(), **total.first().asDict()}
+    return Staged(entries, seed, spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} long" for k in row)))
+
+
 def folder_assignments(records: DataFrame, gene_refs: DataFrame, subtype_refs: DataFrame, least: int = genes.MIN_OVERLAP_NT) -> DataFrame:
     """Every gene that a sequence holds, with its genotype and nearest subtype, from one search in all genes' references.
 

@@ -45,7 +45,7 @@ def flt_threshold_low(spark, d):
 def srt_refid(spark, d):
     nation = c.table(spark, d, "nation")
     refs = nation.select(_text("n_nationkey").alias("ref")).union(nation.select("n_name")).distinct()  # a row a study
-    return refs.withColumn("rank", F.row_number().over(Window.orderBy(*reports.study_order(F.col("ref")))).cast("long"))
+    return reports.numbered(refs, reports.study_order(F.col("ref")), "rank")
 
 
 @query("SELECT min(url) AS path FROM pages WHERE regexp_matches(url, '[0-9]')")

@@ -157,3 +157,17 @@ def jn_gb_semi(spark, d):
     records = genbank.read_records(spark, _genbank(spark, d))
     twice = records.unionByName(records.withColumn("path", F.concat("path", F.lit("~"))))
     return genbank.matching(twice, wanted).filter(F.col("path").endswith("~")).select(F.col("asked").alias("accession"))
+
+
+@query("""SELECT count(*) FILTER (WHERE NOT present) AS skipped_no_gene, count(*) FILTER (WHERE present AND study = '') AS skipped_missing_id,
+  count(*) FILTER (WHERE present AND study <> '' AND nth > 1) AS skipped_duplicate, count(*) FILTER (WHERE present AND study <> '' AND nth = 1) AS selected_accessions,
+  count(*) FILTER (WHERE present AND study <> '' AND nth = 1 AND c_custkey IS NULL) AS missing_fasta
+FROM (SELECT *, o_totalprice > 1000 AS present, CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS study,
+  row_number() OVER (PARTITION BY CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_custkey AS VARCHAR) END, o_orderpriority, o_totalprice > 1000 ORDER BY o_orderkey) AS nth FROM orders)
+LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON study = CAST(c_custkey AS VARCHAR)""")
+def rp_stage_metadata(spark, d):
+    """Counters of a staging: orders as metadata rows, customers with a balance as files."""
+    orders = c.table(spark, d, "orders")
+    metadata = orders.select(F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("string")).alias("ref_id"), F.col("o_orderpriority").alias("accession"), F.when(F.col("o_totalprice") > 1000, "yes").alias("NS3"), F.col("o_orderkey").alias("ordinal"))
+    fasta = c.table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("ref_id"), F.concat("c_name", F.lit(".fa")).alias("path"), F.lit(0).alias("ordinal"), F.lit("h").alias("header"), F.lit("1-URGENT").alias("accession"), F.lit("ACGT").alias("seq"))
+    return g.staged(metadata, fasta, "NS3").counters.select("skipped_no_gene", "skipped_missing_id", "skipped_duplicate", "selected_accessions", "missing_fasta")

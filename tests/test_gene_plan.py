@@ -74,3 +74,43 @@ def test_external_way(spark, cohort):
     assert got == {"S0.1": ("1", "1a"), "S2.1": ("7", "7a"), "S4.1": ("1", "1d")}
     rows = spark.createDataFrame([("a", "A" * 200, 130), ("b", "A" * 100, 130), ("c", "A" * 20 + "X" + "A" * 200, 130)], "accession string, seq string, start int").withColumn("quality", F.struct(F.lit("PASS").alias("status")))
     assert [r["accession"] for r in plan.profile_rows(rows).collect()] == ["a"]
+
+
+def test_staged_metadata(spark):
+    """Reasons and counters against a loop over the rows."""
+    from cladeframe.plans.gene import PRESENT, staged
+
+    r = random.Random(17)
+    rows = [(r.choice(["1", "2", "3", " 4 ", "", None]), r.choice(["A", "B", " C", "D", "", None]), r.choice(["yes", "Y ", "no", None, "present", "1"]), k) for k in range(120)]
+    fasta = [("1", "1_a.fa", 0, "A x", "A", "AC"), ("1", "1_a.fa", 1, "B", "B", "GT"), ("1", "1_a.fa", 2, "A again", "A", "AA"), ("1", "1_b.fa", 0, "C", "C", "TT"), ("2", "2_a.fa", 0, "Z", "Z", "C"), ("4", "4_a.fa", 0, "D", "D", "G")]
+    counts = dict.fromkeys(("skipped_no_gene", "skipped_missing_id", "skipped_duplicate"), 0)
+    chosen = set()
+    for study, name, flag, _ in rows:
+        key = (study or "").strip(), (name or "").strip()
+        if (flag or "").strip().lower() not in PRESENT:
+            counts["skipped_no_gene"] += 1
+        elif not all(key):
+            counts["skipped_missing_id"] += 1
+        elif key in chosen:
+            counts["skipped_duplicate"] += 1
+        else:
+            chosen.add(key)
+    first = {"1": "1_a.fa", "2": "2_a.fa", "4": "4_a.fa"}
+    entries = [f for f in fasta if f[1] == first[f[0]] and (f[0], f[4]) in chosen]
+    held = {(f[0], f[4]) for f in entries}
+    counts |= {"selected_accessions": len(chosen), "selected_studies": len({s for s, _ in chosen}), "missing_fasta": sum(s not in first for s, _ in chosen), "missing_sequence": sum(s in first and (s, a) not in held for s, a in chosen), "staged_studies": len({f[0] for f in entries}), "staged_accessions": len(entries)}
+    got = staged(spark.createDataFrame(rows, "ref_id string, accession string, NS3 string, ordinal int"), spark.createDataFrame(fasta, "ref_id string, path string, ordinal int, header string, accession string, seq string"), "NS3")
+    assert got.counters.first().asDict() == counts
+    assert sorted((x["ref_id"], x["ordinal"], x["header"]) for x in got.entries.collect()) == sorted((f[0], f[2], f[3]) for f in entries)
+    assert {x["ref_id"]: (x["ref_name"], x["patients"], x["count"]) for x in got.seed.collect()} == {s: (f"metadata_{s}", n, n) for s in first if (n := sum(f[0] == s for f in entries))}
+
+
+def test_numbered_and_report_head(spark):
+    from cladeframe.operators import reports
+
+    rows = spark.range(0, 5000).selectExpr("id", "cast(hash(id) as long) as k").repartition(7)
+    got = {x["id"]: x["number"] for x in reports.numbered(rows, [F.col("k"), F.col("id")]).collect()}
+    want = sorted((x["k"], x["id"]) for x in rows.collect())
+    assert got == {i: n for n, (_, i) in enumerate(want, 1)}
+    one = spark.createDataFrame([("c", "1", "ACDE", "AC-E", 3.0, "HCV1", 4)], "label string, gt string, ref string, query string, score double, reference string, number int")
+    assert reports.consensus_report(one, "NS3").first()["text"].startswith("[4] gene=NS3 subtype_consensus=c genotype=GT1 reference=HCV1\nscore=3.000 identity=3/3")
