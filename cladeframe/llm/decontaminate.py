@@ -14,7 +14,7 @@ A document is contaminated by an item if its consistent windows are at least
 ``min_cover`` of the item's windows, or of those of them that are dense (``MIN_WORDS``
 literal words or more), or ``min_windows`` that are dense or verbatim. In all, the windows must hold ``MIN_WORDS``
 words that are equal in both. An item shorter than a window is one window of all its
-words, if it has at least ``MIN_WORDS``.
+words; one of fewer than ``MIN_WORDS`` words is found where exactly its words stand in a row.
 
 Cases: null and empty texts match nothing; repeated items each match; other columns
 are ignored; an empty table on either side gives no rows.
@@ -113,6 +113,8 @@ def _emitter(key: str, widths: list[int], only: np.ndarray | None, whole_short:
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
                 for width in widths:
                     at, h, template = t.windows(width)
+                    if width < MIN_WORDS:  # so few words must be the item's own
+                        at, h, template = at[~template], h[~template], template[~template]
                     if whole_short and width < longest:  # a short item is one window of its own width
                         ok = size[t.doc[at]] == width
                         at, h, template = at[ok], h[ok], template[ok]
@@ -170,6 +172,7 @@ def _judged(min_cover: float, min_windows: int):
         for m in matches:
             shifts.setdefault(m["d"] - m["i"], []).append(m)
         best = None
+        least = min(MIN_WORDS, max(r["width"] for r in rows))  # a short item is one window of all its words
         # The whole document, and each unbroken copy by itself: other copies can't outvote it.
         for group in ([matches, *shifts.values()] if len(shifts) > 1 else [matches]):
             good = _consistent(group)
@@ -178,7 +181,7 @@ def _judged(min_cover: float, min_windows: int):
             strong = {m["i"] for m in good if m["dense"] or m["plain"]}
             if not (len(places) >= max(1, math.ceil(min_cover * item_windows)) or len(dense) >= max(1, math.ceil(min_cover * item_dense)) or len(strong) >= min_windows):
                 continue
-            if len({m["i"] + k for m in good for k in m["equal"]}) >= MIN_WORDS and (best is None or len(places) > best[0]):
+            if len({m["i"] + k for m in good for k in m["equal"]}) >= least and (best is None or len(places) > best[0]):
                 best = len(places), min(m["d"] for m in good), max(m["d"] for m in good)
         return best
 
@@ -201,7 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5,
     """doc_id, item_id, n_windows (consistent ones), item_windows, first_word, last_word: one row a document and item that contaminates it."""
     own = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    widths = list(range(MIN_WORDS, window + 1))
+    widths = list(range(1, window + 1))
     schema = "{} long, place int, width int, window long, slots array<long>, dense boolean, n_windows long, n_dense long"
     theirs = items.mapInArrow(text.released(_emitter("item_id", widths, None, True, window)), schema.format("item_id"))
     told = ", ".join(f"{c} long" for c in FOUND)

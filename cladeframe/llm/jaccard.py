@@ -377,17 +377,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
 def representatives(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, with all their columns: of each component those of the smallest id, one row an id (the least text by hash, then by itself)."""
-    gone = shared.stored(_components(docs, k, percent, id_col, text_col).filter("key != component").select(F.col("key").alias("__key")).distinct(), "gone")
-    keyed = docs.withColumn("__own", row_key(docs[id_col], docs[text_col].cast("string")))
-    kept = keyed.join(shared.sized_broadcast(gone), F.col("__own") == F.col("__key"), "left_anti")
-    twice = shared.stored(kept.groupBy("__own").count().filter("count > 1").select(F.col("__own").alias("__key")), "twice")
+    own, key = shared.fresh(docs, "own_key"), shared.fresh(docs, "gone_key")
+    gone = shared.stored(_components(docs, k, percent, id_col, text_col).filter("key != component").select(F.col("key").alias(key)).distinct(), "gone")
+    keyed = docs.withColumn(own, row_key(docs[id_col], docs[text_col].cast("string")))
+    kept = keyed.join(shared.sized_broadcast(gone), F.col(own) == F.col(key), "left_anti")
+    twice = shared.stored(kept.groupBy(own).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(own).alias(key)), "twice")
     if twice.isEmpty():
-        return kept.drop("__own")
+        return kept.drop(own)
     many = shared.sized_broadcast(twice)
-    columns = [c for c in kept.columns if c != "__own"]
-    row = F.struct(F.xxhash64(text_col).alias("__h"), *(F.col(c) for c in columns))
-    least = kept.join(many, F.col("__own") == F.col("__key"), "left_semi").groupBy("__own").agg(F.min(row).alias("__row")).select(*(F.col("__row")[c].alias(c) for c in columns))
-    return kept.join(many, F.col("__own") == F.col("__key"), "left_anti").drop("__own").unionByName(least)
+    row = F.struct(F.xxhash64(F.col(f"`{text_col}`")).alias("hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    least = kept.join(many, F.col(own) == F.col(key), "left_semi").groupBy(own).agg(F.min(row).alias("least")).select("least.row.*")
+    return kept.join(many, F.col(own) == F.col(key), "left_anti").drop(own).unionByName(least)
 
 
 #: The same classes by plain SQL, for three words and 90 per cent.

@@ -13,7 +13,8 @@ The sample is at most ``SAMPLE_DOCS`` labelled documents, whole, chosen by a has
 their id; its bound is a parameter. Prediction reads the text alone, the whole of it.
 
 Cases: null text and text without a letter is ``und`` with score 0.0; rows without a
-label never train; without any training row every text is ``und``; equal scores take
+label never train; rows without an id train by a hash of their text, and rows of one id
+as one; repeated rows are predicted each; without any training row every text is ``und``; equal scores take
 the language that sorts first; other columns are ignored; an empty table gives no rows.
 """
 
@@ -35,9 +36,7 @@ SAMPLE_DOCS = 2_000
 LANDMARKS = 200
 RIDGE = 1e-2
 SLICE = 256 << 10
-HELD_TEXTS = 100  # held-out texts of a class of sizes that give it a floor
-LOST = 0.005  # of held-out texts, below whose scores the floor is
-MARGIN = 0.02  # of the floor below that
+MARGIN = 0.02  # of the floor below the lowest score of held-out texts
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -112,10 +111,14 @@ class Model:
 
     @classmethod
     def fit_open(cls, texts: list[str], labels: list[str]) -> Model:
-        """A model with floors, from the scores that a fifth of the texts, and their beginnings, have by a model of the others."""
+        """A model with floors, from the scores that a fifth of the texts, and their beginnings, have by a model of the others.
+
+        The floor of a class of sizes lies by ``MARGIN`` below its lowest held-out score, and
+        by the more (a share of 1 / n) the fewer texts say so.
+        """
         model = cls.fit(texts, labels)
         held, others = texts[::5], [k for k in range(len(texts)) if k % 5]
-        if len(held) < HELD_TEXTS:
+        if not others:
             return model
         tried = cls.fit([texts[k] for k in others], [labels[k] for k in others])
         by_size: dict[int, list[float]] = {}
@@ -127,9 +130,9 @@ class Model:
                     for z, v in zip(size.tolist(), tried.predict(data, offsets)[1].tolist(), strict=True):
                         by_size.setdefault(z.bit_length(), []).append(v)
         floor = 0.0
-        for bits in range(len(model.floors)):  # a class of few texts has the floor of the next smaller
-            if len(by_size.get(bits, [])) >= HELD_TEXTS:
-                floor = max(float(np.quantile(by_size[bits], LOST, method="lower")) - MARGIN, 0.0)
+        for bits in range(len(model.floors)):  # a class without texts has the floor of the next smaller
+            if own := by_size.get(bits):
+                floor = max((min(own) - MARGIN) * (1 - 1 / len(own)), 0.0)
             model.floors[bits] = floor
         return model
 
@@ -152,19 +155,22 @@ class Model:
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int = SAMPLE_DOCS) -> tuple[list[str], list[str]]:
-    """At most ``limit`` labelled texts, of each label the equal share of smallest hashes of the id."""
-    labelled = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
-    counts = labelled.groupBy("l").count().orderBy("l").limit(limit).collect()
+    """At most ``limit`` labelled texts, of each label the equal share of smallest hashes of the id (without an id: of the text).
+
+    Of more labels than ``limit`` the most frequent are learned. Rows of one id count once, by the least hash of their text.
+    """
+    said = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
+    counts = said.groupBy("l").count().orderBy(F.desc("count"), "l").limit(limit).collect()
     if not counts:
         return [], []
     share = max(1, limit // len(counts))
     # Of a label's 2**40 hash values those that hold about 200 times a share of its rows: what meets in the sort is bounded, and holds the smallest.
     rates = docs.sparkSession.createDataFrame([(r["l"], min(1 << 40, (1 << 40) * 200 * share // r["count"])) for r in counts], "l string, rate long")
-    keyed = labelled.withColumn("k", F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("language")), F.lit(1 << 40)))
-    # Only the ids meet in the sort; texts are fetched for the chosen.
-    row = keyed.select("l", "k").join(F.broadcast(rates), "l").filter("k < rate").groupBy("l").agg(F.slice(F.array_sort(F.collect_list("k")), 1, share).alias("ks"))
-    keys = row.select("l", F.explode("ks").alias("k"))
-    chosen = keyed.join(F.broadcast(keys.limit(limit)), ["l", "k"], "left_semi").select("k", "t", "l").limit(limit).collect()
+    keyed = said.withColumn("k", F.pmod(F.xxhash64(F.coalesce("i", "t"), F.lit("language")), F.lit(1 << 40)))
+    # Only hashes meet in the sort; texts are fetched for the chosen.
+    keys = keyed.select("l", "k").join(F.broadcast(rates), "l").filter("k < rate").groupBy("l").agg(F.slice(F.array_sort(F.collect_set("k")), 1, share).alias("ks")).select("l", F.explode("ks").alias("k"))
+    own = F.struct(F.xxhash64("t").alias("h"), "t")
+    chosen = keyed.join(F.broadcast(keys), ["l", "k"], "left_semi").groupBy("l", "k").agg(F.min(own).alias("row")).select("k", "l", "row.t").collect()
     chosen.sort(key=lambda r: (r["k"], r["t"]))
     return [r["t"] for r in chosen], [r["l"] for r in chosen]
 

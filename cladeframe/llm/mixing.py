@@ -210,6 +210,7 @@ def repeated(docs: DataFrame, sources: F.Column, targets, copies: int = 2, seed:
             sizes[s] = sizes.get(s, 0) + words
     mixed = mix(rows, patterns, targets(sizes), copies, seed)
     # Rows of one id go alike, as often as the first of them.
-    often = shared.stored(mixed.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__copies")).filter("__copies > 0"), "copies")
-    joined = docs.join(shared.sized_broadcast(often), docs[id_col].cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(docs[c] for c in docs.columns))
+    own, times, copy = (shared.fresh(docs, c) for c in ("mixed_id", "mixed_copies", "mixed_copy"))
+    often = shared.stored(mixed.groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").cast("int").alias(times)).filter(F.col(times) > 0), "copies")
+    joined = docs.join(shared.sized_broadcast(often), docs[id_col].cast("long").eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -45,6 +45,12 @@ def parallelism(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or it with a number, such that no column of ``df`` has it."""
+    held = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}{k}" for k in range(len(held) + 1))) if x.lower() not in held)
+
+
 #: Rows of a table of ids that is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -56,8 +62,9 @@ def sized_broadcast(table: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``docs`` whose id is not in the one column of ``ids``; null ids stay."""
-    gone = stored(ids.select(F.col(ids.columns[0]).alias("__gone")).distinct(), "gone")
-    return docs.join(sized_broadcast(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = stored(ids.select(F.col(ids.columns[0]).alias(name)).distinct(), "gone")
+    return docs.join(sized_broadcast(gone), docs[id_col] == F.col(name), "left_anti")
 
 
 def joined_by_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -350,3 +350,109 @@ def test_tokens_of_every_ascii_character(spark, tmp_path):
         columns = {group.column(k).path_in_schema.split(".")[0]: group.column(k) for k in range(group.num_columns)}
         assert "RLE_DICTIONARY" in columns["tokens"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
         assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+
+
+# ---- the pipeline's operators where columns, ids or labels are odd
+
+
+def test_pipeline_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    bench = prose(20, 3)
+    texts = [prose(40, 1), prose(40, 1), f"{prose(9, 5)} {bench}", *(prose(40, 50 + k) for k in range(12))]
+    names = ["__key", "__gone", "__own", "__row", "__id", "__copies", "__copy", "own_key", "gone_key", "gone", "row_key", "mixed_id", "mixed_copies", "mixed_copy", "row", "least", "key", "hash", "n"]
+    docs = make_docs(spark, texts).selectExpr("*", *(f"'{n}' as `{n}`" for n in names))
+    docs = docs.unionByName(docs.filter("doc_id = 7"))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = docs
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns
+        assert all(r[n] == n for r in out.collect() for n in names)
+    assert {r["doc_id"] for r in out.collect()} <= {3 * k + 1 for k in range(len(texts))} - {4, 7}
+
+
+def test_language_samples_without_ids(spark):
+    from cladeframe.llm import language
+
+    r = random.Random(2)
+    rows = [(None, f"{lang} {k}", lang) for lang, n in (("a", 300), ("b", 60), ("c", 30), ("d", 30)) for k in range(n)] + [(5, "twice", "a"), (5, "twice too", "a")]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (language.training_rows(docs.repartition(k), "doc_id", "text", "lang", 100) for k in (3, 7))
+    assert one == two and sorted(one[1]) == ["a"] * 25 + ["b"] * 25 + ["c"] * 25 + ["d"] * 25
+
+
+def test_language_open_set_is_no_switch_of_size(spark):
+    """With 60 labelled rows as with 900: noise goes, and all clean texts stay."""
+    from test_learned_and_mixed import spoken
+
+    from cladeframe.llm import language
+
+    r = random.Random(8)
+    for n in (60, 900):
+        clean = [(k, spoken(["en", "de", "es"][k % 3], 20 + k % 40, k), ["en", "de", "es"][k % 3]) for k in range(n)]
+        noise = [(2000 + k, "".join(r.choice("bcdfgjkpqvxyz ") for _ in range(400)), None) for k in range(20)]
+        kept = {x["doc_id"] for x in language.keep_identified(spark.createDataFrame(clean + noise, "doc_id long, text string, lang string"), open_set=True).collect()}
+        assert {i for i, *_ in clean} <= kept and not [i for i in kept if i >= 2000], n
+
+
+def test_short_benchmark_items(spark):
+    from cladeframe.llm import decontaminate
+
+    items = [(1, "What is 7 + 5?"), (2, "Who?"), (3, ""), (4, None), (5, "one two three four five six")]
+    texts = ["He asked: what is 7 + 5? Then left.", "What is 8 + 5", "who knows", "whose", "is 7 what 5", "so one two three four five six", "one two three four six five"]
+    docs = make_docs(spark, texts)
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1), (7, 2), (16, 5)}
+
+
+def kernel_ridge(train, labels, texts):
+    """The classifier by its definition: sets of n-grams, the kernel matrix in full, the ridge solved on Nyström features."""
+    from cladeframe.llm import language
+
+    def grams(t):
+        data = np.frombuffer(t.encode(), np.uint8)
+        return set(language.presence(data, np.array([0, len(data)]))[1].tolist())
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / max(math.sqrt(len(x) * len(y)), 1) for y in b] for x in a])
+
+    names = sorted(set(labels))
+    y = np.array([names.index(v) for v in labels])
+    r = np.random.default_rng(0)
+    marks = np.concatenate([r.permutation(np.flatnonzero(y == k))[: max(1, language.LANDMARKS // len(names))] for k in range(len(names))])
+    own = [grams(t) for t in train]
+    z = [own[k] for k in marks]
+    values, vectors = np.linalg.eigh(kernel(z, z))
+    root = vectors / np.sqrt(np.maximum(values, 1e-6))
+    x = kernel(own, z) @ root
+    w = np.array([len(y) / len(names) / (y == k).sum() for k in y])
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    out = []
+    for k in range(len(names)):
+        t = np.where(y == k, 1.0, -1.0)
+        shift = (w * t).sum() / w.sum()
+        a = (x - mean).T @ (w[:, None] * (x - mean)) + language.RIDGE * len(y) / len(names) * np.eye(x.shape[1])
+        beta = np.linalg.solve(a, (x - mean).T @ (w * (t - shift)))
+        out.append((kernel([grams(t) for t in texts], z) @ root - mean) @ beta + shift)
+    value = np.array(out).T
+    return [names[k] for k in value.argmax(1)], np.clip((value.max(1) + 1) / 2, 0, 1)
+
+
+def test_language_query_is_the_kernel_ridge(spark, tmp_path):
+    from test_learned_and_mixed import spoken
+
+    rows = [(k, spoken(["en", "de", "es"][k % 3], 4 + k % 30, k), ["en", "de", "es"][k % 3], "s", 0) for k in range(120)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.op3_language_id(spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows}
+    train = [r for r in rows if not held[r[0]]]
+    from cladeframe.llm import language
+
+    texts, labels = language.training_rows(spark.createDataFrame(train, SCHEMA), "doc_id", "text", "lang")
+    assert sorted(zip(texts, labels, strict=True)) == sorted((t, v) for _, t, v, *_ in train)
+    names, scores = kernel_ridge(texts, labels, [t for _, t, *_ in rows])
+    assert {i: got[i]["held_out"] for i in got} == held
+    for (i, *_), name, score in zip(rows, names, scores, strict=True):
+        assert got[i]["lang_pred"] == name and abs(got[i]["score"] - score) < 1e-3
