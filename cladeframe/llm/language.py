@@ -20,6 +20,7 @@ the language that sorts first; other columns are ignored; an empty table gives n
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ SAMPLE_DOCS = 2_000
 LANDMARKS = 200
 RIDGE = 1e-2
 SLICE = 256 << 10
-MARGIN = 0.02  # of the floor below the lowest score of held-out texts
+MARGIN = 0.02  # between scores of noise, floors and scores of texts
+NOISE = "abcdefghijklmnopqrstuvwxyz"
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -110,30 +112,35 @@ class Model:
         return cls(languages, folded.astype(np.float32), (shift - mean @ beta).astype(np.float32))
 
     @classmethod
-    def fit_open(cls, texts: list[str], labels: list[str]) -> Model:
-        """A model with floors, from the scores that a fifth of the texts, and their beginnings, have by a model of the others.
+    def fit_open(cls, texts: list[str], labels: list[str], seed: int = 0) -> Model:
+        """A model with floors, which tell texts from noise: of a fifth of the texts and their beginnings, and of the same
+        with every letter replaced by a random one, the scores by a model of the other texts.
 
-        The floor of a class of sizes lies by ``MARGIN`` below its lowest held-out score, and
-        by the more (a share of 1 / n) the fewer texts say so.
+        The floor of a class of sizes lies ``MARGIN`` above its highest noise (above all noise,
+        where a class has none), but ``MARGIN`` below the lowest score of its texts.
         """
         model = cls.fit(texts, labels)
         held, others = texts[::5], [k for k in range(len(texts)) if k % 5]
         if not others:
             return model
         tried = cls.fit([texts[k] for k in others], [labels[k] for k in others])
-        by_size: dict[int, list[float]] = {}
+        r = random.Random(seed)
+        clean: dict[int, list[float]] = {}
+        noise: dict[int, list[float]] = {}
         for chars in (16, 32, 64, 128, 256, 512, 1024, 2048, None):
             own = [t[:chars] for t in held if (chars is None or len(t) > chars) and _LETTER.search(t[:chars])]
             for a in range(0, len(own), 256):
-                for *_, data, offsets in text.string_slices(pa.array(own[a : a + 256]), SLICE):
-                    size = np.bincount(presence(data, offsets)[0], minlength=len(offsets) - 1)
-                    for z, v in zip(size.tolist(), tried.predict(data, offsets)[1].tolist(), strict=True):
-                        by_size.setdefault(z.bit_length(), []).append(v)
-        floor = 0.0
-        for bits in range(len(model.floors)):  # a class without texts has the floor of the next smaller
-            if own := by_size.get(bits):
-                floor = max((min(own) - MARGIN) * (1 - 1 / len(own)), 0.0)
-            model.floors[bits] = floor
+                part = own[a : a + 256]
+                mixed = ["".join(n if c.isalpha() else c for c, n in zip(t, r.choices(NOISE, k=len(t)), strict=True)) for t in part]
+                for said, by_size in ((part, clean), (mixed, noise)):
+                    for *_, data, offsets in text.string_slices(pa.array(said, pa.string()), SLICE):
+                        size = np.bincount(presence(data, offsets)[0], minlength=len(offsets) - 1)
+                        for z, v in zip(size.tolist(), tried.predict(data, offsets)[1].tolist(), strict=True):
+                            by_size.setdefault(z.bit_length(), []).append(v)
+        highest = max((max(v) for v in noise.values()), default=0.0)
+        for bits in range(len(model.floors)):
+            floor = max(noise.get(bits, [highest])) + MARGIN
+            model.floors[bits] = max(min([floor, *(v - MARGIN for v in clean.get(bits, []))]), 0.0)
         return model
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +222,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text",
     """Rows of ``docs``, with all their columns, whose text has a language: not ``und``, and a score of ``least``.
 
     Learns from the labelled rows of ``docs``; rows are filtered where they stand, without a join.
-    ``open_set``: texts that score below the floor of held-out texts of their size have no learned
-    language. Where nothing can be learned, every text with a letter is kept.
+    ``open_set``: texts that score no higher than noise of their size have no learned language. Where nothing can be learned, every text with a letter is kept.
     """
     fit = Model.fit_open if open_set else Model.fit
     model = fit(*training_rows(docs, id_col, text_col, lang_col))
