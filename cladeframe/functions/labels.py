@@ -147,10 +147,6 @@ def normalize_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
 
 
-def surname(author: Column) -> Column:
-    return strip(F.substring_index(author, ",", 1))
-
-
 def organism_name(acronym: Column, common: Column, organism: Column) -> Column:
     words = F.split(strip(organism), r"\s+")
     return F.coalesce(or_null(acronym), or_null(common), F.array_join(F.slice(words, 1, 2), " "))

@@ -362,17 +362,6 @@ def painted(chains: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, run("n", F.col("h.qstart"), F.col("h.qseq"), F.col("h.sseq")).alias("sequence"))
 
 
-def six_frames(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The six translations of nucleotide sequences."""
-    table = str.maketrans(*genes.COMPLEMENT)
-    for seqs in batches:
-        out = []
-        for s in seqs:
-            both = (s or "").upper(), (s or "").upper()[::-1].translate(table)
-            out.append(["".join(genes.CODONS.get(t[k : k + 3], "X") for k in range(f, len(t) - 2, 3)) for t in both for f in range(3)])
-        yield pd.Series(out)
-
-
 WORDS = (4, 6, 9, 12)  # lengths of the words that bound a score
 
 

@@ -31,6 +31,12 @@ def summaries(rows: DataFrame, ref_id: str, lists: list[str], accession: str = "
     return out.withColumn("mode", F.when(F.col("row_count") == 1, "").otherwise(F.col("mode")))
 
 
+def by_genotype(records: DataFrame, label: str = "label") -> DataFrame:
+    """Adds ``genotype`` and ``name``: a label's parts before and after its first ``_``; labels without one are dropped."""
+    own = F.col(label)
+    return records.filter(F.contains(own, F.lit("_"))).withColumn("genotype", F.substring_index(own, "_", 1)).withColumn("name", F.regexp_replace(own, "(?s)^[^_]*_", ""))
+
+
 def covered_groups(groups: DataFrame, ref_id: str) -> DataFrame:
     return groups.groupBy(ref_id).agg(F.count_if(F.col("covered") > 0).alias("groups_with_coverage"), F.count("*").alias("groups"))
 

@@ -19,6 +19,9 @@ NO_NUMBER = 10**12  # the place of studies whose id is no number
 PRIORITY_SUBTYPES = ("1d",)
 PRIORITY_GENOTYPES = ("7", "8")
 
+# Where a PubMed id comes from, in the order of the steps.
+RECORD, SEARCHED, WEB = "genbank", "pubmed_esearch", "openai_web_search"
+
 
 # Updates
 
@@ -90,6 +93,57 @@ def first_source(named: Sequence[tuple[str, Column]]) -> Column:
     return out
 
 
+def reference_steps(references: DataFrame, searched: DataFrame, crossref: DataFrame, web: DataFrame | None = None) -> DataFrame:
+    """References (accession, reference, pubmed, ...) after a chain of look-ups, the first PubMed id that is found wins.
+
+    1. A reference's own ``pubmed`` stays. 2. Else a search's: ``searched`` (accession, reference,
+    pmid, error, ordinal). 3. A DOI for every reference: ``crossref`` (accession, reference, doi,
+    error, ordinal). 4. ``web`` (accession, reference, pmid, doi, ordinal), for accessions that
+    still have a reference without an id: fills missing ids, and DOIs that step 3 has not. Of
+    several results of one step the first counts, of ``web`` the last. Adds ``pmid_source``,
+    ``crossref_doi``, ``web_doi`` and what each step said: ``kept``, ``search``, ``doi_search``,
+    ``web_search``. A result with an error finds nothing. Null and blank ids are missing ones.
+    """
+    key = ["accession", "reference"]
+
+    def one(rows: DataFrame, name: str, values: list[str], last: bool = False) -> DataFrame:
+        pick = F.max_by if last else F.min_by
+        said = F.struct(*(labels.or_null(F.col(v)).alias(v) for v in values))
+        return rows.filter(labels.or_null(F.col("reference")).isNotNull()).groupBy(*key).agg(pick(said, "ordinal").alias(name))
+
+    def outcome(error: Column, value: Column) -> Column:
+        return F.when(error.isNotNull(), "error").when(value.isNotNull(), "matched").otherwise("no_match")
+
+    own = labels.or_null(F.col("pubmed"))
+    out = references.join(one(searched, "__s", ["pmid", "error"]), key, "left").join(one(crossref, "__c", ["doi", "error"]), key, "left")
+    hit = F.when(F.col("__s.error").isNull(), F.col("__s.pmid"))
+    source = F.when(own.isNotNull(), RECORD).when(hit.isNotNull(), SEARCHED)
+    out = out.withColumns({
+        "kept": F.when(own.isNotNull(), "kept_existing_pubmed").otherwise("missing_pubmed"), "search": F.when(own.isNull(), outcome(F.col("__s.error"), F.col("__s.pmid"))),
+        "doi_search": outcome(F.col("__c.error"), F.col("__c.doi")), "crossref_doi": F.when(F.col("__c.error").isNull(), F.col("__c.doi")), "pmid_source": source, "pubmed": F.coalesce(own, hit),
+    }).drop("__s", "__c")
+    if web is None:
+        return out.withColumn("web_doi", F.lit(None).cast("string")).withColumn("web_search", F.lit("skipped"))
+    still = F.max(F.col("pubmed").isNull()).over(Window.partitionBy("accession"))
+    out = out.withColumn("__open", still).join(one(web, "__w", ["pmid", "doi"], last=True), key, "left")
+    told = F.when(F.col("__open"), F.col("__w"))
+    filled = F.coalesce("pubmed", told["pmid"])
+    return out.withColumns({
+        "pmid_source": F.when(F.col("pubmed").isNull() & filled.isNotNull(), WEB).otherwise(F.col("pmid_source")), "web_doi": F.when(F.col("crossref_doi").isNull(), told["doi"]),
+        "web_search": F.when(F.col("__open"), "completed").otherwise("skipped"), "pubmed": filled,
+    }).drop("__open", "__w")
+
+
+def boundaries(records: DataFrame, gene: str) -> DataFrame:
+    """(gene, subtype, begin, end) of consensus records (header, seq) named ``<genotype>_<subtype>``: first and last three residues.
+
+    Empty sequences are left out; a header without a ``_`` is an error when it is read.
+    """
+    subtype = F.when(F.contains("header", F.lit("_")), F.regexp_replace("header", "^[^_]*_", "")).otherwise(F.raise_error(F.concat(F.lit("no subtype in header: "), "header")))
+    first, last = sequences.edges(F.col("seq"))
+    return records.filter("seq <> ''").select(F.lit(gene).alias("gene"), subtype.alias("subtype"), first.alias("begin"), last.alias("end"))
+
+
 def enriched(references: DataFrame, results: DataFrame, key: str = "reference") -> DataFrame:
     """References with what a look-up found: a missing ``pubmed`` and ``doi`` are filled, ``pmid_source`` says from where.
 

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeframe.functions import labels
+from cladeframe.operators import sized
 
 RULES = ("contains", "not_contains", "equals", "year_before", "in_accession_list", "matches_regex")
-TRUE_WORDS = ("yes", "y", "true", "1", "present")
 
 
 def not_excluded(cell: Column, word: str = "exclude") -> Column:
@@ -40,12 +40,11 @@ def rule_holds(op: Column, cell: Column, value: Column, listed: Column) -> Colum
 def apply_rules(rows: DataFrame, rules: DataFrame, fields: list[str], lists: DataFrame | None = None, ref_id: str = "ref_id", accession: str = "accession") -> DataFrame:
     """Rows that meet every rule of their study; studies without rules are untouched.
 
-    ``rules`` has (ref_id, field, op, value), a table that people write; ``lists`` has
-    (list, accession).
+    ``rules`` has (ref_id, field, op, value); ``lists`` has (list, accession).
     """
     known = F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f).cast("string"))))
     own = rules.groupBy(F.col(ref_id).alias("__ref")).agg(F.collect_list(F.struct("field", "op", "value")).alias("__rules"))
-    joined = rows.join(F.broadcast(own), rows[ref_id].cast("string") == F.col("__ref"), "left")
+    joined = rows.join(sized.small(own), rows[ref_id].cast("string") == F.col("__ref"), "left")
     if lists is not None:
         named = lists.groupBy(F.col("accession").alias("__acc")).agg(F.collect_set("list").alias("__lists"))
         joined = joined.join(named, joined[accession].cast("string") == F.col("__acc"), "left")

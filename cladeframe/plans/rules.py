@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.operators import sized
+from cladeframe.sources import files
 
 # Metadata rules by gene (study, field, operator, value).
 RULES = {
@@ -93,6 +94,12 @@ def rules(spark: SparkSession, gene: str) -> DataFrame:
     return spark.createDataFrame(list(RULES[gene]), "ref_id string, field string, op string, value string")
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_id, field, op, value) of a rule table (RefID, Field, Operator, Value); rows without a study or field are passed over."""
+    known = files.read_table(spark, path, ["RefID", "Field", "Operator", "Value"])
+    return known.select(F.col("RefID").alias("ref_id"), F.col("Field").alias("field"), F.lower("Operator").alias("op"), F.col("Value").alias("value")).filter("ref_id <> '' and field <> ''")
+
+
 def signatures(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SIGNATURES), "gt string, gene string, begin string, end string")
 

@@ -47,9 +47,9 @@ def read_fasta(spark: SparkSession, paths: str | Sequence[str], upper: bool = Tr
     found = _whole(spark, paths, endings).select("path", fasta_records(F.col("value")).alias("records"))
     some = lambda records, what: F.when(F.size(records) == 0, F.raise_error(F.concat(F.lit(f"{what}: "), "path"))).otherwise(records)
     if filled or containing is not None:
-        # Files without a byte give no row; the listing names them.
+        # Files without a byte give no row; the listing names them. Spark reads no file whose name begins with _ or a dot.
         for name, length, _ in workdir.listed(spark, [paths] if isinstance(paths, str) else list(paths)):
-            if length == 0 and (not endings or name.rsplit(".", 1)[-1] in endings):
+            if length == 0 and name.rsplit("/", 1)[-1][:1] not in ("_", ".") and (not endings or name.rsplit(".", 1)[-1] in endings):
                 raise ValueError(f"no record in: {name}")
         found = found.withColumn("records", some(F.col("records"), "no record in"))
     if containing is not None:
@@ -129,6 +129,42 @@ def read_genotype_references(spark: SparkSession, path: str, gene: str) -> DataF
     return df.select(labels.reference_name(F.col("name"), gene).alias("gt"), F.upper(F.trim("refSequence")).alias("seq")).filter("gt <> ''")
 
 
+def exported_references(spark: SparkSession, path: str, genes: Sequence[str], names: dict[str, str] | None = None) -> DataFrame:
+    """genotype, gene, header, seq of the JSON references of some genes, as FASTA records named ``genotype 1 | NS3``.
+
+    One a genotype and gene, the first in the file; ``names`` renames genes in the header.
+    References without a residue are passed over. ``place`` is the gene's place in ``genes``,
+    so that (genotype, place) is their order.
+    """
+    df = spark.read.json(path, multiLine=True, schema=GENOTYPE_SCHEMA).withColumn("ordinal", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    own = F.trim(F.coalesce("abstractGene", F.lit("")))
+    number = F.regexp_extract(F.trim(F.coalesce("strain", F.lit(""))), r"^HCV(\d+)$", 1)
+    rows = df.select(own.alias("own"), number.cast("int").alias("genotype"), F.upper(F.trim("refSequence")).alias("seq"), "ordinal").filter(F.col("own").isin(*genes) & (number != "") & (F.col("seq") != ""))
+    first = rows.groupBy("genotype", "own").agg(F.min_by("seq", "ordinal").alias("seq"))
+    called = F.coalesce(*(F.when(F.col("own") == k, v) for k, v in (names or {}).items()), F.col("own"))
+    return first.select("genotype", called.alias("gene"), F.array_position(F.array(*map(F.lit, genes)), F.col("own")).alias("place"), F.concat(F.lit("genotype "), F.col("genotype").cast("string"), F.lit(" | "), called).alias("header"), "seq")
+
+
+def migrated(spark: SparkSession, moves: dict[str, str]) -> list[str]:
+    """Tab-separated tables rewritten as CSV, old path to new; old ones go once the new ones are there.
+
+    Cells are kept as they are, blanks and white space too. Paths that don't exist are passed over; returns the written ones.
+    """
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    done = []
+    for old, new in moves.items():
+        at = jvm.Path(old)
+        system = at.getFileSystem(conf)
+        if not system.exists(at):
+            continue
+        kept = {"header": True, "multiLine": True, "escape": '"', "encoding": "UTF-8"}
+        rows = spark.read.options(**kept).csv(old, sep="\t", inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        rows.na.fill("").write.mode("errorifexists").csv(new, header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        system.delete(at, True)
+        done.append(new)
+    return done
+
+
 def read_genbank(spark: SparkSession, paths: str | Sequence[str], endings: Sequence[str] | None = None) -> DataFrame:
     """path, ordinal, start_byte, end_byte, record: records without their '//' line and with plain new lines; a last one without it counts too."""
     from cladeframe.sources import genbank

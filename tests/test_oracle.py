@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from cladeframe.plans import more_queries, report_queries, search_queries  # noqa: F401
+from cladeframe.plans import more_queries, record_queries, report_queries, search_queries  # noqa: F401
 from cladeframe.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
