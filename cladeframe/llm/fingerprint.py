@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ from cladeframe.llm.tokens import bucket_of, splitters
 DIGITS = 256  # digits at most for the expected two steps a character
 PERIOD = 4096  # steps after which the walk's random bits recur
 GROUP_CHARS = 24 << 20  # characters that are walked together
+STEPS = 1 << 16  # steps whose levels are worked out together, at least
 _rng = np.random.default_rng(71)
 _BITS = _rng.integers(0, 2, PERIOD * 256, dtype=np.uint8)
 _DIGIT = _rng.integers(1, 16, 256, dtype=np.uint8)
@@ -52,12 +54,13 @@ def _child(level: int, block: np.ndarray) -> np.ndarray:
     return 2 * block + (text.mix(block.astype(np.uint64) * np.uint64(64) + np.uint64(level)) & np.uint64(1)).astype(np.int64)
 
 
-def kept_level(steps: int, top: int) -> np.ndarray:
-    """Per step the highest level, up to ``top``, whose blocks keep it."""
+def kept_level(begin: int, steps: int, top: int) -> np.ndarray:
+    """Per step from ``begin`` the highest level, up to ``top``, whose blocks keep it; both numbers are multiples of 2**top."""
     out = np.zeros(steps, np.int8)
     position = np.arange(steps)
     for level in range(1, top + 1):
-        position = position[_child(level, np.arange(len(position) // 2))]
+        below = begin >> (level - 1)
+        position = position[_child(level, np.arange(begin >> level, (begin + steps) >> level)) - below]
         out[position] = level
     return out
 
@@ -74,26 +77,30 @@ def fingerprints(texts: list[str]) -> list[str]:
     for k, i in enumerate(order[:live].tolist()):
         code = np.frombuffer(texts[i].encode("utf-32-le", "surrogatepass"), np.uint32)
         data[begin[k] : begin[k] + n_sorted[k]] = code ^ (code >> 8) * np.uint32(151)
-    limit = 3 * n_sorted + 64
-    steps = int(limit[0]) if live else 0
-    keeps = kept_level(steps, int(level[0]) if live else 0)
+    top = int(level[0]) if live else 0
+    ahead = max(STEPS, 1 << top)  # steps whose levels are known at a time
+    keeps = np.zeros(0, np.int8)
     # Documents by falling level: a step of level z is kept by the last ones, of level z or less.
-    from_row = [int(np.searchsorted(-level, -z, "left")) for z in range(int(level[0]) + 2 if live else 1)]
+    from_row = [int(np.searchsorted(-level, -z, "left")) for z in range(top + 2)]
     pointer, end = begin[:live].copy(), (begin + n_sorted)[:live]
     digits = np.zeros((live, 2 * DIGITS), np.uint8)
     count = np.zeros(live, np.int64)
     rows = np.arange(live)
     first = from_row.copy()
-    for j in range(steps):
+    for j in itertools.count():
         if j & 63 == 0:
-            on = (pointer < end) & (j < limit[rows])
+            on = pointer < end
             if not on.all():
                 pointer, end, rows = pointer[on], end[on], rows[on]
                 first = [int(np.searchsorted(rows, r)) for r in from_row]
             if not len(rows):
                 break
+            if j % ahead == 0:
+                keeps = kept_level(j, ahead, top)
+            if count[rows].max() + 64 > digits.shape[1]:  # a slower walk than most
+                digits = np.hstack([digits, np.zeros_like(digits)])
         c = data[pointer]
-        a = first[keeps[j]]
+        a = first[keeps[j % ahead]]
         if a < len(rows):
             r = rows[a:]
             ok = pointer[a:] < end[a:]

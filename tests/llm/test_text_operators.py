@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from helpers import ODD, lower, make_docs, prose, words
 
@@ -297,6 +298,39 @@ def test_fingerprints(spark, texts):
     assert fingerprint.likeness(one, grown) > 0.6
 
 
+def plain_fingerprint(t):
+    """The walk of one text, step by step, and the kept step of each block by descent."""
+    n, seen, p, j = len(t), [], 0, 0
+    while p < n:
+        code = ord(t[p])
+        c = (code ^ (code >> 8) * 151) & 255
+        seen.append(c)
+        p += int(fingerprint._BITS[(j % fingerprint.PERIOD) * 256 + c])
+        j += 1
+    level = int(fingerprint.level_of(n))
+    out = "00" if not n else f"{level:02x}"
+    for block in range(len(seen) // 2**level + 1):
+        step = np.array([block])
+        for z in range(level, 0, -1):
+            step = fingerprint._child(z, step)
+        if int(step[0]) < len(seen):
+            out += f"{fingerprint._DIGIT[seen[int(step[0])]]:x}"
+    return out
+
+
+@pytest.mark.parametrize("one_in", [2, 9])
+def test_walks_go_to_their_end(monkeypatch, one_in):
+    """Also where a step moves on far more rarely than one time in two, alone and beside others."""
+    r = random.Random(one_in)
+    if one_in > 2:
+        monkeypatch.setattr(fingerprint, "_BITS", (np.random.default_rng(5).integers(0, one_in, fingerprint.PERIOD * 256) == 0).astype(np.uint8))
+        monkeypatch.setattr(fingerprint, "STEPS", 64)
+    texts = ["", "a", "\x00", "b" * 700, *("".join(r.choice("ab c\u00e9\u6f22\U0001f600") for _ in range(n)) for n in (3, 64, 127, 128, 129, 257, 1000, 3000))]
+    want = [plain_fingerprint(t) for t in texts]
+    assert fingerprint.fingerprints(texts) == want
+    assert [fingerprint.fingerprints([t])[0] for t in texts] == want
+
+
 def test_fingerprint_classes(spark):
     base = [prose(400, 60 + k) for k in range(5)]
     texts = base + [base[0] + " x", base[1][:300] + "q" + base[1][300:], base[2]]
