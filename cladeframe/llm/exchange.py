@@ -1,18 +1,23 @@
 """Counting hashed keys over all documents, with packed rows.
 
-A block is the documents of one scan task. Per kind of key it sends every hash
-partition its distinct hashes, ascending, with their counts: two byte strings. The
-partition merges what all blocks sent, adds up equal hashes and answers every block
-with the totals in the block's own order. Blocks and answers then meet in one task. A
-hot key is one entry a block; no row is made per occurrence.
+A block is up to ``BLOCK`` bytes of text of one scan task, in the order of the scan, so
+what a task holds depends neither on the table's size nor on how its files are split.
+Per kind of key it sends every hash partition its distinct hashes, ascending, with their
+counts: two byte strings. The partition merges what all blocks sent, adds up equal hashes
+and answers every block with the totals in the block's own order; there are as many
+partitions as keep one of them near ``PART`` bytes of text. Blocks, as compressed slices,
+and answers then meet in one task. A hot key is one entry a block; no row is made per
+occurrence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +25,13 @@ from cladeframe.llm import shared
 
 U64 = np.uint64
 _ZSTD = pa.Codec("zstd")
-REQUEST = "part int, block int, kind int, keys binary, counts binary"
-REQUEST_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWER = "block int, part int, kind int, totals binary, all long"
-ANSWER_ARROW = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("kind", pa.int32()), ("totals", pa.binary()), ("all", pa.int64())])
+BLOCK = 24 << 20  # bytes of text of a block; a longer text is a block of its own
+PART = 16 << 20  # bytes of text whose keys a hash partition adds up
+SLICE = 1 << 20  # bytes of text that are compressed together
+REQUEST = "part int, block long, kind int, keys binary, counts binary"
+REQUEST_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWER = "block long, part int, kind int, totals binary, all long"
+ANSWER_ARROW = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("kind", pa.int32()), ("totals", pa.binary()), ("all", pa.int64())])
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -95,20 +103,77 @@ def totals(asked: DataFrame, n_parts: int) -> DataFrame:
     return asked.repartitionById(n_parts, F.col("part")).mapInArrow(_totals, ANSWER)
 
 
-def blocked(docs: DataFrame, id_col: str, text_col: str, stable_scan: bool) -> DataFrame:
-    """doc_id, text, block; stored first unless ``docs`` reads files directly, so that every reading has the same tasks."""
+@dataclass(frozen=True)
+class Layout:
+    """Hash partitions, tasks that blocks are dealt to, and a block's bytes."""
+
+    n_parts: int
+    n_tasks: int
+    block: int
+
+
+def blocked(docs: DataFrame, id_col: str, text_col: str, stable_scan: bool, block: int = BLOCK) -> tuple[DataFrame, Layout]:
+    """doc_id, text, block (here: the scan task), and the layout; stored first unless ``docs`` reads files directly, so that every reading has the same tasks."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not stable_scan:
         own = shared.stored(own, "documents")
-    return own.withColumn("block", F.spark_partition_id())
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = own.withColumn("block", F.spark_partition_id())
+    return rows, Layout(max(shared.parallelism(docs), -(-size // PART)), max(1, rows.rdd.getNumPartitions(), -(-size // block)), block)
+
+
+def cut(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, some of its documents) of a scan task's rows, one block after another, whatever the batches."""
+    number = held = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        task = batch.column("block")[0].as_py() << 24
+        ends = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = 0
+        while row < len(ends):
+            done = int(ends[row - 1]) if row else 0
+            end = max(row, int(np.searchsorted(ends, done + block - held, "right")))
+            if end == row and held:
+                number, held = number + 1, 0
+                continue
+            end = max(end, row + 1)
+            yield task | number, batch.slice(row, end - row)
+            held += int(ends[end - 1]) - done
+            row = end
+
+
+def _packed(block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, place = None, 0
+        for number, part in cut(batches, block):
+            if number != before:
+                before, place = number, 0
+            ends = np.cumsum(pc.binary_length(part.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            row = 0
+            while row < len(ends):
+                end = max(row + 1, int(np.searchsorted(ends, (int(ends[row - 1]) if row else 0) + SLICE, "right")))
+                sink = pa.BufferOutputStream()
+                some = part.slice(row, end - row).select(["doc_id", "text"])
+                with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(some)
+                yield pa.RecordBatch.from_pylist([{"block": number, "part": place, "kind": 0, "totals": sink.getvalue().to_pybytes(), "all": 0}], ANSWER_ARROW)
+                row, place = end, place + 1
+
+    return run
+
+
+def unpacked(raw: bytes) -> pa.RecordBatch:
+    """doc_id, text of a slice."""
+    with pa.ipc.open_stream(raw) as said:
+        return said.read_next_batch()
 
 
-def together(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Blocks' documents and answers in the same tasks, a block's answers first."""
-    n_blocks = max(1, rows.rdd.getNumPartitions())
-    told = answers.select("block", "kind", "part", "totals", "all", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    docs = rows.select("block", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.lit(None).cast("binary").alias("totals"), F.lit(0).cast("long").alias("all"), "doc_id", "text")
-    return told.unionByName(docs).repartitionById(n_blocks, F.col("block")).sortWithinPartitions("block", F.col("kind").desc())
+def together(rows: DataFrame, answers: DataFrame, layout: Layout) -> DataFrame:
+    """Blocks' documents and answers in the same tasks, a block's answers first; blocks one after another."""
+    docs = rows.mapInArrow(_packed(layout.block), ANSWER)
+    dealt = F.pmod(F.xxhash64("block"), F.lit(layout.n_tasks)).cast("int")
+    return answers.unionByName(docs).repartitionById(layout.n_tasks, dealt).sortWithinPartitions("block", F.col("kind").desc(), "part")
 
 
 class Answers:
@@ -134,8 +199,8 @@ class Answers:
         return sum(self.all.get(kind, {}).values())
 
 
-def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Answers, list[pa.RecordBatch]]]:
-    """(block, answers, document batches) from rows in the order of ``together``."""
+def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Answers, list[bytes]]]:
+    """(block, answers, its documents' slices, see ``unpacked``) from rows in the order of ``together``."""
     block, answers, docs = None, Answers(), []
     for batch in batches:
         blocks = batch.column("block").to_numpy()
@@ -150,6 +215,6 @@ def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Answers,
             own = batch.slice(a, b - a)
             n = int(np.count_nonzero(own.column("kind").to_numpy() > 0))
             answers.add(own.slice(0, n))
-            docs.append(own.slice(n).select(["doc_id", "text"]))
+            docs += own.slice(n).column("totals").to_pylist()
     if block is not None:
         yield block, answers, docs

@@ -2,7 +2,7 @@
 
 Counts of all n-grams up to the order live in tables partitioned by n-gram hash; the
 documents' n-grams are joined to them and summed per document. Both sides travel
-packed: a block (the documents of one scan task) sends each hash partition its
+packed: a block (some MB of documents, see ``exchange``) sends each hash partition its
 distinct n-grams with their counts as two byte strings, the partition adds up what all
 blocks sent and answers with the totals in the same order, and the block, whose
 documents are dealt to the same task as the answers, scores its documents. So a hot
@@ -45,22 +45,25 @@ def _gram_hashes(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int,
         yield first, last, words.count, grams
 
 
-def _requests(order: int, n_parts: int):
+def _requests(order: int, layout: exchange.Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = [[] for _ in range(order)]
-        block = None
-        for batch in batches:
-            if batch.num_rows:
-                block = batch.column("block")[0].as_py()
+
+        def told(block: int) -> Iterator[pa.RecordBatch]:
+            for n in range(order):
+                value, count, _ = exchange.distinct(kept[n])
+                yield from exchange.requests(block, n + 1, value, count, layout.n_parts)
+
+        before = None
+        for block, batch in exchange.cut(batches, layout.block):
+            if before not in (None, block):
+                yield from told(before)
+            before = block
             for *_, grams in _gram_hashes(batch, order):
                 for n, h in enumerate(grams):
                     kept[n].append(h)
-        if block is None:
-            return
-        for n in range(order):
-            value, count, _ = exchange.distinct(kept[n])
-            kept[n] = []
-            yield from exchange.requests(block, n + 1, value, count, n_parts)
+        if before is not None:
+            yield from told(before)
 
     return run
 
@@ -102,7 +105,7 @@ def _score(order: int, min_count: int, alpha: float):
             ids, lengths, kept = [], [], [[] for _ in range(order)]
             docs.reverse()
             while docs:
-                batch = docs.pop()
+                batch = exchange.unpacked(docs.pop())
                 for first, last, count, grams in _gram_hashes(batch, order):
                     ids.append(batch.column("doc_id")[first:last])
                     lengths.append(count)
@@ -114,16 +117,15 @@ def _score(order: int, min_count: int, alpha: float):
     return run
 
 
-def stupid_backoff(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", stable_scan: bool = False) -> DataFrame:
+def stupid_backoff(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text", stable_scan: bool = False, block: int = exchange.BLOCK) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of every document under the model of all of them.
 
     stable_scan: ``docs`` reads files directly, so both its readings have the same tasks;
-    otherwise it is stored first. A task's memory follows spark.sql.files.maxPartitionBytes.
+    otherwise it is stored first. A task's memory follows ``block``, the bytes of text that are counted together.
     """
-    n_parts = shared.parallelism(docs)
-    rows = exchange.blocked(docs, id_col, text_col, stable_scan)
-    answers = exchange.totals(rows.mapInArrow(_requests(order, n_parts), exchange.REQUEST), n_parts)
-    return exchange.together(rows, answers).mapInArrow(_score(order, min_count, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
+    rows, layout = exchange.blocked(docs, id_col, text_col, stable_scan, block)
+    answers = exchange.totals(rows.mapInArrow(_requests(order, layout), exchange.REQUEST), layout.n_parts)
+    return exchange.together(rows, answers, layout).mapInArrow(_score(order, min_count, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
 
 
 #: The same scores by plain SQL, for order 3, min_count 2, alpha 0.4.

@@ -56,21 +56,26 @@ class Anchors:
     high: np.ndarray
     anchor: np.ndarray
     span: np.ndarray
-    sums: np.ndarray
 
-    def tokens(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(string starts, their tokens) of chosen anchors."""
+    def starts(self, which: np.ndarray) -> np.ndarray:
+        """String starts of chosen anchors."""
         n = self.high[which] - self.low[which] + 1
-        start = np.repeat(self.low[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return start, np.maximum(text.span_hash(self.sums, start, start + length, 3), U64(1))
+        return np.repeat(self.low[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+    def tokens(self, which: np.ndarray, length: int, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(string starts, their tokens) of chosen anchors."""
+        start = self.starts(which)
+        if not len(start):
+            return start, np.zeros(0, U64)
+        return start, np.maximum(text.span_hash(text.prefix_sums(data), start, start + length, 3), U64(1))
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> Anchors:
     empty = np.zeros(0, np.int64)
-    sums = text.prefix_sums(data)
     n = len(data)
     if n < length:
-        return Anchors(empty, empty, empty.astype(U64), empty.astype(U64), sums)
+        return Anchors(empty, empty, empty.astype(U64), empty.astype(U64))
+    sums = text.prefix_sums(data)
     at = np.arange(n - anchor + 1)
     h = text.span_hash(sums, at, at + anchor, 1)
     bits = U64(max(24, int(n).bit_length()))
@@ -82,7 +87,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int)
             inside[a : b - length + 1] = True
     start = np.flatnonzero(inside)
     if not len(start):
-        return Anchors(empty, empty, empty.astype(U64), empty.astype(U64), sums)
+        return Anchors(empty, empty, empty.astype(U64), empty.astype(U64))
     own = best[start]
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)])
     low = start[new]
@@ -90,7 +95,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int)
     place = own[new]
     span = text.mix(text.span_hash(sums, low, high + length, 2) + (place - low).astype(U64) * U64(1 << 20 | 1) + (high - low).astype(U64))
     # Anchors have small hashes, being the least of many: mixed anew, they spread evenly over the partitions.
-    return Anchors(low, high, np.maximum(text.mix(h[place] + U64(5)), U64(1)), np.maximum(span, U64(1)), sums)
+    return Anchors(low, high, np.maximum(text.mix(h[place] + U64(5)), U64(1)), np.maximum(span, U64(1)))
 
 
 def _slices(docs: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -99,21 +104,26 @@ def _slices(docs: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray,
             yield batch.column("doc_id")[first:last], data, offsets
 
 
-def _first_requests(length: int, anchor: int, n_parts: int):
+def _first_requests(length: int, anchor: int, layout: exchange.Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = [[], []]
-        block = None
-        for batch in batches:
-            if batch.num_rows:
-                block = batch.column("block")[0].as_py()
+
+        def told(block: int) -> Iterator[pa.RecordBatch]:
+            for kind in (1, 2):
+                value, count, _ = exchange.distinct(kept[kind - 1])
+                yield from exchange.requests(block, kind, value, count, layout.n_parts)
+
+        before = None
+        for block, batch in exchange.cut(batches, layout.block):
+            if before not in (None, block):
+                yield from told(before)
+            before = block
             for _, data, offsets in _slices([batch]):
                 found = anchors_of(data, offsets, length, anchor)
                 kept[0].append(found.anchor)
                 kept[1].append(found.span)
-        if block is not None:
-            for kind in (1, 2):
-                value, count, _ = exchange.distinct(kept[kind - 1])
-                yield from exchange.requests(block, kind, value, count, n_parts)
+        if before is not None:
+            yield from told(before)
 
     return run
 
@@ -134,12 +144,12 @@ def _settled(answers: exchange.Answers, found: list[Anchors]) -> list[tuple[np.n
 
 def _second_requests(length: int, anchor: int, n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, answers, docs in exchange.per_block(batches):
-            found = []
-            for _, data, offsets in _slices(docs):
-                found.append(anchors_of(data, offsets, length, anchor))
-            tokens = [f.tokens(np.flatnonzero(expand), length)[1] for f, (_, expand) in zip(found, _settled(answers, found), strict=True)]
-            del found
+        for block, answers, packed in exchange.per_block(batches):
+            slices = list(_slices([exchange.unpacked(x) for x in packed]))
+            packed.clear()
+            found = [anchors_of(data, offsets, length, anchor) for _, data, offsets in slices]
+            tokens = [f.tokens(np.flatnonzero(expand), length, data)[1] for f, (_, expand), (_, data, _) in zip(found, _settled(answers, found), slices, strict=True)]
+            del found, slices
             value, count, _ = exchange.distinct(tokens)
             yield from exchange.requests(block, 3, value, count, n_parts)
 
@@ -169,33 +179,32 @@ def _without(ids: pa.Array, data: np.ndarray, offsets: np.ndarray, repeats: np.n
 
 def _removed(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, answers, docs in exchange.per_block(batches):
-            slices = list(_slices(docs))
+        for _, answers, packed in exchange.per_block(batches):
+            slices = list(_slices([exchange.unpacked(x) for x in packed]))
+            packed.clear()
             found = [anchors_of(data, offsets, length, anchor) for _, data, offsets in slices]
             settled = _settled(answers, found)
-            sorted_out = [f.tokens(np.flatnonzero(expand), length) for f, (_, expand) in zip(found, settled, strict=True)]
-            value, _, inverse = exchange.distinct([t for _, t in sorted_out])
-            total = answers.of(3, value)[inverse]
+            tokens = [f.tokens(np.flatnonzero(expand), length, data)[1] for f, (_, expand), (_, data, _) in zip(found, settled, slices, strict=True)]
+            size = [len(t) for t in tokens]
+            value, _, inverse = exchange.distinct(tokens)
+            repeated = (answers.of(3, value) >= 2)[inverse]
+            del value, inverse
             begin = 0
-            for k, (ids, data, offsets) in enumerate(slices):
-                start = sorted_out[k][0]
-                own = total[begin : begin + len(start)] >= 2
-                begin += len(start)
-                whole, expand = settled[k]
-                all_of, _ = found[k].tokens(np.flatnonzero(whole & ~expand), length) if (whole & ~expand).any() else (np.zeros(0, np.int64), None)
-                yield _without(ids, data, offsets, np.concatenate([start[own], all_of]), length)
+            for f, (whole, expand), n, (ids, data, offsets) in zip(found, settled, size, slices, strict=True):
+                own = f.starts(np.flatnonzero(expand))[repeated[begin : begin + n]]
+                begin += n
+                yield _without(ids, data, offsets, np.concatenate([own, f.starts(np.flatnonzero(whole & ~expand))]), length)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", stable_scan: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text", stable_scan: bool = False, block: int = exchange.BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept: every byte under a ``length``-byte string that also starts elsewhere is removed.
 
-    stable_scan: ``docs`` reads files directly, so all its readings have the same tasks.
+    stable_scan: ``docs`` reads files directly, so all its readings have the same tasks. A task's memory follows ``block``, the bytes of text that are held together.
     """
-    n_parts = shared.parallelism(docs)
-    rows = exchange.blocked(docs, id_col, text_col, stable_scan)
-    first = shared.stored(exchange.totals(rows.mapInArrow(_first_requests(length, anchor, n_parts), exchange.REQUEST), n_parts), "anchors")
-    asked = exchange.together(rows, first).mapInArrow(_second_requests(length, anchor, n_parts), exchange.REQUEST)
-    second = shared.stored(exchange.totals(asked, n_parts), "strings")
-    return exchange.together(rows, first.unionByName(second)).mapInArrow(_removed(length, anchor), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows, layout = exchange.blocked(docs, id_col, text_col, stable_scan, block)
+    first = shared.stored(exchange.totals(rows.mapInArrow(_first_requests(length, anchor, layout), exchange.REQUEST), layout.n_parts), "anchors")
+    asked = exchange.together(rows, first, layout).mapInArrow(_second_requests(length, anchor, layout.n_parts), exchange.REQUEST)
+    second = shared.stored(exchange.totals(asked, layout.n_parts), "strings")
+    return exchange.together(rows, first.unionByName(second), layout).mapInArrow(_removed(length, anchor), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
