@@ -152,6 +152,13 @@ def align_all(pairs: list[tuple[str, str]], scores: Scores = GLOBAL_AA, local: b
     return [done[p] for p in pairs]
 
 
+def score_all(queries: list[np.ndarray], refs: list[np.ndarray], scores: Scores, local: bool) -> np.ndarray:
+    """Scores of ``align_all`` for pairs of code arrays; local ones without a traceback."""
+    if local:
+        return pairbatch.tops(queries, refs, costs(scores))[0]
+    return np.array([x.score for x in pairbatch.align(queries, refs, costs(scores), False)])
+
+
 def aligner(scores: Scores = GLOBAL_AA, local: bool = False):
     """Vectorised function of (query, ref); null sequences are empty."""
 
@@ -363,6 +370,7 @@ def painted(chains: DataFrame, by: list[str]) -> DataFrame:
 
 
 WORDS = (4, 6, 9, 12)  # lengths of the words that bound a score
+MEMBERS = 64  # references whose words are kept as a table
 
 
 class Sketches:
@@ -379,7 +387,7 @@ class Sketches:
         self.scores, self.size = scores, np.array([len(r) for r in refs])
         wild = sorted({ord(c) for c in scores.wildcard})
         self.wild = np.array(wild, np.int64)
-        self.words = {}
+        self.words, self.members = {}, {}
         for k in WORDS:
             found = [self._words(_codes(r), k) for r in refs]
             free = np.array([int((~known).sum()) for _, known in found])
@@ -387,6 +395,11 @@ class Sketches:
             owner = np.repeat(np.arange(len(refs)), [len(np.unique(c[known])) for c, known in found])
             order = np.argsort(code, kind="stable")
             self.words[k] = code[order], owner[order], free
+            if len(refs) <= MEMBERS:
+                kinds = np.unique(code)
+                member = np.zeros((len(kinds) + 1, len(refs)), np.int32)  # the last row is no reference's
+                member[np.searchsorted(kinds, code), owner] = 1
+                self.members[k] = kinds, member
 
     def _words(self, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(word, holds no wildcard) at every place."""
@@ -397,9 +410,9 @@ class Sketches:
             known &= ~np.isin(codes[j : j + total], self.wild)
         return out, known
 
-    def bounds(self, query: str) -> np.ndarray:
+    def bounds(self, query: str | np.ndarray) -> np.ndarray:
         """No alignment of the query with each reference scores above this."""
-        s, codes = self.scores, _codes(query)
+        s, codes = self.scores, _codes(query) if isinstance(query, str) else query
         length = np.minimum(self.size, len(codes))
         out = s.match * length.astype(float)
         for k, (code, owner, free) in self.words.items():
@@ -415,34 +428,71 @@ class Sketches:
         return out
 
 
-def winners(queries: list[str], refs: list[str], scores: Scores, local: bool, sketches: Sketches | None = None) -> list[tuple[int, Alignment, int]]:
-    """Of every query the first best reference, its alignment, and how many references were aligned: those whose bound reaches the best score so far."""
+    def all_bounds(self, queries: list[np.ndarray]) -> np.ndarray:
+        """``bounds`` of many queries (codes), a row a query: with few references, the places of all queries at once."""
+        if not self.members:
+            return np.array([self.bounds(q) for q in queries])
+        s, size = self.scores, np.array([len(q) for q in queries])
+        length = np.minimum(size[:, None], self.size[None])
+        out = s.match * length.astype(float)
+        codes, ends = np.concatenate([*queries, np.zeros(0, np.int64)]), np.cumsum(size)
+        left = np.repeat(ends, size) - np.arange(len(codes))  # symbols of its query from a place on
+        owner = np.repeat(np.arange(len(queries)), size)
+        for k, (kinds, member) in self.members.items():
+            words, known = self._words(codes, k)
+            inside = left[: len(words)] >= k
+            total = np.bincount(owner[: len(words)][inside], minlength=len(queries))
+            at = np.flatnonzero(inside & known)
+            place = np.minimum(np.searchsorted(kinds, words[at]), max(len(kinds) - 1, 0))
+            hit = kinds[place] == words[at] if len(kinds) else np.zeros(len(at), bool)
+            told, of = member[place[hit]], owner[at[hit]]
+            common = np.zeros((len(queries), len(self.size)), np.int64)
+            if len(of):
+                first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+                common[of[first]] = np.add.reduceat(told, first, axis=0)
+            common += (total - np.bincount(owner[at], minlength=len(queries)))[:, None]
+            common = np.where(self.words[k][2] > 0, np.maximum(common, total[:, None]), common)
+            breaks = np.maximum(np.ceil((length - common - (k - 1)) / k), 0)
+            out = np.minimum(out, s.match * length - breaks * min(s.match - s.mismatch, -s.gap_open, s.match * (k - 1)))
+        return out
+
+
+def winners(queries: list[str], refs: list[str], scores: Scores, local: bool, sketches: Sketches | None = None, traced: bool = True) -> list[tuple[int, Alignment, int]]:
+    """Of every query the first best reference, its alignment, and how many references were aligned: those whose bound reaches the best score so far.
+
+    References are compared by scores; only the winner's alignment is traced, and not even that without ``traced`` (then it has a score alone).
+    """
     if not refs:
         return []
     known = sketches or Sketches(refs, scores)
-    bounds = [known.bounds(q) for q in queries]
-    order = [np.lexsort((np.arange(len(refs)), -b)).tolist() for b in bounds]
-    best: list[tuple[int, Alignment] | None] = [None] * len(queries)
-    aligned, tried, step = [0] * len(queries), 0, 1
+    q, r = [_codes(x) for x in queries], [_codes(x) for x in refs]
+    bounds = known.all_bounds(q)
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    best, at = np.full(len(queries), -np.inf), np.zeros(len(queries), np.int64)
+    aligned, tried, step = np.zeros(len(queries), np.int64), 0, 1
     while tried < len(refs):
-        jobs = []
-        for k, b in enumerate(bounds):
-            for r in order[k][tried : tried + step]:
-                # Of equal scores the earlier reference wins.
-                if best[k] is None or (b[r], -r) > (best[k][1].score, -best[k][0]):
-                    jobs.append((k, r))
-        for (k, r), al in zip(jobs, align_all([(queries[k], refs[r]) for k, r in jobs], scores, local), strict=True):
-            aligned[k] += 1
-            if best[k] is None or (al.score, -r) > (best[k][1].score, -best[k][0]):
-                best[k] = r, al
+        own = order[:, tried : tried + step]
+        bound = np.take_along_axis(bounds, own, 1)
+        # Of equal scores the earlier reference wins.
+        k, c = np.nonzero((bound > best[:, None]) | ((bound == best[:, None]) & (own < at[:, None])))
+        ref = own[k, c]
+        for x, y, score in zip(k.tolist(), ref.tolist(), score_all([q[x] for x in k.tolist()], [r[y] for y in ref.tolist()], scores, local).tolist(), strict=True):
+            if score > best[x] or (score == best[x] and y < at[x]):
+                best[x], at[x] = score, y
+        aligned += np.bincount(k, minlength=len(queries))
         tried, step = tried + step, 2 * step
-    return [(*found, n) for found, n in zip(best, aligned, strict=True)]  # type: ignore[misc]
+    if traced:
+        found = align_all([(queries[k], refs[y]) for k, y in enumerate(at.tolist())], scores, local)
+    else:
+        found = [Alignment(x, 0, 0, 0, 0, "", "") for x in best.tolist()]
+    return list(zip(at.tolist(), found, aligned.tolist(), strict=True))
 
 
-QUERIES = 256  # sequences whose references are tried together
+QUERIES = 256  # sequences whose references are tried together; of short ones more, up to SYMBOLS
+SYMBOLS = 1 << 16
 
 
-def best_reference(queries: DataFrame, references: DataFrame, on: list[str], query: str, scores: Scores = LOCAL_NT, local: bool = True) -> DataFrame:
+def best_reference(queries: DataFrame, references: DataFrame, on: list[str], query: str, scores: Scores = LOCAL_NT, local: bool = True, traced: bool = True) -> DataFrame:
     """Every query (``query``, seq) against the references (ref_ordinal, ref_name, ref_seq) of its values of ``on``, or against
     all: query, ref_name, the alignment, and how many references were aligned for it.
 
@@ -450,6 +500,7 @@ def best_reference(queries: DataFrame, references: DataFrame, on: list[str], que
     score so far are not aligned (``Sketches``). Up to ``sized.BYTES`` of references go to the
     tasks; more are met by their key, in blocks that each query visits, a row a pair.
     Queries are spread by a hash of their own, so a genotype with most rows is no hot task.
+    Without ``traced`` the alignment's places and rows are not worked out (0 and empty).
     """
     # A number of partitions that stays: alignment costs time, not bytes.
     spread = queries.select(query, *on, "seq").repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), query)
@@ -466,8 +517,10 @@ def best_reference(queries: DataFrame, references: DataFrame, on: list[str], que
         sketches: dict[tuple, Sketches] = {}
         fields = [f.split()[0] for f in ALIGNED.split(", ")]
         for batch in batches:
-            for a in range(0, batch.num_rows, QUERIES):
-                part = batch.slice(a, QUERIES)
+            symbols = sum(len(x or "") for x in batch.column("seq").to_pylist()) or 1
+            many = max(QUERIES, min(1 << 13, SYMBOLS * batch.num_rows // symbols))
+            for a in range(0, batch.num_rows, many):
+                part = batch.slice(a, many)
                 keys = list(zip(*(part.column(c).to_pylist() for c in on), strict=True)) if on else [()] * part.num_rows
                 seqs = part.column("seq").to_pylist()
                 by_key: dict[tuple, list[int]] = {}
@@ -479,7 +532,7 @@ def best_reference(queries: DataFrame, references: DataFrame, on: list[str], que
                     refs = [s for _, s in groups[key]]
                     if key not in sketches:
                         sketches[key] = Sketches(refs, scores)
-                    for k, (r, al, n) in zip(places, winners([seqs[k] or "" for k in places], refs, scores, local, sketches[key]), strict=True):
+                    for k, (r, al, n) in zip(places, winners([seqs[k] or "" for k in places], refs, scores, local, sketches[key], traced), strict=True):
                         place.append(k)
                         rows.append((groups[key][r][0], *(getattr(al, f) for f in fields), n))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * (len(fields) + 2)

@@ -21,8 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-CELLS = 1 << 25
-PAIRS = 128
+CELLS = 1 << 24
+PAIRS = 1024
 STAY, LEFT, UP = 0, 1, 2
 # Flags of a cell.
 BEST_STAY, BEST_LEFT, LEFT_ON, LEFT_STAY, UP_ON, UP_STAY, END = (1 << k for k in range(7))
@@ -100,6 +100,139 @@ def align(queries: Sequence[np.ndarray], refs: Sequence[np.ndarray], costs: Cost
     return out  # type: ignore[return-value]
 
 
+def _running(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Running maximum down the columns, by doubled steps over whole arrays; both arrays are used up."""
+    step = 1
+    while step < len(x):
+        spare[:step] = x[:step]
+        np.maximum(x[step:], x[:-step], out=spare[step:])
+        x, spare = spare, x
+        step *= 2
+    return x
+
+
+WIDE = 1 << 16  # cells of one row of all pairs of a batch without traceback
+
+
+def tops(queries: Sequence[np.ndarray], refs: Sequence[np.ndarray], costs: Costs, bands: Sequence[tuple[int, int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(score, row, column) of the end of every pair's best local alignment, as ``align`` finds it, without a traceback.
+
+    Whole numbers in two bytes where they fit. Values below 0 never reach a local alignment,
+    so gaps start from the best of all kinds and nothing sinks without bound.
+    """
+    widths = np.array([len(r) for r in refs] if bands is None else [high - low + 1 for low, high in bands], np.int64)
+    lengths = np.array([len(q) for q in queries], np.int64)
+    score, row, column = np.zeros(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
+    order = np.lexsort((lengths, widths))
+    a = 0
+    while a < len(order):
+        b = a + max(1, min(len(order) - a, WIDE // (int(widths[order[a]]) + 1)))
+        # Pairs of one batch are at most twice as wide as its first.
+        b = a + max(1, int(np.searchsorted(widths[order[a:b]], 2 * widths[order[a]] + 16, "right")))
+        places = order[a:b].tolist()
+        found = _tops([queries[k] for k in places], [refs[k] for k in places], costs, None if bands is None else [bands[k][0] for k in places], int(widths[places].max()))
+        for x, y in zip((score, row, column), found, strict=True):
+            x[places] = y
+        a = b
+    return score, row, column
+
+
+def _tops(queries: list[np.ndarray], refs: list[np.ndarray], costs: Costs, shift: list[int] | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p, banded = len(queries), shift is not None
+    n = np.array([len(x) for x in queries])
+    rows, columns = int(n.max()), width if banded else width + 1
+    by, costs = costs.scaled()
+    symbols = np.unique(np.concatenate([*queries, *refs, np.zeros(0, np.int64)]))
+    outside = len(symbols)
+    table = np.full((outside + 1, outside + 1), costs.mismatch)
+    np.fill_diagonal(table, costs.match)
+    if costs.matrix is not None:
+        table[:outside, :outside] = costs.matrix[np.ix_(symbols, symbols)]
+    wild = np.flatnonzero(np.isin(symbols, costs.wild))
+    table[wild, :] = table[:, wild] = 0
+    equal, other = table[:outside, :outside].diagonal(), table[:outside, :outside][~np.eye(outside, dtype=bool)]
+    # One score for equal and a negative one for different symbols: places outside the reference count as different, and gain nothing.
+    plain = outside > 0 and len(np.unique(equal)) == 1 and len(np.unique(other)) <= 1 and (not len(other) or other[0] < 0)
+    most = max(float(np.abs(table).max()), abs(costs.gap_open), abs(costs.gap_extend))
+    kind = np.int16 if most * (rows + width + 4) < 1 << 13 else np.int32 if most * (rows + width + 4) < 1 << 29 else np.int64
+    low = kind(-(1 << 13) if kind is np.int16 else -(1 << 29))
+    table[:, outside] = table[outside, :] = low
+    code = np.zeros(int(symbols.max()) + 1 if outside else 1, np.int16)
+    code[symbols] = np.arange(outside)
+    q = np.full((rows, p), outside + 1 if plain else outside, np.int16)
+    for k, x in enumerate(queries):
+        q[: len(x), k] = code[x]
+    r = np.full((rows + width if banded else width, p), outside, np.int16)
+    for k, x in enumerate(refs):
+        if banded:
+            first, last = max(shift[k], 0), min(len(x), shift[k] + len(r))
+            if last > first:
+                r[first - shift[k] : last - shift[k], k] = code[x[first:last]]
+        else:
+            r[: len(x), k] = code[x]
+    flat = table.astype(kind).ravel()
+    match, mismatch = (kind(equal[0]), kind(other[0] if len(other) else -1)) if plain else (kind(0), kind(0))
+    opened, extended = kind(costs.gap_open), kind(costs.gap_extend)
+    slope = (int(extended) * np.arange(columns)).astype(kind)[:, None]
+    back = (opened + slope[:-1]).astype(kind)
+    # Of a band, the place after the last has no values.
+    best, up = np.zeros((columns + 1, p), kind), np.full((columns + 1, p), low, kind)
+    best[columns] = low
+    stay, run, other_run, further = (np.zeros((columns, p), kind) for _ in range(4))
+    top, end_row, end_col = np.zeros(p, np.int64), np.zeros(p, np.int64), np.zeros(p, np.int64)
+    now, was = best[:columns], (best[1:], up[1:]) if banded else (best[:columns], up[:columns])
+    for i in range(1, rows + 1):
+        own = q[i - 1]
+        there = r[i - 1 : i - 1 + width] if banded else r
+        pair = np.where(there == own, match, mismatch) if plain else flat[np.minimum(own, outside).astype(np.int32) * (outside + 1) + there]
+        if banded:
+            np.add(now, pair, out=stay)
+        else:
+            np.add(best[:width], pair, out=stay[1:])
+        np.maximum(stay, 0, out=stay)
+        np.add(was[1], extended, out=further)
+        np.add(was[0], opened, out=run)
+        np.maximum(run, further, out=up[:columns])
+        np.maximum(stay, up[:columns], out=now)
+        highest = _running(np.subtract(now, slope, out=run), other_run)
+        np.add(highest[:-1], back, out=further[1:])
+        np.maximum(now[1:], further[1:], out=now[1:])
+        value = stay.max(0)
+        better = np.flatnonzero((value > top) & (i <= n))
+        if len(better):
+            top[better], end_row[better], end_col[better] = value[better], i, stay[:, better].argmax(0)
+    return top / by, end_row, end_col
+
+
+def local(queries: Sequence[np.ndarray], refs: Sequence[np.ndarray], costs: Costs, bands: Sequence[tuple[int, int]], ends: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[Path]:
+    """``align`` of pairs whose ``ends`` (of ``tops``) are known.
+
+    Where the symbols before an end, taken without a gap, add up to the whole score, that is the
+    alignment: a traceback prefers such a column to a gap and stops where nothing is left.
+    Only the other pairs are traced.
+    """
+    out: list[Path | None] = [None] * len(queries)
+    traced = []
+    table = costs.matrix
+    for k, (score, row, column) in enumerate(zip(*(x.tolist() for x in ends), strict=True)):
+        if score <= 0:
+            out[k] = Path(0.0, (0, 0), (0, 0), np.zeros(0, np.uint8))
+            continue
+        end = row + bands[k][0] + column
+        n = min(row, end)
+        a, b = queries[k][row - n : row], refs[k][end - n : end]
+        gain = table[a, b] if table is not None else np.where(a == b, costs.match, costs.mismatch)
+        at = np.flatnonzero(np.abs(np.cumsum(gain[::-1]) - score) < 1e-6)
+        if not len(at) or costs.wild:
+            traced.append(k)
+            continue
+        n = int(at[0]) + 1
+        out[k] = Path(score, (row - n, row), (end - n, end), np.full(n, STAY, np.uint8))
+    for k, path in zip(traced, align([queries[k] for k in traced], [refs[k] for k in traced], costs, True, [bands[k] for k in traced]), strict=True):
+        out[k] = path
+    return out  # type: ignore[return-value]
+
+
 def _batch(queries: list[np.ndarray], refs: list[np.ndarray], costs: Costs, local: bool, shift: list[int] | None, width: int) -> list[Path]:
     p = len(queries)
     n, m = np.array([len(q) for q in queries]), np.array([len(r) for r in refs])
@@ -134,7 +267,7 @@ def _batch(queries: list[np.ndarray], refs: list[np.ndarray], costs: Costs, loca
     low, opened, extended = kind(LOW), kind(costs.gap_open), kind(costs.gap_extend)
     slope = (extended * np.arange(columns)).astype(kind)[:, None]
     back = (opened + slope[:-1]).astype(kind)
-    stay, left, up, new_stay, new_left, new_up, best, run, came = (np.full((columns, p), low, kind) for _ in range(9))
+    stay, left, up, new_stay, new_left, new_up, best, run, other_run, came = (np.full((columns, p), low, kind) for _ in range(10))
     flag, other = np.zeros((columns, p), bool), np.zeros((columns, p), bool)
     trace = np.zeros((rows + 1, columns, p), np.uint8)
     if local:
@@ -183,8 +316,8 @@ def _batch(queries: list[np.ndarray], refs: list[np.ndarray], costs: Costs, loca
         mark(told, np.equal(came_stay + opened, new_up, out=other), UP_STAY)
         np.maximum(new_stay, new_up, out=best)
         # left[j] is the best of an earlier place, opened and extended from there: a running maximum.
-        np.maximum.accumulate(np.subtract(best, slope, out=run), 0, out=run)
-        np.add(run[:-1], back, out=new_left[1:])
+        highest = _running(np.subtract(best, slope, out=run), other_run)
+        np.add(highest[:-1], back, out=new_left[1:])
         np.equal(new_left[:-1] + extended, new_left[1:], out=flag[1:])
         np.equal(new_stay[:-1] + opened, new_left[1:], out=other[1:])
         flag[0] = other[0] = False

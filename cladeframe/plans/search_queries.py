@@ -108,7 +108,7 @@ def jn_cross_refs(spark, d):
     """The best of all references, without a key."""
     rows = sequences(spark, d).select("accession", "seq")
     refs = subtype_references(spark, d).select(F.col("ordinal").alias("ref_ordinal"), F.col("subtype").alias("ref_name"), F.col("seq").alias("ref_seq"))
-    return alignment.best_reference(rows, refs, [], "accession").select("accession", "ref_name", "score", "aligned")
+    return alignment.best_reference(rows, refs, [], "accession", traced=False).select("accession", "ref_name", "score", "aligned")
 
 
 @query()
