@@ -36,7 +36,7 @@ from cladeframe.operators import pairbatch, sized
 
 HOT_PLACES = 64  # of a word in one reference
 INDEX_ROWS = 2_000_000  # of an index that is broadcast
-PAIRS = 256  # rows of an Arrow batch of candidates
+PAIRS = 2048  # candidates that are extended together
 
 # Background frequencies of residues in per mille, in the order of their symbols.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
@@ -309,11 +309,14 @@ def _extended(search: Search):
                         diagonal, place = (np.array(x, np.int64) for x in zip(*at, strict=True)) if at else (np.zeros(0, np.int64),) * 2
                         seeded.append(Seeded(k, strand, read[strand], ref, diagonal, place, len(at) < len(by_strand[strand])))
                 jobs = [(x.row, x.strand, x.query, x.ref, band) for x, ok in zip(seeded, reaching(seeded, search), strict=True) for band in bands(x, ok, search)]
-                found = pairbatch.align([j[2] for j in jobs], [j[3] for j in jobs], search.costs, True, [j[4] for j in jobs])
-                best: dict[int, tuple] = {}
-                for (k, strand, symbols, ref, _), path in zip(jobs, found, strict=True):
-                    if path.score > 0 and (k not in best or path.score > best[k][-1].score):
-                        best[k] = rows[k], strand, symbols, ref, len(rows[k]["seq"]), path
+                ends = pairbatch.tops([j[2] for j in jobs], [j[3] for j in jobs], search.costs, [j[4] for j in jobs])
+                chosen: dict[int, int] = {}  # of a pair's bands the first of the highest score; only that is told
+                for at, score in enumerate(ends[0].tolist()):
+                    if score > 0 and (jobs[at][0] not in chosen or score > ends[0][chosen[jobs[at][0]]]):
+                        chosen[jobs[at][0]] = at
+                own = list(chosen.values())
+                found = pairbatch.local([jobs[k][2] for k in own], [jobs[k][3] for k in own], search.costs, [jobs[k][4] for k in own], tuple(x[own] for x in ends))
+                best = {k: (rows[k], *jobs[at][1:4], len(rows[k]["seq"]), path) for (k, at), path in zip(chosen.items(), found, strict=True)}
                 out = [told(*best[k]) for k in sorted(best)]
                 out = [x for x in out if x[6] <= search.evalue]
                 columns = list(zip(*out, strict=True)) if out else [()] * len(names)
