@@ -294,12 +294,96 @@ def frameshift(reference: str, bases: str, skips: tuple[int, ...] = (1, 2, 3), m
     return {"score": int(score[m, end]), "aa": "".join(reversed(aa)), "nt": "".join(reversed(nt)), "events": events, "nt_start": start, "nt_end": last}
 
 
+FRAME_CELLS = 1 << 20  # of the program over a batch of sequences
+
+
+def frameshift_all(pairs: list[tuple[str, str]], skips: tuple[int, ...] = (1, 2, 3), may_delete: bool = True, free_start: bool = True) -> list[dict]:
+    """``frameshift`` of many (protein, bases): those of one protein and one length are rows of one program; equal pairs run once."""
+    groups: dict[tuple[str, int], list[str]] = {}
+    for reference, bases in dict.fromkeys(pairs):
+        groups.setdefault((reference, len(bases)), []).append(bases)
+    done: dict[tuple[str, str], dict] = {}
+    for (reference, n), own in groups.items():
+        many = max(1, FRAME_CELLS // ((len(reference) + 1) * (n + 1)))
+        for a in range(0, len(own), many):
+            part = own[a : a + many]
+            for bases, found in zip(part, _frameshifts(reference, part, n, skips, may_delete, free_start), strict=True):
+                done[reference, bases] = found
+    return [done[p] for p in pairs]
+
+
+def _frameshifts(reference: str, many: list[str], n: int, skips: tuple[int, ...], may_delete: bool, free_start: bool) -> list[dict]:
+    m, p = len(reference), len(many)
+    read = [[genes.CODONS.get(b[j : j + 3], "X") for j in range(max(n - 2, 0))] for b in many]
+    low = -(1 << 30)
+    score = np.full((m + 1, n + 1, p), low, np.int64)
+    came = np.zeros((m + 1, n + 1, p), np.int8)
+    score[0] = 0 if free_start else low
+    score[0, 0] = 0
+    code = np.frombuffer("".join("".join(x) for x in read).encode("latin-1"), np.uint8).astype(np.int64).reshape(p, max(n - 2, 0)).T
+    special = np.where(code == ord("X"), AMBIGUOUS, np.where(code == ord("*"), STOP, 0))
+    for i in range(m + 1):
+        row = score[i]
+        unskipped = row.copy()
+        while True:
+            before = row.copy()
+            for k in skips:
+                filled = np.full((-(-(n + 1) // k) * k, p), -(1 << 40), np.int64)
+                filled[: n + 1] = row
+                slope = SKIP[k] * np.arange(len(filled) // k)[:, None, None]
+                best = np.maximum.accumulate(filled.reshape(-1, k, p) - slope, 0) + slope
+                np.maximum(row, best.reshape(-1, p)[: n + 1], out=row)
+            if (row == before).all():
+                break
+        settled = row == unskipped
+        for k in sorted(skips, reverse=True):
+            if k > n:
+                continue
+            by = np.zeros((n + 1, p), bool)
+            by[k:] = (row[k:] == row[:-k] + SKIP[k]) & (row[:-k] > low // 2)
+            came[i][by & ~settled] = k
+            settled |= by
+        if i == m:
+            break
+        below = score[i + 1]
+        if len(code):
+            gain = np.where(special != 0, special, np.where(code == ord(reference[i]), MATCH, MISMATCH))
+            reached = row[: n - 2] > low // 2
+            below[3:] = np.where(reached, row[: n - 2] + gain, low)
+            came[i + 1, 3:] = np.where(reached, 4, 0)
+        if may_delete:
+            drop = np.where(row > low // 2, row + DELETE, low)
+            better = drop > below
+            below[better] = drop[better]
+            came[i + 1][better] = 5
+    ends, tops = score[m].argmax(0).tolist(), score[m].max(0).tolist()
+    out = []
+    for bases, own, end, top, steps in zip(many, read, ends, tops, np.ascontiguousarray(came.transpose(2, 0, 1)), strict=True):
+        steps = steps.tolist()
+        i, j, aa, nt, events, start, last = m, end, [], [], 0, end, end
+        while i > 0 or (j > 0 and steps[i][j]):
+            step = steps[i][j]
+            if step == 0:
+                break
+            if step == 4:
+                aa.append(own[j - 3])
+                nt.append(bases[j - 3 : j])
+                start, last = j - 3, max(last, j)
+                i, j = i - 1, j - 3
+            elif step == 5:
+                events, i = events + 1, i - 1
+            else:
+                events, j = events + 1, j - step
+        out.append({"score": int(top), "aa": "".join(reversed(aa)), "nt": "".join(reversed(nt)), "events": events, "nt_start": start, "nt_end": last})
+    return out
+
+
 def frameshift_refined():
     """Vectorised function of (protein, bases)."""
 
     @F.pandas_udf("score long, aa string, nt string, events int, nt_start int, nt_end int")
     def run(reference: pd.Series, bases: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([frameshift(r or "", b or "") for r, b in zip(reference, bases, strict=True)], columns=["score", "aa", "nt", "events", "nt_start", "nt_end"])
+        return pd.DataFrame(frameshift_all([(r or "", b or "") for r, b in zip(reference, bases, strict=True)]), columns=["score", "aa", "nt", "events", "nt_start", "nt_end"])
 
     return run
 
