@@ -144,4 +144,7 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
     """study, accession, record of the found rows of a bundle's index, cut out of its files by their offsets."""
     index = spark.read.parquet(f"{path}/index").filter("found")
     whole = spark.read.text(f"{path}/records", wholetext=True).select(F.col("study").cast("string").alias("study"), "piece", F.col("value").cast("binary").alias("bytes"))
-    return index.join(whole, ["study", "piece"]).select("study", "accession", F.substring("bytes", (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")).cast("string").alias("record"))
+    # A file meets all its places in one row: joined a row a record, its bytes would be moved as often as it has records.
+    places = index.groupBy("study", "piece").agg(F.collect_list(F.struct("accession", "byte_start", "byte_end")).alias("places"))
+    cut = F.transform("places", lambda x: F.struct(x["accession"].alias("accession"), F.substring(F.col("bytes"), (x["byte_start"] + 1).cast("int"), (x["byte_end"] - x["byte_start"]).cast("int")).cast("string").alias("record")))
+    return places.join(whole, ["study", "piece"]).select("study", F.explode(cut).alias("x")).select("study", "x.accession", "x.record")
