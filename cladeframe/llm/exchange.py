@@ -8,11 +8,16 @@ and answers every block with the totals in the block's own order; there are as m
 partitions as keep one of them near ``PART`` bytes of text. Blocks, as compressed slices,
 and answers then meet in one task. A hot key is one entry a block; no row is made per
 occurrence.
+
+Where most keys occur once, a sieve goes first: blocks send the leading bits of their
+hashes alone (``BITS`` more than tell the keys apart), and learn which of them another
+block has too. A key that its block has once and no other block has the bits of occurs
+once in all; only the others are sent in full, so totals are the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,13 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm import shared
+from cladeframe.llm import shared, text
 
 U64 = np.uint64
 _ZSTD = pa.Codec("zstd")
 BLOCK = 24 << 20  # bytes of text of a block; a longer text is a block of its own
 PART = 16 << 20  # bytes of text whose keys a hash partition adds up
 SLICE = 1 << 20  # bytes of text that are compressed together
+BITS = 4  # of a sieve's hashes, beyond those that number a word in four bytes: about one key in twenty passes by chance
 REQUEST = "part int, block long, kind int, keys binary, counts binary"
 REQUEST_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWER = "block long, part int, kind int, totals binary, all long"
@@ -65,9 +71,19 @@ def distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return value, count, inverse
 
 
-def requests(block: int, kind: int, value: np.ndarray, count: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
-    """A row a partition; partition p has the p-th even range of hashes, which are spread evenly."""
-    edge = np.array([(p << 64) // n_parts for p in range(1, n_parts)], U64)
+def pack_flags(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(8, "little") + _ZSTD.compress(np.packbits(x).tobytes(), asbytes=True)
+
+
+def unpack_flags(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:8], "little")
+    bits = np.frombuffer(_ZSTD.decompress(raw[8:], decompressed_size=-(-n // 8), asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.unpackbits(bits, count=n).astype(bool)
+
+
+def requests(block: int, kind: int, value: np.ndarray, count: np.ndarray, n_parts: int, bits: int = 64) -> Iterator[pa.RecordBatch]:
+    """A row a partition; partition p has the p-th even range of hashes of so many bits, which are spread evenly."""
+    edge = np.array([(p << bits) // n_parts for p in range(1, n_parts)], U64)
     at = [0, *np.searchsorted(value, edge).tolist(), len(value)]
     for p in range(n_parts):
         own = slice(at[p], at[p + 1])
@@ -75,6 +91,40 @@ def requests(block: int, kind: int, value: np.ndarray, count: np.ndarray, n_part
         yield pa.RecordBatch.from_pylist([{"part": p, "block": block, "kind": kind, "keys": keys, "counts": pack(count[own])}], REQUEST_ARROW)
 
 
+def leading(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct leading bits of ascending hashes, place of each hash among them)."""
+    short = value >> U64(64 - bits)
+    new = np.ones(len(short), bool)
+    new[1:] = short[1:] != short[:-1]
+    return short[new], np.cumsum(new) - 1
+
+
+def noted(block: int, kind: int, flags: np.ndarray, n_parts: int) -> pa.RecordBatch:
+    """What a block knows of its keys already, and gets back with the answers (``Answers.flags`` of minus ``kind``)."""
+    return pa.RecordBatch.from_pylist([{"part": block % n_parts, "block": block, "kind": -kind, "keys": pack_flags(flags), "counts": b""}], REQUEST_ARROW)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+    for batch in batches:
+        for row in batch.select(["part", "block", "kind", "keys"]).to_pylist():
+            asked.setdefault((row["part"], row["kind"]), []).append((row["block"], row["keys"]))
+    for part, kind in list(asked):
+        rows = asked.pop((part, kind))
+        keys = [np.cumsum(unpack(r[1]), dtype=U64) for r in rows]
+        ranked = np.sort(np.concatenate(keys))
+        twice = ranked[1:][ranked[1:] == ranked[:-1]]  # a block has each once
+        for (block, _), own in zip(rows, keys, strict=True):
+            at = np.minimum(np.searchsorted(twice, own), max(len(twice) - 1, 0))
+            found = twice[at] == own if len(twice) else np.zeros(len(own), bool)
+            yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "kind": kind, "totals": pack_flags(found), "all": 0}], ANSWER_ARROW)
+
+
+def shared_keys(asked: DataFrame, n_parts: int) -> DataFrame:
+    """Per block which of its keys another block has too."""
+    return asked.repartitionById(n_parts, F.col("part")).mapInArrow(_shared, ANSWER)
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     asked: dict[tuple[int, int], list[tuple[int, bytes, bytes]]] = {}
     for batch in batches:
@@ -82,6 +132,10 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked.setdefault((row["part"], row["kind"]), []).append((row["block"], row["keys"], row["counts"]))
     for part, kind in list(asked):
         rows = asked.pop((part, kind))
+        if kind < 0:
+            for block, keys, _ in rows:
+                yield pa.RecordBatch.from_pylist([{"block": block, "part": part, "kind": kind, "totals": keys, "all": 0}], ANSWER_ARROW)
+            continue
         blocks = [r[0] for r in rows]
         keys = [np.cumsum(unpack(r[1]), dtype=U64) for r in rows]
         counts = np.concatenate([unpack(r[2]) for r in rows]).astype(np.int64)
@@ -105,11 +159,12 @@ def totals(asked: DataFrame, n_parts: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """Hash partitions, tasks that blocks are dealt to, and a block's bytes."""
+    """Hash partitions, tasks that blocks are dealt to, a block's bytes, and the leading bits of a sieve."""
 
     n_parts: int
     n_tasks: int
     block: int
+    bits: int
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str, stable_scan: bool, block: int = BLOCK) -> tuple[DataFrame, Layout]:
@@ -119,7 +174,7 @@ def blocked(docs: DataFrame, id_col: str, text_col: str, stable_scan: bool, bloc
         own = shared.stored(own, "documents")
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = own.withColumn("block", F.spark_partition_id())
-    return rows, Layout(max(shared.parallelism(docs), -(-size // PART)), max(1, rows.rdd.getNumPartitions(), -(-size // block)), block)
+    return rows, Layout(max(shared.parallelism(docs), -(-size // PART)), max(1, rows.rdd.getNumPartitions(), -(-size // block)), block, min(64, (size // 4).bit_length() + BITS))
 
 
 def cut(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -176,6 +231,29 @@ def together(rows: DataFrame, answers: DataFrame, layout: Layout) -> DataFrame:
     return answers.unionByName(docs).repartitionById(layout.n_tasks, dealt).sortWithinPartitions("block", F.col("kind").desc(), "part")
 
 
+def dealt(rows: DataFrame, layout: Layout) -> DataFrame:
+    """Blocks' packed documents by block: read more than once, they move once."""
+    return rows.mapInArrow(_packed(layout.block), ANSWER).repartition(layout.n_tasks, "block")
+
+
+def met(docs: DataFrame, answers: DataFrame, layout: Layout, run: Callable[[int, Answers, list[bytes]], Iterator[pa.RecordBatch]], schema: str, arrow: pa.Schema) -> DataFrame:
+    """What ``run`` makes of (block, answers, slices) of every block; ``docs``: see ``dealt``."""
+
+    def one(own: pa.Table, said: pa.Table) -> pa.Table:
+        if not own.num_rows:
+            return arrow.empty_table()
+        answers = Answers()
+        for batch in said.to_batches():
+            answers.add(batch)
+        block, docs = own.column("block")[0].as_py(), own.column("totals").to_pylist()
+        del own, said
+        out = pa.Table.from_batches(list(run(block, answers, docs)), arrow)
+        text.give_back()
+        return out
+
+    return docs.groupBy("block").cogroup(answers.repartition(layout.n_tasks, "block").groupBy("block")).applyInArrow(one, schema)
+
+
 class Answers:
     def __init__(self) -> None:
         self.rows: dict[int, dict[int, bytes]] = {}
@@ -194,6 +272,14 @@ class Answers:
             raise ValueError(f"{len(out) - 1} totals for {len(value)} keys: a scan's tasks differed between two readings")
         return out
 
+    def flags(self, kind: int, n: int) -> np.ndarray:
+        """Flags of ``n`` keys of a block."""
+        own = self.rows.get(kind, {})
+        out = np.concatenate([*(unpack_flags(own[p]) for p in sorted(own)), np.zeros(0, bool)])
+        if len(out) != n:
+            raise ValueError(f"{len(out)} flags for {n} keys: a scan's tasks differed between two readings")
+        return out
+
     def sum(self, kind: int) -> int:
         """Of the counts of all keys of a kind."""
         return sum(self.all.get(kind, {}).values())

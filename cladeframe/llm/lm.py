@@ -7,7 +7,9 @@ distinct n-grams with their counts as two byte strings, the partition adds up wh
 blocks sent and answers with the totals in the same order, and the block, whose
 documents are dealt to the same task as the answers, scores its documents. So a hot
 n-gram is one entry a block, and no row is made per occurrence. What is gathered
-grows with the corpus; nothing is sampled.
+grows with the corpus; nothing is sampled. Most n-grams of two and more words occur
+once: a sieve of short hashes (see ``exchange``) finds those, whose count is 1, and the
+others alone are sent in full.
 
 Score of word i with history: count(w[i-2..i]) / count(w[i-2..i-1]) where that n-gram
 was seen ``min_count`` times, else ``alpha`` times the score with a shorter history;
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from cladeframe.llm import exchange, shared, text
 
 U64 = np.uint64
+SCORED = "doc_id long, n_words long, log_score double, mean_log_score double"
+SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
 
 
 def _gram_hashes(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray]]]:
@@ -46,13 +50,17 @@ def _gram_hashes(batch: pa.RecordBatch, order: int) -> Iterator[tuple[int, int,
 
 
 def _requests(order: int, layout: exchange.Layout):
+    """The leading bits of the n-grams of two and more words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = [[] for _ in range(order)]
 
         def told(block: int) -> Iterator[pa.RecordBatch]:
-            for n in range(order):
-                value, count, _ = exchange.distinct(kept[n])
-                yield from exchange.requests(block, n + 1, value, count, layout.n_parts)
+            kept[0].clear()
+            for n in range(1, order):
+                short, _ = exchange.leading(exchange.distinct(kept[n])[0], layout.bits)
+                yield from exchange.requests(block, n + 1, short, np.zeros(0, np.int32), layout.n_parts, layout.bits)
+            text.give_back()
 
         before = None
         for block, batch in exchange.cut(batches, layout.block):
@@ -68,6 +76,37 @@ def _requests(order: int, layout: exchange.Layout):
     return run
 
 
+def _gathered(docs: list[bytes], order: int) -> tuple[list[pa.Array], list[np.ndarray], list[list[np.ndarray]]]:
+    """ids, numbers of words and n-grams of a block's slices."""
+    ids, lengths, kept = [], [], [[] for _ in range(order)]
+    docs.reverse()
+    while docs:
+        batch = exchange.unpacked(docs.pop())
+        for first, last, count, grams in _gram_hashes(batch, order):
+            ids.append(batch.column("doc_id")[first:last])
+            lengths.append(count)
+            for n, h in enumerate(grams):
+                kept[n].append(h)
+    return ids, lengths, kept
+
+
+def _passed(order: int, layout: exchange.Layout):
+    """The words, and the longer n-grams that may occur twice in all, with their counts."""
+
+    def run(block: int, answers: exchange.Answers, docs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        *_, kept = _gathered(docs, order)
+        for n in range(order):
+            value, count, _ = exchange.distinct(kept[n])
+            if n:
+                short, at = exchange.leading(value, layout.bits)
+                passed = answers.flags(n + 1, len(short))[at] | (count > 1)
+                yield exchange.noted(block, n + 1, passed, layout.n_parts)
+                value, count = value[passed], count[passed]
+            yield from exchange.requests(block, n + 1, value, count, layout.n_parts)
+
+    return run
+
+
 def _score(order: int, min_count: int, alpha: float):
     penalty = float(np.log(alpha))
 
@@ -80,8 +119,12 @@ def _score(order: int, min_count: int, alpha: float):
         for n in range(order):  # one order at a time: what is done with is freed
             value, _, inverse = exchange.distinct(kept[n])
             kept[n] = []
-            total = answers.of(n + 1, value)[inverse]  # no n-gram: 0
-            del value, inverse
+            known = np.ones(len(value) + 1, np.int64)
+            known[-1] = 0  # no n-gram
+            passed = np.flatnonzero(answers.flags(-n - 1, len(value))) if n else np.arange(len(value))
+            known[passed] = answers.of(n + 1, passed)[:-1]
+            total = known[inverse]
+            del value, inverse, known, passed
             with np.errstate(divide="ignore", invalid="ignore"):
                 log = np.log(total)
                 if n == 0:
@@ -100,19 +143,10 @@ def _score(order: int, min_count: int, alpha: float):
         mean = pa.array(np.where(has, sums / np.maximum(length, 1), 0.0), mask=~has)
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(length.astype(np.int64)), pa.array(sums), mean], names=["doc_id", "n_words", "log_score", "mean_log_score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, answers, docs in exchange.per_block(batches):
-            ids, lengths, kept = [], [], [[] for _ in range(order)]
-            docs.reverse()
-            while docs:
-                batch = exchange.unpacked(docs.pop())
-                for first, last, count, grams in _gram_hashes(batch, order):
-                    ids.append(batch.column("doc_id")[first:last])
-                    lengths.append(count)
-                    for n, h in enumerate(grams):
-                        kept[n].append(h)
-            if ids:
-                yield finish(ids, lengths, kept, answers)
+    def run(block: int, answers: exchange.Answers, docs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, lengths, kept = _gathered(docs, order)
+        if ids:
+            yield finish(ids, lengths, kept, answers)
 
     return run
 
@@ -124,8 +158,10 @@ def stupid_backoff(docs: DataFrame, order: int = 3, min_count: int = 2, alpha: f
     otherwise it is stored first. A task's memory follows ``block``, the bytes of text that are counted together.
     """
     rows, layout = exchange.blocked(docs, id_col, text_col, stable_scan, block)
-    answers = exchange.totals(rows.mapInArrow(_requests(order, layout), exchange.REQUEST), layout.n_parts)
-    return exchange.together(rows, answers, layout).mapInArrow(_score(order, min_count, alpha), "doc_id long, n_words long, log_score double, mean_log_score double")
+    passes = exchange.shared_keys(rows.mapInArrow(text.released(_requests(order, layout)), exchange.REQUEST), layout.n_parts)
+    own = exchange.dealt(rows, layout)
+    answers = exchange.totals(exchange.met(own, passes, layout, _passed(order, layout), exchange.REQUEST, exchange.REQUEST_ARROW), layout.n_parts)
+    return exchange.met(own, answers, layout, _score(order, min_count, alpha), SCORED, SCORED_ARROW)
 
 
 #: The same scores by plain SQL, for order 3, min_count 2, alpha 0.4.

@@ -39,3 +39,16 @@ def test_slices_are_unpacked_as_they_were():
     out = list(exchange._packed(1 << 20)(iter(_batches(texts, 2))))
     assert [t for b in out for raw in b.column("totals").to_pylist() for t in exchange.unpacked(raw).column("text").to_pylist()] == texts
     assert np.all(np.concatenate([b.column("block").to_numpy() for b in out]) == 5 << 24)
+
+
+def test_ngrams_that_occur_once_are_not_sent_in_full(spark, monkeypatch):
+    docs = make_docs(spark, [*ODD, *(prose(300, seed=k, vocabulary=5000) for k in range(12)), prose(300, seed=3, vocabulary=5000)])
+    want = sorted(map(repr, lm.stupid_backoff(docs).collect()))
+    sent = []
+    totals = exchange.totals
+    monkeypatch.setattr(exchange, "totals", lambda asked, n: (sent.append(asked), totals(asked, n))[1])
+    for bits in (exchange.BITS, -8):  # few bits: most pass by chance
+        monkeypatch.setattr(exchange, "BITS", bits)
+        assert sorted(map(repr, lm.stupid_backoff(docs, block=4_000).collect())) == want
+    full, crowded = ({kind: sum(len(exchange.unpack(r["keys"])) for r in asked.filter(f"kind = {kind}").collect()) for kind in (1, 3)} for asked in sent)
+    assert full[3] < full[1] / 3 and crowded[3] > 2 * full[3] and crowded[1] == full[1]
