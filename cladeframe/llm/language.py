@@ -3,25 +3,29 @@
 The kernel of two texts is the number of character n-grams (all orders of ``ORDERS``,
 n-grams of bytes of the case-folded text) that both hold, divided by the root of the
 product of their own numbers: a presence kernel. Landmarks (Nyström) are drawn in equal
-numbers from every language of a bounded sample; the sample's kernel with the
-landmarks, whitened by the landmarks' own kernel, gives features for one-versus-rest
-kernel ridge regression. Since the kernel is a product of presence vectors, the
-landmarks and the ridge weights fold into one matrix (n-grams by languages), and a
-batch of documents is scored by one matrix product.
-
-The sample is at most ``SAMPLE_DOCS`` labelled documents, whole, chosen by a hash of
-their id; its bound is a parameter. Prediction reads the text alone, the whole of it.
+numbers from every language; a text's kernel with the landmarks, whitened by the
+landmarks' own kernel, gives features for one-versus-rest kernel ridge regression. Its
+weights come from every labelled row: tasks add up the products of their rows' features
+(sums of a size that the landmarks fix), Spark adds up the tasks' sums, and the driver
+solves. Since the kernel is a product of presence vectors, the landmarks and the ridge
+weights fold into one matrix (n-grams by languages), and a batch of documents is scored
+by one matrix product.
+
+Only the landmarks, in whose span the weights lie, are chosen rows: of at most
+``SAMPLE_DOCS`` labelled documents, by a hash of their id; that bound is a parameter.
+Prediction reads the text alone, the whole of it.
 
 Cases: null text and text without a letter is ``und`` with score 0.0; rows without a
-label never train; rows without an id train by a hash of their text, and rows of one id
-as one; repeated rows are predicted each; without any training row every text is ``und``; equal scores take
+label never train; of labels beyond ``SAMPLE_DOCS`` the most frequent are learned; every
+labelled row trains, repeated ones each; repeated rows are predicted each; without any training row every text is ``und``; equal scores take
 the language that sorts first; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import random
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,9 @@ SAMPLE_DOCS = 2_000
 LANDMARKS = 200
 RIDGE = 1e-2
 SLICE = 256 << 10
+FOLDS = 5  # parts of the labelled rows; each is scored by what the others teach, for the floors
+BEGINNINGS = (16, 32, 64, 128, 256, 512, 1024, 2048, None)  # characters
+ROWS = 128  # texts whose presence vectors are held at once
 MARGIN = 0.02  # between scores of noise, floors and scores of texts
 NOISE = "abcdefghijklmnopqrstuvwxyz"
 UNDETERMINED = "und"
@@ -88,65 +95,10 @@ class Model:
         self.languages, self.weights, self.bias = languages, weights, bias
         self.floors = np.zeros(BUCKETS.bit_length() + 1)  # least score of a text that isn't ``und``, by the bits of its number of n-grams
 
-    @classmethod
-    def fit(cls, texts: list[str], labels: list[str], seed: int = 0) -> Model:
-        languages = sorted(set(labels))
-        if not languages:
-            return cls([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
-        y = np.array([languages.index(v) for v in labels])
-        rng = np.random.default_rng(seed)
-        each = max(1, LANDMARKS // len(languages))
-        marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:each] for k in range(len(languages))])
-        z = np.concatenate(list(_dense_parts([texts[k] for k in marks.tolist()])))
-        values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
-        root = vectors / np.sqrt(np.maximum(values, 1e-6))  # Nyström: features = k(x, z) @ root
-        feats = np.concatenate([(x @ z.T).astype(np.float64) for x in _dense_parts(texts)]) @ root
-        target = np.where(y[:, None] == np.arange(len(languages)), 1.0, -1.0)
-        # Languages weigh alike, however many samples they have.
-        w = 1.0 / np.bincount(y, minlength=len(languages))[y]
-        w *= len(y) / w.sum()
-        mean, shift = np.average(feats, 0, w), np.average(target, 0, w)
-        centred = (feats - mean) * w[:, None]
-        beta = np.linalg.solve(centred.T @ (feats - mean) + RIDGE * len(y) / len(languages) * np.eye(feats.shape[1]), centred.T @ (target - shift))
-        folded = z.T @ (root @ beta)
-        return cls(languages, folded.astype(np.float32), (shift - mean @ beta).astype(np.float32))
-
-    @classmethod
-    def fit_open(cls, texts: list[str], labels: list[str], seed: int = 0) -> Model:
-        """A model with floors, which tell texts from noise: of a fifth of the texts and their beginnings, and of the same
-        with every letter replaced by a random one, the scores by a model of the other texts.
-
-        The floor of a class of sizes lies ``MARGIN`` above its highest noise (above all noise,
-        where a class has none), but ``MARGIN`` below the lowest score of its texts.
-        """
-        model = cls.fit(texts, labels)
-        held, others = texts[::5], [k for k in range(len(texts)) if k % 5]
-        if not others:
-            return model
-        tried = cls.fit([texts[k] for k in others], [labels[k] for k in others])
-        r = random.Random(seed)
-        clean: dict[int, list[float]] = {}
-        noise: dict[int, list[float]] = {}
-        for chars in (16, 32, 64, 128, 256, 512, 1024, 2048, None):
-            own = [t[:chars] for t in held if (chars is None or len(t) > chars) and _LETTER.search(t[:chars])]
-            for a in range(0, len(own), 256):
-                part = own[a : a + 256]
-                mixed = ["".join(n if c.isalpha() else c for c, n in zip(t, r.choices(NOISE, k=len(t)), strict=True)) for t in part]
-                for said, by_size in ((part, clean), (mixed, noise)):
-                    for *_, data, offsets in text.string_slices(pa.array(said, pa.string()), SLICE):
-                        size = np.bincount(presence(data, offsets)[0], minlength=len(offsets) - 1)
-                        for z, v in zip(size.tolist(), tried.predict(data, offsets)[1].tolist(), strict=True):
-                            by_size.setdefault(z.bit_length(), []).append(v)
-        highest = max((max(v) for v in noise.values()), default=0.0)
-        for bits in range(len(model.floors)):
-            floor = max(noise.get(bits, [highest])) + MARGIN
-            model.floors[bits] = max(min([floor, *(v - MARGIN for v in clean.get(bits, []))]), 0.0)
-        return model
-
-    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(best language by place, score from 0 to 1) of a slice; below the floor the place after the last."""
+    def scored(self, data: np.ndarray, offsets: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(best language by place, score from 0 to 1, number of n-grams) of a slice; ``held``: its ``presence``, if known."""
         n = len(offsets) - 1
-        doc, bucket = presence(data, offsets)
+        doc, bucket = presence(data, offsets) if held is None else held
         first = np.searchsorted(doc, np.arange(n))
         size = np.bincount(doc, minlength=n)
         value = np.zeros((n, len(self.languages)), np.float32)
@@ -156,7 +108,11 @@ class Model:
             value[has] = np.add.reduceat(self.weights[bucket], first[has], axis=0)
         value = value / np.sqrt(np.maximum(size, 1))[:, None] + self.bias
         best = value.argmax(1)
-        score = np.clip((value[np.arange(n), best] + 1) / 2, 0.0, 1.0)
+        return best, np.clip((value[np.arange(n), best] + 1) / 2, 0.0, 1.0), size
+
+    def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best language by place, score from 0 to 1) of a slice; below the floor the place after the last."""
+        best, score, size = self.scored(data, offsets)
         bits = np.ceil(np.log2(size + 1)).astype(np.int64)
         return np.where(score >= self.floors[bits], best, len(self.languages)), score
 
@@ -182,6 +138,165 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, li
     return [r["t"] for r in chosen], [r["l"] for r in chosen]
 
 
+@dataclass
+class Basis:
+    """Languages, the landmarks' presence vectors, and what whitens a kernel with them."""
+
+    languages: list[str]
+    marks: np.ndarray
+    root: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], labels: list[str], seed: int = 0) -> Basis:
+        """Landmarks in equal numbers from every language."""
+        languages = sorted(set(labels))
+        y = np.array([languages.index(v) for v in labels])
+        rng = np.random.default_rng(seed)
+        each = max(1, LANDMARKS // len(languages))
+        marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:each] for k in range(len(languages))])
+        z = np.concatenate(list(_dense_parts([texts[k] for k in marks.tolist()])))
+        values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+        return cls(languages, z, vectors / np.sqrt(np.maximum(values, 1e-6)))  # features = k(x, marks) @ root
+
+    def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """A row a text, and a last column of ones."""
+        out = (dense(data, offsets) @ self.marks.T).astype(np.float64) @ self.root
+        return np.concatenate([out, np.ones((len(out), 1))], 1)
+
+    def solved(self, sums: np.ndarray) -> Model:
+        """The ridge's model of sums of weighted products: features by (features, languages)."""
+        n = len(self.marks)
+        both, own = sums[:, : n + 1], sums[:, n + 1 :]
+        whole = both[n, n]
+        mean, shift = both[n, :n] / whole, (2 * own[n] - whole) / whole  # targets are 1 and -1
+        centred = both[:n, :n] - whole * np.outer(mean, mean)
+        beta = np.linalg.solve(centred + RIDGE * whole / len(self.languages) * np.eye(n), 2 * own[:n] - both[:n, n:] - whole * np.outer(mean, shift))
+        return Model(self.languages, (self.marks.T @ (self.root @ beta)).astype(np.float32), (shift - mean @ beta).astype(np.float32))
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of a few texts: a slice of many short ones is cut, so the presence table stays small."""
+    for first, last, data, offsets in text.string_slices(batch.column("t"), SLICE):
+        for a in range(0, last - first, ROWS):
+            b = min(a + ROWS, last - first)
+            yield first + a, first + b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+SUMS = pa.schema([("fold", pa.int32()), ("line", pa.int32()), ("part", pa.int32()), ("v", pa.binary())])
+
+
+def _products(basis: Basis, weights: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, place = len(basis.marks) + 1, {v: k for k, v in enumerate(basis.languages)}
+        sums: dict[int, np.ndarray] = {}
+        part = 0
+        for batch in batches:
+            label, fold = np.array([place[v] for v in batch.column("l").to_pylist()], np.int64), batch.column("fold").to_numpy()
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+            for a, b, data, offsets in _parts(batch):
+                x, y = basis.features(data, offsets), label[a:b]
+                wide = np.concatenate([x, (y[:, None] == np.arange(len(place))).astype(float)], 1) * weights[y][:, None]
+                for f in np.unique(fold[a:b]).tolist():
+                    own = fold[a:b] == f
+                    sums[f] = sums.get(f, 0) + x[own].T @ wide[own]
+        for f in sorted(sums):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, f, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array([v.tobytes() for v in sums[f]], pa.binary())], schema=SUMS)
+
+    return run
+
+
+def _added(lines: pa.Table) -> pa.Table:
+    """One line of the tasks' sums; always added in the tasks' order, so that runs agree."""
+    rows = lines.sort_by("part")
+    total = np.sum([np.frombuffer(v, np.float64) for v in rows.column("v").to_pylist()], axis=0)
+    return pa.Table.from_pylist([{"fold": rows.column("fold")[0].as_py(), "line": rows.column("line")[0].as_py(), "part": 0, "v": total.tobytes()}], SUMS)
+
+
+_alpha: list[np.ndarray] = []
+
+
+def noise_of(said: str) -> str:
+    """``said`` with every letter replaced by a random one; the same each time."""
+    if not _alpha:
+        _alpha.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
+    code = np.frombuffer(said.encode("utf-32-le"), np.uint32).copy()
+    at = np.flatnonzero(_alpha[0][code])
+    code[at] = np.frombuffer(NOISE.encode(), np.uint8)[np.random.default_rng(zlib.crc32(said.encode())).integers(0, len(NOISE), len(at))]
+    return code.tobytes().decode("utf-32-le")
+
+
+EXTREMES = "bits int, clean double, noise double"
+
+
+def _extremes(model: Model, without: dict[int, Model]):
+    """By the bits of a text's number of n-grams the lowest score of texts and their beginnings, by the model and by that without their fold, and the highest of their noise by the latter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clean = np.full(BUCKETS.bit_length() + 1, np.nan)
+        noise = clean.copy()
+
+        def score(models: list[Model], said: list[str], into: np.ndarray, keep: np.ufunc) -> None:
+            for *_, data, offsets in _parts(pa.RecordBatch.from_arrays([pa.array(said, pa.string())], names=["t"])):
+                held = presence(data, offsets)
+                for m in models:
+                    _, value, size = m.scored(data, offsets, held)
+                    keep.at(into, np.ceil(np.log2(size + 1)).astype(np.int64), value)
+
+        for batch in batches:
+            fold = batch.column("fold").to_numpy()
+            for row in range(0, batch.num_rows, ROWS):
+                texts = batch.column("t").slice(row, ROWS).to_pylist()
+                mixed = [noise_of(t) for t in texts]
+                for f in np.unique(fold[row : row + ROWS]).tolist():
+                    at = np.flatnonzero(fold[row : row + ROWS] == f).tolist()
+                    for chars in BEGINNINGS:
+                        own = [k for k in at if (chars is None or len(texts[k]) > chars) and _LETTER.search(texts[k][:chars])]
+                        score([model, without[f]], [texts[k][:chars] for k in own], clean, np.fmin)
+                        score([without[f]], [mixed[k][:chars] for k in own], noise, np.fmax)
+        bits = np.flatnonzero(~np.isnan(clean) | ~np.isnan(noise))
+        yield pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int32)), pa.array(clean[bits], from_pandas=True), pa.array(noise[bits], from_pandas=True)], names=["bits", "clean", "noise"])
+
+    return run
+
+
+def learned(docs: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int = SAMPLE_DOCS, open_set: bool = False) -> Model:
+    """The model of all labelled rows; ``open_set``: with floors, which tell texts from noise, from all of them too.
+
+    The floor of a class of sizes lies ``MARGIN`` above its highest noise (above all noise,
+    where a class has none), but ``MARGIN`` below the lowest score of its texts. Texts and
+    noise are scored by a model of the other folds, texts by the whole model too: of texts whose
+    copies have other labels it is the less sure.
+    """
+    texts, labels = training_rows(docs, id_col, text_col, lang_col, limit)
+    if not texts:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32))
+    basis = Basis.of(texts, labels)
+    said = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l")).filter("t is not null and l is not null")
+    known = docs.sparkSession.createDataFrame([(v,) for v in basis.languages], "l string")
+    counts = {r["l"]: r["count"] for r in said.join(F.broadcast(known), "l", "left_semi").groupBy("l").count().collect()}
+    fold = F.pmod(F.xxhash64(F.coalesce("i", "t"), F.lit("fold")), F.lit(FOLDS)) if open_set else F.lit(0)
+    rows = said.join(F.broadcast(known), "l", "left_semi").select("t", "l", fold.cast("int").alias("fold"), F.spark_partition_id().alias("part"))
+    kind = "fold int, line int, part int, v binary"
+    weights = 1.0 / np.array([counts[v] for v in basis.languages])  # languages weigh alike, however many rows they have
+    lines = rows.mapInArrow(text.released(_products(basis, weights)), kind).groupBy("fold", "line").applyInArrow(_added, kind).collect()
+    width = len(basis.marks) + 1 + len(basis.languages)
+    sums: dict[int, np.ndarray] = {}
+    for r in sorted(lines, key=lambda r: r["fold"]):
+        sums.setdefault(r["fold"], np.zeros((len(basis.marks) + 1, width)))[r["line"]] = np.frombuffer(bytes(r["v"]), np.float64)
+    whole = np.sum(list(sums.values()), axis=0)
+    model = basis.solved(whole)
+    if open_set and len(sums) > 1:
+        tried = {f: basis.solved(whole - own) for f, own in sums.items()}
+        found = rows.select("t", "fold").mapInArrow(text.released(_extremes(model, tried)), EXTREMES).groupBy("bits").agg(F.min("clean").alias("clean"), F.max("noise").alias("noise")).collect()
+        by_bits = {r["bits"]: r for r in found}
+        highest = max((r["noise"] for r in found if r["noise"] is not None), default=0.0)
+        for bits in range(len(model.floors)):
+            clean, noise = (by_bits[bits][k] if bits in by_bits else None for k in ("clean", "noise"))
+            floor = (highest if noise is None else noise) + MARGIN
+            model.floors[bits] = max(floor if clean is None else min(floor, clean - MARGIN), 0.0)
+    return model
+
+
 def _predictor(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
@@ -212,7 +327,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 
 def identify_language(docs: DataFrame, training: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, lang_pred, score; ``training`` holds the labelled rows (``docs`` by default)."""
-    model = Model.fit(*training_rows(docs if training is None else training, id_col, text_col, lang_col, limit))
+    model = learned(docs if training is None else training, id_col, text_col, lang_col, limit)
     text.give_back()
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(text.released(_predictor(model)), "doc_id long, lang_pred string, score double")
@@ -224,8 +339,7 @@ def keep_identified(docs: DataFrame, least: float = 0.0, text_col: str = "text",
     Learns from the labelled rows of ``docs``; rows are filtered where they stand, without a join.
     ``open_set``: texts that score no higher than noise of their size have no learned language. Where nothing can be learned, every text with a letter is kept.
     """
-    fit = Model.fit_open if open_set else Model.fit
-    model = fit(*training_rows(docs, id_col, text_col, lang_col))
+    model = learned(docs, id_col, text_col, lang_col, open_set=open_set)
     text.give_back()
     if not model.languages:
         model = Model(["any"], np.zeros((BUCKETS, 1), np.float32), np.ones(1, np.float32))

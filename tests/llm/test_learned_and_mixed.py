@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import ODD, make_docs, prose
 from pyspark.sql import functions as F
@@ -119,3 +120,18 @@ def test_components(spark):
         parent[y] = x
     got = {row["node"]: row["component"] for row in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges for x in (a, b) if a != b}
+
+
+def test_all_labelled_rows_teach(spark):
+    """With few landmarks and few rows to choose them from, weights and floors still come from every labelled row."""
+    rows = [(k, spoken(lang, 5 + k % 40, k), lang) for k, lang in enumerate(["en", "de", "es"] * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    texts, labels = language.training_rows(docs, "doc_id", "text", "lang", 30)
+    basis = language.Basis.of(texts, labels)
+    feats = np.concatenate([basis.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for _, t, _ in rows])
+    y = np.array([basis.languages.index(v) for *_, v in rows])
+    want = basis.solved(feats.T @ np.concatenate([feats, np.eye(3)[y]], 1) / 100)
+    for got in (language.learned(docs, "doc_id", "text", "lang", 30), language.learned(docs, "doc_id", "text", "lang", 30, open_set=True)):
+        assert np.abs(got.weights - want.weights).max() < 1e-4 and np.abs(got.bias - want.bias).max() < 1e-4
+    kept = {r["doc_id"] for r in language.keep_identified(docs, open_set=True).collect()}
+    assert kept == {i for i, *_ in rows}
