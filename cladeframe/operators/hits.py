@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeframe.operators import sized
+
 
 def with_distance(hits: DataFrame) -> DataFrame:
     """(mismatch + gaps) / length; null for length 0."""
@@ -53,10 +55,14 @@ def best_protein(hits: DataFrame, query: str, least_length: int) -> DataFrame:
 
 
 def wide_distances(hits: DataFrame, query: str, target: str, targets: Sequence) -> DataFrame:
-    """A row a query with GT<target>_Distance and GT<target>_AlignedNT."""
-    own = best_per_target(hits, query, target)
-    wide = own.groupBy(query).pivot(target, list(targets)).agg(F.first("distance").alias("Distance"), F.first("length").alias("AlignedNT"))
-    return wide.select(query, *(F.col(f"`{t}_{c}`").alias(f"GT{t}_{c}") for t in targets for c in ("Distance", "AlignedNT")))
+    """A row a query with GT<target>_Distance and GT<target>_AlignedNT.
+
+    Hits are counted and dealt by query, at most about ``sized.TASK_ROWS`` a task; choice and
+    row of a query are made where they are, so a task's sort doesn't grow with the table.
+    """
+    own = best_per_target(sized.by_key(hits, query), query, target)
+    pick = lambda t, c: F.max(F.when(F.col(target) == t, F.col(c)))
+    return own.groupBy(query).agg(*(pick(t, c).alias(f"GT{t}_{n}") for t in targets for c, n in (("distance", "Distance"), ("length", "AlignedNT"))))
 
 
 def covered_positions(start: Column, end: Column, positions: Sequence[int]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ROWS = 1_000_000
 BYTES = 64 << 20
+TASK_ROWS = 500_000  # that one task sorts
 
 
 def small(table: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -18,3 +19,9 @@ def rows_of(table: DataFrame, wide: str) -> int:
     """Rows of ``table`` that may be broadcast when its column ``wide`` counts: as many as it has, if they fit in BYTES."""
     row = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(wide)), F.lit(0)).alias("b")).first()
     return int(row["n"]) if row["b"] <= BYTES else 0
+
+
+def by_key(table: DataFrame, key: str, rows: int = TASK_ROWS) -> DataFrame:
+    """``table`` by ``key`` in as many partitions as keep about so many rows in each."""
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(max(n, -(-table.count() // rows)), key)

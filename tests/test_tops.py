@@ -49,3 +49,15 @@ def test_winners_by_scores_alone(monkeypatch):
     monkeypatch.setattr(alignment, "align_all", None)  # no traceback without ``traced``
     plain = alignment.winners(queries, refs, alignment.LOCAL_NT, True, traced=False)
     assert [(at, al.score, n) for at, al, n in plain] == [(at, al.score, n) for at, al, n in whole]
+
+
+def test_wide_distances_are_dealt_by_query(spark, monkeypatch):
+    from cladeframe.operators import hits, sized
+
+    rows = [(q, t, 100 + k, k % 5, 0, 1.0, k) for k, (q, t) in enumerate((q, t) for q in range(40) for t in (1, 2, 2))]
+    df = hits.with_distance(spark.createDataFrame(rows, "query long, target int, length long, mismatch long, gaps long, bitscore double, ordinal long"))
+    want = sorted(map(repr, hits.wide_distances(df, "query", "target", [1, 2, 3]).collect()))
+    monkeypatch.setattr(sized.by_key, "__defaults__", (10,))
+    assert sized.by_key(df, "query").rdd.getNumPartitions() == 12
+    out = hits.wide_distances(df, "query", "target", [1, 2, 3])
+    assert sorted(map(repr, out.collect())) == want and len(want) == 40 and out.columns[:3] == ["query", "GT1_Distance", "GT1_AlignedNT"]
