@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe import genes
+from cladeframe import genes, workdir
 from cladeframe.operators import pairbatch, sized
 
 HOT_PLACES = 64  # of a word in one reference
@@ -337,8 +337,9 @@ def hits(queries: DataFrame, references: DataFrame, search: Search = BASES, on:
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = lambda df, name, seq: df.filter(F.length(seq) > 0).select(F.col(name).cast("string").alias(name), F.col(seq).cast("string").alias(seq), group.alias("grp")).filter("grp is not null")
     known = own(references, "ref", "ref_seq").dropDuplicates(["ref"])
-    # A number of partitions that stays: alignment costs time, not bytes. All that follows keeps this partitioning.
-    asked = own(queries, "query", "seq").repartition(n, "query").dropDuplicates(["query"])
+    # Read three times from here on: written once, so what makes the queries runs once. A number of partitions that stays: alignment
+    # costs time, not bytes, and a join below must not leave the few bytes of many sequences to one task.
+    asked = workdir.stored(own(queries, "query", "seq").dropDuplicates(["query"]).repartition(n), "asked")
     space = known.groupBy("grp").agg(F.sum(F.length("ref_seq")).alias("space"))
     of_ref = known.join(space, "grp").drop("grp")
     pairs = candidates(asked, known, search).repartition(n, "query").join(asked.drop("grp"), "query").join(sized.small(of_ref, sized.rows_of(known, "ref_seq")), "ref")

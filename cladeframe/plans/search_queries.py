@@ -68,16 +68,18 @@ def sequences(spark: SparkSession, d: str) -> DataFrame:
     return seqs.withColumn("seq", F.when(_one_in(5, "accession"), back).otherwise(F.col("seq")))
 
 
-def _assigned(spark: SparkSession, d: str) -> tuple[g.GenePlan, DataFrame, DataFrame]:
-    plan, records = g.GenePlan("NS5A"), sequences(spark, d)
+def _assigned(spark: SparkSession, d: str, again: bool = True) -> tuple[g.GenePlan, DataFrame, DataFrame]:
+    """``again``: the genotypes are read more than once, so the search behind them is written down."""
+    plan, records = g.GenePlan("NS5A"), workdir.stored(sequences(spark, d), "sequences")
     said = spark.createDataFrame([], "accession string, genotype string, subtype string")
-    return plan, records, plan.genotypes(records, plan.genotype_hits(records, genotype_references(spark, d)), said)
+    assigned = plan.genotypes(records, plan.genotype_hits(records, genotype_references(spark, d)), said)
+    return plan, records, workdir.stored(assigned, "assigned") if again else assigned
 
 
 @query()
 def al_blastn_search(spark, d):
     """The genotype of every sequence, by its own search."""
-    return _assigned(spark, d)[2].select("accession", "gt", "distance", "covered")
+    return _assigned(spark, d, False)[2].select("accession", "gt", "distance", "covered")
 
 
 @query()

@@ -232,3 +232,28 @@ def test_plan_searches_by_itself(spark):
     assert {k: (x["gene"], x["genotype"], x["subtype"], x["subtype_reference_accession"]) for k, x in folder.items()} == {k: ("NS5A", t[0], t, f"AC{t}") for k, t in truth.items()}
     plan_of_none = folder_assignments(records.filter("accession = 'junk'"), genes_of, sub_refs)
     assert plan_of_none.count() == 0
+
+
+def test_queries_of_a_search_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(17)
+    ref = "".join(r.choice("ACGT") for _ in range(200))
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(seq):
+        made.add(1)
+        return seq
+
+    plain = spark.createDataFrame([(f"q{k}", mutated(ref, r, 0.05)) for k in range(20)], "query string, seq string")
+    asked = plain.withColumn("seq", F.udf(counted, "string").asNondeterministic()("seq"))
+    assert search.hits(asked, spark.createDataFrame([("r", ref)], "ref string, ref_seq string")).count() == 20
+    assert made.value == 20
+
+
+@pytest.mark.parametrize("name", ["al_blastn_subtype"])
+def test_a_search_behind_a_search_runs_once(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in line and "sseq" in line for line in plan.splitlines()) == 1
