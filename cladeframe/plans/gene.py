@@ -94,6 +94,7 @@ def folder_assignments(records: DataFrame, gene_refs: DataFrame, subtype_refs: D
     asked = records.select(F.col("accession").alias("query"), "seq")
     found = search.as_targets(search.hits(asked, named, targets=1000), named, "target").filter(F.col("length") >= least)
     best = hits.best(found.select("query", "target.gene", "target.gt", "length", "pident", "bitscore", "ordinal"), ["query", "gene"], hits.by_bitscore()).drop("rank")
+    best = workdir.stored(best, "genes_found")  # read again below, with the search behind it
     types = subtype_refs.select(F.concat_ws("|", "subtype", F.col("ordinal").cast("string")).alias("ref"), F.col("seq").alias("ref_seq"), F.struct("subtype", "accession").alias("target"), "ordinal", labels.genotype(F.col("subtype")).alias("gt"))
     # A sequence whose genes have several genotypes is asked once for each.
     wanted = best.select("query", "gt").distinct().join(asked, "query").withColumn("query", F.concat_ws("\t", "query", "gt"))

@@ -94,7 +94,7 @@ def al_blastn_folder(spark, d):
     gene_refs = genotype_references(spark, d).withColumn("gene", F.lit("NS5A"))
     # A second gene: the same codons read backwards.
     other = gene_refs.withColumn("seq", F.reverse("seq")).withColumn("gene", F.lit("NS5B")).withColumn("ordinal", F.col("ordinal") + 10)
-    return g.folder_assignments(sequences(spark, d), gene_refs.unionByName(other), subtype_references(spark, d))
+    return g.folder_assignments(workdir.stored(sequences(spark, d), "sequences"), gene_refs.unionByName(other), subtype_references(spark, d))
 
 
 @query()

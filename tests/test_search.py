@@ -251,7 +251,7 @@ def test_queries_of_a_search_are_made_once(spark):
     assert made.value == 20
 
 
-@pytest.mark.parametrize("name", ["al_blastn_subtype", "al_blastx_aa"])
+@pytest.mark.parametrize("name", ["al_blastn_subtype", "al_blastx_aa", "al_blastn_folder"])
 def test_a_search_behind_a_search_runs_once(spark, name):
     import __spark_entry__ as entry
 
