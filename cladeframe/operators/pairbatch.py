@@ -204,6 +204,256 @@ def _tops(queries: list[np.ndarray], refs: list[np.ndarray], costs: Costs, shift
     return top / by, end_row, end_col
 
 
+FRONT = 1 << 16  # cells of one antidiagonal of all pairs of a batch
+WAVE = 1 << 24  # cells of all pairs of a batch whose values are kept
+
+
+@dataclass(frozen=True)
+class Plain:
+    """Scores that only tell equal from different symbols, in two bytes, and codes whose bitwise difference is 0 or at least ``loss``."""
+
+    by: float
+    match: np.int16
+    loss: np.int16
+    opened: np.int16
+    extended: np.int16
+    of_query: np.ndarray
+    of_ref: np.ndarray
+    no_query: int
+    no_ref: int
+
+    @staticmethod
+    def of(queries: Sequence[np.ndarray], refs: Sequence[np.ndarray], costs: Costs, length: int) -> Plain | None:
+        """None where other scores are needed. Symbols that lose even with themselves have one code in queries and another in references."""
+        symbols = np.unique(np.concatenate([*queries, *refs, np.zeros(0, np.int64)]))
+        if not len(symbols) or np.isin(symbols, costs.wild).any():
+            return None
+        by, costs = costs.scaled()
+        if costs.matrix is None:
+            own, other = np.full(len(symbols), costs.match), np.array([costs.mismatch])
+        else:
+            table = costs.matrix[np.ix_(symbols, symbols)]
+            own, other = table.diagonal(), table[~np.eye(len(symbols), dtype=bool)]
+        match, mismatch = own.max(), other[0] if len(other) else costs.mismatch if costs.matrix is None else own.min()
+        alike = own == match
+        loss = match - mismatch
+        if match <= 0 or mismatch >= 0 or (other != mismatch).any() or (own[~alike] != mismatch).any() or not costs.gap_open <= costs.gap_extend < 0:
+            return None
+        step = 1 << int(loss).bit_length()
+        most = max(match, -mismatch, -costs.gap_open, -costs.gap_extend)
+        if most * (length + 4) >= 1 << 13 or (2 * len(symbols) + 2) * step >= 1 << 15:
+            return None
+        of_query = np.zeros(int(symbols.max()) + 1, np.int16)
+        of_ref = of_query.copy()
+        of_query[symbols] = np.arange(len(symbols)) * step
+        of_ref[symbols] = np.where(alike, np.arange(len(symbols)), np.arange(len(symbols)) + len(symbols)) * step
+        return Plain(by, *(np.int16(x) for x in (match, loss, costs.gap_open, costs.gap_extend)), of_query, of_ref, 2 * len(symbols) * step, (2 * len(symbols) + 1) * step)
+
+
+def scores(queries: Sequence[np.ndarray], refs: Sequence[np.ndarray], costs: Costs) -> np.ndarray:
+    """The scores of ``tops``. Cells of one antidiagonal of all pairs of a batch are one step: none of them waits for another."""
+    n, m = np.array([len(x) for x in queries], np.int64), np.array([len(x) for x in refs], np.int64)
+    out = np.zeros(len(queries))
+    order = np.lexsort((n, m))
+    order = order[(n[order] > 0) & (m[order] > 0)]
+    a = 0
+    while a < len(order):
+        b = a + max(1, min(len(order) - a, FRONT // int(n[order[a]])))
+        b = a + max(1, int(np.searchsorted(m[order[a:b]], 2 * m[order[a]] + 16, "right")))
+        places = order[a:b].tolist()
+        own = [queries[k] for k in places], [refs[k] for k in places]
+        plain = Plain.of(*own, costs, int(n[places].max() + m[places].max()))
+        out[places] = tops(*own, costs)[0] if plain is None else _scores(*own, plain)
+        a = b
+    return out
+
+
+def _scores(queries: list[np.ndarray], refs: list[np.ndarray], s: Plain) -> np.ndarray:
+    p, rows, width = len(queries), max(len(x) for x in queries), max(len(x) for x in refs)
+    q, r = np.full((rows, p), s.no_query, np.int16), np.full((width, p), s.no_ref, np.int16)
+    for k, (x, y) in enumerate(zip(queries, refs, strict=True)):
+        q[: len(x), k] = s.of_query[x]
+        r[width - len(y) :, k] = s.of_ref[y[::-1]]
+    # By row, the first stands before the query. Values of this antidiagonal take the place of those of the last but two, or but one.
+    best = [np.zeros((rows + 1, p), np.int16) for _ in range(3)]
+    up = [np.zeros((rows + 1, p), np.int16) for _ in range(2)]
+    left, top = np.zeros((rows + 1, p), np.int16), np.zeros((rows + 1, p), np.int16)
+    opened, other = np.zeros((rows + 1, p), np.int16), np.zeros((rows, p), np.int16)
+    for t in range(rows + width - 1):
+        a, b = max(0, t - width + 1), min(rows, t + 1)
+        now, was, before = best[t % 3], best[(t - 1) % 3], best[(t - 2) % 3]
+        # Nothing below 0 reaches a local alignment: 0 stands for it.
+        gap, x = opened[: b - a + 1], other[: b - a]
+        np.maximum(np.add(was[a : b + 1], s.opened, out=gap), 0, out=gap)
+        own = left[a + 1 : b + 1]
+        np.maximum(np.add(own, s.extended, out=own), gap[1:], out=own)
+        above = up[t % 2][a + 1 : b + 1]
+        np.maximum(np.add(up[(t - 1) % 2][a:b], s.extended, out=above), gap[:-1], out=above)
+        first = width - 1 - t + a
+        np.minimum(np.bitwise_xor(q[a:b], r[first : first + b - a], out=x), s.loss, out=x)
+        here = now[a + 1 : b + 1]
+        np.add(np.subtract(before[a:b], x, out=here), s.match, out=here)
+        np.maximum(top[a + 1 : b + 1], here, out=top[a + 1 : b + 1])
+        np.maximum(np.maximum(here, own, out=here), above, out=here)
+    return top.max(0) / s.by
+
+
+def traced(queries: Sequence[np.ndarray], refs: Sequence[np.ndarray], costs: Costs, bands: Sequence[tuple[int, int]]) -> list[Path]:
+    """``align`` of local pairs in bands.
+
+    Where scores are plain and a batch's values fit in ``WAVE`` cells they are kept, antidiagonal by antidiagonal, and paths are read from them;
+    the other pairs go by ``tops`` and ``local``.
+    """
+    n = np.array([len(x) for x in queries], np.int64)
+    widths = np.array([high - low + 1 for low, high in bands], np.int64)
+    out: list[Path | None] = [None] * len(queries)
+    order = np.lexsort((n, widths))
+    kept: np.ndarray | None = None
+    a, rest = 0, []
+    while a < len(order):
+        b = a + max(1, int(np.searchsorted(widths[order[a:]], 2 * widths[order[a]] + 16, "right")))
+        longest, widest = (np.maximum.accumulate(x[order[a:b]]) for x in (n, widths))
+        cells = (2 * longest + widest + 1) * (widest // 2 + 3) * np.arange(1, b - a + 1)
+        b = a + max(1, int(np.searchsorted(cells, WAVE, "right")))
+        places = order[a:b].tolist()
+        a = b
+        own = [queries[k] for k in places], [refs[k] for k in places]
+        plain = None if cells[0] > WAVE or not n[places].max() else Plain.of(*own, costs, int(n[places].max() + widths[places].max()))
+        if plain is None:
+            rest += places
+            continue
+        kept = np.empty(3 * WAVE, np.int16) if kept is None else kept
+        for k, path in zip(places, _traced(*own, plain, np.array([bands[k][0] for k in places], np.int64), widths[places], kept), strict=True):
+            out[k] = path
+    if rest:
+        own = [queries[k] for k in rest], [refs[k] for k in rest], costs, [bands[k] for k in rest]
+        for k, path in zip(rest, local(*own, tops(*own)), strict=True):
+            out[k] = path
+    return out  # type: ignore[return-value]
+
+
+def _traced(queries: list[np.ndarray], refs: list[np.ndarray], s: Plain, shift: np.ndarray, widths: np.ndarray, kept: np.ndarray) -> list[Path]:
+    """Of row i (from 1) and place c of the band, antidiagonal 2 i + c holds every second c; of both kinds of antidiagonals c // 2 is the place."""
+    width, narrow = int(widths.max()), int(widths.min())
+    p, rows, places = len(queries), max(len(x) for x in queries), width // 2 + 3
+    q, r = np.full((rows, p), s.no_query, np.int16), np.full((rows + width, p), s.no_ref, np.int16)
+    for k, (x, y) in enumerate(zip(queries, refs, strict=True)):
+        q[rows - len(x) :, k] = s.of_query[x[::-1]]
+        first, last = max(int(shift[k]), 0), min(len(y), int(shift[k]) + len(r))
+        if last > first:
+            r[first - shift[k] : last - shift[k], k] = s.of_ref[y[first:last]]
+    # A band ends at its own width, whatever the others' of its batch.
+    most = [np.where(np.arange(odd, width + 1, 2)[:, None] < widths, np.int16(np.iinfo(np.int16).max), np.int16(0)) for odd in (0, 1)]
+    steps = 2 * rows + width
+    stay, left, up = kept[: 3 * steps * places * p].reshape(3, steps, places, p)
+    # Row 0, and what stands beside the band: a place before the first and one after the last.
+    stay[:2, :3] = left[:2, :3] = up[:2, :3] = 0
+    left[:, 0] = up[:, 0] = 0
+    best = [np.zeros((places, p), np.int16) for _ in range(2)]
+    opened, other = np.zeros((places, p), np.int16), np.zeros((places, p), np.int16)
+    highest = np.zeros((steps, p), np.int16)
+    for t in range(2, steps):
+        u, odd = t >> 1, t & 1
+        a, b = max(0, u - rows), min(u, (width - odd + 1) // 2)
+        stay[t, b + 1] = left[t, b + 1] = up[t, b + 1] = 0
+        if b <= a:
+            continue
+        here, x = stay[t, a + 1 : b + 1], other[: b - a]
+        # The left neighbour's place and the upper one's, among those of the antidiagonal before.
+        at_left, at_up = (a + 1, a + 2) if odd else (a, a + 1)
+        gap = opened[: b - a + 1]
+        np.maximum(np.add(best[1 - odd][at_left : at_left + b - a + 1], s.opened, out=gap), 0, out=gap)
+        own, above = left[t, a + 1 : b + 1], up[t, a + 1 : b + 1]
+        np.maximum(np.add(left[t - 1, at_left : at_left + b - a], s.extended, out=own), gap[:-1], out=own)
+        np.maximum(np.add(up[t - 1, at_up : at_up + b - a], s.extended, out=above), gap[1:], out=above)
+        np.minimum(np.bitwise_xor(q[rows - u + a : rows - u + b], r[u + odd - 1 + a : u + odd - 1 + b], out=x), s.loss, out=x)
+        now = best[odd][a + 1 : b + 1]
+        np.add(np.subtract(now, x, out=here), s.match, out=here)
+        beside = max(a, (narrow - odd + 1) // 2)
+        if beside < b:
+            for value in (here, own, above):
+                np.minimum(value[beside - a :], most[odd][beside:b], out=value[beside - a :])
+        np.max(here, axis=0, out=highest[t])
+        np.maximum(np.maximum(here, own, out=now), above, out=now)
+    top = highest.max(0)
+    row, column = _ends(stay, highest, top, rows, width)
+    return _read(stay, left, up, top, row, column, shift, s)
+
+
+def _ends(stay: np.ndarray, highest: np.ndarray, top: np.ndarray, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of every pair's highest value, there the first place."""
+    t, k = np.nonzero((highest == top) & (top > 0))
+    place = np.arange(stay.shape[1] - 2)[None]
+    u, odd = (t >> 1)[:, None], (t & 1)[:, None]
+    inside = (place >= u - rows) & (place < np.minimum(u, (width - odd + 1) // 2))
+    one, h = np.nonzero(inside & (stay[t, 1:-1, k] == top[k][:, None]))
+    row, column, k = (t[one] >> 1) - h, 2 * h + (t[one] & 1), k[one]
+    order = np.lexsort((column, row, k))
+    own, first = np.unique(k[order], return_index=True)
+    out = np.zeros(len(top), np.int64), np.zeros(len(top), np.int64)
+    out[0][own], out[1][own] = row[order][first], column[order][first]
+    return out
+
+
+def _read(stay: np.ndarray, left: np.ndarray, up: np.ndarray, top: np.ndarray, row: np.ndarray, column: np.ndarray, shift: np.ndarray, s: Plain) -> list[Path]:
+    """Paths from kept values, back from their ends by the preferences of ``_walk``; pairs step together."""
+    _, places, p = stay.shape
+    line = places * p
+    flat_stay, flat_left, flat_up = (x.reshape(-1) for x in (stay, left, up))
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(p)]
+    t = 2 * row + column
+    at = t * line + (column // 2 + 1) * p + np.arange(p)
+    matched, begun = np.flatnonzero(top > 0), np.zeros(p, np.int64)
+    gapped, kind = np.zeros(0, np.int64), np.full(p, STAY)
+    step = 0
+    while len(matched) or len(gapped):
+        step += 1
+        more = []
+        if len(matched):
+            at[matched] -= 2 * line
+            place = at[matched]
+            a, b, c = flat_stay[place], flat_left[place], flat_up[place]
+            over = np.flatnonzero((a <= 0) | (a < b) | (a < c))
+            if len(over):
+                ended, a, b, c = matched[over], a[over], b[over], c[over]
+                for k, first in zip(ended.tolist(), begun[ended].tolist(), strict=True):
+                    runs[k].append((STAY, step - first))
+                on = np.maximum(np.maximum(a, b), c) > 0
+                kind[ended] = np.where(b >= c, LEFT, UP)
+                more.append(ended[on])
+                keep = np.ones(len(matched), bool)
+                keep[over] = False
+                matched = matched[keep]
+        if len(gapped):
+            place, is_left = at[gapped], kind[gapped] == LEFT
+            value = np.where(is_left, flat_left[place], flat_up[place])
+            odd = place // line % 2 == 1
+            place = place - line + np.where(is_left, np.where(odd, 0, -p), np.where(odd, p, 0))
+            at[gapped] = place
+            same = np.where(is_left, flat_left[place], flat_up[place]) + s.extended == value
+            from_stay = flat_stay[place] + s.opened == value
+            for k, x in zip(gapped.tolist(), kind[gapped].tolist(), strict=True):
+                runs[k].append((x, 1))
+            kind[gapped] = np.where(same, kind[gapped], np.where(from_stay, STAY, np.where(is_left, UP, LEFT)))
+            back = kind[gapped] == STAY
+            begun[gapped[back]] = step
+            matched = np.concatenate([matched, gapped[back]])
+            gapped = gapped[~back]
+        if more:
+            gapped = np.concatenate([gapped, *more])
+    out = []
+    for k, (own, score, i, c, d) in enumerate(zip(runs, top.tolist(), row.tolist(), column.tolist(), shift.tolist(), strict=True)):
+        if not own:
+            out.append(Path(0.0, (0, 0), (0, 0), np.zeros(0, np.uint8)))
+            continue
+        own.reverse()
+        way = np.repeat(np.array([x for x, _ in own], np.uint8), [x for _, x in own])
+        lefts, ups = sum(n for x, n in own if x == LEFT), sum(n for x, n in own if x == UP)
+        end = i + d + c
+        out.append(Path(score / s.by, (i - (len(way) - lefts), i), (end - (len(way) - ups), end), way))
+    return out
+
+
 def local(queries: Sequence[np.ndarray], refs: Sequence[np.ndarray], costs: Costs, bands: Sequence[tuple[int, int]], ends: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[Path]:
     """``align`` of pairs whose ``ends`` (of ``tops``) are known.
 

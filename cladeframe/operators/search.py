@@ -205,11 +205,13 @@ def candidates(queries: DataFrame, references: DataFrame, search: Search) -> Dat
     of_refs = words(references, "ref", "ref_seq", search, False).withColumnRenamed("name", "ref").withColumnRenamed("place", "ref_place").drop("strand")
     of_queries = words(queries, "query", "seq", search, True).withColumnRenamed("name", "query")
     hot = of_refs.groupBy("word", "grp", "ref").count().filter(F.col("count") > HOT_PLACES).select("word", "grp", "ref")
-    index = of_refs.join(hot, ["word", "grp", "ref"], "left_anti")
+    masks = bool(hot.take(1))
+    index = of_refs.join(hot, ["word", "grp", "ref"], "left_anti") if masks else of_refs
     met = of_queries.join(sized.small(index, INDEX_ROWS), ["word", "grp"]).withColumn("diagonal", F.col("ref_place") - F.col("place"))
-    seeds = met.groupBy("query", "ref", "strand", "diagonal").agg(F.count("*").cast("int").alias("n"), F.min("place").alias("place")).filter(F.col("n") >= search.seeds)
-    masked = of_queries.join(sized.small(hot, INDEX_ROWS), ["word", "grp"]).select("query", "ref", "strand").distinct()
-    both = seeds.unionByName(masked.withColumns({"diagonal": F.lit(None).cast("int"), "n": F.lit(1), "place": F.lit(0)}))
+    both = met.groupBy("query", "ref", "strand", "diagonal").agg(F.count("*").cast("int").alias("n"), F.min("place").alias("place")).filter(F.col("n") >= search.seeds)
+    if masks:  # else the queries' words are not made a second time
+        masked = of_queries.join(sized.small(hot, INDEX_ROWS), ["word", "grp"]).select("query", "ref", "strand").distinct()
+        both = both.unionByName(masked.withColumns({"diagonal": F.lit(None).cast("int"), "n": F.lit(1), "place": F.lit(0)}))
     # A pair has at most as many diagonals as both sequences have symbols.
     return both.groupBy("query", "ref").agg(F.collect_list(F.struct("strand", "diagonal", "n", "place")).alias("seeds"))
 
@@ -309,14 +311,12 @@ def _extended(search: Search):
                         diagonal, place = (np.array(x, np.int64) for x in zip(*at, strict=True)) if at else (np.zeros(0, np.int64),) * 2
                         seeded.append(Seeded(k, strand, read[strand], ref, diagonal, place, len(at) < len(by_strand[strand])))
                 jobs = [(x.row, x.strand, x.query, x.ref, band) for x, ok in zip(seeded, reaching(seeded, search), strict=True) for band in bands(x, ok, search)]
-                ends = pairbatch.tops([j[2] for j in jobs], [j[3] for j in jobs], search.costs, [j[4] for j in jobs])
-                chosen: dict[int, int] = {}  # of a pair's bands the first of the highest score; only that is told
-                for at, score in enumerate(ends[0].tolist()):
-                    if score > 0 and (jobs[at][0] not in chosen or score > ends[0][chosen[jobs[at][0]]]):
-                        chosen[jobs[at][0]] = at
-                own = list(chosen.values())
-                found = pairbatch.local([jobs[k][2] for k in own], [jobs[k][3] for k in own], search.costs, [jobs[k][4] for k in own], tuple(x[own] for x in ends))
-                best = {k: (rows[k], *jobs[at][1:4], len(rows[k]["seq"]), path) for (k, at), path in zip(chosen.items(), found, strict=True)}
+                paths = pairbatch.traced([j[2] for j in jobs], [j[3] for j in jobs], search.costs, [j[4] for j in jobs])
+                best: dict[int, tuple] = {}  # of a pair's bands the first of the highest score
+                for job, path in zip(jobs, paths, strict=True):
+                    k = job[0]
+                    if path.score > 0 and (k not in best or path.score > best[k][-1].score):
+                        best[k] = rows[k], *job[1:4], len(rows[k]["seq"]), path
                 out = [told(*best[k]) for k in sorted(best)]
                 out = [x for x in out if x[6] <= search.evalue]
                 columns = list(zip(*out, strict=True)) if out else [()] * len(names)

@@ -257,3 +257,41 @@ def test_a_search_behind_a_search_runs_once(spark, name):
 
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert sum("MapInArrow" in line and "sseq" in line for line in plan.splitlines()) == 1
+
+
+PLAIN_COSTS = [search.BASES.costs, alignment.costs(alignment.LOCAL_NT), alignment.costs(extraction.WINDOW), pairbatch.Costs(2, -1, -2, -1), pairbatch.Costs(1.5, -1, -2, -0.5)]
+
+
+def banded_pairs(r, n, symbols):
+    out = [(codes(""), codes("ACGT"), (-3, 3)), (codes("ACGT"), codes(""), (-3, 3))]
+    for _ in range(n):
+        t = "".join(r.choice(symbols) for _ in range(r.randint(0, 90)))
+        a = r.randint(0, len(t) // 2)
+        low = a - r.randint(-8, 30)
+        out.append((codes(mutated(t[a:], r, r.choice([0.0, 0.1, 0.3]), symbols, r.choice([0.0, 0.02, 0.1]))), codes(t), (low, low + r.randint(0, 60))))
+    return out
+
+
+@pytest.mark.parametrize("symbols", ["ACGT", "ACGTN", "AC"])
+@pytest.mark.parametrize("costs", PLAIN_COSTS)
+def test_paths_from_kept_values(costs, symbols, monkeypatch):
+    """Every path as of its pair alone in its own band, whatever pairs share its batch; small batches and single rows too."""
+    pairs = banded_pairs(random.Random(5), 120, symbols)
+    said = lambda x: (x.score, x.query, x.ref, x.steps.tolist())
+    want = [said(pairbatch.align([q], [t], costs, True, [band])[0]) for q, t, band in pairs]
+    queries, refs, bands = (list(x) for x in zip(*pairs, strict=True))
+    plain = not (costs.wild and "N" in symbols)  # scores of other kinds go by another program
+    for wave in (1 << 24, 20_000):
+        monkeypatch.setattr(pairbatch, "WAVE", wave)
+        got = [said(x) for x in pairbatch.traced(queries, refs, costs, bands)]
+        assert not plain or got == want
+    whole = pairbatch.align(queries, refs, costs, True)
+    assert pairbatch.scores(queries, refs, costs).tolist() == [x.score for x in whole]
+
+
+def test_words_of_queries_are_made_once(spark):
+    r = random.Random(17)
+    ref = "".join(r.choice("ACGT") for _ in range(200))
+    asked = spark.createDataFrame([("q", ref, "")], "query string, seq string, grp string")
+    plan = lambda t: search.candidates(asked, spark.createDataFrame([("r", t, "")], "ref string, ref_seq string, grp string"), search.BASES)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(ref).count("MapInArrow") == 2 < plan(ref + "A" * 200).count("MapInArrow")
