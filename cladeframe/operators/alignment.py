@@ -155,7 +155,7 @@ def align_all(pairs: list[tuple[str, str]], scores: Scores = GLOBAL_AA, local: b
 def score_all(queries: list[np.ndarray], refs: list[np.ndarray], scores: Scores, local: bool) -> np.ndarray:
     """Scores of ``align_all`` for pairs of code arrays; local ones without a traceback."""
     if local:
-        return pairbatch.tops(queries, refs, costs(scores))[0]
+        return pairbatch.scores(queries, refs, costs(scores))
     return np.array([x.score for x in pairbatch.align(queries, refs, costs(scores), False)])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe import genes, workdir
-from cladeframe.operators import alignment, hits, msa, search
+from cladeframe.operators import alignment, hits, msa, search, sized
 from cladeframe.plans import cohort as c
 from cladeframe.plans import gene as g
 from cladeframe.plans.queries import query
@@ -55,9 +55,11 @@ def subtype_references(spark: SparkSession, d: str) -> DataFrame:
 def codons(spark: SparkSession, d: str) -> DataFrame:
     """accession, ref_id, truth (subtype), pos, codon: a row a codon of every customer's sequence."""
     own = c.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("accession"), F.col("c_nationkey").cast("string").alias("ref_id"), F.concat((F.pmod(F.xxhash64("c_custkey"), F.lit(8)) + 1).cast("string"), F.when(F.col("c_acctbal") > 4500, "a").otherwise("b")).alias("truth"), (F.pmod("c_custkey", F.lit(40)) + 1).alias("first"))
+    # A sequence's codons are made, looked up and put together where its row was dealt to: the file's few bytes are no measure of that work.
+    own = own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "accession")
     at = own.select("accession", "ref_id", "truth", F.explode(F.sequence(F.col("first"), F.col("first") + 100)).alias("pos"))
     refs = references(spark, d).select(F.col("subtype").alias("truth"), F.col("pos").cast("long").alias("pos"), "codon")
-    rows = at.withColumn("pos", F.col("pos").cast("long")).join(refs, ["truth", "pos"])
+    rows = at.withColumn("pos", F.col("pos").cast("long")).join(sized.small(refs), ["truth", "pos"])
     return rows.withColumn("codon", F.when(_one_in(25, "accession", "pos"), _codon("accession", "pos")).otherwise(F.col("codon")))
 
 
